@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seqloom.llm import byte_bpe, chat_format, toxicity
+from seqloom.llm import byte_bpe, chat_format, surrogates, toxicity
 from seqloom.llm.common import table
 
 
@@ -30,8 +31,18 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, machine).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+#: The key of the registered query; a deployment passes its own secret.
+SURROGATE_KEY = "seqloom registered query"
+
+
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = surrogates.pseudonymise(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+    return replaced.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op4_surrogates": op4_surrogates,
     "op5_toxicity": op5_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
 }
