@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import byte_bpe, chat_format, surrogates, toxicity
+from seqloom.llm import byte_bpe, chat_format, ngram_join, surrogates, toxicity
 from seqloom.llm.common import table
 
 
@@ -40,10 +40,15 @@ def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replaced.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op4_surrogates": op4_surrogates,
     "op5_toxicity": op5_toxicity,
+    "op6_ngram_join": op6_ngram_join,
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLE: dict[str, str] = {}
