@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import byte_bpe, chat_format, ngram_join, surrogates, toxicity
+from seqloom.llm import byte_bpe, chat_format, mixing, ngram_join, surrogates, toxicity
 from seqloom.llm.common import table
 
 
@@ -31,6 +31,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, machine).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.plan(table(spark, sf_dir, "documents"))
+    return planned.select(
+        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken")
+    )
+
+
 #: The key of the registered query; a deployment passes its own secret.
 SURROGATE_KEY = "seqloom registered query"
 
@@ -46,6 +53,7 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op3_mixing": op3_mixing,
     "op4_surrogates": op4_surrogates,
     "op5_toxicity": op5_toxicity,
     "op6_ngram_join": op6_ngram_join,
