@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import byte_bpe, chat_format, fingerprints, mixing, ngram_join, surrogates, token_files, toxicity
+from seqloom.llm import byte_bpe, chat_format, fingerprints, hnsw, mixing, ngram_join, surrogates, token_files, toxicity
 from seqloom.llm.common import table
 
 
+def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.self_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern=public_tokenizers.PATTERN)
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_ngram_join": op6_ngram_join,
     "op8_token_files": op8_token_files,
+    "op9_hnsw": op9_hnsw,
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLE: dict[str, str] = {}
