@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import byte_bpe, chat_format, fingerprints, hnsw, mixing, ngram_join, surrogates, token_files, toxicity
+from seqloom.llm import byte_bpe, chat_format, fingerprints, hnsw, mixing, ngram_join, surrogates, token_files, toxicity, warc
 from seqloom.llm.common import table
 
 
@@ -59,6 +59,11 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    histories = warc.write_and_read(table(spark, sf_dir, "pages"))
+    return histories.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_surrogates": op4_surrogates,
     "op5_toxicity": op5_toxicity,
     "op6_ngram_join": op6_ngram_join,
+    "op7_warc": op7_warc,
     "op8_token_files": op8_token_files,
     "op9_hnsw": op9_hnsw,
     "op10_byte_bpe": op10_byte_bpe,
