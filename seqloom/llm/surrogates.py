@@ -11,8 +11,7 @@ Kept: length, punctuation and country code of phones; validity of check digits (
 front of a name stays and gives its gender.
 
 Defined results: null text stays null, empty text stays empty, neither has entities; repeated rows get equal results; an
-empty table gives an empty one; whole texts are read whatever their length; other columns are carried along untouched if named
-in ``columns``.
+empty table gives an empty one; whole texts are read whatever their length; ``with_surrogates`` carries all other columns along.
 """
 
 from __future__ import annotations
@@ -263,21 +262,35 @@ def keyed(key: str) -> Surrogates:
 ENTITY = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int32()), ("original", pa.string()), ("surrogate", pa.string())]))
 
 
-def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text", columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``columns``, then ``text`` with surrogates and ``entities``. One pass, no shuffle."""
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
+    """``doc_id, text, entities``: texts with surrogates, and what was found. One pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = keyed(key)
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 b = whole.slice(at, SLICE)
-                done = [(None, []) if t is None else maps.replace(t) for t in b.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*b.columns[1:], pa.array([t for t, _ in done], pa.string()), pa.array([e for _, e in done], ENTITY)], names=[*columns, "text", "entities"]
-                )
+                done = [(None, []) if t is None else maps.replace(t) for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t for t, _ in done], pa.string()), pa.array([e for _, e in done], ENTITY)], names=["doc_id", "text", "entities"])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns), "text string", "entities array<struct<type:string,start:int,original:string,surrogate:string>>"])
-    return docs.select(F.col(text_col).alias("_text"), *columns).mapInArrow(run, schema)
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    return picked.mapInArrow(run, "doc_id long, text string, entities array<struct<type:string,start:int,original:string,surrogate:string>>")
+
+
+def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with its texts replaced, all other columns as they are."""
+    where = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps = keyed(key)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
+                columns = list(b.columns)
+                columns[where] = pa.array([t and maps.replace(t)[0] for t in columns[where].to_pylist()], columns[where].type)
+                yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def collisions(replaced: DataFrame) -> DataFrame:

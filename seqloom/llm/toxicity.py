@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
@@ -154,29 +154,52 @@ def train(docs: DataFrame, labels: DataFrame, *, bits: int = 18, per_class: int
     return fit([np.asarray(x, np.int32) for x in got.column("columns").to_pylist()], y, bits=bits, **options)
 
 
-def score(docs: DataFrame, machine: Machine, *, threshold: float = 0.7, columns: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, score, predicted`` of every row of ``docs``; ``columns`` are carried along unchanged."""
+def shared_machine(spark: SparkSession, machine: Machine):
+    """The machine on all executors: what it holds is bounded by the columns in use."""
     live = np.flatnonzero((machine.weights != 0) | (machine.factors != 0).any(1)).astype(np.int32)
-    packed = (machine.bits, machine.bias, live, machine.weights[live], machine.factors[live])  # bounded by the columns in use
-    shared = docs.sparkSession.sparkContext.broadcast(packed)
-    picked = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), *(F.col(c) for c in columns))
-    schema = ", ".join(["doc_id long", "score double", "predicted int", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)])
+    return spark.sparkContext.broadcast((machine.bits, machine.bias, live, machine.weights[live], machine.factors[live]))
+
+
+def unpacked(packed: tuple) -> Machine:
+    bits, bias, at, weights, factors = packed
+    w, v = np.zeros(1 << bits, np.float32), np.zeros((1 << bits, factors.shape[1]), np.float32)
+    w[at], v[at] = weights, factors
+    return Machine(bits, bias, w, v)
+
+
+def scores_of(machine: Machine, texts: list[str | None]) -> np.ndarray:
+    found = [terms(t, machine.bits) for t in texts]
+    return sigmoid(raw_scores(machine, np.concatenate(found) if found else np.zeros(0, np.int32), np.cumsum([len(x) for x in found])))
+
+
+def score(docs: DataFrame, machine: Machine, *, threshold: float = 0.7) -> DataFrame:
+    """``doc_id, score, predicted`` of every row of ``docs``."""
+    shared = shared_machine(docs.sparkSession, machine)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = unpacked(shared.value)
+        for big in batches:
+            for start in range(0, big.num_rows, SLICE):
+                b = big.slice(start, SLICE)
+                s = scores_of(whole, b.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
+
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    return picked.mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, machine: Machine, *, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, all columns as they are."""
+    shared, at = shared_machine(docs.sparkSession, machine), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, bias, at, weights, factors = shared.value
-        w, v = np.zeros(1 << bits, np.float32), np.zeros((1 << bits, factors.shape[1]), np.float32)
-        w[at], v[at] = weights, factors
-        whole = Machine(bits, bias, w, v)
+        whole = unpacked(shared.value)
         for big in batches:
             for start in range(0, big.num_rows, SLICE):
                 b = big.slice(start, SLICE)
-                found = [terms(t, bits) for t in b.column(1).to_pylist()]
-                s = sigmoid(raw_scores(whole, np.concatenate(found) if found else np.zeros(0, np.int32), np.cumsum([len(x) for x in found])))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32)), *b.columns[2:]], names=["doc_id", "score", "predicted", *columns]
-                )
+                yield b.filter(pa.array(scores_of(whole, b.column(at).to_pylist()) < threshold))
 
-    return picked.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(folds: int = 3, fold: int = 1):
