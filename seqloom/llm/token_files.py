@@ -39,13 +39,15 @@ from seqloom.llm.common import fresh_path, pinned, shuffle_width
 HEAD = struct.Struct("<4sB3xIIIQQIIQ")
 DOCUMENT = np.dtype([("id", "<i8"), ("valid", "u1"), ("ids", "<u4")])
 FRAME_IDS, BLOCK, FRAMES = 1 << 16, 4096, 128
-SLICE, CACHE = 1024, 2_000_000
-#: White space before a space: the one case in which a piece may not start at that space.
-SPACED = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}] "
+SLICE, KNOWN = 2048, 800_000
+#: A white-space character of one byte; texts that hold it go to the library whole.
+MARK = "\x0c"
+#: White space before a space or at the end: there a piece would not start or end where a pre-token does.
+SPACED = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}](?: |\z)|\x0C"
 
 
 class PieceEncoder:
-    """Ids of whole texts by the library, with equal pieces encoded once."""
+    """Ids of whole texts by the library, with equal pieces of a batch encoded once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,45 +55,72 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, tuple[int, ...]] = {}
+        mark = self.whole([MARK])[0]
+        # Other kinds of tokenizers don't cut before spaces: their texts all go to the library whole.
+        self.mark = mark[0] if len(mark) == 1 and "ByteLevel" in str(self.tokenizer.pre_tokenizer) else None
+        # Pieces seen so far, the first KNOWN of them, as flat arrays: text, ids end to end, where and how many.
+        self.known = pa.array([], pa.large_string())
+        self.pool, self.start, self.width = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _runs(self, pieces: pa.Array, prefix: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids of the distinct pieces, and for each piece where its ids start and how many they are."""
-        coded = pieces.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.known) > CACHE:
-            self.known.clear()
-        names = [prefix + p for p in distinct] if prefix else distinct
-        missing = [p for p in names if p not in self.known]
-        self.known.update(zip(missing, map(tuple, self.whole(missing)), strict=True))
-        ids = [self.known[p] for p in names]
-        width = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(width.sum()))
-        codes = coded.indices.to_numpy()
-        return flat, (np.cumsum(width) - width)[codes], width[codes]
+    def _pieces(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that follow a space, end to end, and how many each has.
+
+        They go to the library as one text with a mark between them: white space that no piece holds and that is a pre-token
+        of its own between a piece's end and the next one's space.
+        """
+        ids = np.array(self.whole([" " + f"{MARK} ".join(distinct)])[0], np.uint32)
+        marks = np.flatnonzero(ids == self.mark)
+        return ids[ids != self.mark], np.diff(np.concatenate(([-1], marks, [len(ids)]))) - 1
+
+    def _runs(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, and where each piece's ids start in it and how many they are."""
+        at = pc.index_in(distinct, value_set=self.known)
+        new = pc.is_null(at)
+        missing = distinct.filter(new)
+        if not len(missing):
+            codes = at.to_numpy(zero_copy_only=False)
+            return self.pool, self.start[codes], self.width[codes]
+        ids, each = self._pieces(missing.to_pylist())
+        pool = np.concatenate((self.pool, ids))
+        all_start = np.concatenate((self.start, np.cumsum(each) - each + len(self.pool)))
+        all_width = np.concatenate((self.width, each))
+        fresh = new.to_numpy(zero_copy_only=False)
+        codes = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        codes[fresh] = len(self.known) + np.arange(len(missing))
+        if len(self.known) < KNOWN:
+            self.known = pa.concat_arrays([self.known, missing])
+            self.pool, self.start, self.width = pool, all_start, all_width
+        return pool, all_start[codes], all_width[codes]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = pc.match_substring_regex(texts, SPACED).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, SPACED).to_numpy(zero_copy_only=False) if self.mark is not None else np.ones(len(texts), bool)
         out: list[np.ndarray | None] = [None] * len(texts)
-        for at in np.flatnonzero(odd):
-            out[at] = np.array(self.whole([texts[at].as_py()])[0], np.uint32)
+        rest = np.flatnonzero(odd)
+        for at, ids in zip(rest, self.whole(texts.take(pa.array(rest)).to_pylist()), strict=True):
+            out[at] = np.array(ids, np.uint32)
         plain = np.flatnonzero(~odd)
         if len(plain):
             cut = pc.split_pattern(texts.take(pa.array(plain)), " ")
             pieces, offsets = cut.flatten(), np.asarray(cut.offsets, np.int64) - cut.offsets[0].as_py()
             first = np.zeros(len(pieces), bool)
             first[offsets[:-1]] = True
+            heads = self.whole(pieces.filter(pa.array(first)).to_pylist())
             start, width = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
-            flat_a, start[first], width[first] = self._runs(pieces.filter(pa.array(first)), "")
-            flat_b, later, width[~first] = self._runs(pieces.filter(pa.array(~first)), " ")
-            start[~first] = later + len(flat_a)
-            flat, stops = np.concatenate((flat_a, flat_b)), np.concatenate(([0], np.cumsum(width)))
-            shift = np.repeat(start - stops[:-1], width)
-            ids = flat[shift + np.arange(int(stops[-1]))]
+            width[first] = [len(x) for x in heads]
+            start[first] = np.cumsum(width[first]) - width[first]
+            flat = np.array([i for x in heads for i in x], np.uint32)
+            if not first.all():
+                coded = pieces.filter(pa.array(~first)).dictionary_encode()
+                codes = coded.indices.to_numpy()
+                pool, at, each = self._runs(coded.dictionary)
+                start[~first], width[~first] = at[codes] + len(flat), each[codes]
+                flat = np.concatenate((flat, pool))
+            stops = np.concatenate(([0], np.cumsum(width)))
+            ids = flat[np.repeat(start - stops[:-1], width) + np.arange(int(stops[-1]))]
             bounds = stops[offsets]
             for k, at in enumerate(plain):
                 out[at] = ids[bounds[k] : bounds[k + 1]]

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 from seqloom.llm import token_files as f
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-TEXTS = ["", None, " lead", "a  b", "a \n b", "x\n y", "tail ", "tab\t x", "nb  z", "　 w", "\x1c q", "<|endoftext|> x <|endoftext|>", "don't  stop", "zażółć 漢字 👩‍👩‍👧 'S's", "a" * 3000, "\n\nq\r\n r", "a b" * 40_000]
+TEXTS = ["", None, " lead", "a  b", "a \n b", "x\n y", "tail ", "tab\t x", "nb  z", "　 w", "\x1c q", "<|endoftext|> x <|endoftext|>", "don't  stop", "zażółć 漢字 👩‍👩‍👧 'S's", "a" * 3000, "\n\nq\r\n r", "a b" * 40_000, "end\n", "form\x0cfeed x", "one", "x .\ny ,z (q) 12 3a", "tail\u3000"]
 
 
 @pytest.fixture(scope="module")
