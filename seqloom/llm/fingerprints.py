@@ -59,7 +59,7 @@ def distinct_rows(docs: DataFrame) -> DataFrame:
 
 
 def successors(docs: DataFrame) -> DataFrame:
-    """``rid, n, next_rid, repeats``: each document's successor by ascending id, the first one's for the last.
+    """``rid, doc_id, n, next_rid, repeats``: each document's successor by ascending id, the first one's for the last.
 
     Ids are dealt by range, so only neighbours inside a range and the first rows of the ranges are looked at: no window spans
     more than one range, and the one over ranges has a row for each.
@@ -76,15 +76,19 @@ def successors(docs: DataFrame) -> DataFrame:
     linked = ranged.withColumn("following", F.lead("rid").over(here)).join(following, "part")
     once = F.struct(F.coalesce("following", "after").alias("next_rid"), F.lit(1).cast("long").alias("repeats"))
     again = F.struct(F.col("rid").alias("next_rid"), (F.col("copies") - 1).alias("repeats"))
-    return linked.select("rid", "n", F.inline(F.filter(F.array(once, again), lambda x: x["repeats"] > 0)))
+    return linked.select("rid", "doc_id", "n", F.inline(F.filter(F.array(once, again), lambda x: x["repeats"] > 0)))
 
 
 def edited(rows: DataFrame, order: DataFrame) -> DataFrame:
-    """``order`` with ``doc_id, text, edited``: the last half of each text replaced by as many first characters of the next one."""
+    """``order`` with ``text, edited``: the last half of each text replaced by as many first characters of the next one.
+
+    Both joins read ``rows`` with the same columns by the same key, so texts are shuffled once and read twice.
+    """
     half = F.floor(F.col("n") / 2).cast("int")
-    ahead = rows.select(F.col("rid").alias("next_rid"), F.col("text").alias("next_text"))
-    pieces = ahead.join(order, "next_rid").select("rid", "n", "next_rid", "repeats", F.substr("next_text", F.lit(1), half).alias("piece"))
-    joined = rows.select("rid", "doc_id", "text").join(pieces, "rid")
+    texts = rows.select("rid", "text")
+    ahead = texts.alias("t").join(order.alias("o"), F.col("t.rid") == F.col("o.next_rid"))
+    pieces = ahead.select("o.*", F.substr("t.text", F.lit(1), half).alias("piece"))
+    joined = texts.join(pieces, "rid")
     return joined.withColumn("edited", F.concat(F.substr("text", F.lit(1), F.col("n") - half), F.col("piece"))).drop("piece")
 
 
@@ -111,7 +115,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     # Byte comparison inside buckets of more than one row.
     seen = digests.select("rid", "fp").distinct().select("fp").unionAll(digests.select(F.col("efp").alias("fp"))).groupBy("fp").count().where("count > 1").select("fp")
     shared_text = digests.join(seen, "fp", "left_semi").select("rid").distinct()
-    shared_edit = pinned(digests.join(seen.withColumnRenamed("fp", "efp"), "efp", "left_semi").select("rid", "n", "next_rid", "repeats"), "edits")
+    shared_edit = pinned(digests.join(seen.withColumnRenamed("fp", "efp"), "efp", "left_semi").select("rid", "doc_id", "n", "next_rid", "repeats"), "edits")
     of_text = distinct_rows(restricted(docs, shared_text)).select(canonical(F.col("text")).alias("canon"))
     needed = shared_edit.select("rid").unionAll(shared_edit.select(F.col("next_rid").alias("rid")))
     of_edit = edited(distinct_rows(restricted(docs, needed)), shared_edit).select(canonical(F.col("edited")).alias("canon"))
