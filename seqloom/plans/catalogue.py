@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from seqloom.plans import corpus_queries, evaluation_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**corpus_queries.Q, **evaluation_queries.Q}
+ORACLE: dict[str, str] = {**corpus_queries.S, **evaluation_queries.S}
