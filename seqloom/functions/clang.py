@@ -187,7 +187,7 @@ def prettify(tokens: list[str]) -> str:
         lines.append("  " * depth + text)
         line.clear()
 
-    for token, ahead in zip(tokens, [*tokens[1:], None], strict=True):
+    for token, ahead in zip(tokens, [*tokens[1:], None]):
         line.append(token)
         parens += (token == "(") - (token == ")")
         if token == "{":

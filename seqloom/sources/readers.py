@@ -85,7 +85,7 @@ def binary_list(spark: SparkSession, path: str) -> DataFrame:
 
 def canonical(df: DataFrame) -> DataFrame:
     """Canonical rows with their token separators as in the other tables."""
-    return df.withColumns({c: F.translate(c, text.TUPLE, text.TOKEN) for c in ("src", "tgt", "raw_tgt")})
+    return df.withColumns({c: F.replace(c, F.lit(text.TUPLE), F.lit(text.TOKEN)) for c in ("src", "tgt", "raw_tgt")})
 
 
 def blocks(spark: SparkSession, path: str) -> DataFrame:
