@@ -219,7 +219,7 @@ def ids_to_tokens(spark, sf_dir):
     return corpus.tokens_of(ids, "doc_id", vocab).select("doc_id", F.md5(F.array_join("tokens", " ")).alias("text_md5"))
 
 
-@query(f"WITH {PAIRS} SELECT idx, md5(src) AS src_md5, md5(tgt) AS tgt_md5, 0.5 AS score, 'b' AS orig_of_a FROM pairs")
+@query(f"WITH {PAIRS} SELECT idx, md5(src) AS src_md5, md5(tgt) AS tgt_md5, CAST(0.5 AS DOUBLE) AS score, 'b' AS orig_of_a FROM pairs")
 def record_encode_decode(spark, sf_dir):
     """Pairs through the encoded line and back."""
     names = F.from_json(F.lit('{"a": {"decomp": "v1", "orig": "b"}}'), "map<string,struct<decomp:string,orig:string>>")

@@ -25,7 +25,7 @@ def query(sql: str | None = None):
 @query("WITH c AS (SELECT list_append(quantile_cont(n_chars, [0.0, 0.2, 0.4, 0.6, 0.8]), max(n_chars) + 1.0) AS q FROM documents) SELECT generate_subscripts(q, 1) AS cut, unnest(q) AS value FROM c")
 def percentile_cuts(spark, sf_dir):
     cuts = evaluation.percentile_cuts(table(spark, sf_dir, "documents"), "n_chars")
-    return cuts.select(F.posexplode("cuts").alias("p", "value")).select((F.col("p") + 1).alias("cut"), "value")
+    return cuts.select(F.posexplode("cuts").alias("p", "value")).select((F.col("p") + 1).cast("long").alias("cut"), "value")
 
 
 def _binned(spark, sf_dir):
