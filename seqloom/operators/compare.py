@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.operators.corpus import dense_index
 from seqloom.operators.evaluation import METRICS
 
 KINDS = {m.key: m for m in METRICS}
@@ -43,7 +45,7 @@ def winners(key: str, left: Column, right: Column) -> Column:
 def better_on_all(measured: DataFrame, index: str, a: str, b: str, keys: list[str]) -> DataFrame:
     """``index, left, right, cmp_*, ordinal``: examples where system a beats b on every selected metric, biggest wins first.
 
-    Without selected metrics all examples in index order. ``ordinal`` is 0-based; it takes one window over what is left.
+    Without selected metrics all examples in index order. ``ordinal`` is 0-based.
     """
     side = lambda name: measured.where(F.col("system") == name).select(index, F.struct(*[c for c in measured.columns if c != index]).alias(name_of[name]))
     name_of = {a: "left", b: "right"}
@@ -53,8 +55,7 @@ def better_on_all(measured: DataFrame, index: str, a: str, b: str, keys: list[st
     both = both.withColumns({f"cmp_{k}": compare(k, F.col("left"), F.col("right")) for k in keys}) if keys else both
     if keys:
         both = both.where(reduce(lambda x, y: x & y, [F.col(f"cmp_{k}") < 0 for k in keys]))
-    order = Window.orderBy(*[F.col(f"cmp_{k}") for k in keys], index)
-    return both.withColumn("ordinal", F.row_number().over(order) - 1)
+    return dense_index(both, [*(F.col(f"cmp_{k}") for k in keys), F.col(index)], "ordinal")
 
 
 def page(df: DataFrame, number: int, size: int = 10) -> DataFrame:
@@ -67,7 +68,7 @@ def shown_pages(current: int, pages: int, around: int = 4) -> list[int]:
 
 def gather(df: DataFrame, key: str, wanted: list, ordinal: str = "ordinal") -> DataFrame:
     """Rows by key in the order asked for, repeated if asked for repeatedly."""
-    asked = F.from_json(F.lit(__import__("json").dumps([str(w) for w in wanted])), "array<string>")
+    asked = F.from_json(F.lit(json.dumps([str(w) for w in wanted])), "array<string>")
     keys = df.sparkSession.range(1).select(F.posexplode(asked).alias(ordinal, "_key"))
     return df.join(F.broadcast(keys), df[key].cast("string") == keys["_key"]).drop("_key")
 

@@ -99,9 +99,14 @@ def with_training(df: DataFrame, index: str, held: DataFrame) -> DataFrame:
     return held.unionByName(df.select(index).join(held, index, "left_anti").withColumn("split", F.lit("train")))
 
 
+def first_rows(df: DataFrame, order: list[Column], size: int) -> DataFrame:
+    """The first ``size`` rows of a global order, for sizes that grow with the data: no task gathers them."""
+    return dense_index(df, order, "_first").where(F.col("_first") < size).drop("_first")
+
+
 def prefix(scores: DataFrame, index: str, size: int) -> DataFrame:
     """The easiest ``size`` rows (ties by index)."""
-    return scores.orderBy("score", index).limit(size)
+    return first_rows(scores, [F.col("score"), F.col(index)], size)
 
 
 def canonical_join(texts: DataFrame, canon: DataFrame, key: str, order: str, canon_order: str) -> DataFrame:
@@ -156,18 +161,32 @@ def identifier_counts(lexed_rows: DataFrame, tokens: str, names: str | None = No
     return each.select(F.explode(both).alias("word")).groupBy("word").agg(F.count("*").alias("count"))
 
 
+def least_hashed(df: DataFrame, size: int, hashed: Column, order: list[Column]) -> DataFrame:
+    """The ``size`` rows of least hash (ties by ``order``).
+
+    Rows far above the expected cut are left out before anything is shuffled; should too few be below it, all rows take part.
+    """
+    rows = df.withColumn("_h", hashed)
+    n = rows.count()
+    share = (size + 8 * size**0.5 + 64) / n if n else 1.0
+    if share < 1:
+        low = rows.where(F.col("_h") < F.lit(round(-(2**63) + share * 2**64)))
+        rows = low if low.count() >= size else rows
+    return first_rows(rows, [F.col("_h"), *order], size).drop("_h")
+
+
 def reservoir(df: DataFrame, size: int, seed: int, *key: str) -> DataFrame:
     """A uniform sample of ``size`` rows (all, if fewer), the same on every run: least hashes of the rows' keys win."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(size)
+    return least_hashed(df, size, F.xxhash64(F.lit(seed), *key), [F.col(k) for k in key])
 
 
 def weighted_reservoir(counts: DataFrame, size: int, seed: int) -> DataFrame:
-    """``word`` drawn ``size`` times from the bag in which each word lies ``count`` times, without laying the bag out.
+    """``word`` drawn ``size`` times from the bag in which each word lies ``count`` times, without storing the bag.
 
-    The bag's copies carry uniform hashes; only the hashed copies are generated, row by row, and the least ones kept.
+    The bag's copies are generated with their hashes and filtered at once; only those near the least ones are shuffled.
     """
     copies = counts.select("word", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("copy"))
-    return copies.orderBy(F.xxhash64(F.lit(seed), F.col("word"), F.col("copy")), "word", "copy").limit(size).select("word")
+    return least_hashed(copies, size, F.xxhash64(F.lit(seed), F.col("word"), F.col("copy")), [F.col("word"), F.col("copy")]).select("word")
 
 
 def shuffled(df: DataFrame, seed: int, *key: str) -> DataFrame:
