@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import bleu, clang
@@ -218,3 +218,15 @@ def best_worst(long: DataFrame, excluded: tuple[str, ...] = ()) -> DataFrame:
     out = rows.groupBy("metric").agg(F.max("value").alias("high"), F.min("value").alias("low"))
     up = better[F.col("metric")]
     return out.select("metric", F.when(up, F.col("high")).when(~up, F.col("low")).alias("best"), F.when(up, F.col("low")).when(~up, F.col("high")).alias("worst"))
+
+
+def catalogue(spark) -> DataFrame:
+    """The metric catalogue as a table."""
+    rows = [(m.key, m.name, m.type, m.fixed, m.higher_is_better, m.display_in_summary, m.display_in_example) for m in METRICS]
+    return spark.createDataFrame(rows, "key string, name string, type string, fixed int, higher_is_better boolean, display_in_summary boolean, display_in_example boolean")
+
+
+def running_mean(df: DataFrame, value: str, order: str, rows: int = 20, by: str | None = None) -> DataFrame:
+    """Adds ``running``: the mean of the last ``rows`` values in order (within ``by``, which bounds what one task orders)."""
+    window = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy(order).rowsBetween(1 - rows, 0)
+    return df.withColumn("running", F.avg(value).over(window))

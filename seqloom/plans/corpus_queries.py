@@ -187,6 +187,23 @@ def canonical_leftover(spark, sf_dir):
     return canonical_join(spark, sf_dir).where("text_order IS NULL").agg(F.count("*").alias("leftover"))
 
 
+@query(
+    """WITH b AS (SELECT doc_id, md5(text) AS k FROM documents), c AS (SELECT DISTINCT k FROM b WHERE doc_id % 3 = 0), f AS (SELECT k, min(doc_id) AS d FROM b GROUP BY k)
+    SELECT count(*) AS not_found, count(DISTINCT k) AS distinct_keys FROM b WHERE doc_id NOT IN (SELECT f.d FROM f JOIN c ON f.k = c.k)"""
+)
+def canonical_counts(spark, sf_dir):
+    """How many texts found nothing, and how many different ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("k"))
+    return corpus.canonical_unmatched(docs, docs.where("doc_id % 3 = 0"), "k", "doc_id").agg(F.count("*").alias("not_found"), F.count_distinct("k").alias("distinct_keys"))
+
+
+@query("SELECT word, CAST(sum(n) AS BIGINT) AS count FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word, 1 AS n FROM benchmark UNION ALL SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')), 1 FROM documents) WHERE word <> '' GROUP BY word")
+def counter_union(spark, sf_dir):
+    """Counters of two tables merged."""
+    count = lambda t: corpus.word_counts(table(spark, sf_dir, t), F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != ""))
+    return count("documents").unionByName(count("benchmark")).groupBy("word").agg(F.sum("count").alias("count"))
+
+
 VOCAB = f"""{COUNTS}, v AS (SELECT word AS token, 3 + row_number() OVER (ORDER BY n DESC, word) AS id FROM cnt WHERE word NOT IN ('<pad>', '<unk>', '<s>', '</s>') QUALIFY id < 10000
   UNION ALL SELECT * FROM (VALUES ('<pad>', 0), ('<unk>', 1), ('<s>', 2), ('</s>', 3)) AS s(token, id))"""
 

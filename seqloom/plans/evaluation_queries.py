@@ -306,3 +306,38 @@ def subset_by_mask(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where(F.col("lang").isin("en", "de"))
     return docs.agg(F.count("*").alias("n"), F.sum(F.size(text.words(F.col("text"), SPACE))).alias("words"))
 
+
+
+@query("SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6) AS running FROM events")
+def running_loss(spark, sf_dir):
+    """A running mean of 20 values, by user."""
+    rows = evaluation.running_mean(table(spark, sf_dir, "events"), "value", "event_id", 20, "user_id")
+    return rows.select("user_id", "event_id", F.round("running", 6).alias("running"))
+
+
+@query("SELECT * FROM (VALUES ('summary', 17), ('example', 5), ('directed', 17)) AS t(shown, n)")
+def metric_visibility(spark, sf_dir):
+    """How many metrics the summary shows, an example shows, and can be compared."""
+    c = evaluation.catalogue(spark)
+    part = lambda name, where: c.where(where).agg(F.lit(name).alias("shown"), F.count("*").cast("int").alias("n"))
+    return part("summary", "display_in_summary").unionByName(part("example", "display_in_example")).unionByName(part("directed", "higher_is_better IS NOT NULL"))
+
+
+@query(f"WITH {bleu_sql(4)}, b AS (SELECT idx, round({score_sql(4, True)}, 6) AS bleu FROM k) SELECT idx, bleu, row_number() OVER (ORDER BY bleu, idx) - 1 AS place FROM b")
+def bleu_ranking(spark, sf_dir):
+    """Pairs from worst to best sentence BLEU."""
+    from seqloom.operators.corpus import dense_index
+
+    scored = _bleu(spark, sf_dir, 4).select("idx", F.round(bleu.sentence(F.col("c"), 4), 6).alias("bleu"))
+    return dense_index(scored, [F.col("bleu"), F.col("idx")], "place")
+
+
+@query("SELECT quality > 0.5 AS above, count(*) AS n FROM labels GROUP BY ALL")
+def threshold_partition(spark, sf_dir):
+    return table(spark, sf_dir, "labels").groupBy((F.col("quality") > 0.5).alias("above")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id FROM documents ORDER BY doc_id LIMIT 500")
+def dataset_cap(spark, sf_dir):
+    """The validation cap: the first 500 rows in index order (the cap is the feature)."""
+    return table(spark, sf_dir, "documents").select("doc_id").orderBy("doc_id").limit(500)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions import text
+from seqloom.functions.sequences import coloured
 
 
 def write_blocks(df: DataFrame, path: str, rows: int = 10_000) -> None:
@@ -46,3 +48,27 @@ def write_reference_pairs(df: DataFrame, path: str, hyp: Column, ref: Column, or
     """Hypotheses and references, line by line in the same order, in two folders."""
     write_lines(df, f"{path}/hyp", hyp, order)
     write_lines(df, f"{path}/ref", ref, order)
+
+
+def write_scores(scored: DataFrame, path: str, order: str, value: str) -> None:
+    """One number a line in row order; rows without a score have an empty line."""
+    write_lines(scored, path, F.coalesce(F.col(value).cast("string"), F.lit("")), order)
+
+
+def write_merged(joined: DataFrame, path: str, line: Column, order: str, then: str) -> None:
+    """Matched rows in the order of what asked for them, then the leftovers."""
+    rows = joined.orderBy(F.asc_nulls_last(order), then).select(line.alias("value"))
+    rows.write.text(path)
+
+
+def annotated(rows: DataFrame, src: str, tgt: str, hyp: str, score: str, index: str) -> DataFrame:
+    """Coloured blocks of source, target and hypothesis, worst scores first: ``index, score, block``."""
+    @F.pandas_udf("string")
+    def block(s: pd.Series, t: pd.Series, h: pd.Series) -> pd.Series:
+        def one(a: str, b: str, c: str) -> str:
+            left, right = coloured(b, c)
+            return f"source: {a}\ntarget: {left}\nhypothesis: {right}\n"
+
+        return pd.Series([one(*(x or "" for x in r)) for r in zip(s, t, h, strict=True)], dtype="object")
+
+    return rows.select(F.col(index).alias("index"), F.col(score).alias("score"), block(src, tgt, hyp).alias("block")).orderBy("score", "index")

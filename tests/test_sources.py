@@ -111,3 +111,28 @@ def test_stream(spark, tmp_path):
         assert sorted(r.k for r in spark.read.parquet(f"{tmp_path}/{keep}").collect()) == ["a", "b"]
     counted = ingest.windowed_counts(ingest.file_stream(spark, f"{tmp_path}/in", schema), "ts", "10 minutes", "k")
     assert counted.isStreaming and "window" in counted.columns
+
+
+def test_files(spark, tmp_path):
+    from seqloom.sources import files
+
+    (tmp_path / "in" / "o").mkdir(parents=True)
+    (tmp_path / "in" / "o" / "abc.bin").write_text("x")
+    done = files.copy_files([("o", "abc"), ("o", "none")], {"binary": f"{tmp_path}/in/{{repo}}/{{sha}}.bin"}, f"{tmp_path}/out")
+    assert done == {"binary": 1} and (tmp_path / "out" / "binary" / "abc.bin").read_text() == "x"
+    made = []
+    build = lambda: made.append(1) or spark.range(3)
+    assert files.memoised(spark, f"{tmp_path}/m", build).count() == files.memoised(spark, f"{tmp_path}/m", build).count() == 3 and len(made) == 1
+    examples = spark.sql("SELECT 0L AS idx, 's' AS src")
+    files.write_bundle(examples, spark.sql("SELECT 0L AS idx, 'a' AS system, 'h' AS hyp, 0.5D AS overlap"), f"{tmp_path}/b")
+    assert files.read_bundle(spark, f"{tmp_path}/b").first().asDict() == {"idx": 0, "system": "a", "hyp": "h", "overlap": 0.5, "src": "s"}
+
+
+def test_more_sinks(spark, tmp_path):
+    rows = spark.sql("SELECT * FROM VALUES (1, 0.5D, 'a b', 'a c', 'a c'), (0, NULL, 'x', 'y', 'z') AS t(idx, score, s, t, h)")
+    sinks.write_scores(rows, f"{tmp_path}/s", "idx", "score")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/s").collect()] == ["", "0.5"]
+    sinks.write_merged(spark.sql("SELECT * FROM VALUES (1, 5, 'b'), (0, NULL, 'c'), (2, 1, 'a') AS t(i, o, v)"), f"{tmp_path}/m", F.col("v"), "o", "i")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/m").collect()] == ["a", "b", "c"]
+    blocks = sinks.annotated(rows, "s", "t", "h", "score", "idx").collect()
+    assert [r["index"] for r in blocks] == [0, 1] and "\033[92ma\033[0m" in blocks[1].block
