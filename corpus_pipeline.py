@@ -41,8 +41,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids, decoded again for their digests."""
-    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(docs, ranks, pattern=public_tokenizers.PATTERN), ranks))
+    return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 #: Fixed value: how a text is cut into pre-tokens.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SLICE = 256
-CACHE = 500_000
+CACHE = 200_000
 
 
 class PerfectHash:
@@ -222,21 +222,27 @@ def decode(encoded: DataFrame, rank_file: str) -> DataFrame:
     return encoded.select("doc_id", "token_ids").mapInArrow(run, "doc_id long, token_ids array<int>, decoded binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """Digest columns from ids and decoded bytes."""
+def round_trip(docs: DataFrame, rank_file: str, *, id_col: str = "doc_id", text_col: str = "text", pattern: str = PATTERN) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encoded, then decoded from those ids, in one worker process a task.
+
+    The same as digests of :func:`decode` over :func:`encode`, without the ids' way through the JVM in between.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [x.values.to_numpy() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()),
-                    batch.column(2),
-                ],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    hashed = decoded.select("doc_id", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
-    return hashed.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        bpe = load(rank_file, pattern)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                found = bpe.encode_batch(batch.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0),
+                        pa.array([len(x) for x in found], pa.int64()),
+                        pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in found], pa.string()),
+                        pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in found], pa.string()),
+                    ],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
+
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return picked.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -18,8 +18,7 @@ def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern=public_tokenizers.PATTERN)
-    return byte_bpe.digests(byte_bpe.decode(encoded, ranks))
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), ranks, pattern=public_tokenizers.PATTERN)
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,14 +35,16 @@ def test_against_library(spark, oracle):
     assert b.PATTERN == public_tokenizers.PATTERN
     docs = [(i, t, "en") for i, t in enumerate(TEXTS)] + [(None, "hello world", "x"), (0, "", "en"), (0, "", "en")]
     df = spark.createDataFrame(docs, "doc_id long, text string, token_ids string")
-    rows = b.digests(b.decode(b.encode(df, PATH), PATH)).collect()
+    rows = b.round_trip(df, PATH).collect()
     got = sorted(((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows), key=str)
     want = []
     for i, t, _ in docs:
         ids = oracle.encode_ordinary(t or "")
         want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want, key=str)
-    assert b.encode(df.limit(0), PATH).count() == 0
+    for r in b.decode(b.encode(df, PATH), PATH).collect():
+        assert list(r.token_ids) == oracle.encode_ordinary(bytes(r.decoded).decode())
+    assert b.encode(df.limit(0), PATH).count() == b.round_trip(df.limit(0), PATH).count() == 0
 
 
 def test_real_texts(spark, oracle):
