@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
 SLICE = 512
-CACHE = 1_000_000
+#: Words whose columns a task remembers: the first ones it meets, so frequent words are among them and memory is bounded.
+CACHE = 100_000
 #: A longer word also counts as its first letters, so forms of one stem learn together.
 STEM = 4
-_columns: dict[int, dict[str, tuple[int, ...]]] = {}
 
 
 @dataclass(frozen=True)
@@ -40,13 +40,10 @@ class Machine:
     factors: np.ndarray  # float32 [2 ** bits, k]
 
 
-def terms(text: str | None, bits: int) -> np.ndarray:
+def terms(text: str | None, bits: int, cache: dict[str, tuple[int, ...]]) -> np.ndarray:
     """The distinct hashed terms of a text, ascending."""
     if not text:
         return np.zeros(0, np.int32)
-    cache = _columns.setdefault(bits, {})
-    if len(cache) > CACHE:
-        cache.clear()
     mask = (1 << bits) - 1
     out: list[int] = []
     for w in set(WORD.findall(text.lower())):
@@ -54,7 +51,8 @@ def terms(text: str | None, bits: int) -> np.ndarray:
             c = (xxhash.xxh3_64_intdigest(w) & mask,)
             if len(w) > STEM:
                 c += (xxhash.xxh3_64_intdigest(w[:STEM] + "*") & mask,)
-            cache[w] = c
+            if len(cache) < CACHE:
+                cache[w] = c
         out += c
     return np.unique(np.array(out, np.int32))
 
@@ -142,8 +140,9 @@ def train(docs: DataFrame, labels: DataFrame, *, bits: int = 18, per_class: int
     chosen = usable.where("toxic = 1").orderBy(*by_hash).limit(per_class).unionByName(usable.where("toxic = 0").orderBy(*by_hash).limit(per_class))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, tuple[int, ...]] = {}
         for b in batches:
-            found = [terms(t, bits) for t in b.column(2).to_pylist()]
+            found = [terms(t, bits, cache) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "toxic", "columns"])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
@@ -167,8 +166,8 @@ def unpacked(packed: tuple) -> Machine:
     return Machine(bits, bias, w, v)
 
 
-def scores_of(machine: Machine, texts: list[str | None]) -> np.ndarray:
-    found = [terms(t, machine.bits) for t in texts]
+def scores_of(machine: Machine, texts: list[str | None], cache: dict[str, tuple[int, ...]]) -> np.ndarray:
+    found = [terms(t, machine.bits, cache) for t in texts]
     return sigmoid(raw_scores(machine, np.concatenate(found) if found else np.zeros(0, np.int32), np.cumsum([len(x) for x in found])))
 
 
@@ -177,11 +176,11 @@ def score(docs: DataFrame, machine: Machine, *, threshold: float = 0.7) -> DataF
     shared = shared_machine(docs.sparkSession, machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = unpacked(shared.value)
+        whole, cache = unpacked(shared.value), {}
         for big in batches:
             for start in range(0, big.num_rows, SLICE):
                 b = big.slice(start, SLICE)
-                s = scores_of(whole, b.column(1).to_pylist())
+                s = scores_of(whole, b.column(1).to_pylist(), cache)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
@@ -193,11 +192,11 @@ def without_toxic(docs: DataFrame, machine: Machine, *, threshold: float = 0.7)
     shared, at = shared_machine(docs.sparkSession, machine), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = unpacked(shared.value)
+        whole, cache = unpacked(shared.value), {}
         for big in batches:
             for start in range(0, big.num_rows, SLICE):
                 b = big.slice(start, SLICE)
-                yield b.filter(pa.array(scores_of(whole, b.column(at).to_pylist()) < threshold))
+                yield b.filter(pa.array(scores_of(whole, b.column(at).to_pylist(), cache) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
