@@ -39,7 +39,7 @@ from seqloom.llm.common import fresh_path, pinned, shuffle_width
 HEAD = struct.Struct("<4sB3xIIIQQIIQ")
 DOCUMENT = np.dtype([("id", "<i8"), ("valid", "u1"), ("ids", "<u4")])
 FRAME_IDS, BLOCK, FRAMES = 1 << 16, 4096, 128
-SLICE, KNOWN = 2048, 800_000
+SLICE, KNOWN = 1024, 500_000
 #: A white-space character of one byte; texts that hold it go to the library whole.
 MARK = "\x0c"
 #: White space before a space or at the end: there a piece would not start or end where a pre-token does.
