@@ -35,13 +35,22 @@ def surprisal(counts: DataFrame) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select("word", "count", (-F.ln(F.col("count") / F.col("total"))).alias("surprisal"))  # one row
 
 
+#: How many of the most frequent words are joined by broadcast.
+HOT_WORDS = 4096
+
+
 def difficulty(df: DataFrame, index: str, tokens: Column, scores: DataFrame) -> DataFrame:
     """``index, score``: the sum of the words' scores; unknown words add 0, rows without words have 0.
 
-    A row sends each of its distinct words once, with its count.
+    The most frequent words, most of any text, meet their scores where they are and are summed there. Only the others are
+    shuffled by word, so no word is so common that its task is large.
     """
-    per_row = df.select(index, F.explode(tokens).alias("word")).groupBy(index, "word").agg(F.count("*").alias("_n"))
-    summed = per_row.join(scores.select("word", "surprisal"), "word", "left").groupBy(index).agg(F.sum(F.col("_n") * F.coalesce("surprisal", F.lit(0.0))).alias("score"))
+    each = df.select(index, F.explode(tokens).alias("word"))
+    hot = scores.orderBy(F.desc("count"), "word").limit(HOT_WORDS).select("word", F.col("surprisal").alias("_hot"))
+    met = each.join(F.broadcast(hot), "word", "left")
+    common = met.where("_hot IS NOT NULL").groupBy(index).agg(F.sum("_hot").alias("_s"))
+    rare = met.where("_hot IS NULL").select(index, "word").join(scores.select("word", "surprisal"), "word").groupBy(index).agg(F.sum("surprisal").alias("_s"))
+    summed = common.unionByName(rare).groupBy(index).agg(F.sum("_s").alias("score"))
     return df.select(index).join(summed, index, "left").select(index, F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
@@ -58,6 +67,22 @@ def dense_index(df: DataFrame, order: list[Column], name: str = "idx", width: in
     return ranged.withColumn("_in", inside).join(F.broadcast(shift), "_part").withColumn(name, F.col("_in") + F.col("_shift")).drop("_part", "_in", "_shift")
 
 
+def grouped_index(df: DataFrame, group: str, order: list[Column], width: int | None = None) -> DataFrame:
+    """Adds ``position`` (0-based, in order) and ``group_size`` within each group.
+
+    Rows are dealt by range of group and order, so a group with a third of all rows is spread over many tasks.
+    """
+    width = width or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(width, F.col(group), *order).withColumn("_part", F.spark_partition_id())
+    sizes = ranged.groupBy("_part", F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_g").orderBy("_part")
+    shift = sizes.select("_part", "_g", (F.sum("_n").over(before) - F.col("_n")).alias("_shift"), F.sum("_n").over(Window.partitionBy("_g")).alias("group_size"))
+    inside = F.row_number().over(Window.partitionBy("_part", group).orderBy(*order)) - 1
+    numbered = ranged.withColumn("_in", inside).withColumnRenamed("_part", "_p")
+    joined = numbered.join(shift, (F.col("_p") == F.col("_part")) & F.col(group).eqNullSafe(F.col("_g")))
+    return joined.withColumn("position", F.col("_in") + F.col("_shift")).drop("_p", "_part", "_g", "_in", "_shift")
+
+
 def hash_order(key: Column, seed: int) -> Column:
     """A reproducible shuffle key that other engines can compute."""
     return F.md5(F.concat(key.cast("string"), F.lit(":"), F.lit(str(seed))))
@@ -88,10 +113,9 @@ def sample_sets(sizes: list[tuple[str, int]], capacity: int, seed: int = 1926081
 
 def split_held_out(df: DataFrame, index: str, group: str, held_out: list[str], name: str, extra_portion: float, seed: int) -> DataFrame:
     """``index, split`` of the rows of the given groups: of each group's shuffled rows the first part is extra training data."""
-    rows = df.where(F.col(group).isin(held_out))
-    by_group = Window.partitionBy(group)
-    position = F.row_number().over(by_group.orderBy(hash_order(F.col(index), seed), index))
-    return rows.select(index, F.when(position <= F.floor(F.count("*").over(by_group) * extra_portion), F.lit("train_extra")).otherwise(F.lit(name)).alias("split"))
+    rows = df.where(F.col(group).isin(held_out)).select(index, group)
+    placed = grouped_index(rows, group, [hash_order(F.col(index), seed), F.col(index)])
+    return placed.select(index, F.when(F.col("position") < F.floor(F.col("group_size") * extra_portion), F.lit("train_extra")).otherwise(F.lit(name)).alias("split"))
 
 
 def with_training(df: DataFrame, index: str, held: DataFrame) -> DataFrame:
@@ -137,15 +161,18 @@ def vocabulary(counts: DataFrame, size: int, specials: tuple[str, ...] = SPECIAL
 
 
 def token_ids(df: DataFrame, index: str, tokens: Column, vocab: DataFrame, unknown: int = 1) -> DataFrame:
-    """``index, ids``: in token order, ``unknown`` for words that the vocabulary lacks."""
-    placed = df.select(index, F.posexplode(tokens).alias("_pos", "token")).join(vocab, "token", "left")
+    """``index, ids``: in token order, ``unknown`` for words that the vocabulary lacks.
+
+    A vocabulary is bounded by the size it was made with, so it is broadcast.
+    """
+    placed = df.select(index, F.posexplode(tokens).alias("_pos", "token")).join(F.broadcast(vocab), "token", "left")
     found = placed.groupBy(index).agg(F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("id", F.lit(unknown)).alias("id")))).alias("_ids"))
     return df.select(index).join(found, index, "left").select(index, F.coalesce(F.transform("_ids", lambda x: x["id"]), F.array().cast("array<int>")).alias("ids"))
 
 
 def tokens_of(ids: DataFrame, index: str, vocab: DataFrame) -> DataFrame:
     """``index, tokens``; an id that is not in the vocabulary is an error."""
-    placed = ids.select(index, F.posexplode("ids").alias("_pos", "id")).join(vocab, "id", "left")
+    placed = ids.select(index, F.posexplode("ids").alias("_pos", "id")).join(F.broadcast(vocab), "id", "left")
     known = F.coalesce("token", F.raise_error(F.concat(F.lit("no token has id "), F.col("id").cast("string"))).cast("string"))
     found = placed.groupBy(index).agg(F.sort_array(F.collect_list(F.struct("_pos", known.alias("token")))).alias("_t"))
     return ids.select(index).join(found, index, "left").select(index, F.coalesce(F.transform("_t", lambda x: x["token"]), F.array().cast("array<string>")).alias("tokens"))

@@ -26,6 +26,15 @@ def test_dense_index(spark):
     assert got == [(i, i) for i in range(1000)]
 
 
+def test_grouped_index(spark):
+    rows = [(i, None if i % 7 == 0 else f"g{i % 3}") for i in range(200)]
+    out = corpus.grouped_index(spark.createDataFrame(rows, "i long, g string"), "g", [F.col("i")], 5).collect()
+    seen = {}
+    for i, g in rows:
+        seen.setdefault(g, []).append(i)
+    assert sorted((r.i, r.position, r.group_size) for r in out) == sorted((i, k, len(m)) for m in seen.values() for k, i in enumerate(m))
+
+
 def test_groups():
     sizes = [(f"g{i}", 10 + i) for i in range(30)]
     chosen = corpus.sample_groups(sizes, 120)
@@ -45,7 +54,9 @@ def test_split(spark):
     assert sum(r.split == "train_extra" for r in out) == 26
 
 
-def test_difficulty(spark):
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_difficulty(spark, monkeypatch, hot):
+    monkeypatch.setattr(corpus, "HOT_WORDS", hot)
     df = spark.createDataFrame([(0, ["a", "a", "b", "zz"]), (1, []), (2, None)], "i long, w array<string>")
     counts = spark.createDataFrame([("a", 3), ("b", 2), ("c", 1)], "word string, count long")
     scores = {r.word: r.surprisal for r in corpus.surprisal(counts).collect()}
