@@ -31,8 +31,8 @@ def word_counts(df: DataFrame, tokens: Column) -> DataFrame:
 
 def surprisal(counts: DataFrame) -> DataFrame:
     """``word, count, surprisal``: minus the logarithm of the word's share of all words."""
-    total = counts.agg(F.sum("count").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select("word", "count", (-F.ln(F.col("count") / F.col("total"))).alias("surprisal"))  # one row
+    total = counts.agg(F.sum("count")).scalar()
+    return counts.select("word", "count", (-F.ln(F.col("count") / total)).alias("surprisal"))
 
 
 #: How many of the most frequent words are joined by broadcast.

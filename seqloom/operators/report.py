@@ -49,8 +49,8 @@ def document(examples: DataFrame, systems: DataFrame) -> DataFrame:
     metrics = F.to_json(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in vars(m).items()]) for m in METRICS]))
     gathered = systems.agg(F.to_json(F.sort_array(F.collect_list(F.struct(*systems.columns)))).alias("s"))
     opening = gathered.select(F.lit(-1).cast("long").alias("ordinal"), F.concat(F.lit('{"metrics":'), metrics, F.lit(',"systems":'), F.col("s"), F.lit(',"examples":[')).alias("line"))
-    last = examples.agg(F.max("index").alias("last"))
-    lines = examples.crossJoin(F.broadcast(last)).select(F.col("index").cast("long").alias("ordinal"), F.concat(F.to_json(F.struct(*examples.columns)), F.when(F.col("index") < F.col("last"), ",").otherwise("")).alias("line"))  # one row
+    last = examples.agg(F.max("index")).scalar()
+    lines = examples.select(F.col("index").cast("long").alias("ordinal"), F.concat(F.to_json(F.struct(*examples.columns)), F.when(F.col("index") < last, ",").otherwise("")).alias("line"))
     closing = spark.range(1).select(F.lit(2**62).cast("long").alias("ordinal"), F.lit("]}").alias("line"))
     return opening.unionByName(lines).unionByName(closing)
 

@@ -30,8 +30,8 @@ def percentile_cuts(spark, sf_dir):
 
 def _binned(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    cuts = evaluation.percentile_cuts(docs, "n_chars")
-    return docs.crossJoin(F.broadcast(cuts)).withColumn("bin", evaluation.percentile_bin(F.col("n_chars"), F.col("cuts")))  # one row
+    cuts = evaluation.percentile_cuts(docs, "n_chars").scalar()
+    return docs.withColumn("cuts", cuts).withColumn("bin", evaluation.percentile_bin(F.col("n_chars"), F.col("cuts")))
 
 
 CUTS = "c AS (SELECT quantile_cont(n_chars, [0.0, 0.2, 0.4, 0.6, 0.8]) AS q, max(n_chars) + 1 AS top FROM documents), b AS (SELECT doc_id, 20 * len(list_filter(q, lambda x: x <= n_chars)) AS bin FROM documents, c)"
@@ -50,8 +50,8 @@ def multi_version_counts(spark, sf_dir):
 @query("SELECT q AS grp, l_quantity, count(*) AS n FROM (SELECT l_quantity, 20 * len(list_filter((SELECT quantile_cont(l_quantity, [0.0, 0.2, 0.4, 0.6, 0.8]) FROM lineitem), lambda x: x <= l_quantity)) AS q FROM lineitem) GROUP BY q, l_quantity")
 def quantity_bins(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")
-    cuts = evaluation.percentile_cuts(rows, "l_quantity")
-    binned = rows.crossJoin(F.broadcast(cuts)).withColumn("grp", evaluation.percentile_bin(F.col("l_quantity"), F.col("cuts")).cast("long"))
+    cuts = evaluation.percentile_cuts(rows, "l_quantity").scalar()
+    binned = rows.withColumn("cuts", cuts).withColumn("grp", evaluation.percentile_bin(F.col("l_quantity"), F.col("cuts")).cast("long"))
     return binned.groupBy("grp", "l_quantity").agg(F.count("*").alias("n"))
 
 
