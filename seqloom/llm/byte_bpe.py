@@ -23,10 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.llm.pieces import Pieces, Runs, gathered
+
 #: Fixed value: how a text is cut into pre-tokens.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SLICE = 256
-CACHE = 200_000
+SLICE, FREQUENT = 1024, 100_000
 
 
 class PerfectHash:
@@ -112,7 +113,9 @@ class ByteBpe:
         self.bytes_of = np.frombuffer(b"".join(spelled), np.uint8)
         self.length_of = np.array([len(x) for x in spelled], np.int64)
         self.start_of = np.cumsum(self.length_of) - self.length_of
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.frequent: dict[str, tuple[int, ...]] = {}  # the first pre-tokens met
+        # Cutting at spaces holds for this pattern; other patterns see whole texts.
+        self.pieces = Pieces(self.whole, self._after_space) if pattern == PATTERN else None
 
     def rank(self, piece: bytes) -> int:
         at = self.hash.get(piece)
@@ -150,38 +153,35 @@ class ByteBpe:
             i = end[i]
         return out
 
-    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text. Equal pre-tokens of a batch are looked up once."""
-        cut = [self.find(t) if t else [] for t in texts]
-        flat = [p for pieces in cut for p in pieces]
-        if not flat:
-            return [np.zeros(0, np.uint32) for _ in texts]
-        coded = pa.array(flat, pa.large_string()).dictionary_encode()
-        codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known, ids = self.known, []
-        for p in distinct:
-            if (x := known.get(p)) is None:
-                x = known[p] = self.encode_piece(p.encode())
-            ids.append(x)
-        width = np.array([len(x) for x in ids], np.int64)
-        all_ids = np.array([i for x in ids for i in x], np.uint32)
-        start = np.cumsum(width) - width
-        out, per_piece = gathered(all_ids, start[codes], width[codes])
-        stops = np.concatenate(([0], np.cumsum(per_piece)))
-        at = np.cumsum([0] + [len(x) for x in cut])
-        return [out[stops[a] : stops[b]] for a, b in zip(at[:-1], at[1:], strict=True)]
+    def whole(self, texts: list[str]) -> Runs:
+        """Ids of texts end to end, and how many each has: pre-token by pre-token, equal ones looked up once."""
+        known, here = self.frequent, {}
+        ids: list[int] = []
+        width = np.zeros(len(texts), np.int64)
+        for k, text in enumerate(texts):
+            before = len(ids)
+            for p in self.find(text):
+                x = known.get(p) or here.get(p)
+                if x is None:
+                    x = self.encode_piece(p.encode())
+                    (known if len(known) < FREQUENT else here)[p] = x
+                ids += x
+            width[k] = len(ids) - before
+        return np.array(ids, np.uint32), width
+
+    def _after_space(self, distinct: list[str]) -> Runs:
+        return self.whole([f" {p}" for p in distinct])
+
+    def encode_batch(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
+        """Ids of each text (null counts as empty)."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        if self.pieces:
+            return self.pieces.encode(texts)
+        ids, each = self.whole([t or "" for t in texts.to_pylist()])
+        return np.split(ids, np.cumsum(each)[:-1]) if len(each) else []
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return gathered(self.bytes_of, self.start_of[ids], self.length_of[ids])[0].tobytes()
-
-
-def gathered(values: np.ndarray, start: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs ``values[start : start + width]`` one after another, and their widths."""
-    total = int(width.sum())
-    shift = np.repeat(start - (np.cumsum(width) - width), width)
-    return values[shift + np.arange(total)], width
+        return gathered(self.bytes_of, self.start_of[ids], self.length_of[ids]).tobytes()
 
 
 @lru_cache(maxsize=4)
@@ -199,7 +199,7 @@ def encode(docs: DataFrame, rank_file: str, *, id_col: str = "doc_id", text_col:
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
-                found = bpe.encode_batch(batch.column(1).to_pylist())
+                found = bpe.encode_batch(batch.column(1))
                 offsets = pa.array(np.cumsum([0] + [len(x) for x in found]), pa.int32())
                 ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "token_ids"])
@@ -233,7 +233,7 @@ def round_trip(docs: DataFrame, rank_file: str, *, id_col: str = "doc_id", text_
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
-                found = bpe.encode_batch(batch.column(1).to_pylist())
+                found = bpe.encode_batch(batch.column(1))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),

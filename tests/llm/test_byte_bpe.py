@@ -8,7 +8,7 @@ import tiktoken
 from seqloom.llm import byte_bpe as b
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-TEXTS = ["", None, "  \n\n x \x1c\x1d y\x0b\x0c \x85 \xa0　 z", "zażółć gęślą 漢字かな 👩‍👩‍👧 'S's'LL", "a" * 5000, "don't  stop   ", "​﻿ x", "x\x1f1\x1e", "ab" * 40_000, "<|endoftext|>"]
+TEXTS = ["", None, "  \n\n x \x1c\x1d y\x0b\x0c \x85 \xa0　 z", "zażółć gęślą 漢字かな 👩‍👩‍👧 'S's'LL", "a" * 5000, "don't  stop   ", "​﻿ x", "x\x1f1\x1e", "ab" * 40_000, "<|endoftext|>", " lead", "a  b", "a \n b", "x\n y", "tail ", "end\n", "form\x0cfeed x", "nb\u00a0 z", "x .\ny ,z (q) 12 3a"]
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +52,8 @@ def test_real_texts(spark, oracle):
     for r in b.decode(b.encode(docs, PATH), PATH).join(docs, "doc_id").collect():
         assert list(r.token_ids) == oracle.encode_ordinary(r.text)
         assert bytes(r.decoded) == r.text.encode()
+
+
+def test_other_patterns(oracle):
+    own = b.load(PATH, r"\S+|\s+")
+    assert own.decode(own.encode_batch(["some text  here", None, ""])[0]) == b"some text  here"
