@@ -100,7 +100,9 @@ def test_sampling(spark):
     assert sorted(r.id for r in corpus.shuffled(df, 5, "id").collect()) == list(range(500)) != [r.id for r in corpus.shuffled(df, 5, "id").collect()]
 
 
-def test_overlap(spark):
+@pytest.mark.parametrize("sent", [50_000, 0])
+def test_overlap(spark, monkeypatch, sent):
+    monkeypatch.setattr(overlap, "SENT_ROWS", sent)
     train = spark.createDataFrame([("a b c",), ("x y z",)], "t string")
     test = spark.createDataFrame([(7, "a b d")], "i long, t string")
     found = overlap.neighbours(train, test, "t", "i")
