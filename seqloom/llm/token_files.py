@@ -1,8 +1,6 @@
 """Token ids in binary files: fixed-width bit packing in frames that can be read one by one or at random.
 
-Encoding uses the tokenizers library. Its byte-level pre-tokens never reach over a space that follows anything but white
-space, so a text is cut before such spaces, equal pieces of a batch are encoded once, and the library's ids of the
-pieces are laid end to end: the same ids as for the whole text. Texts with white space in front of a space go to the library whole.
+Encoding uses the tokenizers library; equal pieces of texts go to it once (see ``pieces``).
 
 A file is a sequence of frames; all integers are little-endian:
 
@@ -30,20 +28,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm.common import fresh_path, pinned, shuffle_width
+from seqloom.llm.pieces import MARK, Pieces, Runs
 
 HEAD = struct.Struct("<4sB3xIIIQQIIQ")
 DOCUMENT = np.dtype([("id", "<i8"), ("valid", "u1"), ("ids", "<u4")])
 FRAME_IDS, BLOCK, FRAMES = 1 << 16, 4096, 128
-SLICE, KNOWN = 1024, 500_000
-#: A white-space character of one byte; texts that hold it go to the library whole.
-MARK = "\x0c"
-#: White space before a space or at the end: there a piece would not start or end where a pre-token does.
-SPACED = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}](?: |\z)|\x0C"
+SLICE, JOINED = 1024, 8192
 
 
 class PieceEncoder:
@@ -57,74 +51,30 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         mark = self.whole([MARK])[0]
         # Other kinds of tokenizers don't cut before spaces: their texts all go to the library whole.
-        self.mark = mark[0] if len(mark) == 1 and "ByteLevel" in str(self.tokenizer.pre_tokenizer) else None
-        # Pieces seen so far, the first KNOWN of them, as flat arrays: text, ids end to end, where and how many.
-        self.known = pa.array([], pa.large_string())
-        self.pool, self.start, self.width = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pieces(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces that follow a space, end to end, and how many each has.
-
-        They go to the library as one text with a mark between them: white space that no piece holds and that is a pre-token
-        of its own between a piece's end and the next one's space.
-        """
-        ids = np.array(self.whole([" " + f"{MARK} ".join(distinct)])[0], np.uint32)
-        marks = np.flatnonzero(ids == self.mark)
-        return ids[ids != self.mark], np.diff(np.concatenate(([-1], marks, [len(ids)]))) - 1
-
-    def _runs(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A pool of ids, and where each piece's ids start in it and how many they are."""
-        at = pc.index_in(distinct, value_set=self.known)
-        new = pc.is_null(at)
-        missing = distinct.filter(new)
-        if not len(missing):
-            codes = at.to_numpy(zero_copy_only=False)
-            return self.pool, self.start[codes], self.width[codes]
-        ids, each = self._pieces(missing.to_pylist())
-        pool = np.concatenate((self.pool, ids))
-        all_start = np.concatenate((self.start, np.cumsum(each) - each + len(self.pool)))
-        all_width = np.concatenate((self.width, each))
-        fresh = new.to_numpy(zero_copy_only=False)
-        codes = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        codes[fresh] = len(self.known) + np.arange(len(missing))
-        if len(self.known) < KNOWN:
-            self.known = pa.concat_arrays([self.known, missing])
-            self.pool, self.start, self.width = pool, all_start, all_width
-        return pool, all_start[codes], all_width[codes]
+        self.mark = int(mark[0]) if len(mark) == 1 and "ByteLevel" in str(self.tokenizer.pre_tokenizer) else None
+        self.pieces = Pieces(self.whole, self._after_space)
+
+    def whole(self, texts: list[str]) -> Runs:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        width = np.array([len(x) for x in found], np.int64)
+        return np.array([i for x in found for i in x], np.uint32), width
+
+    def _after_space(self, distinct: list[str]) -> Runs:
+        """Some thousands at a time go to the library as one text with a mark between them: a pre-token of its own between a
+        piece's end and the next one's space."""
+        ids, each = [], []
+        for at in range(0, len(distinct), JOINED):
+            run = self.whole([" " + f"{MARK} ".join(distinct[at : at + JOINED])])[0]
+            marks = np.flatnonzero(run == self.mark)
+            ids.append(run[run != self.mark])
+            each.append(np.diff(np.concatenate(([-1], marks, [len(run)]))) - 1)
+        return np.concatenate(ids), np.concatenate(each)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = pc.match_substring_regex(texts, SPACED).to_numpy(zero_copy_only=False) if self.mark is not None else np.ones(len(texts), bool)
-        out: list[np.ndarray | None] = [None] * len(texts)
-        rest = np.flatnonzero(odd)
-        for at, ids in zip(rest, self.whole(texts.take(pa.array(rest)).to_pylist()), strict=True):
-            out[at] = np.array(ids, np.uint32)
-        plain = np.flatnonzero(~odd)
-        if len(plain):
-            cut = pc.split_pattern(texts.take(pa.array(plain)), " ")
-            pieces, offsets = cut.flatten(), np.asarray(cut.offsets, np.int64) - cut.offsets[0].as_py()
-            first = np.zeros(len(pieces), bool)
-            first[offsets[:-1]] = True
-            heads = self.whole(pieces.filter(pa.array(first)).to_pylist())
-            start, width = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
-            width[first] = [len(x) for x in heads]
-            start[first] = np.cumsum(width[first]) - width[first]
-            flat = np.array([i for x in heads for i in x], np.uint32)
-            if not first.all():
-                coded = pieces.filter(pa.array(~first)).dictionary_encode()
-                codes = coded.indices.to_numpy()
-                pool, at, each = self._runs(coded.dictionary)
-                start[~first], width[~first] = at[codes] + len(flat), each[codes]
-                flat = np.concatenate((flat, pool))
-            stops = np.concatenate(([0], np.cumsum(width)))
-            ids = flat[np.repeat(start - stops[:-1], width) + np.arange(int(stops[-1]))]
-            bounds = stops[offsets]
-            for k, at in enumerate(plain):
-                out[at] = ids[bounds[k] : bounds[k + 1]]
-        return out  # type: ignore[return-value]
+        if self.mark is not None:
+            return self.pieces.encode(texts)
+        ids, each = self.whole([t or "" for t in texts.to_pylist()])
+        return np.split(ids, np.cumsum(each)[:-1]) if len(each) else []
 
     def bits(self) -> int:
         return max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
