@@ -23,7 +23,7 @@ def strip(c: Column, space: str = UNICODE_SPACE) -> Column:
 
 def words(c: Column, space: str = UNICODE_SPACE) -> Column:
     """Pieces between white space, none of them empty."""
-    return F.filter(F.split(c, f"[{space}]+"), lambda x: x != "")
+    return F.array_remove(F.split(c, f"[{space}]+"), "")
 
 
 def join_tokens(tokens: Column, by: str = TOKEN) -> Column:

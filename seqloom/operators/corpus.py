@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,22 +164,51 @@ def vocabulary(counts: DataFrame, size: int, specials: tuple[str, ...] = SPECIAL
     return head.unionByName(ranked.select(F.col("word").alias("token"), "id"))
 
 
+def _lists(column: pa.ListArray, values: pa.Array) -> pa.ListArray:
+    """``values`` in lists as long as those of ``column`` (null lists are empty)."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), values)
+
+
+def _mapped(df: DataFrame, index: str, lists: Column, convert: Callable[[pa.Array], pa.Array], name: str, kind: str) -> DataFrame:
+    """``index`` and the lists with their elements converted, batch by batch; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(b.column(1), convert(b.column(1).flatten()))], names=[index, name])
+
+    return df.select(index, lists.alias("_lists")).mapInArrow(run, f"`{index}` {df.schema[index].dataType.simpleString()}, {name} array<{kind}>")
+
+
 def token_ids(df: DataFrame, index: str, tokens: Column, vocab: DataFrame, unknown: int = 1) -> DataFrame:
     """``index, ids``: in token order, ``unknown`` for words that the vocabulary lacks.
 
-    A vocabulary is bounded by the size it was made with, so it is broadcast.
+    A vocabulary is bounded by the size it was made with, so it goes to the rows; texts stay where they are.
     """
-    placed = df.select(index, F.posexplode(tokens).alias("_pos", "token")).join(F.broadcast(vocab), "token", "left")
-    found = placed.groupBy(index).agg(F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("id", F.lit(unknown)).alias("id")))).alias("_ids"))
-    return df.select(index).join(found, index, "left").select(index, F.coalesce(F.transform("_ids", lambda x: x["id"]), F.array().cast("array<int>")).alias("ids"))
+    rows = vocab.select("token", "id").collect()
+    shared = df.sparkSession.sparkContext.broadcast(([r.token for r in rows], [r.id for r in rows]))
+
+    def convert(flat: pa.Array) -> pa.Array:
+        known, ids = shared.value
+        at = pc.fill_null(pc.index_in(flat, value_set=pa.array(known, flat.type)), len(known))
+        return pa.array([*ids, unknown], pa.int32()).take(at)
+
+    return _mapped(df, index, tokens, convert, "ids", "int")
 
 
 def tokens_of(ids: DataFrame, index: str, vocab: DataFrame) -> DataFrame:
     """``index, tokens``; an id that is not in the vocabulary is an error."""
-    placed = ids.select(index, F.posexplode("ids").alias("_pos", "id")).join(F.broadcast(vocab), "id", "left")
-    known = F.coalesce("token", F.raise_error(F.concat(F.lit("no token has id "), F.col("id").cast("string"))).cast("string"))
-    found = placed.groupBy(index).agg(F.sort_array(F.collect_list(F.struct("_pos", known.alias("token")))).alias("_t"))
-    return ids.select(index).join(found, index, "left").select(index, F.coalesce(F.transform("_t", lambda x: x["token"]), F.array().cast("array<string>")).alias("tokens"))
+    rows = vocab.select("token", "id").collect()
+    shared = ids.sparkSession.sparkContext.broadcast(([r.token for r in rows], [r.id for r in rows]))
+
+    def convert(flat: pa.Array) -> pa.Array:
+        tokens, known = shared.value
+        at = pc.index_in(flat, value_set=pa.array(known, flat.type))
+        if at.null_count:
+            raise ValueError(f"no token has id {flat.filter(pc.is_null(at))[0]}")
+        return pa.array(tokens, pa.string()).take(at)
+
+    return _mapped(ids, index, F.col("ids"), convert, "tokens", "string")
 
 
 def identifier_counts(lexed_rows: DataFrame, tokens: str, names: str | None = None) -> DataFrame:
