@@ -41,3 +41,19 @@ def text_key(text: Column) -> Column:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def partition_keys(spark: SparkSession, width: int) -> list[int]:
+    """For each of ``width`` partitions a number that ``repartition(width, number)`` deals to it.
+
+    Small numbers dealt by hash collide, and a few partitions get several groups; these keys give each group its own.
+    """
+    wanted = spark.range(width * (width.bit_length() + 8) * 2).groupBy(F.pmod(F.hash("id"), F.lit(width)).alias("p")).agg(F.min("id").alias("id"))
+    found = {r.p: r.id for r in wanted.collect()}  # a row a partition
+    return [found.get(p, p) for p in range(width)]
+
+
+def dealt(df: DataFrame, width: int, group: Column) -> DataFrame:
+    """Group k of ``width`` groups in partition k."""
+    keys = F.array(*[F.lit(k).cast("long") for k in partition_keys(df.sparkSession, width)])
+    return df.withColumn("_slot", F.element_at(keys, group.cast("int") + 1)).repartition(width, "_slot").drop("_slot")

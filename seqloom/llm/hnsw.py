@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import pinned
+from seqloom.llm.common import dealt, pinned
 
 
 @dataclass
@@ -221,7 +221,7 @@ def build_index(rows: DataFrame, *, shard_rows: int = 8192, least_shards: int =
             yield done()
 
     keyed = rows.select("dim", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), "vec_id", "v")
-    return pinned(keyed.repartition(shards, "shard").sortWithinPartitions("dim", "shard").mapInArrow(run, INDEX_DDL), "hnsw")
+    return pinned(dealt(keyed, shards, F.col("shard")).sortWithinPartitions("dim", "shard").mapInArrow(run, INDEX_DDL), "hnsw")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, *, ef: int = 120, block: int = 4096) -> DataFrame:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import pinned, shuffle_width
+from seqloom.llm.common import dealt, pinned, shuffle_width
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -142,5 +142,5 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     if "n_chars" in columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     width = options.get("shards") or shuffle_width(docs.sparkSession)
-    local = cut.repartition(width, F.col("_d.shard")).sortWithinPartitions(F.col("_d.shard"), F.xxhash64(F.col("_d.shard"), F.col("_u"), F.col("_d.copy")))
+    local = dealt(cut, width, F.col("_d.shard")).sortWithinPartitions(F.col("_d.shard"), F.xxhash64(F.col("_d.shard"), F.col("_u"), F.col("_d.copy")))
     return local.select(*columns)
