@@ -3,12 +3,13 @@
 Byte-level pre-tokens never reach over a space that follows anything but white space, and what they are depends on nothing
 before such a space. So a text may be cut there, equal pieces be encoded once, and the pieces' ids be laid end to end: the same
 ids as for the whole text. Cutting, finding equal pieces and laying out are Arrow and numpy calls; Python sees each distinct
-piece of a batch at most once. Texts with white space in front of a space, or at their end, are encoded whole.
+piece of a batch at most once. Texts with white space in front of a space, or at their end, or with one of the ``added`` tokens
+in them, are encoded whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,8 @@ class Pieces:
     The first KNOWN pieces met are remembered as flat arrays: text, ids end to end, where each starts and how many it has.
     """
 
-    def __init__(self, whole: Callable[[list[str]], Runs], after_space: Callable[[list[str]], Runs], limit: int = KNOWN):
-        self.whole, self.after_space, self.limit = whole, after_space, limit
+    def __init__(self, whole: Callable[[list[str]], Runs], after_space: Callable[[list[str]], Runs], limit: int = KNOWN, added: Sequence[str] = ()):
+        self.whole, self.after_space, self.limit, self.added = whole, after_space, limit, added
         self.known = pa.array([], pa.large_string())
         self.pool, self.start, self.width = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -62,6 +63,8 @@ class Pieces:
         """The ids of each text; null counts as empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         odd = pc.match_substring_regex(texts, SPACED).to_numpy(zero_copy_only=False)
+        for token in self.added:
+            odd = odd | pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
         rest, plain = np.flatnonzero(odd), np.flatnonzero(~odd)
         if len(rest):

@@ -1,6 +1,8 @@
 """Token ids in binary files: fixed-width bit packing in frames that can be read one by one or at random.
 
-Encoding uses the tokenizers library; equal pieces of texts go to it once (see ``pieces``).
+Encoding uses the tokenizers library; equal pieces of texts go to it once (see ``pieces``). With ``added_tokens`` ids are those
+of the library as it comes: an added token (such as ``<|endoftext|>``) that a text holds is one id, and such texts go to the
+library whole. Without, added tokens inside texts are encoded like any other characters.
 
 A file is a sequence of frames; all integers are little-endian:
 
@@ -43,16 +45,18 @@ SLICE, JOINED = 1024, 8192
 class PieceEncoder:
     """Ids of whole texts by the library, with equal pieces of a batch encoded once."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if added_tokens or not t.special]
         mark = self.whole([MARK])[0]
         # Other kinds of tokenizers don't cut before spaces: their texts all go to the library whole.
-        self.mark = int(mark[0]) if len(mark) == 1 and "ByteLevel" in str(self.tokenizer.pre_tokenizer) else None
-        self.pieces = Pieces(self.whole, self._after_space)
+        cuts = len(mark) == 1 and "ByteLevel" in str(self.tokenizer.pre_tokenizer) and not any(MARK in t for t in added)
+        self.mark = int(mark[0]) if cuts else None
+        self.pieces = Pieces(self.whole, self._after_space, added=added)
 
     def whole(self, texts: list[str]) -> Runs:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -81,8 +85,8 @@ class PieceEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path)
+def encoder(path: str, added_tokens: bool) -> PieceEncoder:
+    return PieceEncoder(path, added_tokens)
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -152,13 +156,13 @@ def frames(raw: bytes) -> Iterator[Frame]:
         at = f.end
 
 
-def write(docs: DataFrame, path: str, tokenizer_file: str, *, end_id: int = 2, shards: int | None = None) -> None:
+def write(docs: DataFrame, path: str, tokenizer_file: str, *, end_id: int = 2, shards: int | None = None, added_tokens: bool = False) -> None:
     """Writes the ids of all documents in ascending id order, ``end_id`` after each, as files under ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, enc = TaskContext.get().partitionId(), encoder(tokenizer_file)
+        shard, enc = TaskContext.get().partitionId(), encoder(tokenizer_file, added_tokens)
         bits, end = max(enc.bits(), end_id.bit_length()), np.array([end_id], np.uint32)
         held: list[tuple[int | None, np.ndarray]] = []
         number = first = size = 0
