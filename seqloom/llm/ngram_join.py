@@ -166,9 +166,10 @@ def tiled(df: DataFrame, size: str, node: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: tuple[int, int] = (4, 5), tolerance: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, class_id, class_size, n_links, text_key``: one row for each row of ``docs``.
+    """``doc_id, class_id, class_size, n_links, text_key, class_key``: one row for each row of ``docs``.
 
     ``threshold`` is a fraction p/q, so the exact test is on integers. ``n_links`` counts the other rows at or above it.
+    ``class_key`` is the class itself: where ids are repeated or null, separate classes may have the same ``class_id``.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", text_key(F.col("text")))
     least = least_matches(threshold[0] / threshold[1], tolerance)
@@ -238,8 +239,8 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: tuple[int, int] =
     node_class = nodes.select("key", "least_id", "copies").join(classes.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left")
     node_class = node_class.select("key", "least_id", "copies", F.coalesce("root", "key").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     of_class = node_class.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    final = pinned(node_class.join(of_class, "root").select("key", "class_id", "class_size", "n_links"), "classes")
-    return base.select("doc_id", "key").join(final, "key").select("doc_id", "class_id", "class_size", "n_links", F.col("key").alias("text_key"))
+    final = pinned(node_class.join(of_class, "root").select("key", F.col("root").alias("class_key"), "class_id", "class_size", "n_links"), "classes")
+    return base.select("doc_id", "key").join(final, "key").select("doc_id", "class_id", "class_size", "n_links", F.col("key").alias("text_key"), "class_key")
 
 
 def reached(on: np.ndarray) -> np.ndarray:
@@ -258,9 +259,9 @@ def reached(on: np.ndarray) -> np.ndarray:
 
 
 def one_of_each(docs: DataFrame, classes: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
-    """The rows of ``docs`` with one left of each class: the one with the least id (the first text among equal ids)."""
+    """The rows of ``docs`` with one left of each class: the one with the least id that isn't null (the first text among equal ids)."""
     found = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    chosen = found.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("text_key")).alias("_alone")).agg(F.min("text_key").alias("_key")).select(F.col("class_id").alias("_id"), "_key")
+    chosen = found.groupBy("class_key", "class_id").agg(F.min("text_key").alias("_key")).select(F.col("class_id").alias("_id"), "_key")
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_key"))
     kept = docs.join(chosen, on, "left_semi")
     # Only rows repeated as a whole, id and text alike, can still be double.
