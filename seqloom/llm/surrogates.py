@@ -6,6 +6,10 @@ permutable positions of one format make a finite domain; a keyed Feistel network
 surrogates, no entity stays as it was, and equal entities get equal surrogates in every document, without any table of
 entities and without a shuffle. ``collisions`` checks that distinctness over a whole result.
 
+What is permuted is a normalised value: the digits of a phone, card or IBAN, the letters of an address or name without case.
+The entity's own format is put on again, so one entity written in several ways gets one surrogate written in those ways. A
+word of a name found in a text is replaced wherever it stands alone in that text.
+
 Kept: length, punctuation and country code of phones; validity of check digits (cards, IBANs) and the class of an address
 (private, loopback, link-local, public); the case and script of letters; gender and script of listed given names. A title in
 front of a name stays and gives its gender.
@@ -48,14 +52,18 @@ ALPHABETS += tuple(a.upper() for a in ALPHABETS if a.upper() != a)
 CLASS_OF = {c: a for a in ALPHABETS for c in a}
 DIGITS, HEX = "0123456789", "0123456789abcdef"
 NAMES = {n: (list_, gender) for (_, gender), list_ in GIVEN.items() for n in list_}
+EXACT = {n.lower(): n for n in NAMES}
+#: Country codes of one and two digits; all others have three.
+COUNTRY = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}|\d*")
 
 _title = "|".join(sorted(TITLES, key=len, reverse=True))
 _name = "|".join(sorted(NAMES, key=len, reverse=True))
 _octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _surname = r"[^\W\d_a-zà-ÿа-яα-ω][^\W\d_]+(?:-[^\W\d_]+)?"
+_secret = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}|xox[abpr]-[A-Za-z0-9-]{10,}|[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}"
 PATTERNS = (
     ("email", r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+"),
-    ("secret", r"""(?<=["'=:\s])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}|xox[abpr]-[A-Za-z0-9-]{10,}|[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![\w])"""),
+    ("secret", rf"""(?<=["'=:\s])(?:{_secret})(?![\w])"""),
     ("assigned", r"""(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*["'])[^"'\s]{6,}(?=["'])"""),
     ("ipv4", rf"(?<![\d.]){_octet}(?:\.{_octet}){{3}}(?![\d]|\.\d)"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
@@ -69,6 +77,7 @@ FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
 MAYBE = re.compile(r"[0-9@]|[=:]\s*[\"']|AKIA|xox|sk-|gh[pousr]_")
 PAIR = re.compile(r"(?<!\w)([^\W\d_a-z][^\W\d_]+)\.? (?=[^\W\d_a-z])")
 CALLED = {*TITLES, *NAMES}
+SECRET = re.compile(_secret)
 
 
 @dataclass
@@ -137,8 +146,11 @@ class Surrogates:
             found = self.cache[kind, text] = getattr(self, f"_{kind}")(text)
         return found
 
-    def _letters(self, label: str, text: str) -> str:
-        return self.by_alphabets(label, text, [CLASS_OF.get(c) for c in text])
+    def _letters(self, label: str, text: str, holds: Callable[[str], bool] = lambda _: True) -> str:
+        """Letters and digits replaced whatever their case, which is put on again."""
+        plain = "".join(c.lower() if c in CLASS_OF else c for c in text)
+        new = self.within(label, plain, holds, [CLASS_OF.get(c) for c in plain])
+        return "".join(b.upper() if a != c else b for a, b, c in zip(text, new, plain, strict=True))
 
     def _email(self, text: str) -> str:
         local, _, domain = text.rpartition("@")
@@ -160,6 +172,8 @@ class Surrogates:
     def _assigned(self, text: str) -> str:
         at = max(text.rfind('"'), text.rfind("'")) + 1
         value = text[at:]
+        if SECRET.fullmatch(value):
+            return text[:at] + self._secret(value)
         return text[:at] + (self.by_alphabets("hex", value, [HEX] * len(value)) if all(c in HEX for c in value) else self._wide("assigned", value))
 
     def _ipv4(self, text: str) -> str:
@@ -187,14 +201,21 @@ class Surrogates:
         return self.by_alphabets("ssn", text, [DIGITS if c.isdigit() else None for c in text])
 
     def _phone(self, text: str) -> str:
-        at = re.match(r"\+\d{1,3}(?=\D)", text)
-        keep = at.end() if at else 2 if text[0] == "+" else 0
-        fresh, alphabets = True, []
-        for i, c in enumerate(text):
-            # A group's first digit above 1 stays above 1.
-            alphabets.append(None if i < keep or c not in DIGITS else DIGITS[2:] if fresh and c > "1" else DIGITS)
-            fresh = c not in DIGITS
-        return self.by_alphabets("phone", text, alphabets)
+        """Country code and national digits are permuted alike however they are grouped; ten digits without a code are of +1."""
+        at = [i for i, c in enumerate(text) if c in DIGITS]
+        digits = "".join(text[i] for i in at)
+        code = COUNTRY.match(digits)[0] if text[0] == "+" else ""
+        trunk = text.find("(0)") if code != "1" else -1  # a trunk zero isn't part of the number
+        at = [i for i in at[len(code) :] if i != trunk + 1 or trunk < 0]
+        body = "".join(text[i] for i in at)
+        code = code or "1"
+        # The first digit, and that of the exchange in +1, stays above 1 or below 2.
+        firsts = {0, 3} if code == "1" and len(body) == 10 else {0}
+        alphabets = [(DIGITS[:2] if c < "2" else DIGITS[2:]) if i in firsts else DIGITS for i, c in enumerate(body)]
+        out = list(text)
+        for i, c in zip(at, self.by_alphabets(f"phone|{code}", body, alphabets), strict=True):
+            out[i] = c
+        return "".join(out)
 
     def _card(self, text: str) -> str:
         digits = [i for i, c in enumerate(text) if c in DIGITS]
@@ -212,32 +233,49 @@ class Surrogates:
         return "".join(out)
 
     def _person(self, text: str) -> str:
-        out, words = [], text.split(" ")
-        for w in words:
-            if w.rstrip(".") in TITLES and not out:
-                out.append(w)
-            elif w in NAMES and w != words[-1]:
-                names, gender = NAMES[w]
-                out.append(names[self.moved(f"given|{names[0]}|{gender}", len(names), names.index(w))])
-            else:
-                out.append(self._letters("surname", w))
+        out: list[str] = []
+        for w in text.split(" "):
+            out.append(w if w.rstrip(".") in TITLES and not out else self._name(w))
         return " ".join(out)
 
+    def _name(self, word: str) -> str:
+        """A listed given name becomes another one wherever it stands, any other word one that isn't listed."""
+        if (given := EXACT.get(word.lower())) is None:
+            return self._letters("surname", word, lambda x: x not in EXACT)
+        names, gender = NAMES[given]
+        new = names[self.moved(f"given|{names[0]}|{gender}", len(names), names.index(given))]
+        return new.upper() if word.isupper() else new
+
     def replace(self, text: str) -> tuple[str, list[dict]]:
         """The text with surrogates, and the entities: type, start (code points of the original), original, surrogate."""
         if not MAYBE.search(text) and CALLED.isdisjoint(PAIR.findall(text)):
             return text, []
+        hits = [(m.start(), m[0], m.lastgroup or "") for m in FINDER.finditer(text)]
+        hits = sorted(hits + mentions(text, hits))
         found: list[dict] = []
         out: list[str] = []
         at = 0
-        for m in FINDER.finditer(text):
-            new = self.of(m.lastgroup or "", m[0])
-            found.append({"type": m.lastgroup, "start": m.start(), "original": m[0], "surrogate": new})
-            out += (text[at : m.start()], new)
-            at = m.end()
+        for start, original, kind in hits:
+            new = self.of(kind, original)
+            found.append({"type": kind, "start": start, "original": original, "surrogate": new})
+            out += (text[at:start], new)
+            at = start + len(original)
         return ("".join(out) + text[at:] if found else text), found
 
 
+def mentions(text: str, hits: list[tuple[int, str, str]]) -> list[tuple[int, str, str]]:
+    """Words of the persons among ``hits`` where they stand alone between the hits."""
+    names = {w for _, x, kind in hits if kind == "person" for w in x.split(" ") if w.rstrip(".") not in TITLES}
+    if not names:
+        return []
+    bounds = [0, *(b for start, x, _ in hits for b in (start, start + len(x))), len(text)]
+    gaps = [(a, b) for a, b in zip(bounds[::2], bounds[1::2], strict=True) if any(text.find(n, a, b) >= 0 for n in names)]
+    if not gaps:
+        return []
+    word = re.compile(rf"\b(?:{'|'.join(map(re.escape, sorted(names, key=len, reverse=True)))})\b")
+    return [(m.start(), m[0], "person") for a, b in gaps for m in word.finditer(text, a, b)]
+
+
 def address_kind(value: int) -> str:
     """Private and other special blocks, multicast and above, or public."""
     top = value >> 24
