@@ -220,8 +220,7 @@ class Surrogates:
     def _card(self, text: str) -> str:
         digits = [i for i, c in enumerate(text) if c in DIGITS]
         plain = "".join(text[i] for i in digits)
-        first = 1 if plain[0] in "3456" else 0  # the issuer's group stays
-        alphabets: list[str | None] = [None] * first + [DIGITS] * (len(plain) - first)
+        alphabets: list[str | None] = [None] + [DIGITS] * (len(plain) - 1)  # the issuer's group stays
         if luhn(plain[:-1]) == plain[-1]:
             body = self.by_alphabets("card", plain[:-1], alphabets[:-1])
             plain = body + luhn(body)

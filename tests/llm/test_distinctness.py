@@ -1,0 +1,15 @@
+"""Different entities of one format never share a surrogate."""
+
+from seqloom.llm import surrogates as s
+
+MAPS = s.Surrogates(b"k1")
+
+
+def test_ranges_of_labels_are_disjoint():
+    for first in "0123456789":
+        assert all(MAPS.of("card", f"{first}{i:015d}")[0] == first for i in range(20))
+        for exchange in "0123456789":
+            new = MAPS.of("phone", f"+1 ({first}46) {exchange}55-8962")
+            assert (new[4] < "2", new[9] < "2") == (first < "2", exchange < "2")
+    short = {MAPS.of("phone", f"+44 {i:05d}") for i in range(100_000)}
+    assert len(short) == 100_000
