@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.sources.workspace import pinned, spare
+
 SPECIALS = ("<pad>", "<unk>", "<s>", "</s>")
 
 
@@ -58,17 +60,30 @@ def difficulty(df: DataFrame, index: str, tokens: Column, scores: DataFrame) ->
     return df.select(index).join(summed, index, "left").select(index, F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def ranged(df: DataFrame, order: list[Column], part: str, place: str, width: int | None = None) -> DataFrame:
+    """``df`` dealt by range and written once, with each row's range and its place in it.
+
+    The bounds of ranges come from a sample. Two readers of one unwritten range exchange may get different bounds (they need
+    different columns, so Spark plans two exchanges), and sizes of the one would shift rows of the other.
+    """
+    width = width or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(width, *order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()  # the partition's number above 33 bits of the row's place
+    numbered = ordered.withColumn(place, at).withColumn(part, F.shiftright(place, 33).cast("int"))
+    return pinned(numbered.withColumn(place, F.col(place).bitwiseAND(F.lit((1 << 33) - 1))), "ranged")
+
+
 def dense_index(df: DataFrame, order: list[Column], name: str = "idx", width: int | None = None) -> DataFrame:
     """A dense 0-based position in a global order, without a window over all rows.
 
-    Rows are dealt by range; a range's rows are numbered inside it and shifted by the sizes of the ranges before it.
+    A row's place in its range is shifted by the sizes of the ranges before it. Rows equal in all of ``order`` get some order,
+    the same for all readers of the result.
     """
-    width = width or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(width, *order).withColumn("_part", F.spark_partition_id())
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
-    shift = sizes.select("_part", (F.sum("_size").over(Window.partitionBy(F.lit(0)).orderBy("_part")) - F.col("_size")).alias("_shift"))  # a row a range
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return ranged.withColumn("_in", inside).join(F.broadcast(shift), "_part").withColumn(name, F.col("_in") + F.col("_shift")).drop("_part", "_in", "_shift")
+    part, place, size, shift = spare(df, "part", "place", "size", "shift")
+    rows = ranged(df, order, part, place, width)
+    sizes = rows.groupBy(part).agg(F.count("*").alias(size))
+    shifts = sizes.select(part, (F.sum(size).over(Window.partitionBy(F.lit(0)).orderBy(part)) - F.col(size)).alias(shift))  # a row a range
+    return rows.join(F.broadcast(shifts), part).withColumn(name, F.col(place) + F.col(shift)).select(*(c for c in df.columns if c != name), name)
 
 
 def grouped_index(df: DataFrame, group: str, order: list[Column], width: int | None = None) -> DataFrame:
@@ -76,15 +91,13 @@ def grouped_index(df: DataFrame, group: str, order: list[Column], width: int | N
 
     Rows are dealt by range of group and order, so a group with a third of all rows is spread over many tasks.
     """
-    width = width or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(width, F.col(group), *order).withColumn("_part", F.spark_partition_id())
-    sizes = ranged.groupBy("_part", F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_g").orderBy("_part")
-    shift = sizes.select("_part", "_g", (F.sum("_n").over(before) - F.col("_n")).alias("_shift"), F.sum("_n").over(Window.partitionBy("_g")).alias("group_size"))
-    inside = F.row_number().over(Window.partitionBy("_part", group).orderBy(*order)) - 1
-    numbered = ranged.withColumn("_in", inside).withColumnRenamed("_part", "_p")
-    joined = numbered.join(shift, (F.col("_p") == F.col("_part")) & F.col(group).eqNullSafe(F.col("_g")))
-    return joined.withColumn("position", F.col("_in") + F.col("_shift")).drop("_p", "_part", "_g", "_in", "_shift")
+    part, place, first, size, shift, key, at = spare(df, "part", "place", "first", "size", "shift", "key", "at")
+    rows = ranged(df, [F.col(group), *order], part, place, width)
+    sizes = rows.groupBy(part, group).agg(F.min(place).alias(first), F.count("*").alias(size))  # a row a range and group
+    before = Window.partitionBy(group).orderBy(part)
+    shifts = sizes.select(F.col(part).alias(at), F.col(group).alias(key), first, (F.sum(size).over(before) - F.col(size)).alias(shift), F.sum(size).over(Window.partitionBy(group)).alias("group_size"))
+    joined = rows.join(shifts, (F.col(part) == F.col(at)) & F.col(group).eqNullSafe(F.col(key)))
+    return joined.withColumn("position", F.col(place) - F.col(first) + F.col(shift)).select(*df.columns, "position", "group_size")
 
 
 def hash_order(key: Column, seed: int) -> Column:
@@ -129,7 +142,8 @@ def with_training(df: DataFrame, index: str, held: DataFrame) -> DataFrame:
 
 def first_rows(df: DataFrame, order: list[Column], size: int) -> DataFrame:
     """The first ``size`` rows of a global order, for sizes that grow with the data: no task gathers them."""
-    return dense_index(df, order, "_first").where(F.col("_first") < size).drop("_first")
+    (at,) = spare(df, "at")
+    return dense_index(df, order, at).where(F.col(at) < size).drop(at)
 
 
 def prefix(scores: DataFrame, index: str, size: int) -> DataFrame:
@@ -226,13 +240,14 @@ def least_hashed(df: DataFrame, size: int, hashed: Column, order: list[Column])
 
     Rows far above the expected cut are left out before anything is shuffled; should too few be below it, all rows take part.
     """
-    rows = df.withColumn("_h", hashed)
+    (h,) = spare(df, "hash")
+    rows = df.withColumn(h, hashed)
     n = rows.count()
     share = (size + 8 * size**0.5 + 64) / n if n else 1.0
     if share < 1:
-        low = rows.where(F.col("_h") < F.lit(round(-(2**63) + share * 2**64)))
+        low = rows.where(F.col(h) < F.lit(round(-(2**63) + share * 2**64)))
         rows = low if low.count() >= size else rows
-    return first_rows(rows, [F.col("_h"), *order], size).drop("_h")
+    return first_rows(rows, [F.col(h), *order], size).drop(h)
 
 
 def reservoir(df: DataFrame, size: int, seed: int, *key: str) -> DataFrame:

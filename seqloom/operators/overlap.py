@@ -8,14 +8,22 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from seqloom.functions.sequences import lcs_length
+from seqloom.operators.corpus import ranged
 
 
 #: Test sets up to these bounds, checked before use, are sent to the training rows; larger ones are sorted together with them.
 SENT_ROWS, SENT_BYTES = 50_000, 64_000_000
 
 
+def latest(value: Column | str, window: WindowSpec, to: int) -> Column:
+    """The last value that isn't null up to ``to`` rows from the current one. What follows a row is asked for in descending
+    order: Spark computes a frame that ends at the last row anew for each row, and one that starts at the first row once."""
+    return F.last(value, True).over(window.rowsBetween(Window.unboundedPreceding, to))
+
+
 def neighbours(train: DataFrame, test: DataFrame, key: str, ident: str) -> DataFrame:
     """``ident, text, left_text, right_text``: the training texts just before and after each test text (null where none is).
 
@@ -49,10 +57,8 @@ def neighbours_by_slot(train: DataFrame, test: DataFrame, key: str, ident: str)
     gaps = train.where(F.col(key).isNotNull()).select(key).mapInArrow(run, "slot int, low string, high string")
     gaps = gaps.groupBy("slot").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     slots = spark.range(len(texts) + 1).select(F.col("id").cast("int").alias("slot")).join(gaps, "slot", "left")
-    order = Window.partitionBy(F.lit(0)).orderBy("slot")  # a row a test text: within the bound above
-    around = slots.select(
-        "slot", F.last("high", True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("left_text"), F.first("low", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("right_text")
-    )
+    one = Window.partitionBy(F.lit(0))  # a row a test text: within the bound above
+    around = slots.select("slot", latest("high", one.orderBy("slot"), 0).alias("left_text"), latest("low", one.orderBy(F.desc("slot")), -1).alias("right_text"))
     placed = test.where(F.col(key).isNotNull()).select(F.col(ident).cast("long").alias(ident), F.col(key).alias("text"))
     ranked = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "slot int, text string")
     return placed.join(ranked, "text").join(around, "slot").select(ident, "text", "left_text", "right_text")
@@ -65,20 +71,15 @@ def neighbours_by_range(train: DataFrame, test: DataFrame, key: str, ident: str)
     """
     both = train.select(F.col(key).alias("text"), F.lit(None).cast("long").alias(ident)).unionByName(test.select(F.col(key).alias("text"), F.col(ident).cast("long").alias(ident)))
     both = both.where(F.col("text").isNotNull())
-    width = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("text"), F.asc_nulls_first(ident)]
-    ranged = both.repartitionByRange(width, *order).withColumn("_part", F.spark_partition_id())
+    rows = ranged(both, order, "_part", "_place")
     mine = F.when(F.col(ident).isNull(), F.col("text"))
-    here = Window.partitionBy("_part").orderBy(*order)
-    inside = ranged.withColumn("left_text", F.last(mine, True).over(here.rowsBetween(Window.unboundedPreceding, -1))).withColumn(
-        "right_text", F.first(mine, True).over(here.rowsBetween(1, Window.unboundedFollowing))
-    )
-    edges = ranged.groupBy("_part").agg(F.min(mine).alias("low"), F.max(mine).alias("high"))  # a row a range
-    by_part = Window.partitionBy(F.lit(0)).orderBy("_part")
-    outer = edges.select(
-        "_part", F.last("high", True).over(by_part.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("low", True).over(by_part.rowsBetween(1, Window.unboundedFollowing)).alias("after")
-    )
-    joined = inside.where(F.col(ident).isNotNull()).join(outer, "_part")
+    here = Window.partitionBy("_part")
+    inside = rows.withColumn("left_text", latest(mine, here.orderBy("_place"), -1)).withColumn("right_text", latest(mine, here.orderBy(F.desc("_place")), -1))
+    edges = rows.groupBy("_part").agg(F.min(mine).alias("low"), F.max(mine).alias("high"))  # a row a range
+    by_part = Window.partitionBy(F.lit(0))
+    outer = edges.select("_part", latest("high", by_part.orderBy("_part"), -1).alias("before"), latest("low", by_part.orderBy(F.desc("_part")), -1).alias("after"))
+    joined = inside.where(F.col(ident).isNotNull()).join(F.broadcast(outer), "_part")
     return joined.select(ident, "text", F.coalesce("left_text", "before").alias("left_text"), F.coalesce("right_text", "after").alias("right_text"))
 
 
