@@ -147,8 +147,8 @@ def first_rows(df: DataFrame, order: list[Column], size: int) -> DataFrame:
 
 
 def prefix(scores: DataFrame, index: str, size: int) -> DataFrame:
-    """The easiest ``size`` rows (ties by index)."""
-    return first_rows(scores, [F.col("score"), F.col(index)], size)
+    """The easiest ``size`` rows (ties by index), in order."""
+    return first_rows(scores, [F.col("score"), F.col(index)], size).orderBy("score", index)
 
 
 def canonical_join(texts: DataFrame, canon: DataFrame, key: str, order: str, canon_order: str) -> DataFrame:
