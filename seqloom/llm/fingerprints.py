@@ -18,13 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import pinned, shuffle_width
+from seqloom.llm.common import KeyFilter, pinned, shuffle_width
 
 #: White space as Unicode and ASCII separators have it.
 SPACE = r"\x09-\x0D\x1C-\x20\x85\p{Z}"
 ODD_SPACE = r"\x09-\x0D\x1C-\x1F\x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-#: Rows that may be broadcast: 16 bytes and overhead each, some tens of MB at most. Beyond, a shuffled join does the same.
-BROADCAST_ROWS = 200_000
 
 
 def composed(text: Column) -> Column:
@@ -93,11 +91,10 @@ def edited(rows: DataFrame, order: DataFrame) -> DataFrame:
 
 
 def restricted(docs: DataFrame, rids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with these keys; the keys are broadcast only if they were counted to be few."""
+    """The rows of ``docs`` with these keys, and a few others: what is left out is left out before anything is shuffled."""
     keys = pinned(rids.select("rid").distinct(), "keys")
-    few = keys.count() <= BROADCAST_ROWS
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", row_key(F.col("doc_id"), F.col("text")))
-    return base.join(F.broadcast(keys) if few else keys, "rid", "left_semi").select("doc_id", "text")
+    return KeyFilter.of(keys, "rid").passing(base, "rid").select("doc_id", "text")
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
@@ -112,11 +109,13 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     )
     digests = pinned(first, "digests")
 
-    # Byte comparison inside buckets of more than one row.
+    # Byte comparison inside buckets of more than one row. A few other rows pass the filters: their forms are compared too.
+    # Copies fall together in the map-side part of the grouping by form, however many there are.
     seen = digests.select("rid", "fp").distinct().select("fp").unionAll(digests.select(F.col("efp").alias("fp"))).groupBy("fp").count().where("count > 1").select("fp")
-    shared_text = digests.join(seen, "fp", "left_semi").select("rid").distinct()
-    shared_edit = pinned(digests.join(seen.withColumnRenamed("fp", "efp"), "efp", "left_semi").select("rid", "doc_id", "n", "next_rid", "repeats"), "edits")
-    of_text = distinct_rows(restricted(docs, shared_text)).select(canonical(F.col("text")).alias("canon"))
+    buckets = KeyFilter.of(pinned(seen, "buckets"), "fp")
+    shared_text = buckets.passing(digests.select("rid", "fp"), "fp")
+    shared_edit = pinned(buckets.passing(digests.select("rid", "doc_id", "n", "next_rid", "repeats", "efp"), "efp").drop("efp"), "edits")
+    of_text = restricted(docs, shared_text).select(canonical(F.col("text")).alias("canon"))
     needed = shared_edit.select("rid").unionAll(shared_edit.select(F.col("next_rid").alias("rid")))
     of_edit = edited(distinct_rows(restricted(docs, needed)), shared_edit).select(canonical(F.col("edited")).alias("canon"))
     forms = of_text.unionAll(of_edit).select(digest(F.col("canon")).alias("fp"), "canon").groupBy("fp", "canon").agg(F.count("*").alias("rows"))
