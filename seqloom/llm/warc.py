@@ -20,23 +20,21 @@ import uuid
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 from typing import Any
-from urllib.parse import parse_qsl, urlencode, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import fresh_path, pinned, shuffle_width
+from seqloom.llm.common import KeyFilter, fresh_path, joined_to_groups, pinned, shuffle_width
 
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FIRST_DAY = datetime(2024, 1, 1, tzinfo=timezone.utc)
 SPAN = 10 * 365 * 86400
-FILE_RECORDS = 512
 RANGE_ROWS = 100_000
-#: Rows that may be broadcast (two numbers each); beyond, a shuffled join does the same.
-BROADCAST_ROWS = 200_000
+#: A file holds at most so many records of ordinary size, or so many bytes of larger ones (one record at least): it is read whole.
+FILE_RECORDS, FILE_BYTES = 512, 1 << 26
 
 
 def record_uuid(page_id: int | None, url: str, digest: str) -> uuid.UUID:
@@ -67,37 +65,38 @@ def clean(url: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else "urn:x-none:"
 
 
+#: Fixed value: scheme, host without a leading www., port, path and query of a URL in lower case.
+URL = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(?:www\.)?([^/?#:@\[\]]+)(?::([0-9]*))?(/[^?#]*)?(?:\?([^#]*))?(?:#.*)?$", re.S)
+
+
 def url_key(url: str) -> str:
-    """Host labels reversed, then path and sorted query, in lower case and without what doesn't tell pages apart."""
-    try:
-        parts = urlsplit(url.lower())
-        host, port = parts.hostname or "", parts.port
-    except ValueError:
-        return url.lower()
-    if not host:
-        return url.lower()
-    labels = ",".join(reversed(host.removeprefix("www.").split(".")))
-    query = urlencode(sorted(parse_qsl(parts.query, keep_blank_values=True)))
-    return labels + (f":{port}" if port not in (None, 80, 443) else "") + ")" + (parts.path.rstrip("/") or "/") + (f"?{query}" if query else "")
-
-
-def record(page_id: int | None, url: str | None, html: str | None, response_of: int | None) -> bytes:
-    """A whole record without its last line feed. ``response_of`` is the page that a revisit refers to."""
-    payload = (html or "").encode()
-    uri, digest = clean(url), base32(hashlib.sha1(payload).digest())
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if response_of is not None else http + payload
+    """Host labels reversed, then path and sorted query, in lower case and without what doesn't tell pages apart. What isn't a
+    URL with a host is its own key, in lower case."""
+    low = url.lower()
+    if not (m := URL.match(low)):
+        return low
+    host, port, path, query = (x or "" for x in m.groups())
+    labels = ",".join(reversed(host.split(".")))
+    sorted_query = "&".join(sorted(x for x in query.split("&") if x))
+    return labels + (f":{port}" if port not in ("", "80", "443") else "") + ")" + (path.rstrip("/") or "/") + (f"?{sorted_query}" if sorted_query else "")
+
+
+def record(page_id: int | None, url: str | None, digest: bytes, size: int, payload: bytes | None, response_of: int | None = None) -> bytes:
+    """A whole record without its last line feed: a response with its payload, or without one a revisit of ``response_of``."""
+    uri, named = clean(url), base32(digest)
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    block = http + (payload or b"")
     head = [
         VERSION,
-        f"WARC-Type: {'response' if response_of is None else 'revisit'}",
-        f"WARC-Record-ID: <{record_uuid(page_id, uri, digest).urn}>",
+        f"WARC-Type: {'response' if payload is not None else 'revisit'}",
+        f"WARC-Record-ID: <{record_uuid(page_id, uri, named).urn}>",
         f"WARC-Target-URI: {uri}",
         f"WARC-Date: {captured(page_id)}",
-        f"WARC-Payload-Digest: sha1:{digest}",
+        f"WARC-Payload-Digest: sha1:{named}",
         f"WARC-Block-Digest: sha1:{base32(hashlib.sha1(block).digest())}",
         "Content-Type: application/http; msgtype=response",
     ]
-    if response_of is not None:
+    if payload is None:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{record_uuid(response_of, '', '').urn}>", f"WARC-Refers-To-Date: {captured(response_of)}"]
     return "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r"
 
@@ -138,27 +137,49 @@ def capture(named: dict[str, str], block: memoryview) -> dict[str, Any]:
     }
 
 
-def write(pages: DataFrame, path: str, *, least_bytes: int = 0) -> None:
-    """Archives of all rows of ``pages`` (page_id, url, html) under ``path``: one pass over the payloads, no shuffle of them
-    unless the revisits are many."""
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), F.col("html").alias("html"))
-    sized = base.select("page_id", F.coalesce("html", F.lit("")).alias("html")).select("page_id", F.unhex(F.sha1("html")).alias("digest"), F.octet_length("html").alias("n"))
-    sized = sized.where(F.col("n") >= least_bytes).select("page_id", "digest")
-    groups = sized.groupBy("digest").agg(F.min("page_id").alias("response"), F.count("*").alias("rows")).where("rows > 1 AND response IS NOT NULL")
-    revisits = pinned(sized.join(groups, "digest").where("NOT (page_id <=> response)").select("page_id", "digest", "response"), "revisits").distinct()
-    few = revisits.count() <= BROADCAST_ROWS
-    right = (F.broadcast(revisits) if few else revisits).select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "response")
-    keyed = base.withColumn("_d", F.unhex(F.sha1(F.coalesce("html", F.lit("")))))
-    marked = keyed.join(right, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("_d") == F.col("_digest")), "left").select("page_id", "url", "html", "response")
+RECORD_COLUMNS = ("page_id", "url", "digest", "n")
+
+
+def written(rows: DataFrame, path: str, per_file: int) -> None:
+    """``rows`` (RECORD_COLUMNS and ``html`` or, for revisits, ``response``) as archives added to those under ``path``."""
+    revisits = "response" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
-                rows = zip(*(c.to_pylist() for c in whole.slice(at, 64).columns), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([record(*r) for r in rows], pa.binary())], names=["record"])
+                out = []
+                for page, url, digest, n, last in zip(*(c.to_pylist() for c in whole.slice(at, 64).columns), strict=True):
+                    out.append(record(page, url, digest, n, None, last) if revisits else record(page, url, digest, n, (last or "").encode()))
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    lines = marked.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    lines.write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    lines = rows.select(*RECORD_COLUMNS, "response" if revisits else "html").mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
+    lines.write.mode("append").option("lineSep", "\n").option("maxRecordsPerFile", per_file).text(path)
+
+
+def write(pages: DataFrame, path: str, *, least_bytes: int = 0) -> None:
+    """Archives of all rows of ``pages`` (page_id, url, html) under ``path``.
+
+    A revisit needs no payload, so it is written from a narrow table of digests. Pages that a key filter tells from all revisits
+    are responses and are written where they are read; only what passes the filter, revisits and a few others, is shuffled.
+    """
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), F.col("html").alias("html"))
+    base = base.withColumn("digest", F.unhex(F.sha1(F.coalesce("html", F.lit(""))))).withColumn("n", F.coalesce(F.octet_length("html"), F.lit(0)))
+    narrow = pinned(base.select(*RECORD_COLUMNS), "payloads")
+    sized = narrow.where(F.col("n") >= least_bytes)
+    groups = pinned(sized.groupBy("digest").agg(F.min("page_id").alias("response"), F.count("*").alias("rows")).where("rows > 1 AND response IS NOT NULL"), "payload-groups")
+    revisits = pinned(joined_to_groups(sized, groups, "digest", "rows", narrow.count()).where("NOT (page_id <=> response)").select(*RECORD_COLUMNS, "response"), "revisits")
+    written(revisits, path, FILE_RECORDS)
+
+    keys = revisits.select("page_id", "digest").distinct()
+    marked = KeyFilter.of(pinned(keys, "revisit-keys"), "page_id", "digest").mark(base, "maybe", "page_id", "digest")
+    known = keys.select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"))
+    rest = marked.where("maybe").join(known, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left_anti")
+    responses = marked.where("NOT maybe").unionByName(rest)
+    most = narrow.agg(F.max("n")).first()[0] or 0
+    ordinary = FILE_BYTES // FILE_RECORDS
+    written(responses.where(F.col("n") <= ordinary), path, FILE_RECORDS)
+    if most > ordinary:
+        written(responses.where(F.col("n") > ordinary), path, max(1, FILE_BYTES // most))
 
 
 RUN_DDL = "run string, seq long, url_key string, captured_at string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, offset long, length long"

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from seqloom.llm import common
 from seqloom.llm import warc as w
 
 
@@ -43,10 +44,11 @@ def rows_of(df):
     return sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("least, broadcast, per_file", [(0, 200_000, 512), (5, -1, 3)])
-def test_round_trip(spark, monkeypatch, least, broadcast, per_file):
-    monkeypatch.setattr(w, "BROADCAST_ROWS", broadcast)
+@pytest.mark.parametrize("least, per_file, file_bytes, bits", [(0, 512, 1 << 26, 1 << 28), (5, 3, 1000, 1 << 28), (0, 2, 1 << 20, 1 << 15)])
+def test_round_trip(spark, monkeypatch, least, per_file, file_bytes, bits):
     monkeypatch.setattr(w, "FILE_RECORDS", per_file)
+    monkeypatch.setattr(w, "FILE_BYTES", file_bytes)
+    monkeypatch.setattr(common, "MOST_BITS", bits)
     trap = "\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc\n\r\n\r\n"
     rows = [(5, "http://a.com/", "same é"), (3, "http://b.com/x", "same é"), (9, None, "same é"), (1, "http://a.com/\r\nX: y", None), (2, "http://a.com/", ""), (7, "http://é.com/ü", trap), (8, "u", trap + "\n"), (-4, "http://z.org", "x" * 300_000), (None, "http://n.org", "n"), (None, "http://n.org", "same é"), (10, "http://a.com", "abcd")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, response int")
@@ -60,3 +62,12 @@ def test_real_and_empty(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     assert rows_of(w.write_and_read(pages)) == brute([(r.page_id, r.url, r.html) for r in pages.collect()], 0)
     assert w.write_and_read(pages.limit(0)).count() == 0
+
+
+def test_rows_that_only_pass_the_filter_are_responses(spark, monkeypatch):
+    """With one bit for all keys every page passes, and the join alone tells revisits from responses."""
+    monkeypatch.setattr(common, "LEAST_BITS", 1)
+    monkeypatch.setattr(common, "MOST_BITS", 1)
+    rows = [(i, f"http://h{i % 3}.com/{i}", f"page {i % 17}") for i in range(120)] + [(None, "http://n.org", "page 3"), (4, "http://again.org", "page 4")]
+    out = w.write_and_read(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert rows_of(out) == brute(rows, 0)
