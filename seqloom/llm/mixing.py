@@ -7,14 +7,15 @@ met, the last document in part. A tree over the output shards splits the quotas:
 one multivariate-hypergeometric draw, so every shard is a simple random sample of the mix, and the leaves add up to the quotas.
 Each shard then takes the next blocks of each source's permuted list, disjoint from all others, and is shuffled by hash locally.
 
-Only the tree is computed on the driver, from one number a source; its size is sources times shards, not documents. All
-else is DataFrame functions: sums by block before anything is shuffled by source, windows only inside a block.
+Only the tree is computed on the driver, from one number a source; it has a number for each source and shard that the source
+reaches, at most sources times shards and at most the blocks drawn. All else is DataFrame functions: sums by block before anything is shuffled by source, windows only inside a block.
 
 Targets: sources by code point, null last, have the given weights in turn; together they get ``share`` of all words; none
 gets more than ``most`` times its words, and what is over goes to the others by weight until none is above.
 
 Defined results: null text has size 0, is never taken and belongs to its source; rows with a null id take part; rows repeated as a
-whole are documents of their own; a mix of an empty table, or of one without words, is empty; extra columns are carried along.
+whole are documents of their own; a mix of an empty table, or of one without words, is empty; extra columns are carried along,
+whatever their names: a row travels as one struct.
 """
 
 from __future__ import annotations
@@ -78,19 +79,16 @@ def splitting_tree(quotas: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def plan(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, shards: int | None = None, block_docs: int = 512, seed: int = 17) -> DataFrame:
-    """``docs`` with ``_size, _source_size, _target, _taken`` and ``_draws array<struct<copy,shard,words>>``, a row each."""
+def plan(docs: DataFrame, carry: list[str] | None = None, *, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, shards: int | None = None, block_docs: int = 512, seed: int = 17) -> DataFrame:
+    """``row`` (a struct of the columns ``carry`` of ``docs``, all by default), ``size, source_size, target, taken, u`` and
+    ``draws array<struct<copy,shard,words>>``: one row for each row of ``docs``."""
     spark = docs.sparkSession
     shards = shards or shuffle_width(spark)
-    # Every name that is added starts with an underscore and the operator's own prefix is checked against the input's.
-    if clash := {"_size", "_u", "_source_key"} & set(docs.columns):
-        docs = docs.drop(*clash)
-    keyed = (
-        docs.withColumn("_size", size_of(F.col("text")))
-        .withColumn("_u", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")))
-        .withColumn("_source_key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
-    )
-    narrow = pinned(keyed.select(F.col("_source_key").alias("source_key"), F.col("source"), F.col("_size").alias("size"), F.col("_u").alias("u")), "sizes")
+    keyed = docs.select(
+        F.struct(*(docs.columns if carry is None else carry)).alias("row"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("u"),
+        F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("source_key"),
+    )
+    narrow = pinned(keyed.select("source_key", "source", "size", "u"), "sizes")
     sources = narrow.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     goal = targets(sources, weights, share, most)
     quota = F.round("target").cast("long")
@@ -109,26 +107,23 @@ def plan(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: floa
 
     counts = permuted.groupBy("source_key").count().orderBy("source_key").collect()  # a row a source
     tree = splitting_tree([r["count"] for r in counts], shards, seed) if counts else np.zeros((shards, 0), np.int64)
-    leaves = [{"k": r["source_key"], "c": tree[:, i].tolist()} for i, r in enumerate(counts)]
-    cut = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(leaves)), "array<struct<k:string,c:array<bigint>>>")))
-    runs = cut.select("k", F.posexplode("c").alias("shard", "n"))
-    runs = runs.withColumn("stop", F.sum("n").over(Window.partitionBy("k").orderBy("shard"))).where("n > 0")
+    leaves = [{"k": r["source_key"], "s": (at := np.flatnonzero(tree[:, i])).tolist(), "c": tree[at, i].tolist()} for i, r in enumerate(counts)]
+    cut = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(leaves)), "array<struct<k:string,s:array<int>,c:array<bigint>>>")))
+    runs = cut.select("k", F.inline(F.arrays_zip("s", "c"))).withColumnsRenamed({"s": "shard", "c": "n"})
+    runs = runs.withColumn("stop", F.sum("n").over(Window.partitionBy("k").orderBy("shard")))
     slots = runs.select(F.col("k").alias("source_key"), "shard", F.explode(F.sequence(F.col("stop") - F.col("n"), F.col("stop") - 1)).alias("at"))
     placed = permuted.join(slots, ["source_key", "at"]).groupBy("source_key", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("places"))  # at most ceil(most) copies a block
     by_block = blocks.join(placed, ["source_key", "block"], "left").join(goal.select("source_key", "source_size", "target", "n_blocks"), "source_key")
-    by_block = by_block.select(
-        F.col("source_key").alias("_source_key"), F.col("block").alias("_block"), F.col("start").alias("_start"), F.col("places").alias("_places"),
-        F.col("passes").alias("_passes"), F.col("rest").alias("_rest"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"),
-    )
+    by_block = by_block.select("source_key", "block", "start", "places", "passes", "rest", "source_size", "target")
 
-    numbered = keyed.join(goal.select(F.col("source_key").alias("_source_key"), F.col("n_blocks").alias("_n")), "_source_key").withColumn("_block", F.pmod(F.col("_u"), F.col("_n")))
-    inside = Window.partitionBy("_source_key", "_block").orderBy("_u").rowsBetween(Window.unboundedPreceding, -1)
-    found = numbered.withColumn("_before", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(by_block, ["_source_key", "_block"])
-    extra = F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_rest") - F.col("_start") - F.col("_before")))
-    words = lambda p: F.when(p["copy"] <= F.col("_passes"), F.col("_size")).otherwise(extra)
-    draws = F.filter(F.transform(F.coalesce("_places", F.array()), lambda p: F.struct(p["copy"].alias("copy"), p["shard"].alias("shard"), words(p).alias("words"))), lambda d: d["words"] > 0)
-    out = found.withColumn("_draws", draws).withColumn("_taken", F.aggregate("_draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]))
-    return out.select(*docs.columns, "_size", "_source_size", "_target", "_taken", "_draws", "_u")
+    numbered = keyed.drop("source").join(goal.select("source_key", "n_blocks"), "source_key").withColumn("block", F.pmod("u", "n_blocks")).drop("n_blocks")
+    inside = Window.partitionBy("source_key", "block").orderBy("u").rowsBetween(Window.unboundedPreceding, -1)
+    found = numbered.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(by_block, ["source_key", "block"])
+    extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start") - F.col("before")))
+    words = lambda p: F.when(p["copy"] <= F.col("passes"), F.col("size")).otherwise(extra)
+    draws = F.filter(F.transform(F.coalesce("places", F.array()), lambda p: F.struct(p["copy"].alias("copy"), p["shard"].alias("shard"), words(p).alias("words"))), lambda d: d["words"] > 0)
+    out = found.withColumn("draws", draws).withColumn("taken", F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]))
+    return out.select("row", "size", "source_size", "target", "taken", "draws", "u")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -136,11 +131,10 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
     A draw of part of a document has the text up to its last word taken, and ``n_chars`` of that where there is such a column.
     """
-    columns = docs.columns
-    drawn = plan(docs, **options).select(*columns, "_size", "_u", F.explode("_draws").alias("_d"))
-    cut = drawn.withColumn("text", F.when(F.col("_d.words") < F.col("_size"), first_words(F.col("text"), F.col("_d.words"))).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    drawn = plan(docs, **options).select("row", "size", "u", F.explode("draws").alias("d"))
+    whole = F.col("row.text")
+    drawn = drawn.withColumn("said", F.when(F.col("d.words") < F.col("size"), first_words(whole, F.col("d.words"))).otherwise(whole))
     width = options.get("shards") or shuffle_width(docs.sparkSession)
-    local = dealt(cut, width, F.col("_d.shard")).sortWithinPartitions(F.col("_d.shard"), F.xxhash64(F.col("_d.shard"), F.col("_u"), F.col("_d.copy")))
-    return local.select(*columns)
+    local = dealt(drawn, width, F.col("d.shard")).sortWithinPartitions(F.col("d.shard"), F.xxhash64(F.col("d.shard"), F.col("u"), F.col("d.copy")))
+    changed = {"text": F.col("said"), "n_chars": F.length("said")}
+    return local.select(*((changed[c] if c in changed else F.col("row")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))

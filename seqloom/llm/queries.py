@@ -39,10 +39,8 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = mixing.plan(table(spark, sf_dir, "documents"))
-    return planned.select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken")
-    )
+    planned = mixing.plan(table(spark, sf_dir, "documents"), ["doc_id"])
+    return planned.select("row.doc_id", "size", "source_size", "target", "taken", F.col("draws.shard").alias("shards"))
 
 
 #: The key of the registered query; a deployment passes its own secret.
