@@ -8,7 +8,10 @@ entities and without a shuffle. ``collisions`` checks that distinctness over a w
 
 What is permuted is a normalised value: the digits of a phone, card or IBAN, the letters of an address or name without case.
 The entity's own format is put on again, so one entity written in several ways gets one surrogate written in those ways. A
-word of a name found in a text is replaced wherever it stands alone in that text.
+word of a name found in a text is replaced wherever it stands alone in that text. Where values of one place look like
+several kinds (digits, hexadecimal digits, known forms of keys, other values; valid and invalid IBANs), each kind is mapped
+onto itself, so no two kinds meet. Entities of any length are cut into blocks of ``BLOCK`` characters, each permuted under
+a label that holds a digest of the blocks before it: still a bijection, in linear time.
 
 Kept: length, punctuation and country code of phones; validity of check digits (cards, IBANs) and the class of an address
 (private, loopback, link-local, public); the case and script of letters; gender and script of listed given names. A title in
@@ -26,12 +29,16 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-SLICE = 512
+from seqloom.llm.common import pinned, spare
+
+SLICE, BLOCK = 512, 48
 #: Given names by script and gender.
 GIVEN = {
     ("latin", "female"): "Alice Anna Barbara Clara Diana Elena Emma Eva Hannah Helen Irene Julia Laura Linda Lucy Maria Martha Mary Nina Olivia Paula Rose Sarah Sophia".split(),
@@ -50,7 +57,7 @@ ALPHABETS = (
 )
 ALPHABETS += tuple(a.upper() for a in ALPHABETS if a.upper() != a)
 CLASS_OF = {c: a for a in ALPHABETS for c in a}
-DIGITS, HEX = "0123456789", "0123456789abcdef"
+DIGITS, HEX, MARKS = "0123456789", "0123456789abcdef", "!#$%&*+-./:;<=>?@^_~"
 NAMES = {n: (list_, gender) for (_, gender), list_ in GIVEN.items() for n in list_}
 EXACT = {n.lower(): n for n in NAMES}
 #: Country codes of one and two digits; all others have three.
@@ -59,16 +66,18 @@ COUNTRY = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58
 _title = "|".join(sorted(TITLES, key=len, reverse=True))
 _name = "|".join(sorted(NAMES, key=len, reverse=True))
 _octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_hextet = r"[0-9A-Fa-f]{1,4}"
 _surname = r"[^\W\d_a-zà-ÿа-яα-ω][^\W\d_]+(?:-[^\W\d_]+)?"
 _secret = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}|xox[abpr]-[A-Za-z0-9-]{10,}|[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}"
 PATTERNS = (
     ("email", r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+"),
-    ("secret", rf"""(?<=["'=:\s])(?:{_secret})(?![\w])"""),
+    ("secret", rf"(?<!\w)(?:{_secret})(?!\w)"),
     ("assigned", r"""(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*["'])[^"'\s]{6,}(?=["'])"""),
     ("ipv4", rf"(?<![\d.]){_octet}(?:\.{_octet}){{3}}(?![\d]|\.\d)"),
+    ("ipv6", rf"(?<![\w:.])(?:(?:{_hextet}:){{7}}{_hextet}|(?=\S*\d)(?:{_hextet}:){{1,6}}(?::{_hextet}){{1,6}})(?![\w:.])"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])"),
+    ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w.-])(?:1-)?\d{3}-\d{3}-\d{4}(?![\w-])|(?<![\w.-])(?:1\.)?\d{3}\.\d{3}\.\d{4}(?!\w|\.\d)"),
     ("card", r"(?<![\w.-])\d{4}(?:[ -]\d{4}){3}(?![\w-])|(?<![\w.])\d{13,19}(?!\w)"),
     ("person", rf"\b(?:(?:{_title})\.? (?:(?:{_name}) )?{_surname}|(?:{_name}) {_surname})"),
 )
@@ -89,9 +98,9 @@ class Surrogates:
 
     def _round(self, label: str, i: int, value: int, bound: int) -> int:
         width = (bound.bit_length() + 64) // 8 + 1
-        out = b""
+        out, given = b"", value.to_bytes(value.bit_length() // 8 + 1, "big")
         while len(out) < width:
-            out += hmac.digest(self.key, f"{label}|{i}|{len(out)}|{value}".encode(), "sha256")
+            out += hmac.digest(self.key, f"{label}|{i}|{len(out)}|".encode() + given, "sha256")
         return int.from_bytes(out[:width], "big") % bound
 
     def _feistel(self, label: str, size: int, x: int, backwards: bool) -> int:
@@ -117,19 +126,20 @@ class Surrogates:
     def by_alphabets(self, label: str, chars: str, alphabets: list[str | None]) -> str:
         """Characters replaced within their alphabets; those without one stay and are part of the format."""
         shape = "".join(c if a is None else f"<{a}>" for c, a in zip(chars, alphabets, strict=True))
-        size, x = 1, 0
-        for c, a in zip(chars, alphabets, strict=True):
-            if a is not None:
-                size, x = size * len(a), x * len(a) + a.index(c)
-        y = self.moved(f"{label}|{shape}", size, x)
-        out = []
-        for c, a in zip(reversed(chars), reversed(alphabets), strict=True):
-            if a is None:
-                out.append(c)
-            else:
-                y, at = divmod(y, len(a))
-                out.append(a[at])
-        return "".join(reversed(out))
+        label = f"{label}|{sha256(shape.encode()).hexdigest()}"
+        places = [i for i, a in enumerate(alphabets) if a is not None]
+        out, before = list(chars), b""
+        for at in range(0, len(places), BLOCK):
+            block = places[at : at + BLOCK]
+            size, x = 1, 0
+            for i in block:
+                size, x = size * len(alphabets[i]), x * len(alphabets[i]) + alphabets[i].index(chars[i])
+            y = self.moved(f"{label}|{before.hex()}", size, x)
+            before = sha256(before + "".join(chars[i] for i in block).encode()).digest()
+            for i in reversed(block):
+                y, k = divmod(y, len(alphabets[i]))
+                out[i] = alphabets[i][k]
+        return "".join(out)
 
     def within(self, label: str, text: str, holds: Callable[[str], bool], alphabets: list[str | None]) -> str:
         """As ``by_alphabets``, walked on until ``holds``: a bijection of what holds."""
@@ -162,19 +172,15 @@ class Surrogates:
             return self.by_alphabets("hex", text, [HEX] * len(text))
         start = re.match(r"AKIA|gh[pousr]_|sk-|xox[abpr]-", text)
         at = start.end() if start else 0
-        return text[:at] + self._wide("secret", text[at:])
-
-    def _wide(self, label: str, text: str) -> str:
-        sets = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", DIGITS)
-        alphabets = [next((a for a in sets if c in a), CLASS_OF.get(c)) for c in text]
-        return self.by_alphabets(label, text, alphabets)
+        return text[:at] + self.by_alphabets("secret", text[at:], wide(text[at:]))
 
     def _assigned(self, text: str) -> str:
         at = max(text.rfind('"'), text.rfind("'")) + 1
         value = text[at:]
-        if SECRET.fullmatch(value):
+        if (kind := value_kind(value)) == "key":
             return text[:at] + self._secret(value)
-        return text[:at] + (self.by_alphabets("hex", value, [HEX] * len(value)) if all(c in HEX for c in value) else self._wide("assigned", value))
+        alphabets = {"digits": [DIGITS] * len(value), "hex": [HEX] * len(value), "marks": [MARKS if c in MARKS else None for c in value]}.get(kind) or wide(value)
+        return text[:at] + self.within(f"assigned {kind}", value, lambda x: value_kind(x) == kind, alphabets)
 
     def _ipv4(self, text: str) -> str:
         value = int(ipaddress.IPv4Address(text))
@@ -188,13 +194,23 @@ class Surrogates:
             if address_kind(out) == kind:
                 return str(ipaddress.IPv4Address(out))
 
+    def _ipv6(self, text: str) -> str:
+        """The first group, which tells what an address is for, stays."""
+        at = text.index(":")
+        low = text.lower()
+        new = low[:at] + self.by_alphabets(f"ipv6|{low[:at]}", low[at:], [HEX if c in HEX else None for c in low[at:]])
+        return new.upper() if text.isupper() else new
+
     def _iban(self, text: str) -> str:
+        """Valid numbers stay valid; an invalid one keeps its two digits and stays invalid."""
         plain = text.replace(" ", "")
-        body = plain[4:]
-        moved = self._wide(f"iban|{plain[:2]}", body)
-        # Valid numbers stay valid; an invalid one keeps its two digits.
-        head = plain[:2] + (iban_digits(plain[:2], moved) if iban_digits(plain[:2], body) == plain[2:4] else plain[2:4])
-        rest = iter(head + moved)
+        country, check, body = plain[:2], plain[2:4], plain[4:]
+        if iban_digits(country, body) == check:
+            body = self.by_alphabets(f"iban|{country}", body, wide(body))
+            check = iban_digits(country, body)
+        else:
+            body = self.within(f"iban|{country}|{check}", body, lambda x: iban_digits(country, x) != check, wide(body))
+        rest = iter(country + check + body)
         return "".join(c if c == " " else next(rest) for c in text)
 
     def _ssn(self, text: str) -> str:
@@ -206,7 +222,8 @@ class Surrogates:
         digits = "".join(text[i] for i in at)
         code = COUNTRY.match(digits)[0] if text[0] == "+" else ""
         trunk = text.find("(0)") if code != "1" else -1  # a trunk zero isn't part of the number
-        at = [i for i in at[len(code) :] if i != trunk + 1 or trunk < 0]
+        prefix = len(code) if code or len(digits) != 11 else 1  # 1-800-...: the code without its plus
+        at = [i for i in at[prefix:] if i != trunk + 1 or trunk < 0]
         body = "".join(text[i] for i in at)
         code = code or "1"
         # The first digit, and that of the exchange in +1, stays above 1 or below 2.
@@ -275,6 +292,23 @@ def mentions(text: str, hits: list[tuple[int, str, str]]) -> list[tuple[int, str
     return [(m.start(), m[0], "person") for a, b in gaps for m in word.finditer(text, a, b)]
 
 
+def wide(text: str) -> list[str | None]:
+    """Capitals, small letters and digits among themselves; letters of other scripts within their alphabets."""
+    sets = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", DIGITS)
+    return [next((a for a in sets if c in a), CLASS_OF.get(c)) for c in text]
+
+
+def value_kind(value: str) -> str:
+    """What an assigned value looks like. Surrogates stay in their kind."""
+    if SECRET.fullmatch(value):
+        return "key"
+    if all(c in DIGITS for c in value):
+        return "digits"
+    if all(c in HEX for c in value):
+        return "hex"
+    return "other" if any(a for a in wide(value)) else "marks"
+
+
 def address_kind(value: int) -> str:
     """Private and other special blocks, multicast and above, or public."""
     top = value >> 24
@@ -297,42 +331,57 @@ def keyed(key: str) -> Surrogates:
 
 
 ENTITY = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int32()), ("original", pa.string()), ("surrogate", pa.string())]))
+ENTITY_DDL = "array<struct<type:string,start:int,original:string,surrogate:string>>"
 
 
-def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
-    """``doc_id, text, entities``: texts with surrogates, and what was found. One pass, no shuffle."""
+def replaced(docs: DataFrame, key: str, entities: str) -> DataFrame:
+    """``docs`` with its texts replaced and, as ``entities``, what was found in them. One pass, no shuffle."""
+    where = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = keyed(key)
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 b = whole.slice(at, SLICE)
-                done = [(None, []) if t is None else maps.replace(t) for t in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t for t, _ in done], pa.string()), pa.array([e for _, e in done], ENTITY)], names=["doc_id", "text", "entities"])
+                columns = list(b.columns)
+                done = [(None, []) if t is None else maps.replace(t) for t in columns[where].to_pylist()]
+                columns[where] = pa.array([t for t, _ in done], columns[where].type)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([e for _, e in done], ENTITY)], names=[*b.schema.names, entities])
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, text string, entities array<struct<type:string,start:int,original:string,surrogate:string>>")
+    schema = StructType([*docs.schema.fields, StructField(entities, docs.sparkSession.createDataFrame([], f"e {ENTITY_DDL}").schema["e"].dataType)])
+    return docs.mapInArrow(run, schema)
 
 
-def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` with its texts replaced, all other columns as they are."""
-    where = docs.columns.index("text")
+class Collision(ValueError):
+    pass
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = keyed(key)
-        for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                b = whole.slice(at, SLICE)
-                columns = list(b.columns)
-                columns[where] = pa.array([t and maps.replace(t)[0] for t in columns[where].to_pylist()], columns[where].type)
-                yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+def checked(rows: DataFrame, entities: str) -> DataFrame:
+    """``rows`` written down, if over all of them different entities have different surrogates and equal ones equal ones.
+
+    By construction they do; a result in which they don't is not handed out.
+    """
+    rows = pinned(rows, "surrogates")
+    if faults := collisions(rows, entities).limit(5).collect():
+        raise Collision(f"surrogates that don't stand for one entity each: {[(r.type, r.fault) for r in faults]}")
+    return rows
+
+
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
+    """``doc_id, text, entities``: texts with surrogates, and what was found; checked for collisions."""
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    return checked(replaced(picked, key, "entities"), "entities")
+
+
+def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with its texts replaced, all other columns as they are; checked for collisions."""
+    (entities,) = spare(docs, "entities")
+    return checked(replaced(docs, key, entities), entities).drop(entities)
 
 
-def collisions(replaced: DataFrame) -> DataFrame:
+def collisions(rows: DataFrame, entities: str = "entities") -> DataFrame:
     """Surrogates that stand for more than one original, and originals with more than one surrogate: none is expected."""
-    pairs = replaced.select(F.explode("entities").alias("e")).select("e.type", "e.original", "e.surrogate").distinct()
+    pairs = rows.select(F.explode(entities).alias("e")).select("e.type", "e.original", "e.surrogate").distinct()
     merged = pairs.groupBy("type", "surrogate").agg(F.count("*").alias("n")).where("n > 1").select("type", F.col("surrogate").alias("value"), F.lit("merged").alias("fault"))
     split = pairs.groupBy("type", "original").agg(F.count("*").alias("n")).where("n > 1").select("type", F.col("original").alias("value"), F.lit("split").alias("fault"))
     return merged.unionByName(split)

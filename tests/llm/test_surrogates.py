@@ -72,7 +72,7 @@ def test_table(spark):
 
 def test_edges(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (None, "a@b.example.com"), (3, "x" * 500_000 + " a@b.example.com"), (3, "a@b.example.com")], "doc_id long, text string")
-    rows = s.pseudonymise(df, "k").collect()
+    rows = sorted(s.pseudonymise(df, "k").collect(), key=lambda r: [1, 2, None, 3].index(r.doc_id) + 0.5 * (len(r.text or "") < 500 and r.doc_id == 3))  # a written table has no order
     assert rows[0].text is None and rows[0].entities == [] and rows[1].text == ""
     assert rows[2].text == rows[4].text and rows[3].text.endswith(" " + rows[2].text)
     assert s.pseudonymise(df.limit(0), "k").count() == 0
