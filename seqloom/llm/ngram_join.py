@@ -7,9 +7,14 @@ by hash in steps of 32 and dropped as soon as the posterior probability that the
 below ``tolerance`` (uniform prior); what remains links nodes to clusters. (5) Within each cluster every pair is verified
 exactly on the n-gram sets, and the true links give classes and counts.
 
-A bucket or cluster above ``TILE`` nodes is cut into tiles and each pair of tiles is its own unit of work, so no task ever
-holds more than two tiles, however many nodes are alike. Pairs are never rows: a unit gives a row for each of its nodes. The
-counting of links between n mutually similar different texts is quadratic in n in arithmetic, which exact counts need.
+A bucket or cluster above ``LEAST_TILE`` nodes is cut into tiles and each pair of tiles is its own unit of work. Up to eight tiles
+they spread a group over tasks; beyond, a tile has ``TILE`` nodes or ``TILE_BYTES`` of text, so no task ever holds more than two
+such tiles (or two texts), however many nodes are alike. Pairs are never rows: a unit gives a row for each of its nodes. A
+group of k tiles is copied k times; counting the links between n mutually similar different texts is quadratic in n in
+arithmetic, which exact counts need.
+
+Verification compares the words themselves: within a unit words are numbered by an exact dictionary and n-grams by those
+numbers, so equal hashes of different n-grams change nothing. Hashes are used to find candidates only.
 
 At the default 32 bands of 4, a pair at the threshold itself shares no band with probability 5e-8.
 
@@ -26,16 +31,17 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import pinned, text_key
+from seqloom.llm.common import KeyFilter, joined_to_groups, pinned, text_key
 from seqloom.llm.components import components
 
 BANDS, ROWS, STEP = 32, 4, 32
 HASHES = BANDS * ROWS
-TILE = 1024
+TILE, LEAST_TILE, SPREAD, TILE_BYTES = 4096, 512, 8, 1 << 24
 SLICE = 128
 _rng = np.random.default_rng(20240229)
 MULTIPLY = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -126,28 +132,49 @@ def clustered(sigs: np.ndarray, least: dict[int, int]) -> np.ndarray:
     return label
 
 
-def linked(sets: list[np.ndarray], threshold: tuple[int, int]) -> np.ndarray:
-    """Boolean matrix of pairs of sets whose Jaccard similarity is at least p/q, exactly."""
+def exact_grams(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """For each text its distinct word n-grams as numbers: equal numbers, equal words, in all of ``texts``."""
+    words = [t.lower().split() if t else [] for t in texts]
+    count = np.array([len(w) for w in words], np.int64)
+    if not count.sum():
+        return [np.zeros(0, np.int64) for _ in texts]
+    coded = pa.array([w for ws in words for w in ws], pa.large_string()).dictionary_encode()
+    h, base = coded.indices.to_numpy().astype(np.int64) + 1, len(coded.dictionary) + 1
+    stop = np.cumsum(count)
+    left = np.repeat(stop, count) - np.arange(len(h))  # words from here to the end of the text
+    at = np.flatnonzero((left >= n) | (left == np.repeat(count, count)))  # a short text has the n-gram of all its words, filled up with 0
+    code, left = h[at], left[at]
+    for i in range(1, n):
+        following = np.where(left > i, h[np.minimum(at + i, len(h) - 1)], 0)
+        code = np.unique(code * base + following, return_inverse=True)[1]
+    each = np.where((count > 0) & (count < n), 1, np.maximum(count - n + 1, 0))
+    return [np.unique(x) for x in np.split(code, np.cumsum(each)[:-1])]
+
+
+def linked(sets: list[np.ndarray], threshold: tuple[int, int], rows: int = 1024, width: int = 1024) -> np.ndarray:
+    """Boolean matrix of pairs of sets whose Jaccard similarity is at least p/q, exactly; counted by blocks of rows and values."""
     p, q = threshold
+    n = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     values, column = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), size)
+    row = np.repeat(np.arange(n), size)
     shared = np.bincount(column, minlength=len(values)) > 1
     slot = np.cumsum(shared) - 1
     use = shared[column]
     row, column = row[use], slot[column[use]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    common = np.zeros((len(sets), len(sets)), np.float32)  # counts stay far below 2 ** 24, so floats are exact
-    width = 4096
     total = int(shared.sum())
     cuts = np.searchsorted(column, np.arange(0, total + width, width))
-    for k, at in enumerate(range(0, total, width)):
-        block = np.zeros((len(sets), min(width, total - at)), np.float32)
-        block[row[cuts[k] : cuts[k + 1]], column[cuts[k] : cuts[k + 1]] - at] = 1
-        common += block @ block.T
-    common = common.astype(np.int64)
-    out = common * (p + q) >= p * (size[:, None] + size[None, :])
+    out = np.zeros((n, n), bool)
+    for first in range(0, n, rows):
+        mine = slice(first, min(first + rows, n))
+        common = np.zeros((mine.stop - first, n), np.float32)  # counts stay far below 2 ** 24, so floats are exact
+        for k, at in enumerate(range(0, total, width)):
+            block = np.zeros((n, min(width, total - at)), np.float32)
+            block[row[cuts[k] : cuts[k + 1]], column[cuts[k] : cuts[k + 1]] - at] = 1
+            common += block[mine] @ block.T
+        out[mine] = common.astype(np.int64) * (p + q) >= p * (size[mine, None] + size[None, :])
     return out & (size[:, None] > 0) & (size[None, :] > 0)
 
 
@@ -158,11 +185,12 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         yield key, [r[keys:] for r in run]
 
 
-def tiled(df: DataFrame, size: str, node: str) -> DataFrame:
-    """Adds ``i, j``: the pair of tiles a row is needed for. Groups of at most TILE rows have one tile and one unit."""
-    n = F.ceil(F.col(size) / TILE).cast("int")
+def tiled(df: DataFrame, size: str, node: str, size_bytes: Column | int = 0) -> DataFrame:
+    """Adds ``t, i, j``: a row's tile, and the pair of tiles it is needed for. A group of one tile is one unit."""
+    least = F.least(F.lit(SPREAD), F.ceil(F.col(size) / LEAST_TILE))
+    n = F.greatest(least, F.ceil(F.col(size) / TILE), F.ceil((F.lit(size_bytes) if isinstance(size_bytes, int) else size_bytes) / TILE_BYTES)).cast("int")
     mine = F.pmod(F.xxhash64(node), n).cast("int")
-    return df.withColumn("_t", mine).withColumn("_u", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("i", F.least("_t", "_u")).withColumn("j", F.greatest("_t", "_u")).drop("_u")
+    return df.withColumn("t", mine).withColumn("u", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("i", F.least("t", "u")).withColumn("j", F.greatest("t", "u")).drop("u")
 
 
 def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: tuple[int, int] = (4, 5), tolerance: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,26 +208,26 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: tuple[int, int] =
                 b = whole.slice(at, SLICE)
                 flat, count = grams(b.column(2).to_pylist(), n)
                 sig = signatures(flat, count)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s.tobytes() if c else None for s, c in zip(sig, count, strict=True)], pa.binary())], names=["doc_id", "key", "sig"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s.tobytes() if c else None for s, c in zip(sig, count, strict=True)], pa.binary()), pc.binary_length(b.column(2)).cast(pa.int64())], names=["doc_id", "key", "sig", "bytes"])
 
-    signed = base.select("doc_id", "key", "text").mapInArrow(sign, "doc_id long, key binary, sig binary")
-    nodes = pinned(signed.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "nodes")
+    signed = base.select("doc_id", "key", "text").mapInArrow(sign, "doc_id long, key binary, sig binary, bytes long")
+    nodes = pinned(signed.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bytes").alias("bytes")), "nodes")
+    n_nodes = nodes.count()
 
     # Candidates: places (distinct signatures) by band.
     places = nodes.where("sig IS NOT NULL").groupBy("sig").agg(F.min("key").alias("place"))
-    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.substring("sig", i * (4 * ROWS) + 1, F.lit(4 * ROWS)))))
-    banded = places.select("place", "sig", band.alias("band", "h"))
-    slim = banded.select("band", "h", "place")
-    buckets = slim.groupBy("band", "h").agg(
+    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (4 * ROWS) + 1, F.lit(4 * ROWS)))))
+    slim = places.select("place", band.alias("h"))
+    buckets = slim.groupBy("h").agg(
         F.count("*").alias("size"), F.sum(F.xxhash64("place").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(7), F.col("place"))).alias("x")
     ).where("size > 1")
-    kept = buckets.groupBy("size", "s", "x").agg(F.min(F.struct("band", "h")).alias("b")).select(F.col("b.band").alias("band"), F.col("b.h").alias("h"), "size")
-    members = slim.join(kept, ["band", "h"]).join(places, "place")
-    units = tiled(members, "size", "place").select("band", "h", "i", "j", "place", "sig")
-    keys = ["band", "h", "i", "j"]
+    kept = buckets.groupBy("size", "s", "x").agg(F.min("h").alias("h")).select("h", "size")
+    members = joined_to_groups(slim, kept, "h", "size", n_nodes * BANDS).join(places, "place")
+    units = tiled(members, "size", "place").select("h", "i", "j", "place", "sig")
+    keys = ["h", "i", "j"]
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in grouped(batches, 4):
+        for _, rows in grouped(batches, 3):
             rows.sort()
             label = clustered(np.frombuffer(b"".join(s for _, s in rows), np.uint32).reshape(len(rows), HASHES), least)
             a, b = zip(*[(rows[k][0], rows[c][0]) for k, c in enumerate(label) if k != c], strict=True) if (label != np.arange(len(rows))).any() else ((), ())
@@ -211,18 +239,18 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: tuple[int, int] =
     clusters = components(candidate_edges.unionByName(same_place))
 
     # Exact verification inside the clusters: one text for each node, from the row with its least id.
-    cluster_size = clusters.groupBy("root").agg(F.count("*").alias("size"))
-    inside = clusters.join(cluster_size, "root").withColumnRenamed("node", "key").join(nodes.select("key", "least_id", "copies"), "key")
-    one_text = base.alias("d").join(inside.alias("c"), (F.col("d.key") == F.col("c.key")) & F.col("d.doc_id").eqNullSafe(F.col("c.least_id"))).select("c.root", "c.size", "c.key", "c.copies", "d.text")
-    cells = tiled(one_text, "size", "key").select("root", "i", "j", F.col("_t").alias("t"), "key", "copies", "text")
+    known = pinned(clusters.withColumnRenamed("node", "key").join(nodes.select("key", "least_id", "copies", "bytes"), "key"), "clustered")
+    cluster_size = known.groupBy("root").agg(F.count("*").alias("size"), F.sum("bytes").alias("all_bytes"))
+    inside = joined_to_groups(known, cluster_size, "root", "size", n_nodes)
+    asked = KeyFilter.of(known, "key").passing(base, "key")  # only these texts are shuffled
+    one_text = asked.alias("d").join(inside.alias("c"), (F.col("d.key") == F.col("c.key")) & F.col("d.doc_id").eqNullSafe(F.col("c.least_id"))).select("c.root", "c.size", "c.all_bytes", "c.key", "c.copies", "d.text")
+    cells = tiled(one_text, "size", "key", F.col("all_bytes")).select("root", "i", "j", "t", "key", "copies", "text")
     cell_keys = ["root", "i", "j"]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), rows in grouped(batches, 3):
             rows = sorted({r[1]: r for r in rows}.values(), key=lambda r: r[1])  # repeated rows of one id carry the same text
-            flat, count = grams([r[3] for r in rows], n)
-            sets = [np.unique(x) for x in np.split(flat, np.cumsum(count)[:-1])]
-            on = linked(sets, threshold)
+            on = linked(exact_grams([r[3] for r in rows], n), threshold)
             np.fill_diagonal(on, False)
             tile = np.array([r[0] for r in rows])
             if i != j:  # pairs within a tile are counted in that tile's own unit
@@ -239,8 +267,9 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: tuple[int, int] =
     node_class = nodes.select("key", "least_id", "copies").join(classes.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left")
     node_class = node_class.select("key", "least_id", "copies", F.coalesce("root", "key").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     of_class = node_class.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    final = pinned(node_class.join(of_class, "root").select("key", F.col("root").alias("class_key"), "class_id", "class_size", "n_links"), "classes")
-    return base.select("doc_id", "key").join(final, "key").select("doc_id", "class_id", "class_size", "n_links", F.col("key").alias("text_key"), "class_key")
+    final = pinned(joined_to_groups(node_class, of_class, "root", "class_size", n_nodes).select("key", F.col("root").alias("class_key"), "class_id", "class_size", "n_links", "copies"), "classes")
+    rows = joined_to_groups(base.select("doc_id", "key"), final, "key", "copies", final.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0])
+    return rows.select("doc_id", "class_id", "class_size", "n_links", F.col("key").alias("text_key"), "class_key")
 
 
 def reached(on: np.ndarray) -> np.ndarray:
@@ -261,8 +290,8 @@ def reached(on: np.ndarray) -> np.ndarray:
 def one_of_each(docs: DataFrame, classes: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """The rows of ``docs`` with one left of each class: the one with the least id that isn't null (the first text among equal ids)."""
     found = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    chosen = found.groupBy("class_key", "class_id").agg(F.min("text_key").alias("_key")).select(F.col("class_id").alias("_id"), "_key")
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_key"))
-    kept = docs.join(chosen, on, "left_semi")
-    # Only rows repeated as a whole, id and text alike, can still be double.
-    return kept.withColumn("_text", text_key(F.col("text"))).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    chosen = found.groupBy("class_key", "class_id").agg(F.min("text_key").alias("chosen")).select(F.col("class_id").alias("id"), "chosen")
+    # Only rows repeated as a whole, id and text alike, can still be double. A row travels as one struct, so no name clashes.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"))
+    kept = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("chosen")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "key"]).select(*(F.col("row")[c].alias(c) for c in docs.columns))

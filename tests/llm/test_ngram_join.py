@@ -77,7 +77,8 @@ def test_against_all_pairs(spark):
 
 
 def test_tiles_change_nothing(spark, monkeypatch):
-    monkeypatch.setattr(g, "TILE", 3)
+    for name, value in (("TILE", 3), ("LEAST_TILE", 2), ("SPREAD", 2), ("TILE_BYTES", 3000)):
+        monkeypatch.setattr(g, name, value)
     rows = made(8)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, r.class_id, r.class_size, r.n_links) for r in g.near_duplicates(df).collect()), key=str)
@@ -106,3 +107,35 @@ def test_components(spark, edges):
             for x in merged:
                 parent[x] = merged
     assert got == {x: min(m) for x, m in parent.items()}
+
+
+def test_words_decide_where_hashes_are_equal(spark, monkeypatch):
+    """With every word's hash alike all texts of a length are candidates; only truly similar ones are linked."""
+    monkeypatch.setattr(g, "WEIGHT", np.zeros(64, np.uint64))
+    rows = made(9)[:60]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.class_id, r.class_size, r.n_links) for r in g.near_duplicates(df).collect()), key=str)
+    assert got == brute(rows)
+
+
+def test_exact_grams():
+    texts = ["a b c d e f", "A B C D E", "a b c", None, "", "b c d e f", "a b c d", "x " * 9, "a b c"]
+    got = g.exact_grams(texts, 5)
+    want = [shingles(t) for t in texts]
+    assert [len(x) for x in got] == [len(x) for x in want]
+    for a, x in zip(got, want):
+        for b, y in zip(got, want):
+            assert len(np.intersect1d(a, b)) == len(x & y)
+
+
+def test_blocks_of_rows_and_values():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(0, 30))) for _ in range(50)]
+    assert (g.linked(sets, (4, 5)) == g.linked(sets, (4, 5), rows=7, width=5)).all()
+
+
+def test_names_of_extra_columns(spark):
+    names = "id _id key _key chosen row _text text_key class_key class_id".split()
+    rows = [(i, "a b c d e f g h " * 4 + ("z" if i % 2 else ""), *[f"{n}{i}" for n in names]) for i in range(6)]
+    out = g.one_of_each(spark.createDataFrame(rows, ["doc_id", "text", *names]))
+    assert out.columns == ["doc_id", "text", *names] and [tuple(r) for r in out.collect()] == rows[:1]
