@@ -88,20 +88,50 @@ class Generation:
     body: tuple
 
 
+#: No computed string or list is longer, no computed whole number larger.
+LONGEST, LARGEST = 1 << 24, 1 << 63
+
+
+def bounded(value: Any) -> Any:
+    if isinstance(value, (str, list, tuple)) and len(value) > LONGEST or isinstance(value, int) and abs(value) > LARGEST:
+        raise TemplateError("a value grows too large")
+    return value
+
+
+def times(a: Any, b: Any) -> Any:
+    for x, n in ((a, b), (b, a)):
+        if isinstance(x, (str, list, tuple)) and isinstance(n, int) and len(x) * n > LONGEST:
+            raise TemplateError("a value grows too large")
+    return bounded(a * b)
+
+
+def replaced(x: Any, old: str, new: str) -> str:
+    text = shown(x)
+    if text.count(old) * len(new) > LONGEST:
+        raise TemplateError("a value grows too large")
+    return text.replace(old, new)
+
+
+def remainder(a: Any, b: Any) -> Any:
+    if isinstance(a, str):
+        raise TemplateError("a text has no remainder")
+    return a % b
+
+
 BINARY = {
     "==": operator.eq, "!=": operator.ne, "<": operator.lt, ">": operator.gt, "<=": operator.le, ">=": operator.ge,
-    "+": operator.add, "-": operator.sub, "*": operator.mul, "/": operator.truediv, "//": operator.floordiv, "%": operator.mod,
-    "in": lambda a, b: a in b, "not in": lambda a, b: a not in b, "~": lambda a, b: shown(a) + shown(b),
+    "+": lambda a, b: bounded(a + b), "-": operator.sub, "*": times, "/": operator.truediv, "//": operator.floordiv, "%": remainder,
+    "in": lambda a, b: a in b, "not in": lambda a, b: a not in b, "~": lambda a, b: bounded(shown(a) + shown(b)),
 }
 LEVELS = (("==", "!=", "<", ">", "<=", ">=", "in", "not in"), ("~",), ("+", "-"), ("*", "/", "//", "%"))
 FILTERS: dict[str, Callable[..., Any]] = {
     "trim": lambda x: shown(x).strip(), "upper": lambda x: shown(x).upper(), "lower": lambda x: shown(x).lower(), "length": len,
-    "default": lambda x, other="": other if x is None else x, "replace": lambda x, a, b: shown(x).replace(a, b), "join": lambda x, by="": by.join(map(shown, x)),
+    "default": lambda x, other="": other if x is None else x, "replace": replaced, "join": lambda x, by="": bounded(by.join(map(shown, x))),
     "string": lambda x: shown(x),
 }
 TOKEN = re.compile(r"""\s*(?:(?P<number>\d+(?:\.\d+)?)|(?P<name>[A-Za-z_]\w*)|(?P<string>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<op>==|!=|<=|>=|//|[-+*/%~<>|.,:()\[\]=]))""", re.S)
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
-TAG = re.compile(r"\{(?P<open>[{%#])(?P<left>-?)(?P<body>.*?)(?P<right>-?)(?P<close>[}%#])\}", re.S)
+TAG = re.compile(r"""\{\#(?P<before>-?).*?(?P<after>-?)\#\}|\{(?P<open>[{%])(?P<left>-?)(?P<body>(?:'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^'"])*?)(?P<right>-?)(?P<close>[}%])\}""", re.S)
 
 
 def shown(value: Any) -> str:
@@ -235,17 +265,18 @@ def cut(source: str) -> list[tuple[str, str]]:
     """Text and tags in order; ``-`` strips the text beside it."""
     out: list[tuple[str, str]] = []
     at, strip = 0, False
-    closes = {"{": "}", "%": "%", "#": "#"}
     for m in TAG.finditer(source):
-        if closes[m["open"]] != m["close"]:
+        if m["open"] and {"{": "}", "%": "%"}[m["open"]] != m["close"]:
             raise TemplateError(f"tag closed by another brace: {m[0]!r}")
         text = source[at : m.start()]
         text = text.lstrip() if strip else text
-        out.append(("text", text.rstrip() if m["left"] else text))
-        if m["open"] != "#":
+        out.append(("text", text.rstrip() if m["left"] or m["before"] else text))
+        if m["open"]:
             out.append(("output" if m["open"] == "{" else "tag", m["body"].strip()))
-        at, strip = m.end(), bool(m["right"])
+        at, strip = m.end(), bool(m["right"] or m["after"])
     out.append(("text", source[at:].lstrip() if strip else source[at:]))
+    if unclosed := next((x for kind, x in out if kind == "text" and re.search(r"\{[{%#]", x)), None):
+        raise TemplateError(f"tag without an end: {unclosed[:40]!r}")
     return [x for x in out if x != ("text", "")]
 
 
@@ -302,36 +333,40 @@ def parse(source: str) -> tuple:
 
 
 def fold(node: Any, filters: Mapping[str, Callable]) -> Any:
-    """The tree with what is known beforehand computed, dead branches gone and neighbouring texts joined."""
+    """The tree with what is known beforehand computed, dead branches gone and neighbouring texts joined.
+
+    Branches that are never taken are not looked at, and what can't be computed stays to fail when it is reached.
+    """
     if isinstance(node, tuple):
         out: list = []
         for x in node:
             x = fold(x, filters)
-            if isinstance(x, If) and isinstance(x.test, Const):
-                out += x.then if x.test.value else x.other
-            elif isinstance(x, Output) and isinstance(x.expr, Const):
-                text = shown(x.expr.value)
-                if out and isinstance(out[-1], Output) and isinstance(out[-1].expr, Const):
-                    text = out.pop().expr.value + text
-                if text:
-                    out.append(Output(Const(text)))
-            else:
-                out.append(x)
+            for y in x if isinstance(x, tuple) else (x,):
+                if isinstance(y, Output) and isinstance(y.expr, Const):
+                    text = shown(y.expr.value)
+                    if out and isinstance(out[-1], Output) and isinstance(out[-1].expr, Const):
+                        text = out.pop().expr.value + text
+                    if text:
+                        out.append(Output(Const(text)))
+                else:
+                    out.append(y)
         return tuple(out)
     if isinstance(node, Apply):
+        f = function(node.what, filters) if node.what != "list" else None
         operands = tuple(fold(x, filters) for x in node.operands)
-        node = Apply(node.what, operands)
-        if node.what != "list" and all(isinstance(x, Const) for x in operands):
-            return Const(function(node.what, filters)(*(x.value for x in operands)))
-        return node
+        if f and all(isinstance(x, Const) for x in operands):
+            try:
+                return Const(f(*(x.value for x in operands)))
+            except (ArithmeticError, TypeError, ValueError):
+                pass
+        return Apply(node.what, operands)
     if isinstance(node, Choice):
-        operands = tuple(fold(x, filters) for x in node.operands)
-        first = operands[0]
-        if isinstance(first, Const):
-            if node.kind == "if":
-                return operands[1] if first.value else operands[2]
-            return operands[1] if bool(first.value) == (node.kind == "and") else first
-        return Choice(node.kind, operands)
+        first = fold(node.operands[0], filters)
+        if not isinstance(first, Const):
+            return Choice(node.kind, (first, *(fold(x, filters) for x in node.operands[1:])))
+        if node.kind == "if":
+            return fold(node.operands[1 if first.value else 2], filters)
+        return fold(node.operands[1], filters) if bool(first.value) == (node.kind == "and") else first
     if isinstance(node, Item):
         return Item(fold(node.base, filters), fold(node.key, filters))
     if isinstance(node, Output):
@@ -339,7 +374,10 @@ def fold(node: Any, filters: Mapping[str, Callable]) -> Any:
     if isinstance(node, Assign):
         return Assign(node.name, fold(node.expr, filters))
     if isinstance(node, If):
-        return If(fold(node.test, filters), fold(node.then, filters), fold(node.other, filters))
+        test = fold(node.test, filters)
+        if isinstance(test, Const):
+            return fold(node.then if test.value else node.other, filters)
+        return If(test, fold(node.then, filters), fold(node.other, filters))
     if isinstance(node, For):
         return For(node.name, fold(node.over, filters), fold(node.body, filters))
     if isinstance(node, Generation):

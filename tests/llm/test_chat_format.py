@@ -15,7 +15,7 @@ def test_language():
     t = Template("{% set n = 2 * 3 %}{% for x in xs %}{{ loop.index }}{{ x.a | upper }}{% if not loop.last %}, {% else %}.{% endif %}{% endfor %}{{ n if n > 5 and 'a' in 'abc' else 0 }}")
     assert t.render(xs=[{"a": "p"}, {"a": "q"}])[0] == "1P, 2Q.6"
     assert Template("a {%- generation %}b{% endgeneration -%}  c").render() == ("abc", [(1, 2)])
-    assert fold(parse("x{{ 'a' ~ 1 + 1 }}{% if 1 == 2 %}no{% elif true %}y{% endif %}z"), {})[0] == Output(Const("xa2"))
+    assert fold(parse("x{{ 'a' ~ 1 + 1 }}{% if 1 == 2 %}no{% elif true %}y{% endif %}z"), {}) == (Output(Const("xa2yz")),)
     for bad in ("{% if x %}", "{{ _a }}", "{{ x.__class__ }}", "{% unknown %}", "{{ 1 + }}", "{{ x | nothing }}", "{{ (1 }}"):
         with pytest.raises(TemplateError):
             Template(bad)
@@ -49,3 +49,37 @@ def test_round_trip(spark, piece):
     for conv, r in got.items():
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == expected([x for x in rows if x[0] == conv])
     assert c.digests(c.format_conversations(df.limit(0))).count() == 0
+
+
+def test_folding_leaves_dead_branches_alone():
+    from seqloom.llm.chat_template import Template, TemplateError
+
+    render = lambda source, **names: Template(source).render(**names)[0]
+    assert render("{{ 1 / 0 if false else 'ok' }}") == "ok"
+    assert render("{% if false %}{{ 'a' * 3 / 0 }}{% endif %}x") == "x"
+    assert render("{{ true or 1 / 0 }}{{ false and 1 / 0 }}") == "truefalse"
+    assert render("{% if on %}{{ 1 / 0 }}{% else %}y{% endif %}", on=False) == "y"
+    assert render("{% if true %}a{% if false %}b{% else %}c{% endif %}{% endif %}d") == "acd"
+    with pytest.raises(ZeroDivisionError):
+        render("{% if on %}{{ 1 / 0 }}{% endif %}", on=True)
+    with pytest.raises(TemplateError):
+        Template("{% if false %}{{ x | nothing }}{% else %}{{ x | nothing }}{% endif %}")
+
+
+def test_braces_in_strings_and_open_tags():
+    from seqloom.llm.chat_template import Template, TemplateError
+
+    render = lambda source: Template(source).render()[0]
+    assert render("{{ '}}' }}{{ \"%}\" }}{{ 'it\\'s' }}{# don't }} #}!") == "}}%}it's!"
+    for source in ("{{ 'a }}", "{% if true", "{{ 1 %}", "{# no end"):
+        with pytest.raises(TemplateError):
+            Template(source)
+
+
+def test_values_are_bounded():
+    from seqloom.llm.chat_template import Template, TemplateError
+
+    for source in ("{{ 'a' * n }}", "{{ n * 'ab' }}", "{% set x = 'ab' %}{% for i in messages %}{% set x = x ~ x %}{% endfor %}", "{% set x = 3 %}{% for i in messages %}{% set x = x * x %}{% endfor %}", "{{ ('a' * 100000) | replace('a', 'b' * 100000) }}", "{{ '%9999999999d' % 1 }}"):
+        with pytest.raises(TemplateError):
+            Template(source).render(n=10**12, messages=list(range(64)))
+    assert Template("{{ 'ab' * 3 }}{{ 7 % 4 }}").render()[0] == "ababab3"
