@@ -41,7 +41,9 @@ def partition_keys(spark: SparkSession, width: int) -> list[int]:
 
 
 def dealt(df: DataFrame, width: int, group: Column) -> DataFrame:
-    """Group k of ``width`` groups in partition k."""
+    """Group k of ``width`` groups in partition k (beyond a few thousand groups by hash, some to one partition)."""
+    if width > 4096:
+        return df.repartition(width, group)
     keys = F.array(*[F.lit(k).cast("long") for k in partition_keys(df.sparkSession, width)])
     return df.withColumn("_slot", F.element_at(keys, group.cast("int") + 1)).repartition(width, "_slot").drop("_slot")
 

@@ -2,8 +2,8 @@
 
 Vectors are dealt to shards by a hash of their id, so a shard's rows are bounded whatever the input. Equal vectors of a shard are
 one node with the list of its ids. A shard's index is flat arrays (vectors, neighbours of each layer, entry point) and is
-written to the shared folder as one row; it is built once and searched by blocks of queries. Largest inner product becomes nearest
-by angle through one more coordinate, ``sqrt(M^2 - |x|^2)`` with M the shard's longest vector. Each shard answers each block; the
+written to the shared folder as one row; it is built once, and queries stream past it. Largest inner product becomes nearest
+by angle through one more coordinate, ``sqrt(M^2 - |x|^2)`` with M the shard's longest vector. Each shard answers each query; the
 answers of all shards are merged, ordered by the exact inner product in double precision, ties to the smaller id.
 
 Defined results: vectors that are null, empty, all zero, or hold a null or non-finite component take no part, nor do rows with a
@@ -82,58 +82,79 @@ def search_layer(g: Graph, q: np.ndarray, starts: list[tuple[float, int]], ef: i
     return best
 
 
-def chosen(points: np.ndarray, found: list[tuple[float, int]], m: int) -> list[int]:
-    """Up to ``m`` of ``found``: each nearer to the new node than to any taken before it, then the nearest of the rest."""
-    found = sorted(found, reverse=True)
-    if len(found) <= m:
-        return [n for _, n in found]
-    nodes = [n for _, n in found]
+def chosen(points: np.ndarray, found: tuple[np.ndarray, np.ndarray], m: int) -> np.ndarray:
+    """Up to ``m`` of ``found`` (similarities, nodes): each nearer to the new node than to any taken before it, then the
+    nearest of the rest."""
+    sims, nodes = found
+    order = np.lexsort((nodes, -sims))
+    sims, nodes = sims[order], nodes[order]
+    if len(nodes) <= m:
+        return nodes
     among = points[nodes] @ points[nodes].T
+    shut = np.zeros(len(nodes), bool)  # nearer to one that is taken than to the new node
     taken: list[int] = []
-    left: list[int] = []
-    for k, (s, _) in enumerate(found):
-        if len(taken) >= m:
-            break
-        if not taken or among[k, taken].max() < s:
+    for k in range(len(nodes)):
+        if not shut[k]:
             taken.append(k)
-        else:
-            left.append(k)
-    taken += left[: m - len(taken)]
-    return [nodes[k] for k in taken]
-
-
-def build(points: np.ndarray, *, m: int = 16, ef: int = 100, seed: int = 5) -> Graph:
+            if len(taken) == m:
+                break
+            shut |= among[k] >= sims
+    if len(taken) < m:
+        rest = np.ones(len(nodes), bool)
+        rest[taken] = False
+        taken += np.flatnonzero(rest)[: m - len(taken)].tolist()
+    return nodes[taken]
+
+
+def build(points: np.ndarray, *, m: int = 16, ef: int = 64, seed: int = 5, block: int = 512) -> Graph:
+    """Inserts the points one by one. A point's candidates on a layer are the ``ef`` nearest of those inserted before it, found
+    exactly by products of blocks of points: for a shard's bounded size that is far cheaper than to search the graph for them.
+
+    A full row of neighbours gets as many places again before it is chosen anew, so that is seldom done.
+    """
     n = len(points)
     rng = np.random.default_rng(seed)
     level = np.minimum(-np.log(rng.random(n)) / math.log(m), 12).astype(np.int8) if n else np.zeros(0, np.int8)
-    g = Graph(points, level, np.full((n, 2 * m), -1, np.int32), {k: np.full((n, m), -1, np.int32) for k in range(1, int(level.max(initial=0)) + 1)}, 0)
-    seen, mark = np.full(n, -1, np.int64), 0
-    for node in range(1, n):
-        q, top = points[node], int(level[g.entry])
-        at = [(float(points[g.entry] @ q), g.entry)]
-        for layer in range(top, int(level[node]), -1):
-            mark += 1
-            at = [max(search_layer(g, q, at, 1, layer, seen, mark))]
-        for layer in range(min(top, int(level[node])), -1, -1):
-            mark += 1
-            at = search_layer(g, q, at, ef, layer, seen, mark)
-            table = g.base if layer == 0 else g.upper[layer]
-            width = table.shape[1]
-            mine = chosen(points, at, m)
-            table[node, : len(mine)] = mine
-            for other in mine:
-                row = table[other]
-                free = np.flatnonzero(row < 0)
-                if len(free):
-                    row[free[0]] = node
-                else:
-                    both = np.append(row, node)
-                    pick = chosen(points, list(zip((points[both] @ points[other]).tolist(), both.tolist(), strict=True)), width)
-                    row[:] = -1
-                    row[: len(pick)] = pick
-        if level[node] > top:
-            g.entry = node
-    return g
+    top = int(level.max(initial=0))
+    layers: list[np.ndarray] = []
+    for layer in range(top + 1):
+        nodes = np.flatnonzero(level >= layer)
+        width = 2 * m if layer == 0 else m
+        wide = np.full((n, 2 * width), -1, np.int32)
+        used = np.zeros(n, np.int32)
+        mine = np.ascontiguousarray(points[nodes])
+
+        def narrowed(other: int) -> None:
+            row = wide[other, : used[other]]
+            pick = chosen(points, (points[row] @ points[other], row), width)
+            wide[other] = -1
+            wide[other, : len(pick)] = pick
+            used[other] = len(pick)
+
+        for start in range(0, len(nodes), block):
+            stop = min(start + block, len(nodes))
+            sims = mine[start:stop] @ mine[:stop].T
+            sims[:, start:][np.triu_indices(stop - start)] = -np.inf
+            if stop > ef:
+                near = np.argpartition(sims, stop - ef, 1)[:, stop - ef :]
+                sims = np.take_along_axis(sims, near, 1)
+            else:
+                near = np.broadcast_to(np.arange(stop), sims.shape)
+            for k in range(max(1 - start, 0), stop - start):
+                node, real = nodes[start + k], sims[k] > -np.inf
+                pick = chosen(points, (sims[k][real], nodes[near[k][real]]), m)
+                wide[node, : len(pick)] = pick
+                used[node] = len(pick)
+                for other in pick:
+                    wide[other, used[other]] = node
+                    used[other] += 1
+                    if used[other] == 2 * width:
+                        narrowed(other)
+        for other in np.flatnonzero(used > width):
+            narrowed(other)
+        layers.append(wide[:, :width].copy())
+    entry = int(np.argmax(level)) if n else 0
+    return Graph(points, level, layers[0], dict(enumerate(layers[1:], 1)), entry)
 
 
 def nearest(g: Graph, q: np.ndarray, ef: int, seen: np.ndarray, mark: int) -> tuple[list[int], int]:
@@ -189,7 +210,7 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return picked.where(finite & F.exists("v", lambda x: x != 0)).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
 
 
-def build_index(rows: DataFrame, *, shard_rows: int = 8192, least_shards: int = 6, m: int = 16, ef: int = 100) -> DataFrame:
+def build_index(rows: DataFrame, *, shard_rows: int = 8192, least_shards: int = 6, m: int = 16, ef: int = 64) -> DataFrame:
     """One row of flat arrays a shard, written to the shared folder."""
     count = rows.count()
     shards = max(1, math.ceil(count / shard_rows), min(least_shards, math.ceil(count / 500)))
@@ -224,43 +245,68 @@ def build_index(rows: DataFrame, *, shard_rows: int = 8192, least_shards: int =
     return pinned(dealt(keyed, shards, F.col("shard")).sortWithinPartitions("dim", "shard").mapInArrow(run, INDEX_DDL), "hnsw")
 
 
-def search(index: DataFrame, queries: DataFrame, k: int, *, ef: int = 120, block: int = 4096) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` nearest of each query (``vec_id, v, dim``) but the query's own id."""
+def inner(rows: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Inner products in double precision, summed from the first component to the last."""
+    return np.cumsum(rows.astype(np.float64) * v.astype(np.float64), 1)[:, -1]
+
+
+FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
+class Shard:
+    """An opened shard that answers queries one after another."""
+
+    def __init__(self, row: dict):
+        self.key = row["dim"], row["cell"]
+        self.graph, self.vectors, self.ids, self.stops = opened(row)
+        self.starts = np.concatenate(([0], self.stops[:-1]))
+        self.seen, self.mark = np.full(len(self.graph.points), -1, np.int64), 0
+
+    def ask(self, query: int, v: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the ``k`` nearest but ``query`` itself."""
+        nodes, self.mark = nearest(self.graph, np.append(v, np.float32(0)), max(ef, k + 1), self.seen, self.mark)
+        # of equal vectors only the k + 1 smallest ids can be among the k nearest (one may be the query itself)
+        mine = [self.ids[self.starts[n] : min(self.stops[n], self.starts[n] + k + 1)] for n in nodes]
+        score = np.repeat(inner(self.vectors[nodes], v), [len(i) for i in mine])
+        each = np.concatenate(mine)
+        keep = each != query
+        each, score = each[keep], score[keep]
+        best = np.lexsort((each, -score))[:k]
+        return each[best], score[best]
+
+
+def search(index: DataFrame, queries: DataFrame, k: int, *, ef: int = 80, block: int = 1 << 18) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the ``k`` nearest of each query (``vec_id, v, dim``) but the query's own id.
+
+    A cell is a shard and a block of queries. Its index comes first and its queries stream past it, so a task holds one graph
+    and one batch however many queries there are. A block is far larger than an index: few indexes are sent twice.
+    """
+    shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
     blocks = max(1, math.ceil(queries.count() / block))
-    q = queries.select("dim", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), "vec_id", "v")
-    cells = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    shards = index.select(F.col("dim").alias("dim"), F.col("shard").alias("shard"))
-    asked = q.join(shards, "dim")  # each block of queries goes to each shard of its length
-    found_schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out_q: list[np.ndarray] = []
-        out_id: list[np.ndarray] = []
-        out_s: list[np.ndarray] = []
-        if left.num_rows and right.num_rows:
-            g, vectors, ids, stops = opened(left.slice(0, 1).to_pylist()[0])
-            starts = np.concatenate(([0], stops[:-1]))
-            seen, mark = np.full(len(g.points), -1, np.int64), 0
-            x = right.column("v").combine_chunks().flatten().to_numpy().reshape(-1, vectors.shape[1])
-            for query, v in zip(right.column("vec_id").to_pylist(), x, strict=True):
-                lifted_q = np.append(v, np.float32(0))
-                nodes, mark = nearest(g, lifted_q, max(ef, k + 1), seen, mark)
-                # of equal vectors only the k + 1 smallest ids can be among the k nearest (one may be the query itself)
-                mine = [ids[starts[n] : min(stops[n], starts[n] + k + 1)] for n in nodes]
-                exact = vectors[nodes].astype(np.float64) @ v.astype(np.float64)
-                each = np.concatenate(mine)
-                score = np.repeat(exact, [len(i) for i in mine])
-                keep = each != query
-                each, score = each[keep], score[keep]
-                best = np.lexsort((each, -score))[:k]
-                out_q.append(np.full(len(best), query))
-                out_id.append(each[best])
-                out_s.append(score[best])
-        cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        return pa.Table.from_arrays([pa.array(cat(out_q, np.int64), pa.int64()), pa.array(cat(out_id, np.int64), pa.int64()), pa.array(cat(out_s, np.float64), pa.float64())], schema=found_schema)
-
-    pairs = cells.groupBy("dim", "shard", "block").cogroup(asked.groupBy("dim", "shard", "block"))
-    found = pairs.applyInArrow(run, "query_id long, vec_id long, score double")
+    everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    graphs = index.withColumn("block", everywhere(blocks)).withColumn("cell", F.col("shard") * blocks + F.col("block")).drop("block", "shard")
+    asked = queries.select("dim", "vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), everywhere(shards).alias("shard"))
+    asked = asked.withColumn("cell", F.col("shard") * blocks + F.col("block")).drop("block", "shard")
+    cells = graphs.withColumn("kind", F.lit(0)).unionByName(asked.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard: Shard | None = None
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                held: list[tuple[int, np.ndarray, np.ndarray]] = []
+                for i, (dim, cell, kind, query) in enumerate(zip(*(b.column(c).to_pylist() for c in ("dim", "cell", "kind", "vec_id")), strict=True)):
+                    if kind == 0:
+                        shard = None  # the one before may go first
+                        shard = Shard(b.slice(i, 1).to_pylist()[0])
+                    elif shard is not None and shard.key == (dim, cell):
+                        held.append((query, *shard.ask(query, b.column("v")[i].values.to_numpy(), k, ef)))
+                if held:
+                    arrays = (np.repeat([q for q, _, _ in held], [len(x) for _, x, _ in held]), np.concatenate([x for _, x, _ in held]), np.concatenate([y for _, _, y in held]))
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(arrays, FOUND, strict=True)], schema=FOUND)
+
+    in_order = dealt(cells, shards * blocks, F.col("cell")).sortWithinPartitions("dim", "cell", "kind")
+    found = in_order.mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
