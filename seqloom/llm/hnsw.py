@@ -210,7 +210,7 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return picked.where(finite & F.exists("v", lambda x: x != 0)).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
 
 
-def build_index(rows: DataFrame, *, shard_rows: int = 8192, least_shards: int = 6, m: int = 16, ef: int = 64) -> DataFrame:
+def build_index(rows: DataFrame, *, shard_rows: int = 8192, least_shards: int = 6, m: int = 24, ef: int = 96) -> DataFrame:
     """One row of flat arrays a shard, written to the shared folder."""
     count = rows.count()
     shards = max(1, math.ceil(count / shard_rows), min(least_shards, math.ceil(count / 500)))
@@ -275,7 +275,7 @@ class Shard:
         return each[best], score[best]
 
 
-def search(index: DataFrame, queries: DataFrame, k: int, *, ef: int = 80, block: int = 1 << 18) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int, *, ef: int = 100, block: int = 1 << 18) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest of each query (``vec_id, v, dim``) but the query's own id.
 
     A cell is a shard and a block of queries. Its index comes first and its queries stream past it, so a task holds one graph
