@@ -32,30 +32,29 @@ def gathered(values: np.ndarray, start: np.ndarray, width: np.ndarray) -> np.nda
 class Pieces:
     """``whole`` encodes texts; ``after_space`` encodes pieces that follow a space (which they are given without).
 
-    The first KNOWN pieces met are remembered as flat arrays: text, ids end to end, where each starts and how many it has.
+    The first KNOWN pieces met are remembered: a table from text to number, and flat arrays of their ids end to end, where
+    each starts and how many it has. The table grows with the pieces; nothing is rebuilt from batch to batch.
     """
 
     def __init__(self, whole: Callable[[list[str]], Runs], after_space: Callable[[list[str]], Runs], limit: int = KNOWN, added: Sequence[str] = ()):
         self.whole, self.after_space, self.limit, self.added = whole, after_space, limit, added
-        self.known = pa.array([], pa.large_string())
+        self.known: dict[str, int] = {}
         self.pool, self.start, self.width = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _placed(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _placed(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A pool of ids, and where each piece's ids start in it and how many they are."""
-        at = pc.index_in(distinct, value_set=self.known)
-        new = pc.is_null(at)
-        missing = distinct.filter(new)
-        if not len(missing):
-            codes = at.to_numpy(zero_copy_only=False)
+        codes = np.fromiter((self.known.get(p, -1) for p in distinct), np.int64, len(distinct))
+        new = np.flatnonzero(codes < 0)
+        if not len(new):
             return self.pool, self.start[codes], self.width[codes]
-        ids, each = self.after_space(missing.to_pylist())
+        missing = [distinct[k] for k in new]
+        ids, each = self.after_space(missing)
         pool = np.concatenate((self.pool, ids))
         start = np.concatenate((self.start, np.cumsum(each) - each + len(self.pool)))
         width = np.concatenate((self.width, each))
-        codes = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        codes[new.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(missing))
+        codes[new] = len(self.known) + np.arange(len(new))
         if len(self.known) < self.limit:
-            self.known = pa.concat_arrays([self.known, missing])
+            self.known.update(zip(missing, codes[new].tolist(), strict=True))
             self.pool, self.start, self.width = pool, start, width
         return pool, start[codes], width[codes]
 
@@ -81,7 +80,7 @@ class Pieces:
             start[first] = np.cumsum(width[first]) - width[first]
             if not first.all():
                 coded = pieces.filter(pa.array(~first)).dictionary_encode()
-                pool, at, each = self._placed(coded.dictionary)
+                pool, at, each = self._placed(coded.dictionary.to_pylist())
                 codes = coded.indices.to_numpy()
                 start[~first], width[~first] = at[codes] + len(flat), each[codes]
                 flat = np.concatenate((flat, pool))
