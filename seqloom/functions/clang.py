@@ -8,16 +8,18 @@ a character that starts no token is skipped too.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field
+from itertools import accumulate, pairwise
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 #: The language's keywords, in alphabetical order.
-KEYWORDS = frozenset(
-    "_Bool _Complex auto break case char const continue default do double else enum extern float for goto if inline int long register restrict return short signed sizeof static struct switch typedef union unsigned void volatile while".split()
-)
+KEYWORDS = frozenset((
+    "_Bool", "_Complex", "auto", "break", "case", "char", "const", "continue", "default", "do", "double", "else", "enum", "extern", "float", "for", "goto", "if", "inline", "int", "long", "register",
+    "restrict", "return", "short", "signed", "sizeof", "static", "struct", "switch", "typedef", "union", "unsigned", "void", "volatile", "while",
+))
 #: Operators and punctuation, longest first.
 SYMBOLS = ("...", "<<=", ">>=", "->", "++", "--", "<<", ">>", "<=", ">=", "==", "!=", "&&", "||", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", *"{}()[];,.:?~!%^&*-+=<>|/")
 _TOKEN = re.compile(
@@ -76,85 +78,109 @@ class Signature:
         return self.returns.name
 
 
-PAIRS = {"{": "}", "(": ")", "[": "]"}
-SIGN = {**{o: (o, 1) for o in PAIRS}, **{c: (o, -1) for o, c in PAIRS.items()}}
+CLOSER = {"{": "}", "(": ")", "[": "]"}
+
+
+@dataclass
+class Nest:
+    """What a pair of brackets holds: positions of tokens and further nests. ``stop`` is None while the bracket is open."""
 
+    kind: str
+    start: int
+    stop: int | None = None
+    items: list[int | Nest] = field(default_factory=list)
 
-def balances(tokens: list[str], where: Iterable[int]) -> Iterable[tuple[int, dict[str, int]]]:
-    """Each position and what is open of each kind of bracket, that position included (negative when read leftwards)."""
-    open_ = dict.fromkeys(PAIRS, 0)
-    for i in where:
-        if sign := SIGN.get(tokens[i]):
-            open_[sign[0]] += sign[1]
-        yield i, open_
 
+def nested(tokens: list[str]) -> list[int | Nest]:
+    """The tokens' positions as a tree of brackets, in one pass. A closing bracket that fits no open one is a plain token."""
+    root = Nest("", -1)
+    path = [root]
+    for at, token in enumerate(tokens):
+        if token in CLOSER:
+            inner = Nest(token, at)
+            path[-1].items.append(inner)
+            path.append(inner)
+        elif token == CLOSER.get(path[-1].kind):
+            path.pop().stop = at
+        else:
+            path[-1].items.append(at)
+    return root.items
 
-def partner(tokens: list[str], at: int) -> int:
-    """The bracket that closes (or opens) the one at ``at``; brackets of all kinds must nest."""
-    own = tokens[at]
-    onward = range(at, len(tokens)) if own in PAIRS else range(at, -1, -1)
-    wanted = PAIRS.get(own) or next(o for o, c in PAIRS.items() if c == own)
-    for i, open_ in balances(tokens, onward):
-        if not any(open_.values()):
-            if tokens[i] == wanted:
-                return i
-            break
-    raise Unparsable(f"no partner of {own!r} at {at}")
 
+def positions(items: Iterable[int | Nest], into: str) -> Iterator[int]:
+    """Positions of the tokens among ``items``, and of those within nests of the kinds ``into``."""
+    for x in items:
+        if isinstance(x, int):
+            yield x
+        elif x.kind in into:
+            yield from positions(x.items, into)
 
-def separated(tokens: list[str], by: str, start: int, stop: int) -> list[int]:
-    return [i for i, open_ in balances(tokens, range(start, stop)) if tokens[i] == by and not any(open_.values())]
+
+def spelt(tokens: list[str], items: Iterable[int | Nest]) -> Iterator[int]:
+    """Positions of all tokens but those that square brackets hold."""
+    for x in items:
+        if isinstance(x, int):
+            yield x
+            continue
+        yield x.start
+        if x.kind != "[":
+            yield from spelt(tokens, x.items)
+        if x.stop is not None:
+            yield x.stop
+
+
+def pieces(tokens: list[str], items: list[int | Nest], by: str) -> list[list[int | Nest]]:
+    """``items`` cut at the separators of their own level."""
+    out: list[list[int | Nest]] = [[]]
+    for x in items:
+        if isinstance(x, int) and tokens[x] == by:
+            out.append([])
+        else:
+            out[-1].append(x)
+    return out
 
 
-def declared(tokens: list[str]) -> Declared:
-    """A declaration's name and type.
+def declaration(tokens: list[str], items: list[int | Nest]) -> Declared:
+    """Specifiers and one declarator.
 
-    The name is the first identifier of the outermost parentheses, or without any the last identifier, in either case outside
-    of brackets and braces; the type is the rest without what brackets hold; pointers are the stars before the name.
+    A parenthesised declarator (``( * f ) ( int )``) names what stands first in its parentheses; a plain one ends with the
+    name. All else is the type, arrays without their sizes; stars on the way to the name are layers of pointers.
     """
-    if tokens == ["..."]:
+    if [tokens[x] for x in items if isinstance(x, int)] == ["..."] and len(items) == 1:
         return Declared(("...",), 0, "...")
-    outside: Callable[[dict[str, int]], bool] = lambda o: not o["["] and not o["{"]
-    n = len(tokens)
-    paren = next((i for i, o in balances(tokens, range(n)) if tokens[i] == "(" and outside(o)), None)
-    where = range(n - 1, -1, -1) if paren is None else range(paren, partner(tokens, paren) + 1)
-    at = next((i for i, o in balances(tokens, where) if tokens[i].isidentifier() and outside(o)), None)
-    if at is None:
+    wrapped = next((x for x in items if isinstance(x, Nest) and x.kind == "("), None)
+    words = [x for x in positions(items if wrapped is None else wrapped.items, "" if wrapped is None else "(") if tokens[x].isidentifier()]
+    if not words:
         raise Unparsable("no name")
-    kept = [tokens[i] for i, o in balances(tokens, range(n)) if i != at and (tokens[i] in ("[", "]") or not o["["])]
-    return Declared(tuple(kept), tokens[:at].count("*"), tokens[at])
-
-
-def last_before(tokens: list[str], what: str, at: int) -> int:
-    for i in range(at, -1, -1):
-        if tokens[i] == what:
-            return i
-    raise Unparsable(f"no {what!r}")
+    name = words[-1] if wrapped is None else words[0]
+    first = items[0] if isinstance(items[0], int) else items[0].start
+    return Declared(tuple(tokens[x] for x in spelt(tokens, items) if x != name), tokens[first:name].count("*"), tokens[name])
 
 
 def signature(tokens: list[str], strict: bool = True) -> Signature:
-    """Strict: the last token closes the body. Lenient: the body starts at the first brace."""
+    """A function's declarator: what it returns, its name and its parameters, listed in parentheses or, in the old style, declared
+    between them and the body. Strict: the last token closes the body. Lenient: the body starts at the first brace."""
     if strict:
-        if not tokens or tokens[-1] != "}":
+        head = nested(tokens)
+        body = head.pop() if head else None
+        if not isinstance(body, Nest) or body.kind != "{" or body.stop is None:
             raise Unparsable("no body at the end")
-        body = partner(tokens, len(tokens) - 1)
+        if any(tokens[x] in CLOSER.values() for x in positions(body.items, "{([")):
+            raise Unparsable("brackets of the body don't nest")
+    elif "{" in tokens:
+        head = nested(tokens[: tokens.index("{")])
     else:
-        if "{" not in tokens:
-            raise Unparsable("no body")
-        body = tokens.index("{")
-    right = last_before(tokens, ")", body)
-    left = partner(tokens, right)
-    returns = declared(tokens[:left])
+        raise Unparsable("no body")
+    at = next((k for k in reversed(range(len(head))) if isinstance(head[k], Nest) and head[k].kind == "("), None)
+    if at is None or head[at].stop is None:
+        raise Unparsable("no parameters")
+    returns, listed, old_style = declaration(tokens, head[:at]), head[at].items, head[at + 1 :]
     if not returns.type:
         returns = Declared(("void",), 0, returns.name)
-    inside = tokens[left + 1 : right]
-    if inside in ([], ["void"]):
+    if not listed or [tokens[x] for x in positions(listed, "{[(")] == ["void"]:
         return Signature(returns, ())
-    if right == body - 1:
-        cuts = [left, *separated(tokens, ",", left + 1, right), right]
-    else:  # parameters declared between the list and the body
-        cuts = [right, *separated(tokens, ";", right + 1, body)]
-    return Signature(returns, tuple(declared(tokens[a + 1 : b]) for a, b in zip(cuts, cuts[1:])))
+    declarations = pieces(tokens, old_style, ";")[:-1] if old_style else pieces(tokens, listed, ",")
+    return Signature(returns, tuple(declaration(tokens, d) for d in declarations))
 
 
 EMPTY = Signature(Declared(("",), 0, ""), ())
@@ -168,38 +194,30 @@ def parsed(tokens: list[str], strict: bool = True) -> tuple[Signature, bool]:
         return EMPTY, False
 
 
+#: Tokens without a space after them, without one before them, and pairs without one between them.
+TIGHT_AFTER = frozenset(("(", "!", "~", "[", ".", "->"))
+TIGHT_BEFORE = frozenset((")", ";", ",", "[", "]", ".", "->"))
+TIGHT_BETWEEN = frozenset(((")", "("), ("*", "*")))
+
+
+def line_of(tokens: list[str]) -> str:
+    """Tokens side by side; a call's parenthesis follows its name at once."""
+    out = tokens[:1]
+    for left, right in pairwise(tokens):
+        call = right == "(" and left.isidentifier() and left not in KEYWORDS
+        out.append(right if call or left in TIGHT_AFTER or right in TIGHT_BEFORE or (left, right) in TIGHT_BETWEEN else f" {right}")
+    return "".join(out)
+
+
 def prettify(tokens: list[str]) -> str:
-    """Lines that end at braces and at semicolons outside parentheses, indented by open braces."""
-
-    def spaced(left: str, right: str) -> bool:
-        tight = (
-            left in ("(", "!", "~", "[", ".", "->") or right in (")", ";", ",", "[", "]", ".", "->") or (left, right) in ((")", "("), ("*", "*"))
-            or (right == "(" and left.isidentifier() and left not in KEYWORDS)
-        )
-        return not tight
-
-    lines: list[str] = []
-    line: list[str] = []
-    depth = parens = 0
-
-    def flush() -> None:
-        text = "".join(t + (" " if k + 1 < len(line) and spaced(t, line[k + 1]) else "") for k, t in enumerate(line))
-        lines.append("  " * depth + text)
-        line.clear()
-
-    for token, ahead in zip(tokens, [*tokens[1:], None]):
-        line.append(token)
-        parens += (token == "(") - (token == ")")
-        if token == "{":
-            flush()
-            depth += 1
-        elif token == "}":
-            depth -= 1
-            if ahead not in (";", "else"):
-                flush()
-        elif token == ";" and not parens and ahead != ";":
-            flush()
-    return "\n".join(lines)
+    """Lines that end at braces and at semicolons outside parentheses, indented by open braces. What follows the last such end
+    isn't shown."""
+    weigh = lambda up, down: list(accumulate((t == up) - (t == down) for t in tokens))
+    open_parens, following = weigh("(", ")"), [*tokens[1:], ""]
+    ends = {"{": lambda k: True, "}": lambda k: following[k] not in (";", "else"), ";": lambda k: not open_parens[k] and following[k] != ";"}
+    stops = [k + 1 for k, t in enumerate(tokens) if t in ends and ends[t](k)]
+    depth = weigh("{", "}")  # a line that ends with an opening brace isn't inside it
+    return "\n".join("  " * (depth[b - 1] - (tokens[b - 1] == "{")) + line_of(tokens[a:b]) for a, b in pairwise([0, *stops]))
 
 
 def arrow(ddl: str):

@@ -85,34 +85,38 @@ def matched(left: clang.Signature, right: clang.Signature) -> tuple[list[int | N
     return assign(np.array([[1 - confidence(a, i, b, j) for j, b in enumerate(right.args)] for i, a in enumerate(left.args)]))
 
 
+def pointer_counts(facts: list[tuple[clang.Declared, clang.Declared, clang.Declared]]) -> dict[str, int]:
+    """Of declarations that are no pointers in the source: whether target and hypothesis make them one."""
+    became = [(t.pointer_layer > 0, h.pointer_layer > 0) for s, t, h in facts if not s.pointer_layer]
+    return {name: became.count(pair) for name, pair in zip(CONFUSION, ((True, True), (False, True), (True, False), (False, False)), strict=True)}
+
+
+def portion(correct: float, total: int) -> dict:
+    return {"correct": float(correct), "total": total}
+
+
+def likeness(want: clang.Declared | None, have: clang.Declared) -> dict[str, float]:
+    """How well a declaration agrees with the one wanted, by what is looked at; nothing agrees with nothing."""
+    if want is None:
+        return {"name": 0.0, "type": 0.0, "strict": 0.0}
+    by_type = lambda strict: _alike(compared_type(want, strict), compared_type(have, strict))
+    return {"name": _alike(want.name, have.name), "type": by_type(False), "strict": by_type(True)}
+
+
 def measured(src: clang.Signature, tgt: clang.Signature, hyp: clang.Signature, tgt_to_src: list[int | None]) -> dict:
-    """Signature metrics of one hypothesis."""
+    """Signature metrics of one hypothesis, from its arguments beside the targets' that they were matched to."""
     hyp_to_tgt, tgt_to_hyp = matched(hyp, tgt)
-    names, types, strict = [], [], []
-    facts = {"": (src.returns, tgt.returns, hyp.returns)}
-    for h, t in zip(hyp.args, hyp_to_tgt, strict=True):
-        if t is None:
-            for scores in (names, types, strict):
-                scores.append(0.0)
-            continue
-        want = tgt.args[t]
-        names.append(_alike(want.name, h.name))
-        types.append(_alike(compared_type(want, False), compared_type(h, False)))
-        strict.append(_alike(compared_type(want, True), compared_type(h, True)))
-        if (s := tgt_to_src[t]) is not None:
-            facts[want.name] = (src.args[s], want, h)
-    pointers = dict.fromkeys(CONFUSION, 0)
-    for s, t, h in facts.values():
-        if not s.pointer_layer:
-            pointers[{(True, True): "tp", (False, True): "fp", (True, False): "fn", (False, False): "tn"}[t.pointer_layer > 0, h.pointer_layer > 0]] += 1
-    n = len(tgt.args)
+    args = [likeness(None if t is None else tgt.args[t], h) for h, t in zip(hyp.args, hyp_to_tgt, strict=True)]
+    whole = likeness(tgt.returns, hyp.returns)
+    in_all_three = {tgt.args[t].name: (src.args[tgt_to_src[t]], tgt.args[t], h) for h, t in zip(hyp.args, hyp_to_tgt, strict=True) if t is not None and tgt_to_src[t] is not None}
     missing = [j for j, i in enumerate(tgt_to_hyp) if i is None]
-    part = lambda c, total: {"correct": float(c), "total": total}
+    each = lambda what: [a[what] for a in args]
+    of_args = lambda correct: portion(correct, len(tgt.args))
     return {
-        "func_name": part(_alike(tgt.name, hyp.name), 1), "ret_type": part(_alike(compared_type(tgt.returns, False), compared_type(hyp.returns, False)), 1),
-        "ret_type_strict": part(_alike(compared_type(tgt.returns, True), compared_type(hyp.returns, True)), 1), "arg_name": part(sum(names), n), "arg_type": part(sum(types), n),
-        "arg_type_strict": part(sum(strict), n), "arg_missing": part(len(missing), n), "arg_redundant": sum(t is None for t in hyp_to_tgt), "pointer_conversion": pointers,
-        "match_idx": hyp_to_tgt, "arg_names": names, "arg_types": types, "missing_args": missing,
+        "func_name": portion(whole["name"], 1), "ret_type": portion(whole["type"], 1), "ret_type_strict": portion(whole["strict"], 1),
+        "arg_name": of_args(sum(each("name"))), "arg_type": of_args(sum(each("type"))), "arg_type_strict": of_args(sum(each("strict"))),
+        "arg_missing": of_args(len(missing)), "arg_redundant": hyp_to_tgt.count(None), "pointer_conversion": pointer_counts([(src.returns, tgt.returns, hyp.returns), *in_all_three.values()]),
+        "match_idx": hyp_to_tgt, "arg_names": each("name"), "arg_types": each("type"), "missing_args": missing,
     }
 
 
@@ -128,9 +132,8 @@ def measure_row(src: str, tgt: str, hyp: str, baseline: bool) -> dict:
     nameless = lambda x: ["_VAR_" if t == "ID" else v for t, v in x]
     want, have = strings(lexed_tgt), strings(lexed_hyp)
     counts = lambda a, b, n: dict(zip(("matches", "possible", "hyp_len", "ref_len"), bleu.counts(a, b, n), strict=True))
-    part = lambda c, total: {"correct": float(c), "total": total}
     return measured(src_sig, tgt_sig, hyp_sig, tgt_to_src) | {
-        "exact_match": part(tgt_tokens == hyp_tokens, 1), "unparsable": part(not ok, 1), "str_missing": part(len(want - have), len(want)), "str_redundant": len(have - want),
+        "exact_match": portion(tgt_tokens == hyp_tokens, 1), "unparsable": portion(not ok, 1), "str_missing": portion(len(want - have), len(want)), "str_redundant": len(have - want),
         "counts": counts(tgt_tokens, hyp_tokens, 8), "counts_no_var": counts(nameless(lexed_tgt), nameless(lexed_hyp), 4),
         "missing_strings": sorted(want - have), "redundant_strings": sorted(have - want),
     }
