@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import KeyFilter, joined_to_groups, pinned, text_key
+from seqloom.llm.common import KeyFilter, pinned, text_key
 from seqloom.llm.components import components
 
 BANDS, ROWS, STEP = 32, 4, 32
@@ -212,7 +212,6 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: tuple[int, int] =
 
     signed = base.select("doc_id", "key", "text").mapInArrow(sign, "doc_id long, key binary, sig binary, bytes long")
     nodes = pinned(signed.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bytes").alias("bytes")), "nodes")
-    n_nodes = nodes.count()
 
     # Candidates: places (distinct signatures) by band.
     places = nodes.where("sig IS NOT NULL").groupBy("sig").agg(F.min("key").alias("place"))
@@ -222,7 +221,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: tuple[int, int] =
         F.count("*").alias("size"), F.sum(F.xxhash64("place").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(7), F.col("place"))).alias("x")
     ).where("size > 1")
     kept = buckets.groupBy("size", "s", "x").agg(F.min("h").alias("h")).select("h", "size")
-    members = joined_to_groups(slim, kept, "h", "size", n_nodes * BANDS).join(places, "place")
+    members = slim.join(kept, "h").join(places, "place")
     units = tiled(members, "size", "place").select("h", "i", "j", "place", "sig")
     keys = ["h", "i", "j"]
 
@@ -241,7 +240,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: tuple[int, int] =
     # Exact verification inside the clusters: one text for each node, from the row with its least id.
     known = pinned(clusters.withColumnRenamed("node", "key").join(nodes.select("key", "least_id", "copies", "bytes"), "key"), "clustered")
     cluster_size = known.groupBy("root").agg(F.count("*").alias("size"), F.sum("bytes").alias("all_bytes"))
-    inside = joined_to_groups(known, cluster_size, "root", "size", n_nodes)
+    inside = known.join(cluster_size, "root")
     asked = KeyFilter.of(known, "key").passing(base, "key")  # only these texts are shuffled
     one_text = asked.alias("d").join(inside.alias("c"), (F.col("d.key") == F.col("c.key")) & F.col("d.doc_id").eqNullSafe(F.col("c.least_id"))).select("c.root", "c.size", "c.all_bytes", "c.key", "c.copies", "d.text")
     cells = tiled(one_text, "size", "key", F.col("all_bytes")).select("root", "i", "j", "t", "key", "copies", "text")
@@ -267,9 +266,8 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: tuple[int, int] =
     node_class = nodes.select("key", "least_id", "copies").join(classes.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left")
     node_class = node_class.select("key", "least_id", "copies", F.coalesce("root", "key").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     of_class = node_class.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    final = pinned(joined_to_groups(node_class, of_class, "root", "class_size", n_nodes).select("key", F.col("root").alias("class_key"), "class_id", "class_size", "n_links", "copies"), "classes")
-    rows = joined_to_groups(base.select("doc_id", "key"), final, "key", "copies", final.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0])
-    return rows.select("doc_id", "class_id", "class_size", "n_links", F.col("key").alias("text_key"), "class_key")
+    final = pinned(node_class.join(of_class, "root").select("key", F.col("root").alias("class_key"), "class_id", "class_size", "n_links"), "classes")
+    return base.select("doc_id", "key").join(final, "key").select("doc_id", "class_id", "class_size", "n_links", F.col("key").alias("text_key"), "class_key")
 
 
 def reached(on: np.ndarray) -> np.ndarray:
