@@ -6,7 +6,7 @@ from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,3 +66,22 @@ def corpus(prefix: str, order: int, smooth: bool = False) -> Column:
     """The corpus score from the columns that ``corpus_sums`` made."""
     get = lambda k: [F.col(f"{prefix}_{k}_{i}") for i in range(order)]
     return score(get("matches"), get("possible"), F.col(f"{prefix}_hyp"), F.col(f"{prefix}_ref"), smooth)
+
+
+def running(rows: DataFrame, c: str, order: int, reset: str, index: str) -> DataFrame:
+    """``rows`` with ``bleu``: the corpus score of all rows so far in order, begun anew for each value of ``reset``."""
+    so_far = Window.partitionBy(reset).orderBy(index)
+    total = lambda x: F.sum(x).over(so_far)
+    counts = F.col(c)
+    bleu = score([total(counts["matches"][i]) for i in range(order)], [total(counts["possible"][i]) for i in range(order)], total(counts["hyp_len"]), total(counts["ref_len"]), False)
+    return rows.withColumn("bleu", bleu)
+
+
+def of_files(spark: SparkSession, path: str, order: int) -> DataFrame:
+    """``bleu`` of the hypotheses and references that ``write_reference_pairs`` left under ``path``; 0 without any."""
+    from seqloom.functions.text import words
+    from seqloom.sources import readers
+
+    side = lambda name: readers.lines(spark, f"{path}/{name}", skip_empty=False).select("idx", words(F.col("value")).alias(name))
+    counted = readers.zipped(side("hyp"), side("ref")).select(count_column(order)("ref", "hyp").alias("c"))
+    return counted.agg(*corpus_sums(F.col("c"), order, "b")).select(F.coalesce(corpus("b", order), F.lit(0.0)).alias("bleu"))

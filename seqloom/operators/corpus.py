@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import random
+import math
 from collections.abc import Callable, Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -105,26 +106,31 @@ def hash_order(key: Column, seed: int) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(":"), F.lit(str(seed))))
 
 
+def drawn_number(*parts: object) -> int:
+    """52 bits of the digest of ``parts``: a reproducible draw that other engines can compute."""
+    return int(md5(":".join(map(str, parts)).encode()).hexdigest()[:13], 16)
+
+
 def sample_groups(sizes: list[tuple[str, int]], target: int, most: int = 50, seed: int = 19260817, tolerance: tuple[float, float] = (0.8, 1.1), tries: int = 1_000_000) -> list[str]:
     """Names of groups whose sizes add up to about ``target``: draws of up to ``most`` groups without repetition until one fits.
 
     Works on one row a group, not on the data.
     """
-    rng, sizes = random.Random(seed), sorted(sizes)
-    for _ in range(tries if sizes else 0):
-        chosen = rng.sample(sizes, rng.randint(1, min(len(sizes), most)))
+    for k in range(tries if sizes else 0):
+        n = 1 + drawn_number(seed, k) % min(len(sizes), most)
+        chosen = sorted(sizes, key=lambda g: (drawn_number(g[0], seed, k), g[0]))[:n]
         if tolerance[0] * target <= sum(n for _, n in chosen) <= tolerance[1] * target:
             return sorted(name for name, _ in chosen)
     raise ValueError(f"no draw of groups comes near {target} rows")
 
 
 def sample_sets(sizes: list[tuple[str, int]], capacity: int, seed: int = 19260817) -> list[str]:
-    """Groups drawn by size until the next one wouldn't fit."""
-    rng, left, used, out = random.Random(seed), dict(sorted(sizes)), 0, []
-    while fitting := {k: n for k, n in left.items() if used + n <= capacity and n > 0}:
-        name = rng.choices(list(fitting), weights=list(fitting.values()))[0]
-        out.append(name)
-        used += left.pop(name)
+    """Groups drawn by size, those that don't fit any more left out: an exponential race, the larger ones sooner."""
+    used, out = 0, []
+    for name, n in sorted(((g, n) for g, n in sizes if n > 0), key=lambda g: (-math.log((drawn_number(g[0], seed) + 1) / 2**52) / g[1], g[0])):
+        if used + n <= capacity:
+            out.append(name)
+            used += n
     return out
 
 
@@ -194,13 +200,23 @@ def _mapped(df: DataFrame, index: str, lists: Column, convert: Callable[[pa.Arra
     return df.select(index, lists.alias("_lists")).mapInArrow(run, f"`{index}` {df.schema[index].dataType.simpleString()}, {name} array<{kind}>")
 
 
+#: Rows of a vocabulary that may be sent to every task; a larger one is an error rather than a broadcast without bound.
+VOCABULARY_ROWS = 5_000_000
+
+
+def _shared_vocabulary(vocab: DataFrame):
+    rows = vocab.select("token", "id").limit(VOCABULARY_ROWS + 1).collect()
+    if len(rows) > VOCABULARY_ROWS:
+        raise ValueError(f"a vocabulary of more than {VOCABULARY_ROWS} tokens")
+    return vocab.sparkSession.sparkContext.broadcast(([r.token for r in rows], [r.id for r in rows]))
+
+
 def token_ids(df: DataFrame, index: str, tokens: Column, vocab: DataFrame, unknown: int = 1) -> DataFrame:
     """``index, ids``: in token order, ``unknown`` for words that the vocabulary lacks.
 
-    A vocabulary is bounded by the size it was made with, so it goes to the rows; texts stay where they are.
+    A vocabulary is bounded by the size it was made with, and checked, so it goes to the rows; texts stay where they are.
     """
-    rows = vocab.select("token", "id").collect()
-    shared = df.sparkSession.sparkContext.broadcast(([r.token for r in rows], [r.id for r in rows]))
+    shared = _shared_vocabulary(vocab)
 
     def convert(flat: pa.Array) -> pa.Array:
         known, ids = shared.value
@@ -212,8 +228,7 @@ def token_ids(df: DataFrame, index: str, tokens: Column, vocab: DataFrame, unkno
 
 def tokens_of(ids: DataFrame, index: str, vocab: DataFrame) -> DataFrame:
     """``index, tokens``; an id that is not in the vocabulary is an error."""
-    rows = vocab.select("token", "id").collect()
-    shared = ids.sparkSession.sparkContext.broadcast(([r.token for r in rows], [r.id for r in rows]))
+    shared = _shared_vocabulary(vocab)
 
     def convert(flat: pa.Array) -> pa.Array:
         tokens, known = shared.value
@@ -236,7 +251,7 @@ def identifier_counts(lexed_rows: DataFrame, tokens: str, names: str | None = No
 
 
 def least_hashed(df: DataFrame, size: int, hashed: Column, order: list[Column]) -> DataFrame:
-    """The ``size`` rows of least hash (ties by ``order``).
+    """The ``size`` rows of least hash (32 hexadecimal digits, as ``hash_order`` gives; ties by ``order``).
 
     Rows far above the expected cut are left out before anything is shuffled; should too few be below it, all rows take part.
     """
@@ -245,14 +260,14 @@ def least_hashed(df: DataFrame, size: int, hashed: Column, order: list[Column])
     n = rows.count()
     share = (size + 8 * size**0.5 + 64) / n if n else 1.0
     if share < 1:
-        low = rows.where(F.col(h) < F.lit(round(-(2**63) + share * 2**64)))
+        low = rows.where(F.col(h) < F.lit(f"{round(share * 2**64):016x}"))
         rows = low if low.count() >= size else rows
     return first_rows(rows, [F.col(h), *order], size).drop(h)
 
 
-def reservoir(df: DataFrame, size: int, seed: int, *key: str) -> DataFrame:
+def reservoir(df: DataFrame, size: int, seed: int, key: str) -> DataFrame:
     """A uniform sample of ``size`` rows (all, if fewer), the same on every run: least hashes of the rows' keys win."""
-    return least_hashed(df, size, F.xxhash64(F.lit(seed), *key), [F.col(k) for k in key])
+    return least_hashed(df, size, hash_order(F.col(key), seed), [F.col(key)])
 
 
 def weighted_reservoir(counts: DataFrame, size: int, seed: int) -> DataFrame:
@@ -261,11 +276,12 @@ def weighted_reservoir(counts: DataFrame, size: int, seed: int) -> DataFrame:
     The bag's copies are generated with their hashes and filtered at once; only those near the least ones are shuffled.
     """
     copies = counts.select("word", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("copy"))
-    return least_hashed(copies, size, F.xxhash64(F.lit(seed), F.col("word"), F.col("copy")), [F.col("word"), F.col("copy")]).select("word")
+    key = F.concat(F.col("word"), F.lit(" "), F.col("copy").cast("string"))
+    return least_hashed(copies, size, hash_order(key, seed), [F.col("word"), F.col("copy")]).select("word")
 
 
-def shuffled(df: DataFrame, seed: int, *key: str) -> DataFrame:
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key)
+def shuffled(df: DataFrame, seed: int, key: str) -> DataFrame:
+    return df.orderBy(hash_order(F.col(key), seed), key)
 
 
 def category_share(df: DataFrame, item: str, group: Column) -> DataFrame:

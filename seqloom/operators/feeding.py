@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions import text
+from seqloom.operators.corpus import dense_index
 
 
 def length_mode(df: DataFrame, src: str, tgt: str, mode: str = "discard", max_src: int = 1024, max_tgt: int = 1024, ratio: tuple[float, float] = (0.5, 3.0)) -> DataFrame:
@@ -89,3 +90,13 @@ def budget_batches(df: DataFrame, shard: str, order: str, src_len: str, tgt_len:
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "batch_no long"])
     return df.repartition(shard).sortWithinPartitions(shard, order).mapInArrow(run, schema)
+
+
+def first_split(df: DataFrame, splits: list[str]) -> DataFrame:
+    """The rows of the first of the named splits: validation uses no other."""
+    return df.where(F.col("split") == splits[0])
+
+
+def every(df: DataFrame, order: list[Column], step: int) -> DataFrame:
+    """Every ``step``-th row in order with its ``place``: what is logged as samples of output."""
+    return dense_index(df, order, "place").where((F.col("place") + 1) % step == 0)

@@ -345,24 +345,6 @@ def dense_order(spark, sf_dir):
     return corpus.dense_index(table(spark, sf_dir, "documents").select("doc_id", "text"), [F.col("text"), F.col("doc_id")]).select("doc_id", "idx")
 
 
-@query()
-def reservoir_sample(spark, sf_dir):
-    return corpus.reservoir(table(spark, sf_dir, "documents").select("doc_id"), 100, SEED, "doc_id")
-
-
-@query()
-def weighted_tokens(spark, sf_dir):
-    return corpus.weighted_reservoir(corpus.word_counts(table(spark, sf_dir, "documents"), words("text")), 1000, SEED)
-
-
-@query()
-def group_rejection_sample(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    sizes = [(r.source, r["count"]) for r in docs.groupBy("source").count().collect()]  # a row a group
-    chosen = corpus.sample_groups(sizes, sum(n for _, n in sizes) // 4)
-    return corpus.split_held_out(docs, "doc_id", "source", chosen, "test", 2 / 3, SEED)
-
-
 @query("SELECT event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY event_type")
 def stream_dedup_ingest(spark, sf_dir):
     """Events through a stream that drops repeated (user, type) pairs, drained as a batch."""

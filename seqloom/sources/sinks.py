@@ -28,11 +28,29 @@ def write_records(df: DataFrame, path: str, order: str) -> None:
 
 
 def write_splits(df: DataFrame, path: str, line: Column, order: str) -> None:
-    """A folder a split (``split=...``), each in order."""
-    rows = df.select("split", order, line.alias("value")).repartition("split").sortWithinPartitions("split", order)
+    """A folder a split (``split=...``), each in order over its files' names: a large split is written by many tasks."""
+    rows = df.select("split", F.col(order).alias("_order"), line.cast("string").alias("value")).repartitionByRange("split", "_order").sortWithinPartitions("split", "_order")
     rows.select("split", "value").write.partitionBy("split").text(path)
 
 
+def write_split_index(df: DataFrame, path: str, index: str) -> None:
+    """Which rows each split has: a folder of indices a split, in order."""
+    df.select("split", index).repartitionByRange("split", index).sortWithinPartitions("split", index).write.partitionBy("split").parquet(path)
+
+
+def write_token_pairs(df: DataFrame, path: str, src: Column, tgt: Column, order: str) -> None:
+    """Tokenised pairs, one a line: tokens by NUL, sides by the field separator."""
+    write_lines(df, path, F.concat(text.join_tokens(src), F.lit(text.TUPLE), text.join_tokens(tgt)), order)
+
+
+def write_sample(words: DataFrame, path: str, seed: int, key: str) -> None:
+    """Sampled tokens, shuffled, one a line."""
+    from seqloom.operators.corpus import hash_order
+
+    rows = words.withColumn("_hash", hash_order(F.col(key), seed))
+    write_lines(rows, path, F.col("word"), "_hash", key)
+
+
 def training_lines(df: DataFrame, src: Column, tgt: Column, names: Column) -> DataFrame:
     """Two lines a row for a subword model: the source with both names of each variable, and the target."""
     join = lambda c: F.array_join(c, " ")
