@@ -37,6 +37,12 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def shuffle_key(seed: int, doc_id: Column, text: Column) -> Column:
+    """60 bits of a digest of id and text, which any other engine can compute."""
+    given = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(given), 1, 15), 16, 10).cast("long")
+
+
 def first_words(text: Column, n: Column) -> Column:
     """The text up to the end of its n-th word."""
     return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD_AND_GAP), F.lit(0)), F.lit(1), n.cast("int")), "")
@@ -85,7 +91,7 @@ def plan(docs: DataFrame, carry: list[str] | None = None, *, weights: tuple[floa
     spark = docs.sparkSession
     shards = shards or shuffle_width(spark)
     keyed = docs.select(
-        F.struct(*(docs.columns if carry is None else carry)).alias("row"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("u"),
+        F.struct(*(docs.columns if carry is None else carry)).alias("row"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), shuffle_key(seed, F.col("doc_id"), F.col("text")).alias("u"),
         F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("source_key"),
     )
     narrow = pinned(keyed.select("source_key", "source", "size", "u"), "sizes")
