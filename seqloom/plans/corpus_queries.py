@@ -22,14 +22,14 @@ def words(c: str):
 
 
 def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns with the assistant's next turn: ``idx, src, tgt``, the index made of conversation and turn."""
+    """User turns with the assistant's next turn: ``idx, src, tgt``, the index the conversation above 32 bits of the turn."""
     turns = table(spark, sf_dir, "conversations")
     ask = turns.where("role = 'user'").select("conv_id", F.col("turn").alias("t"), F.col("text").alias("src"))
     reply = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("t"), F.col("text").alias("tgt"))
-    return ask.join(reply, ["conv_id", "t"]).select((F.col("conv_id") * 1000 + F.col("t")).alias("idx"), "src", "tgt")
+    return ask.join(reply, ["conv_id", "t"]).select((F.col("conv_id") * 4294967296 + F.col("t")).alias("idx"), "src", "tgt")
 
 
-PAIRS = """pairs AS (SELECT a.conv_id * 1000 + a.turn AS idx, a.text AS src, b.text AS tgt FROM conversations a JOIN conversations b
+PAIRS = """pairs AS (SELECT a.conv_id * 4294967296 + a.turn AS idx, a.text AS src, b.text AS tgt FROM conversations a JOIN conversations b
   ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant')"""
 TOKENS = f"tok AS (SELECT doc_id, unnest({WORDS.format('text')}) AS word FROM documents)"
 COUNTS = f"{TOKENS}, cnt AS (SELECT word, count(*) AS n FROM tok GROUP BY word), sur AS (SELECT word, n, -ln(n / (SELECT sum(n) FROM cnt)) AS s FROM cnt)"
@@ -172,14 +172,20 @@ def canonical_join(spark, sf_dir):
     return joined.select("item_id", "text", "text_order").orderBy(F.asc_nulls_last("text_order"), "item_id")
 
 
-@query(
-    """WITH b AS (SELECT doc_id, md5(text) AS k FROM documents), c AS (SELECT DISTINCT k FROM b WHERE doc_id % 3 = 0), f AS (SELECT k, min(doc_id) AS d FROM b GROUP BY k)
-    SELECT doc_id FROM b WHERE doc_id NOT IN (SELECT f.d FROM f JOIN c ON f.k = c.k)"""
-)
+CANONICAL = """b AS (SELECT doc_id, md5(array_to_string((%s)[1:3], ' ')) AS k FROM documents), c AS (SELECT DISTINCT md5(array_to_string((%s)[1:3], ' ')) AS k FROM conversations), f AS (SELECT k, min(doc_id) AS d FROM b GROUP BY k),
+  u AS (SELECT * FROM b WHERE doc_id NOT IN (SELECT f.d FROM f JOIN c ON f.k = c.k))""" % (WORDS.format("text"), WORDS.format("text"))
+
+
+def _by_opening(spark, sf_dir, name):
+    """Rows of a table with the digest of their text's first three words."""
+    return table(spark, sf_dir, name).withColumn("k", F.md5(F.array_join(F.slice(words("text"), 1, 3), " ")))
+
+
+@query(f"WITH {CANONICAL} SELECT doc_id FROM u")
 def canonical_unmatched(spark, sf_dir):
-    """Documents without a canonical form left for them; the forms stand for a third of the texts."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("k"))
-    return corpus.canonical_unmatched(docs, docs.where("doc_id % 3 = 0"), "k", "doc_id").select("doc_id")
+    """Documents without a canonical row left for them: the conversations' turns are the canonical side, texts' openings the key."""
+    docs = _by_opening(spark, sf_dir, "documents").select("doc_id", "k")
+    return corpus.canonical_unmatched(docs, _by_opening(spark, sf_dir, "conversations"), "k", "doc_id").select("doc_id")
 
 
 @query("SELECT count(*) AS leftover FROM (SELECT DISTINCT text FROM benchmark) WHERE text NOT IN (SELECT text FROM documents)")
@@ -187,14 +193,11 @@ def canonical_leftover(spark, sf_dir):
     return canonical_join(spark, sf_dir).where("text_order IS NULL").agg(F.count("*").alias("leftover"))
 
 
-@query(
-    """WITH b AS (SELECT doc_id, md5(text) AS k FROM documents), c AS (SELECT DISTINCT k FROM b WHERE doc_id % 3 = 0), f AS (SELECT k, min(doc_id) AS d FROM b GROUP BY k)
-    SELECT count(*) AS not_found, count(DISTINCT k) AS distinct_keys FROM b WHERE doc_id NOT IN (SELECT f.d FROM f JOIN c ON f.k = c.k)"""
-)
+@query(f"WITH {CANONICAL} SELECT count(*) AS not_found, count(DISTINCT k) AS distinct_keys FROM u")
 def canonical_counts(spark, sf_dir):
     """How many texts found nothing, and how many different ones."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("k"))
-    return corpus.canonical_unmatched(docs, docs.where("doc_id % 3 = 0"), "k", "doc_id").agg(F.count("*").alias("not_found"), F.count_distinct("k").alias("distinct_keys"))
+    docs = _by_opening(spark, sf_dir, "documents").select("doc_id", "k")
+    return corpus.canonical_unmatched(docs, _by_opening(spark, sf_dir, "conversations"), "k", "doc_id").agg(F.count("*").alias("not_found"), F.count_distinct("k").alias("distinct_keys"))
 
 
 @query("SELECT word, CAST(sum(n) AS BIGINT) AS count FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word, 1 AS n FROM benchmark UNION ALL SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')), 1 FROM documents) WHERE word <> '' GROUP BY word")
@@ -277,22 +280,27 @@ def substring_replace(spark, sf_dir):
 
 
 @query(
-    f"""WITH {PAIRS}, l AS (SELECT idx, list_transform({WORDS.format('tgt')}, lambda x: length(x)) AS t FROM pairs), m AS (SELECT idx, t, max(len(t)) OVER (PARTITION BY idx // 10000) AS w FROM l)
+    f"""WITH {PAIRS}, l AS (SELECT idx, list_transform({WORDS.format('tgt')}, lambda x: length(x)) AS t FROM pairs), m AS (SELECT idx, t, max(len(t)) OVER (PARTITION BY idx // 42949672960) AS w FROM l)
     SELECT idx, len(t) AS target_length, array_to_string(list_concat(t, list_transform(range(w - len(t)), lambda x: 3)), ' ') AS target_output, array_to_string(list_concat([2], list_concat(t, list_transform(range(w - len(t)), lambda x: 3))[1:w - 1]), ' ') AS target_input FROM m"""
 )
 def pad_shift(spark, sf_dir):
     """Targets padded to their batch's width and shifted by the start id; a token's id is its length here."""
     ids = F.transform(words("tgt"), lambda x: F.length(x))
-    rows = conversation_pairs(spark, sf_dir).select("idx", F.floor(F.col("idx") / 10000).alias("batch_id"), F.transform(words("src"), lambda x: F.length(x)).alias("src_ids"), ids.alias("tgt_ids"))
+    rows = conversation_pairs(spark, sf_dir).select("idx", F.expr("idx DIV 42949672960").alias("batch_id"), F.transform(words("src"), lambda x: F.length(x)).alias("src_ids"), ids.alias("tgt_ids"))
     out = feeding.collate(rows, start_id=2, end_id=3)
     line = lambda c: F.array_join(F.col(c).cast("array<string>"), " ").alias(c)
     return out.select("idx", F.col("target_length").cast("long").alias("target_length"), line("target_output"), line("target_input"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE o AS (SELECT doc_id, source, len({WORDS.format('text')}) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
+    b AS (SELECT source, r, doc_id, n, 0 AS batch_no, 1 AS c, n AS longest FROM o WHERE r = 1 UNION ALL SELECT o.source, o.r, o.doc_id, o.n, CASE WHEN (c + 1) * greatest(longest, o.n) > 4096 THEN batch_no + 1 ELSE batch_no END,
+      CASE WHEN (c + 1) * greatest(longest, o.n) > 4096 THEN 1 ELSE c + 1 END, CASE WHEN (c + 1) * greatest(longest, o.n) > 4096 THEN o.n ELSE greatest(longest, o.n) END FROM b JOIN o ON o.source = b.source AND o.r = b.r + 1)
+    SELECT doc_id, source, n, CAST(batch_no AS BIGINT) AS batch_no FROM b"""
+)
 def token_budget_batches(spark, sf_dir):
     """Batches of at most 4096 tokens by source, in order of ids."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.size(words("text")).alias("n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.size(words("text")).cast("long").alias("n"))
     return feeding.budget_batches(docs, "source", "doc_id", "n", "n", 4096)
 
 
@@ -307,23 +315,31 @@ def overlap_neighbours(spark, sf_dir):
     return found.select("item_id", F.md5("left_text").alias("left_md5"), F.md5("right_text").alias("right_md5"))
 
 
+#: Common subsequences of each item with both neighbours, one word of the item at a time.
+OVERLAP = f"""{NEIGHBOURS}, z AS (SELECT item_id, side, {WORDS.format('text')} AS a, {WORDS.format('other')} AS b FROM (SELECT item_id, text, 'l' AS side, l AS other FROM n WHERE item_id IS NOT NULL UNION ALL SELECT item_id, text, 'r', r FROM n WHERE item_id IS NOT NULL) WHERE other IS NOT NULL),
+  e AS (SELECT item_id, side, a, b, 0 AS i, list_transform(range(0, len(b) + 1), lambda j: 0) AS row FROM z
+    UNION ALL SELECT item_id, side, a, b, i + 1, list_transform(range(0, len(b) + 1), lambda j: list_max(cell[1:j + 1])) FROM (SELECT *, list_concat([0], list_transform(range(1, len(b) + 1), lambda j: greatest(row[j + 1], CASE WHEN a[i + 1] = b[j] THEN row[j] + 1 ELSE 0 END))) AS cell FROM e WHERE i < len(a))),
+  x AS (SELECT item_id, max(coalesce(row[len(b) + 1] / nullif(greatest(len(a), len(b)), 0), 0)) AS overlap FROM e WHERE i = len(a) GROUP BY item_id),
+  o AS (SELECT i.item_id, x.overlap FROM benchmark i LEFT JOIN x USING (item_id) WHERE i.text IS NOT NULL)"""
+
+
 def _overlap(spark, sf_dir):
     found = overlap.neighbours(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "text", "item_id")
-    return overlap.scores(found, "item_id", lambda c: text.words(c))
+    return overlap.scores(found, "item_id", lambda c: text.words(c, SPACE))
 
 
-@query()
+@query(f"WITH RECURSIVE {OVERLAP} SELECT item_id, round(overlap, 9) AS overlap FROM o")
 def overlap_scores(spark, sf_dir):
-    """Whole texts; a quadratic table in SQL would not end, so tests hold this against brute force."""
     return _overlap(spark, sf_dir).select("item_id", F.round("overlap", 9).alias("overlap"))
 
 
-@query()
+@query(f"WITH RECURSIVE {OVERLAP} SELECT item_id, round(overlap, 9) AS overlap FROM o WHERE overlap > 0.05")
 def overlap_flagged(spark, sf_dir):
-    return overlap.flagged(_overlap(spark, sf_dir)).select("item_id", F.round("overlap", 9).alias("overlap"))
+    """Items that share more than a twentieth with a neighbour."""
+    return overlap.flagged(_overlap(spark, sf_dir), 0.05).select("item_id", F.round("overlap", 9).alias("overlap"))
 
 
-@query()
+@query(f"WITH RECURSIVE {OVERLAP} SELECT CAST(least(floor(overlap * 70), 69) AS INTEGER) AS bin, count(*) AS n FROM o WHERE overlap IS NOT NULL GROUP BY ALL")
 def overlap_histogram(spark, sf_dir):
     return overlap.histogram(_overlap(spark, sf_dir))
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqloom.functions import bleu, clang, sequences, text
-from seqloom.operators import compare, evaluation, report
+from seqloom.functions import bleu, sequences
+from seqloom.operators import compare, evaluation
 from seqloom.plans.corpus_queries import PAIRS, SPACE, WORDS, conversation_pairs, table, words
 
 Q: dict = {}
@@ -104,7 +104,7 @@ def confusion_matrix(spark, sf_dir):
 
 
 @query(
-    """WITH q AS (SELECT a.conv_id * 1000 + a.turn AS idx, list_distinct(regexp_extract_all(a.text, '[A-Z][a-z]+')) AS s, list_distinct(regexp_extract_all(b.text, '[A-Z][a-z]+')) AS t FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant')
+    """WITH q AS (SELECT a.conv_id * 4294967296 + a.turn AS idx, list_distinct(regexp_extract_all(a.text, '[A-Z][a-z]+')) AS s, list_distinct(regexp_extract_all(b.text, '[A-Z][a-z]+')) AS t FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant')
     SELECT idx, len(list_filter(t, lambda x: NOT list_contains(s, x))) AS missing, len(list_filter(s, lambda x: NOT list_contains(t, x))) AS redundant FROM q"""
 )
 def string_literal_diff(spark, sf_dir):
@@ -114,9 +114,24 @@ def string_literal_diff(spark, sf_dir):
     return pairs.select("idx", F.size(F.array_except(found("tgt"), found("src"))).cast("long").alias("missing"), F.size(F.array_except(found("src"), found("tgt"))).cast("long").alias("redundant"))
 
 
-@query()
+def table_sql(source: str, first: str, cells: str, carried: str) -> str:
+    """CTEs ``d(k, a, b, i, before, row)``: the rows of a dynamic program over lists ``a`` and ``b``, one at a time. A row's cells are
+    ``cells`` of what is above; ``carried`` brings them along the row."""
+    return f"""s AS ({source}), d AS (SELECT k, a, b, 0 AS i, CAST([] AS DOUBLE[]) AS before, {first} AS row FROM s
+    UNION ALL SELECT k, a, b, i + 1, row, {carried} FROM (SELECT *, {cells} AS cell FROM d WHERE i < len(a)))"""
+
+
+def distance_sql(insert: float, remove: float, replace: float, swap: float) -> str:
+    cells = f"""list_concat([i + 1.0], list_transform(range(1, len(b) + 1), lambda j: least(row[j + 1] + {insert}, row[j] + CASE WHEN a[i + 1] = b[j] THEN 0 ELSE {replace} END,
+      CASE WHEN i > 0 AND j > 1 AND b[j] = a[i] AND b[j - 1] = a[i + 1] THEN before[j - 1] + {swap} ELSE 1e9 END)))"""
+    carried = f"list_transform(range(0, len(b) + 1), lambda j: list_min(list_transform(range(0, j + 1), lambda q: cell[q + 1] + (j - q) * {remove})))"
+    source = "SELECT p_partkey AS k, string_split(p_name, '') AS a, string_split(p_type, '') AS b FROM part"
+    return table_sql(source, "list_transform(range(0, len(b) + 1), lambda j: CAST(j AS DOUBLE))", cells, carried)
+
+
+@query(f"WITH RECURSIVE {distance_sql(1, 1, 1, 1)} SELECT k AS p_partkey, round(CASE WHEN a = b THEN 1.0 ELSE 1 - row[len(b) + 1] / greatest(len(a), len(b), 1) END, 9) AS similarity FROM d WHERE i = len(a)")
 def osa_similarity(spark, sf_dir):
-    """Parts' names against their types. SQL's own distances count transpositions otherwise; tests use brute force."""
+    """Parts' names against their types, adjacent transpositions counting once."""
     parts = table(spark, sf_dir, "part")
     return parts.select("p_partkey", F.round(sequences.string_similarity("p_name", "p_type"), 9).alias("similarity"))
 
@@ -126,16 +141,24 @@ def edit_distance(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", sequences.edit_distance_column()("p_name", "p_type").alias("distance"))
 
 
-@query()
+@query(f"WITH RECURSIVE {distance_sql(2.0, 1.5, 2.5, 0.5)} SELECT k AS p_partkey, row[len(b) + 1] AS distance FROM d WHERE i = len(a)")
 def edit_distance_costs(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", sequences.edit_distance_column(insert=2.0, remove=1.5, replace=2.5, swap=0.5)("p_name", "p_type").alias("distance"))
 
 
-@query()
+COMMON = table_sql(
+    f"SELECT idx AS k, {WORDS.format('src')} AS a, {WORDS.format('tgt')} AS b FROM pairs", "list_transform(range(0, len(b) + 1), lambda j: 0.0::DOUBLE)",
+    "list_concat([0.0::DOUBLE], list_transform(range(1, len(b) + 1), lambda j: greatest(row[j + 1], CASE WHEN a[i + 1] = b[j] THEN row[j] + 1 ELSE 0 END)))", "list_transform(range(0, len(b) + 1), lambda j: list_max(cell[1:j + 1]))",
+)
+
+
+@query(f"WITH RECURSIVE {PAIRS}, {COMMON} SELECT k AS idx, CAST(row[len(b) + 1] AS INTEGER) AS kept_a, CAST(row[len(b) + 1] AS INTEGER) AS kept_b, CAST(row[len(b) + 1] AS INTEGER) AS common, true AS same_words FROM d WHERE i = len(a)")
 def lcs_plan(spark, sf_dir):
-    plan = conversation_pairs(spark, sf_dir).select("idx", sequences.lcs_plan_columns(words("src"), words("tgt")).alias("p"))
-    kept = lambda c: F.size(F.filter(F.col(f"p.{c}"), lambda x: x)).alias(f"kept_{c}")
-    return plan.select("idx", kept("a"), kept("b"))
+    """What either side keeps of a longest common subsequence: as many words as it has, and the same ones."""
+    pairs = conversation_pairs(spark, sf_dir).select("idx", words("src").alias("s"), words("tgt").alias("t"))
+    plan = pairs.select("idx", "s", "t", sequences.lcs_plan_columns(F.col("s"), F.col("t")).alias("p"), sequences.lcs_length("s", "t").alias("common"))
+    kept = lambda c, side: F.filter(F.col(side), lambda _, i: F.get(F.col(f"p.{c}"), i))
+    return plan.select("idx", F.size(kept("a", "s")).alias("kept_a"), F.size(kept("b", "t")).alias("kept_b"), "common", (kept("a", "s") == kept("b", "t")).alias("same_words"))
 
 
 @query()
@@ -147,78 +170,6 @@ def edit_score(spark, sf_dir):
     return pairs.select("idx", scores.alias("s")).select("idx", *(F.round(F.get("s", F.lit(i)), 6).alias(f"score_{i}") for i in range(3)))
 
 
-#: Inline examples: source, target and what two systems make of it.
-CODE = (
-    (0, "int f ( void ) { v1 = 1 ; return v1 ; }", "int count ( void ) { count = 1 ; return count ; }", "int count ( void ) { n = 1 ; return n ; }", "int f ( int a ) { return 1 ; }"),
-    (1, "char g ( int v1 , int n ) { return v1 ; }", 'static char * g ( const char * s , int n ) { puts ( "x" ) ; return s ; }', 'char * g ( int n , char * s ) { puts ( "x" ) ; return s ; }', 'char g ( int s ) { puts ( "y" ) ; }'),
-    (2, "int h ( v1 , b ) int v1 ; char * b ; { }", "int h ( a , b ) int a ; char * b ; { }", "int h ( int a , char * b ) { }", "int h ("),
-)
-SYSTEMS = ("decompiled", "good", "bad")
-
-
-def _code(spark):
-    """``idx, system, src, tgt, hyp, var_names, repo, sha, overlap_score``; the baseline's hypothesis is its own source."""
-    rows = [(i, s, src, tgt, hyp, "r", "c0ffee", 0.0 if s == "decompiled" else 0.5) for i, src, tgt, good, bad in CODE for s, hyp in zip(SYSTEMS, (src, good, bad), strict=True)]
-    df = spark.createDataFrame(rows, "idx long, system string, src string, tgt string, hyp string, repo string, sha string, overlap_score double")
-    names = F.from_json(F.lit('{"v1": {"decomp": "v1", "orig": "s"}}'), "map<string,struct<decomp:string,orig:string>>")
-    return df.withColumn("var_names", names)
-
-
-def _measured(spark):
-    rows = _code(spark)
-    replaced = text.replace_by_map(F.col("src"), F.col("var_names"))
-    base = F.col("system") == "decompiled"
-    return evaluation.measure(rows, replaced, F.col("tgt"), F.when(base, replaced).otherwise(F.col("hyp")), base)
-
-
-@query()
-def c_tokens(spark, sf_dir):
-    return _code(spark).select("idx", "system", F.posexplode(clang.lexed("tgt")).alias("place", "t")).select("idx", "system", "place", "t.type", "t.value")
-
-
-@query()
-def func_signature(spark, sf_dir):
-    return _code(spark).select("idx", "system", clang.signature_column(False)("hyp").alias("s")).select("idx", "system", "s.parsable", "s.name", F.array_join("s.ret_type.type", " ").alias("ret_type"), F.size("s.args").alias("n_args"))
-
-
-@query()
-def arg_matching(spark, sf_dir):
-    return _measured(spark).select("idx", "system", F.col("match_idx").cast("string").alias("match_idx"), F.col("missing_args").cast("string").alias("missing_args"))
-
-
-@query()
-def pointer_conversion(spark, sf_dir):
-    return _measured(spark).select("idx", "system", "pointer_conversion.*")
-
-
-@query()
-def prettify(spark, sf_dir):
-    return _code(spark).where("system = 'good'").select("idx", clang.pretty("tgt").alias("code"))
-
-
-@query()
-def identifier_tokens(spark, sf_dir):
-    from seqloom.operators import corpus
-
-    lexed = _code(spark).where("system = 'decompiled'").select(clang.lexed("src").alias("t"), "var_names")
-    return corpus.identifier_counts(lexed, "t", "var_names")
-
-
-@query()
-def signature_summary(spark, sf_dir):
-    """All eighteen metrics by system, in long form."""
-    summary = evaluation.summarise(_measured(spark), ["system"])
-    return evaluation.long_metrics(summary, ["system"], [m.key for m in evaluation.METRICS]).select("system", "metric", F.round("value", 6).alias("value"))
-
-
-@query()
-def report_json(spark, sf_dir):
-    measured = _measured(spark)
-    examples = report.example_rows(measured, "decompiled")
-    systems = evaluation.summarise(measured, ["system"]).withColumnRenamed("system", "key")
-    return report.document(examples, systems)
-
-
 # Comparison on the conversations: systems made from the pair itself.
 PSEUDO = ("answer", "first_half", "echo")
 
@@ -261,11 +212,14 @@ def metric_pivot(spark, sf_dir):
     return evaluation.pivoted(_long(spark, sf_dir), list(PSEUDO))
 
 
-@query(f"WITH {LONG_SQL} SELECT metric, max(value) AS best, min(value) AS worst FROM lg WHERE system <> 'answer' GROUP BY metric")
+@query(
+    f"""WITH {LONG_SQL}, x AS (SELECT metric, max(value) AS high, min(value) AS low FROM lg WHERE system <> 'answer' GROUP BY metric)
+    SELECT 'exact_match' AS metric, high AS best, low AS worst FROM x WHERE metric = 'exact' UNION ALL SELECT 'arg_redundant', low, high FROM x WHERE metric = 'hits' UNION ALL SELECT 'overlap_score', NULL, NULL FROM x WHERE metric = 'precision'"""
+)
 def best_worst(spark, sf_dir):
-    """Over all but the reference system; each of these metrics is better when higher."""
-    rows = _long(spark, sf_dir).where("system <> 'answer'")
-    return rows.groupBy("metric").agg(F.max("value").alias("best"), F.min("value").alias("worst"))
+    """Over all but the reference system: a metric that is better when higher, one when lower, and one without a direction."""
+    named = F.create_map(*[F.lit(x) for x in ("exact", "exact_match", "hits", "arg_redundant", "precision", "overlap_score")])
+    return evaluation.best_worst(_long(spark, sf_dir).withColumn("metric", named[F.col("metric")]), ("answer",))
 
 
 KEYS = ["hits", "precision"]
@@ -301,11 +255,11 @@ def tag_index(spark, sf_dir):
     return compare.tag_index(systems).select("tag", F.array_join(F.col("systems").cast("array<string>"), ",").alias("systems"))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+'), lambda x: x <> ''))) AS BIGINT) AS words FROM documents WHERE lang IN ('en', 'de')")
+@query(f"SELECT doc_id, len({WORDS.format('text')}) AS words FROM documents WHERE lang IN ('en', 'de') OR source = 'src3'")
 def subset_by_mask(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.col("lang").isin("en", "de"))
-    return docs.agg(F.count("*").alias("n"), F.sum(F.size(text.words(F.col("text"), SPACE))).alias("words"))
-
+    """Documents that carry any of the wanted tags: their language and their source."""
+    docs = table(spark, sf_dir, "documents").withColumn("tags", F.array("lang", "source"))
+    return compare.with_any_tag(docs, ["en", "de", "src3"]).select("doc_id", F.size(words("text")).cast("long").alias("words"))
 
 
 @query("SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6) AS running FROM events")

@@ -348,10 +348,10 @@ def file_bleu(spark, sf_dir):
 RUNNING = ", ".join(f"sum(m{n}) OVER o AS m{n}, sum(p{n}) OVER o AS p{n}" for n in range(1, 5))
 
 
-@query(f"WITH {bleu_sql(4)}, run AS (SELECT idx, sum(h) OVER o AS h, sum(r) OVER o AS r, {RUNNING} FROM k WINDOW o AS (PARTITION BY idx // 10000 ORDER BY idx)) SELECT idx, round({score_sql(4, False)}, 6) AS bleu FROM run")
+@query(f"WITH {bleu_sql(4)}, run AS (SELECT idx, sum(h) OVER o AS h, sum(r) OVER o AS r, {RUNNING} FROM k WINDOW o AS (PARTITION BY idx // 42949672960 ORDER BY idx)) SELECT idx, round({score_sql(4, False)}, 6) AS bleu FROM run")
 def running_bleu(spark, sf_dir):
     """The score so far after each pair, begun anew every ten conversations."""
-    counted = conversation_pairs(spark, sf_dir).select("idx", F.floor(F.col("idx") / 10000).alias("pass"), bleu.count_column(4)(words("tgt"), words("src")).alias("c"))
+    counted = conversation_pairs(spark, sf_dir).select("idx", F.expr("idx DIV 42949672960").alias("pass"), bleu.count_column(4)(words("tgt"), words("src")).alias("c"))
     return bleu.running(counted, "c", 4, "pass", "idx").select("idx", F.round("bleu", 6).alias("bleu"))
 
 

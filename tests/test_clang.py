@@ -79,7 +79,7 @@ def test_summary_and_report(spark):
     import json
 
     from seqloom.operators import report
-    from seqloom.plans import evaluation_queries as q
+    from tests import code_examples as q
 
     rows = {(r.system, r.metric): r.value for r in q.signature_summary(spark, "").collect()}
     assert rows["good", "exact_match"] == 0 and rows["bad", "unparsable"] == pytest.approx(1 / 3) and rows["good", "unparsable"] == 0

@@ -73,9 +73,9 @@ def test_small_readers(spark, tmp_path):
 
 
 def test_report_sink(spark, tmp_path):
-    from seqloom.plans import evaluation_queries
+    from tests import code_examples
 
-    sinks.write_report(evaluation_queries.report_json(spark, ""), f"{tmp_path}/out")
+    sinks.write_report(code_examples.report_json(spark, ""), f"{tmp_path}/out")
     assert len(readers.report(spark, f"{tmp_path}/out").first().examples) == 3
 
 
