@@ -6,7 +6,8 @@ numpy calls. Common subsequences use bit vectors in Python's long integers.
 
 from __future__ import annotations
 
-from collections.abc import Hashable, Sequence
+import math
+from collections.abc import Hashable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,23 +17,49 @@ from pyspark.sql import types as T
 Tokens = Sequence[Hashable]
 
 
-def _bit_rows(a: Tokens, b: Tokens) -> list[int]:
-    """For each prefix of ``a`` a word whose zero bits mark where the subsequence with ``b`` grows."""
+def _places(b: Tokens) -> dict[Hashable, int]:
     where: dict[Hashable, int] = {}
     for j, t in enumerate(b):
         where[t] = where.get(t, 0) | 1 << j
-    full = (1 << len(b)) - 1
-    v, rows = full, []
+    return where
+
+
+def _bit_rows(a: Tokens, where: dict[Hashable, int], full: int, v: int) -> Iterator[int]:
+    """After each token of ``a`` a word whose zero bits mark where the subsequence with the other side grows; ``v`` is the word
+    before."""
     for t in a:
         u = v & where.get(t, 0)
         v = ((v + u) | (v - u)) & full
-        rows.append(v)
-    return rows
+        yield v
 
 
 def lcs(a: Tokens, b: Tokens) -> int:
-    rows = _bit_rows(a, b) if a else []
-    return len(b) - rows[-1].bit_count() if rows else 0
+    full = v = (1 << len(b)) - 1
+    for v in _bit_rows(a, _places(b), full, full):  # one word is held, however long the sides are
+        pass
+    return len(b) - v.bit_count()
+
+
+class _Rows:
+    """The words of all prefixes of ``a``, of which one in about the square root of its length is kept: asked for from the end to
+    the start, the words between two kept ones are computed again, once."""
+
+    def __init__(self, a: Tokens, b: Tokens):
+        self.a, self.where, self.full = a, _places(b), (1 << len(b)) - 1
+        self.step = max(1, math.isqrt(len(a)))
+        self.kept = [self.full]  # after 0, step, 2 * step, ... tokens
+        for i, v in enumerate(_bit_rows(a, self.where, self.full, self.full), 1):
+            if i % self.step == 0:
+                self.kept.append(v)
+        self.block, self.rows = -1, []
+
+    def after(self, i: int) -> int:
+        """The word after ``i`` tokens."""
+        block, at = divmod(i, self.step)
+        if block != self.block:
+            start = block * self.step
+            self.block, self.rows = block, [self.kept[block], *_bit_rows(self.a[start : start + self.step - 1], self.where, self.full, self.kept[block])]
+        return self.rows[at]
 
 
 def lcs_plan(a: Tokens, b: Tokens, prioritize_beginning: bool = False) -> tuple[list[bool], list[bool]]:
@@ -43,18 +70,24 @@ def lcs_plan(a: Tokens, b: Tokens, prioritize_beginning: bool = False) -> tuple[
     if prioritize_beginning:
         x, y = lcs_plan(a[::-1], b[::-1])
         return x[::-1], y[::-1]
-    rows = _bit_rows(a, b)
-    length = lambda i, j: j - (rows[i - 1] & (1 << j) - 1).bit_count() if i else 0
+    rows = _Rows(a, b)
     keep_a, keep_b = [False] * len(a), [False] * len(b)
     i, j = len(a), len(b)
+    mask, here = rows.full, rows.after(i)
+    length = here.bit_count()  # zero bits below j are the length, so one bits count as well
     while i and j:
         if a[i - 1] == b[j - 1]:  # then some longest one pairs these two
             i, j = i - 1, j - 1
             keep_a[i] = keep_b[j] = True
-        elif length(i - 1, j) == length(i, j):
-            i -= 1
+            mask >>= 1
+            here = rows.after(i)
+            length = (here & mask).bit_count()
+        elif (above := ((before := rows.after(i - 1)) & mask).bit_count()) == length:
+            i, here, length = i - 1, before, above
         else:
             j -= 1
+            mask >>= 1
+            length -= here >> j & 1
     return keep_a, keep_b
 
 

@@ -6,6 +6,7 @@ number of evaluation versions a row belongs to. All that follows is sums.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -19,6 +20,7 @@ from seqloom.functions import bleu, clang
 from seqloom.functions.assignment import assign
 from seqloom.functions.sequences import similarity
 from seqloom.functions.text import ALWAYS_DROPPED, CV_QUALIFIERS, STORAGE_QUALIFIERS
+from seqloom.operators.corpus import ranged
 
 
 @dataclass(frozen=True)
@@ -185,8 +187,24 @@ def confusion_scores(df: DataFrame) -> DataFrame:
 
 
 def percentile_cuts(df: DataFrame, value: str, shares: tuple[float, ...] = (0.0, 0.2, 0.4, 0.6, 0.8)) -> DataFrame:
-    """One row: exact, linearly interpolated cuts and, as upper edge, the largest value plus one."""
-    return df.agg(F.concat(F.percentile(value, list(shares)), F.array((F.max(value) + 1).cast("double"))).alias("cuts"))
+    """One row: exact, linearly interpolated cuts and, as upper edge, the largest value plus one; null cuts without values.
+
+    Equal values are counted before anything is sorted, the distinct ones dealt by range and their counts summed within and over
+    ranges; then each cut is looked up between two ranks. No task holds more than a range.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    rows = ranged(counted, [F.col("v")], "part", "place")
+    whole = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("v").alias("high")).first()
+    here = Window.partitionBy("part").orderBy("place")
+    sizes = rows.groupBy("part").agg(F.sum("n").alias("size"))
+    shift = sizes.select("part", (F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy("part")) - F.col("size")).alias("before"))  # a row a range
+    placed = rows.withColumn("stop", F.sum("n").over(here)).join(F.broadcast(shift), "part").select("v", (F.col("before") + F.col("stop") - F.col("n")).alias("first"), (F.col("before") + F.col("stop") - 1).alias("last"))
+    ranks = [share * max(whole.n - 1, 0) for share in shares]
+    wanted = sorted({r for x in ranks for r in (math.floor(x), math.ceil(x))})
+    at = placed.select("v", F.explode(F.filter(F.array(*[F.lit(r) for r in wanted]), lambda r: r.between(F.col("first"), F.col("last")))).alias("rank"))
+    found = {r.rank: float(r.v) for r in at.collect()}  # two rows a cut
+    cuts = [found[math.floor(x)] + (x - math.floor(x)) * (found[math.ceil(x)] - found[math.floor(x)]) for x in ranks] + [float(whole.high + 1)] if whole.n else [None] * (len(shares) + 1)
+    return df.sparkSession.createDataFrame([(cuts,)], "cuts array<double>")
 
 
 def percentile_bin(value: Column, cuts: Column, step: int = 20) -> Column:
@@ -229,7 +247,6 @@ def catalogue(spark) -> DataFrame:
     return spark.createDataFrame(rows, "key string, name string, type string, fixed int, higher_is_better boolean, display_in_summary boolean, display_in_example boolean")
 
 
-def running_mean(df: DataFrame, value: str, order: str, rows: int = 20, by: str | None = None) -> DataFrame:
-    """Adds ``running``: the mean of the last ``rows`` values in order (within ``by``, which bounds what one task orders)."""
-    window = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy(order).rowsBetween(1 - rows, 0)
-    return df.withColumn("running", F.avg(value).over(window))
+def running_mean(df: DataFrame, value: str, order: str, rows: int, by: str) -> DataFrame:
+    """Adds ``running``: the mean of the last ``rows`` values in order within ``by``, which bounds what one task orders."""
+    return df.withColumn("running", F.avg(value).over(Window.partitionBy(by).orderBy(order).rowsBetween(1 - rows, 0)))

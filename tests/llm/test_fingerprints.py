@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm import fingerprints as f
 
-TEXTS = ["ﬁ Straße ÉÀ　é ẞ Å ½ ㌔ ＡＢ İ ς", "a  b\t\nc ", "A b C", "\x1c x \x85y   z  ", "한글 한글", "ａｂ", "é", "é", "", "   ", "q̣̇", "q̣̇", "👩‍👩‍👧"]
+TEXTS = ["Plain ASCII\x1c TEXT [\\]^_`{|}~ @ \x7f", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ﬁ Straße ÉÀ　é ẞ Å ½ ㌔ ＡＢ İ ς", "a  b\t\nc ", "A b C", "\x1c x \x85y   z  ", "한글 한글", "ａｂ", "é", "é", "", "   ", "q̣̇", "q̣̇", "👩‍👩‍👧"]
 
 
 def canon(text):

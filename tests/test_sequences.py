@@ -1,3 +1,4 @@
+import functools
 import itertools
 import random
 
@@ -13,30 +14,42 @@ A, B = "a a b c d e".split(), "a b c d f e".split()
 TOKENS = st.lists(st.sampled_from("abcd"), max_size=9)
 
 
-def table_lcs(a, b):
-    f = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i, j in itertools.product(range(len(a)), range(len(b))):
-        f[i + 1][j + 1] = f[i][j] + 1 if a[i] == b[j] else max(f[i][j + 1], f[i + 1][j])
-    return f[-1][-1]
+def common(a, b):
+    """The longest common subsequence by its definition: over all subsequences of the shorter side."""
+    short, long = sorted((list(a), list(b)), key=len)
 
+    def within(sub):
+        rest = iter(long)
+        return all(x in rest for x in sub)
 
-def table_distance(a, b, insert, remove, replace, swap):
-    f = np.zeros((len(a) + 1, len(b) + 1))
-    f[0], f[:, 0] = np.arange(len(b) + 1), np.arange(len(a) + 1)
-    for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
-        f[i, j] = min(f[i - 1, j] + insert, f[i, j - 1] + remove, f[i - 1, j - 1] + (a[i - 1] != b[j - 1]) * replace)
-        if swap is not None and i > 1 and j > 1 and a[i - 2] == b[j - 1] and a[i - 1] == b[j - 2]:
-            f[i, j] = min(f[i, j], f[i - 2, j - 2] + swap)
-    return f[-1, -1]
+    return next(n for n in range(len(short), -1, -1) if any(within(sub) for sub in itertools.combinations(short, n)))
 
 
-def table_score(tgt, hyp, copied, reward, penalty):
-    f = np.full((len(tgt) + 1, len(hyp) + 1), -np.inf)
-    f[0, 0] = 0
-    for i, j in itertools.product(range(len(tgt)), range(len(hyp))):
-        r, p = (reward, penalty) if copied[i] else (1.0, 0.0)
-        f[i + 1, j + 1] = max(f[i, j + 1], f[i + 1, j] + p, f[i, j] + (r if tgt[i] == hyp[j] else p))
-    return f[-1, -1]
+def recursive_distance(a, b, insert, remove, replace, swap):
+    """By the last edit; a side of which nothing is left costs the other's length."""
+
+    @functools.cache
+    def to(i, j):
+        if not (i and j):
+            return float(i + j)
+        same, crossed = a[i - 1] == b[j - 1], swap is not None and a[max(i - 2, 0) : i] == b[max(j - 2, 0) : j][::-1] and min(i, j) > 1
+        ways = {to(i - 1, j - 1) + replace * (not same), to(i - 1, j) + insert, to(i, j - 1) + remove}
+        return min(ways | {to(i - 2, j - 2) + swap} if crossed else ways)
+
+    return to(len(a), len(b))
+
+
+def recursive_score(tgt, hyp, copied, reward, penalty):
+    """What the rest of both sides can earn at best, once their first tokens are aligned."""
+
+    @functools.cache
+    def best(i, j):
+        if not (i and j):
+            return 0.0 if i == j else -np.inf
+        earn, pay = (reward, penalty) if copied[i - 1] else (1.0, 0.0)
+        return max(best(i - 1, j - 1) + (earn if tgt[i - 1] == hyp[j - 1] else pay), best(i, j - 1) + pay, best(i - 1, j))
+
+    return best(len(tgt), len(hyp))
 
 
 def test_fixed_values():
@@ -62,7 +75,7 @@ def test_fixed_values():
 @settings(max_examples=300, deadline=None)
 @given(TOKENS, TOKENS)
 def test_subsequences(a, b):
-    n = table_lcs(a, b)
+    n = common(a, b)
     assert q.lcs(a, b) == q.lcs(b, a) == n <= min(len(a), len(b))
     for first in (False, True):
         x, y = q.lcs_plan(a, b, first)
@@ -74,7 +87,7 @@ def test_subsequences(a, b):
 @given(TOKENS, TOKENS, st.sampled_from([(1, 1, 1, None), (1, 1, 1, 1), (2.0, 1.5, 2.5, 0.5), (0.5, 3.0, 1.0, None)]))
 def test_distances(a, b, costs):
     got = q.edit_distance(a, b, *costs)
-    assert got == pytest.approx(table_distance(a, b, *costs))
+    assert got == pytest.approx(recursive_distance(a, b, *costs))
     if costs == (1, 1, 1, 1):
         assert got == q.edit_distance(b, a, swap=1) and (got == 0) == (a == b)
 
@@ -82,7 +95,7 @@ def test_distances(a, b, costs):
 @settings(max_examples=200, deadline=None)
 @given(TOKENS, TOKENS, st.lists(st.booleans(), min_size=9, max_size=9), st.sampled_from([(0.0, 0.0), (0.5, 0.0), (0.0, -0.5), (0.3, -1.0)]))
 def test_edit_scores(tgt, hyp, copied, setting):
-    got, want = q.edit_score_for_plan(tgt, hyp, copied[: len(tgt)], *setting, normalize=False), table_score(tgt, hyp, copied, *setting)
+    got, want = q.edit_score_for_plan(tgt, hyp, copied[: len(tgt)], *setting, normalize=False), recursive_score(tgt, hyp, copied, *setting)
     assert got == want or got == pytest.approx(want)
 
 
@@ -103,3 +116,18 @@ def test_columns(spark):
     df = spark.createDataFrame([(A, B, "ca", "abc"), (None, B, None, "x"), ([], [], "", "")], "a array<string>, b array<string>, s string, t string")
     assert [r[0] for r in df.select(q.lcs_length("a", "b")).collect()] == [5, None, 0]
     assert [r[0] for r in df.select(q.string_similarity("s", "t")).collect()] == [0.0, None, 1.0]
+
+
+def test_long_sides_take_little_memory():
+    import tracemalloc
+
+    rng = random.Random(2)
+    a = [rng.randrange(500) for _ in range(30_000)]
+    b = [x if rng.random() < 0.9 else -1 for x in a]
+    tracemalloc.start()
+    n = q.lcs(a, b)
+    keep_a, keep_b = q.lcs_plan(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == sum(keep_a) == sum(keep_b) and [x for x, k in zip(a, keep_a) if k] == [x for x, k in zip(b, keep_b) if k]
+    assert peak < 20e6  # a bit for each pair of tokens would be 112 MB
