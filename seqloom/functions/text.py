@@ -155,5 +155,10 @@ def indented(c: Column, by: int) -> Column:
     return F.regexp_replace(c, r"(?m)^", " " * by)
 
 
+def binary_keys(c: Column) -> Column:
+    """A map with its keys as bytes."""
+    return F.transform_keys(c, lambda k, _: k.cast("binary"))
+
+
 def column_list(names: Sequence[str]) -> list[Column]:
     return [F.col(n) for n in names]

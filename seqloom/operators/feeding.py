@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,6 +93,11 @@ def budget_batches(df: DataFrame, shard: str, order: str, src_len: str, tgt_len:
     return df.repartition(shard).sortWithinPartitions(shard, order).mapInArrow(run, schema)
 
 
+def cached(df: DataFrame) -> DataFrame:
+    """A source kept in memory, and on disk where that is full, for repeated passes; ``unpersist`` lets go of it."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def first_split(df: DataFrame, splits: list[str]) -> DataFrame:
     """The rows of the first of the named splits: validation uses no other."""
     return df.where(F.col("split") == splits[0])

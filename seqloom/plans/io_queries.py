@@ -427,3 +427,31 @@ def sample_outputs(spark, sf_dir):
     """Every 25th pair in order, as shown while a model is evaluated (the step is the feature)."""
     return feeding.every(conversation_pairs(spark, sf_dir).select("idx"), [F.col("idx")], 25)
 
+
+
+GREEN = "chr(27) || '[92m' || {0} || chr(27) || '[0m'"
+COLOURED = f"array_to_string(list_transform({sql_words('src')}, lambda w: {GREEN.format('w')}), ' ')"
+
+
+@query(
+    f"""WITH {PAIRS} SELECT idx AS "index", CAST(idx AS DOUBLE) AS score, 'source: ' || {joined('src', ' ')} || chr(10) || 'target: ' || {COLOURED} || chr(10) || 'hypothesis: ' || {COLOURED} || ' ' || chr(27) || '[91m<odd>' || chr(27) || '[0m' || chr(10) AS block
+    FROM pairs WHERE len({sql_words('src')}) > 0"""
+)
+def annotated_report(spark, sf_dir):
+    """Kept words in one colour, the one word that the other side doesn't know in another."""
+    said = conversation_pairs(spark, sf_dir).where(F.size(words("src")) > 0).select("idx", tokens("src", " ").alias("s"), F.col("idx").cast("double").alias("score"))
+    return sinks.annotated(said.withColumn("h", F.concat("s", F.lit(" <odd>"))), "s", "s", "h", "score", "idx")
+
+
+@query("SELECT doc_id, hex(encode(lang)) AS key_hex, source AS value FROM documents")
+def binary_map_keys(spark, sf_dir):
+    """Maps with their keys as bytes."""
+    found = table(spark, sf_dir, "documents").select("doc_id", text.binary_keys(F.create_map("lang", "source")).alias("m"))
+    return found.select("doc_id", F.explode("m").alias("k", "value")).select("doc_id", F.hex("k").alias("key_hex"), "value")
+
+
+@query("SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY source")
+def cached_source(spark, sf_dir):
+    """A source that is read once and kept where it is read; what doesn't fit goes to disk."""
+    docs = feeding.cached(table(spark, sf_dir, "documents").select("source", "n_chars"))
+    return docs.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
