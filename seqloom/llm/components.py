@@ -2,8 +2,9 @@
 
 Each round writes its edges to the shared folder, so lineage stays short and a lost executor costs one round. The number of
 rounds grows with the logarithm of the nodes. No row count ever exceeds the edges of the round before plus the nodes.
-The centre of a large star is a frequent key of two joins with one row a key; both are followed by an exchange, so adaptive
-execution may split its rows over tasks (rows of two keys, the narrowest there are). Aggregates combine before they shuffle.
+The centre of a large star is a frequent key of the join that moves larger neighbours: its other side, one row a key, is dealt
+anew after its aggregate, so both sides come straight from an exchange and adaptive execution may split the centre's rows over
+tasks. Aggregates combine before they shuffle.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).repartition("u", "m")
         # Large star: larger neighbours move to the least one. Where a node is its own least, its edges stay as they are.
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: smaller neighbours, and the node itself, move to the least one.

@@ -239,7 +239,8 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: tuple[int, int] =
 
     # Exact verification inside the clusters: one text for each node, from the row with its least id.
     known = pinned(clusters.withColumnRenamed("node", "key").join(nodes.select("key", "least_id", "copies", "bytes"), "key"), "clustered")
-    cluster_size = known.groupBy("root").agg(F.count("*").alias("size"), F.sum("bytes").alias("all_bytes"))
+    # One row a cluster or class, dealt anew so that adaptive execution may split the rows of a large one.
+    cluster_size = known.groupBy("root").agg(F.count("*").alias("size"), F.sum("bytes").alias("all_bytes")).repartition("root", "size")
     inside = known.join(cluster_size, "root")
     asked = KeyFilter.of(known, "key").passing(base, "key")  # only these texts are shuffled
     one_text = asked.alias("d").join(inside.alias("c"), (F.col("d.key") == F.col("c.key")) & F.col("d.doc_id").eqNullSafe(F.col("c.least_id"))).select("c.root", "c.size", "c.all_bytes", "c.key", "c.copies", "d.text")
@@ -265,7 +266,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: tuple[int, int] =
     links = verified.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     node_class = nodes.select("key", "least_id", "copies").join(classes.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left")
     node_class = node_class.select("key", "least_id", "copies", F.coalesce("root", "key").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    of_class = node_class.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
+    of_class = node_class.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size")).repartition("root", "class_size")
     final = pinned(node_class.join(of_class, "root").select("key", F.col("root").alias("class_key"), "class_id", "class_size", "n_links"), "classes")
     return base.select("doc_id", "key").join(final, "key").select("doc_id", "class_id", "class_size", "n_links", F.col("key").alias("text_key"), "class_key")
 
