@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import text
 from seqloom.operators import compare, corpus, feeding, overlap
 from seqloom.plans import evaluation_queries
-from tests.test_sequences import table_lcs
+from tests.test_sequences import common
 
 
 def test_first_of_each_and_counts(spark):
@@ -116,7 +116,7 @@ def test_overlap(spark, monkeypatch, sent):
     got = {r.i: r.overlap for r in overlap.scores(found, "i", text.words).collect()}
     for i, x in enumerate(b):
         left, right = max((y for y in a if y <= x), default=None), min((y for y in a if y > x), default=None)
-        ratios = [table_lcs(x.split(), y.split()) / max(len(x.split()), len(y.split())) for y in (left, right) if y is not None]
+        ratios = [common(x.split(), y.split()) / max(len(x.split()), len(y.split())) for y in (left, right) if y is not None]
         assert got[i] == pytest.approx(max(ratios))
     scored = overlap.scores(found, "i", text.words)
     assert overlap.flagged(scored).count() == sum(v > 0.8 for v in got.values())
