@@ -25,6 +25,31 @@ def test_learns_an_interaction():
     assert ((s >= 0.5) == (y == 1)).mean() > 0.99
 
 
+def test_pairs_that_linear_weights_miss():
+    """An insult is toxic beside the group it is meant for and clean beside any other: no sum of weights tells them apart."""
+    rng = np.random.default_rng(4)
+    rows, y = [], []
+    for _ in range(4000):
+        kind, i = rng.choice(3, p=[0.4, 0.3, 0.3]), rng.integers(0, 4)
+        group = i if kind == 1 else (i + rng.integers(1, 4)) % 4
+        said = [1 + i, 11 + group] if kind else []
+        rows.append(np.unique([*said, *rng.choice(range(30, 60), 5)]).astype(np.int32))
+        y.append(float(kind == 1))
+    y = np.array(y)
+    held = np.arange(4000) % 4 == 0
+    m = t.fit([r for r, h in zip(rows, held) if not h], y[~held], bits=6)
+    score = t.raw_scores(m, np.concatenate(rows), np.cumsum([len(r) for r in rows]))
+    x = np.zeros((4000, 64))
+    for k, r in enumerate(rows):
+        x[k, r] = 1
+    w, bias = np.zeros(64), 0.0
+    for _ in range(3000):  # logistic regression, the best that additive weights can do
+        error = t.sigmoid(x[~held] @ w + bias) - y[~held]
+        w, bias = w - x[~held].T @ error / 300, bias - error.mean()
+    linear = ((x[held] @ w + bias > 0) == (y[held] == 1)).mean()
+    assert ((score[held] > 0) == (y[held] == 1)).mean() > 0.95 > 0.8 > linear
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
     scored = t.score(docs, t.train(docs, labels)).withColumn("held_out", t.held_out()).join(labels, "doc_id").where("held_out").collect()
