@@ -34,7 +34,9 @@ def folded(text: Column) -> Column:
 
 
 def canonical(text: Column) -> Column:
-    once = composed(folded(composed(F.coalesce(text, F.lit("")))))
+    given = F.coalesce(text, F.lit(""))
+    # ASCII (as many bytes as characters) is composed as it is, and its folding is plain lower case.
+    once = F.when(F.octet_length(given) == F.length(given), F.lower(given)).otherwise(composed(folded(composed(given))))
     # A lone space stays as it is, so only other white space and longer runs are rewritten.
     single = F.regexp_replace(once, f"[{ODD_SPACE}][{SPACE}]*| [{SPACE}]+", " ")
     return F.btrim(single)
