@@ -105,6 +105,7 @@ class ByteBpe:
         self.hash = PerfectHash(keys)
         self.rank_at = [tokens[k] for k in keys]
         self.rank_of_part = tokens  # for the parts of a miss; whole pre-tokens go through the perfect hash
+        self.rank_of_pair = [tokens.get(bytes((x, y)), -1) for x in range(256) for y in range(256)]  # for its bytes
         self.find = regex.compile(pattern).findall
         size = max(tokens.values(), default=-1) + 1
         spelled: list[bytes] = [b""] * size
@@ -131,7 +132,8 @@ class ByteBpe:
         end = list(range(1, n + 1))
         before = list(range(-1, n - 1))
         alive = [True] * n
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        pairs = self.rank_of_pair
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := pairs[piece[i] << 8 | piece[i + 1]]) >= 0]
         heapq.heapify(heap)
         push, pop = heapq.heappush, heapq.heappop
         while heap:
