@@ -55,4 +55,19 @@ MIX = r"""WITH d AS (SELECT doc_id, coalesce('=' || source, '') AS source_key, s
   o AS (SELECT d.*, source_size, target, passes, CASE WHEN source_size > 0 THEN quota - passes * source_size ELSE 0 END AS rest, sum(size) OVER (PARTITION BY source_key ORDER BY u % blocks, u ROWS UNBOUNDED PRECEDING) - size AS start FROM d JOIN q USING (source_key))
 SELECT doc_id, size, source_size, target, CAST(passes * size + greatest(0, least(size, rest - start)) AS BIGINT) AS taken FROM o"""
 
-ORACLE = {"op1_chat_format": CHAT, "op3_mixing": MIX, "op6_ngram_join": JOIN, "op7_warc": ARCHIVE, "op9_hnsw": NEAREST}
+#: Each order applied to each document, by the first filter that it fails.
+AUDIT = r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x FROM documents), f AS (SELECT x, min(doc_id) AS least FROM d GROUP BY x),
+  w AS (SELECT d.*, least, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS words FROM d JOIN f USING (x)),
+  l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+  t AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, CASE WHEN len(words) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 2 * length(x) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS fails FROM w LEFT JOIN l USING (doc_id)),
+  m AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM t GROUP BY ALL),
+  c(c) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')), o AS (SELECT a.c || b.c || c.c || d.c || e.c AS o FROM c a, c b, c c, c d, c e WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+  s AS (SELECT part, o, k, o[k] AS f, o[1:k - 1] AS before, fails, n, good, toxic FROM o, range(1, 6) AS r(k), m),
+  g AS (SELECT *, contains(fails, f) AS hit, len(list_filter(string_split(before, ''), lambda b: b <> '' AND contains(fails, b))) > 0 AS gone FROM s),
+  r AS (SELECT part, o AS filter_order, k AS step, f, coalesce(sum(n) FILTER (WHERE NOT hit AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (WHERE hit AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (WHERE hit AND gone), 0) AS redundant,
+    coalesce(sum(n) FILTER (WHERE fails = f), 0) AS unique_fails, coalesce(sum(good) FILTER (WHERE hit AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE hit AND NOT gone), 0) AS toxic_lost FROM g GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r"""
+
+ORACLE = {"op1_chat_format": CHAT, "op3_mixing": MIX, "op6_ngram_join": JOIN, "op7_warc": ARCHIVE, "op9_hnsw": NEAREST, "op12_filter_audit": AUDIT}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import byte_bpe, chat_format, fingerprints, hnsw, mixing, ngram_join, oracles, surrogates, token_files, toxicity, warc
+from seqloom.llm import byte_bpe, chat_format, filter_audit, fingerprints, hnsw, mixing, ngram_join, oracles, runs, surrogates, token_files, toxicity, warc
 from seqloom.llm.common import table
 
 
@@ -65,6 +65,14 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.per_document(table(spark, sf_dir, "documents"), runs.planted))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_fingerprints": op2_fingerprints,
@@ -76,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_hnsw": op9_hnsw,
     "op10_byte_bpe": op10_byte_bpe,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_runs": op13_runs,
 }
 #: The others hash, learn, or encode by what SQL doesn't have; tests hold them against brute force or the libraries.
 ORACLE: dict[str, str] = oracles.ORACLE
