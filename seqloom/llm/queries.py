@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import byte_bpe, chat_format, filter_audit, fingerprints, hnsw, mixing, ngram_join, oracles, runs, surrogates, token_files, toxicity, warc
+from seqloom.llm import byte_bpe, chat_format, filter_audit, fingerprints, hnsw, mixing, ngram_join, oracles, packing, runs, surrogates, token_files, toxicity, warc
 from seqloom.llm.common import table
 
 
@@ -65,6 +65,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pieces_of(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
+    return packing.pack(pieces, 2048)
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_hnsw": op9_hnsw,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_packing": op11_packing,
     "op12_filter_audit": op12_filter_audit,
     "op13_runs": op13_runs,
 }
