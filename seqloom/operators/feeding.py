@@ -1,4 +1,4 @@
-"""Preparing examples for training: ids, lengths, padding, and batches within a token budget."""
+"""Preparing examples for training: ids, lengths, padding."""
 
 from __future__ import annotations
 
@@ -66,33 +66,6 @@ def collate(batched: DataFrame, *, start_id: int, end_id: int, batch: str = "bat
     )
 
 
-def budget_batches(df: DataFrame, shard: str, order: str, src_len: str, tgt_len: str, budget: int) -> DataFrame:
-    """Adds ``batch_no``: within each shard, in order, rows join the batch while rows times longest side stay in budget.
-
-    The fold depends on order, so a shard is its unit; it streams, one row of state. A row above the budget is a batch of
-    its own.
-    """
-    import pyarrow as pa
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: object = object()
-        number = count = longest = 0
-        for b in batches:
-            out = []
-            for s, x, y in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in (shard, src_len, tgt_len)), strict=True):
-                if s != now:
-                    now, number, count, longest = s, 0, 0, 0
-                longer = max(longest, x or 0, y or 0)
-                if count and (count + 1) * longer > budget:
-                    number, count, longer = number + 1, 0, max(x or 0, y or 0)
-                count, longest = count + 1, longer
-                out.append(number)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, "batch_no"])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "batch_no long"])
-    return df.repartition(shard).sortWithinPartitions(shard, order).mapInArrow(run, schema)
-
-
 def cached(df: DataFrame) -> DataFrame:
     """A source kept in memory, and on disk where that is full, for repeated passes; ``unpersist`` lets go of it."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import schedules, text
-from seqloom.operators import corpus, feeding, overlap
+from seqloom.operators import batching, corpus, feeding, overlap
 
 SEED, SPACE = 19260817, text.ASCII_SPACE
 RE = r"[ \t\n\r\f]+"
@@ -292,16 +292,28 @@ def pad_shift(spark, sf_dir):
     return out.select("idx", F.col("target_length").cast("long").alias("target_length"), line("target_output"), line("target_input"))
 
 
-@query(
-    f"""WITH RECURSIVE o AS (SELECT doc_id, source, len({WORDS.format('text')}) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
-    b AS (SELECT source, r, doc_id, n, 0 AS batch_no, 1 AS c, n AS longest FROM o WHERE r = 1 UNION ALL SELECT o.source, o.r, o.doc_id, o.n, CASE WHEN (c + 1) * greatest(longest, o.n) > 4096 THEN batch_no + 1 ELSE batch_no END,
-      CASE WHEN (c + 1) * greatest(longest, o.n) > 4096 THEN 1 ELSE c + 1 END, CASE WHEN (c + 1) * greatest(longest, o.n) > 4096 THEN o.n ELSE greatest(longest, o.n) END FROM b JOIN o ON o.source = b.source AND o.r = b.r + 1)
+def batches_sql(shard: str) -> str:
+    return f"""WITH RECURSIVE o AS (SELECT doc_id, {shard} AS shard, source, len({WORDS.format('text')}) AS n, row_number() OVER (PARTITION BY {shard} ORDER BY doc_id) AS r FROM documents),
+    b AS (SELECT shard, source, r, doc_id, n, 0 AS batch_no, 1 AS c, n AS longest FROM o WHERE r = 1 UNION ALL SELECT o.shard, o.source, o.r, o.doc_id, o.n, CASE WHEN (c + 1) * greatest(longest, o.n) > 4096 THEN batch_no + 1 ELSE batch_no END,
+      CASE WHEN (c + 1) * greatest(longest, o.n) > 4096 THEN 1 ELSE c + 1 END, CASE WHEN (c + 1) * greatest(longest, o.n) > 4096 THEN o.n ELSE greatest(longest, o.n) END FROM b JOIN o ON o.shard = b.shard AND o.r = b.r + 1)
     SELECT doc_id, source, n, CAST(batch_no AS BIGINT) AS batch_no FROM b"""
-)
+
+
+def _measured(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "source", F.size(words("text")).cast("long").alias("n"))
+
+
+@query(batches_sql("source"))
 def token_budget_batches(spark, sf_dir):
     """Batches of at most 4096 tokens by source, in order of ids."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.size(words("text")).cast("long").alias("n"))
-    return feeding.budget_batches(docs, "source", "doc_id", "n", "n", 4096)
+    return batching.budget_batches(_measured(spark, sf_dir), "source", "doc_id", "n", "n", 4096)
+
+
+@query(batches_sql("0"))
+def token_budget_one_shard(spark, sf_dir):
+    """All documents as one shard, cut by many tasks."""
+    docs = _measured(spark, sf_dir).withColumn("shard", F.lit(0))
+    return batching.budget_batches(docs, "shard", "doc_id", "n", "n", 4096).drop("shard")
 
 
 NEIGHBOURS = """u AS (SELECT text, NULL::BIGINT AS item_id FROM documents UNION ALL SELECT text, item_id FROM benchmark),

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions import text
-from seqloom.operators import compare, corpus, feeding, overlap
+from seqloom.operators import batching, compare, corpus, feeding, overlap
 from seqloom.plans import evaluation_queries
 from tests.test_sequences import common
 
@@ -126,7 +126,7 @@ def test_overlap(spark, monkeypatch, sent):
 def test_batches(spark):
     rng = random.Random(2)
     rows = [(i, f"s{i % 3}", rng.randint(1, 30), rng.randint(1, 30)) for i in range(200)] + [(900, "s0", 500, 1)]
-    out = feeding.budget_batches(spark.createDataFrame(rows, "i long, s string, a int, b int"), "s", "i", "a", "b", 100).collect()
+    out = batching.budget_batches(spark.createDataFrame(rows, "i long, s string, a int, b int"), "s", "i", "a", "b", 100).collect()
     assert len(out) == len(rows)
     key = lambda r: (r.s, r.batch_no)
     for _, group in itertools.groupby(sorted(out, key=lambda r: (r.s, r.batch_no, r.i)), key=key):
