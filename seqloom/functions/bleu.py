@@ -6,7 +6,7 @@ from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,13 +68,17 @@ def corpus(prefix: str, order: int, smooth: bool = False) -> Column:
     return score(get("matches"), get("possible"), F.col(f"{prefix}_hyp"), F.col(f"{prefix}_ref"), smooth)
 
 
-def running(rows: DataFrame, c: str, order: int, reset: str, index: str) -> DataFrame:
-    """``rows`` with ``bleu``: the corpus score of all rows so far in order, begun anew for each value of ``reset``."""
-    so_far = Window.partitionBy(reset).orderBy(index)
-    total = lambda x: F.sum(x).over(so_far)
+def running(rows: DataFrame, c: str, order: int, index: str, reset: str | None = None) -> DataFrame:
+    """``rows`` with ``bleu``: the corpus score of all rows so far in order, of the whole pass or begun anew for each value of ``reset``."""
+    from seqloom.operators.running import running_totals
+    from seqloom.sources.workspace import spare
+
     counts = F.col(c)
-    bleu = score([total(counts["matches"][i]) for i in range(order)], [total(counts["possible"][i]) for i in range(order)], total(counts["hyp_len"]), total(counts["ref_len"]), False)
-    return rows.withColumn("bleu", bleu)
+    names = spare(rows, *(f"{k}{i}" for k in ("matches", "possible") for i in range(order)), "hyp", "ref")
+    values = [counts[k][i] for k in ("matches", "possible") for i in range(order)] + [counts["hyp_len"], counts["ref_len"]]
+    total = running_totals(rows, [F.col(index)], dict(zip(names, values, strict=True)), reset)
+    sums = [F.col(n) for n in names]
+    return total.withColumn("bleu", score(sums[:order], sums[order : 2 * order], sums[-2], sums[-1], False)).drop(*names)
 
 
 def of_files(spark: SparkSession, path: str, order: int) -> DataFrame:

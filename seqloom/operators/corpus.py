@@ -270,16 +270,6 @@ def reservoir(df: DataFrame, size: int, seed: int, key: str) -> DataFrame:
     return least_hashed(df, size, hash_order(F.col(key), seed), [F.col(key)])
 
 
-def weighted_reservoir(counts: DataFrame, size: int, seed: int) -> DataFrame:
-    """``word`` drawn ``size`` times from the bag in which each word lies ``count`` times, without storing the bag.
-
-    The bag's copies are generated with their hashes and filtered at once; only those near the least ones are shuffled.
-    """
-    copies = counts.select("word", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("copy"))
-    key = F.concat(F.col("word"), F.lit(" "), F.col("copy").cast("string"))
-    return least_hashed(copies, size, hash_order(key, seed), [F.col("word"), F.col("copy")]).select("word")
-
-
 def shuffled(df: DataFrame, seed: int, key: str) -> DataFrame:
     return df.orderBy(hash_order(F.col(key), seed), key)
 

@@ -245,8 +245,3 @@ def catalogue(spark) -> DataFrame:
     """The metric catalogue as a table."""
     rows = [(m.key, m.name, m.type, m.fixed, m.higher_is_better, m.display_in_summary, m.display_in_example) for m in METRICS]
     return spark.createDataFrame(rows, "key string, name string, type string, fixed int, higher_is_better boolean, display_in_summary boolean, display_in_example boolean")
-
-
-def running_mean(df: DataFrame, value: str, order: str, rows: int, by: str) -> DataFrame:
-    """Adds ``running``: the mean of the last ``rows`` values in order within ``by``, which bounds what one task orders."""
-    return df.withColumn("running", F.avg(value).over(Window.partitionBy(by).orderBy(order).rowsBetween(1 - rows, 0)))

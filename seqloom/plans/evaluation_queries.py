@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqloom.functions import bleu, sequences
-from seqloom.operators import compare, evaluation
+from seqloom.operators import compare, evaluation, running
 from seqloom.plans.corpus_queries import PAIRS, SPACE, WORDS, conversation_pairs, table, words
 
 Q: dict = {}
@@ -263,12 +263,19 @@ def subset_by_mask(spark, sf_dir):
 
 
 @query("SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6) AS running FROM events")
-def running_loss(spark, sf_dir):
+def running_loss_by_user(spark, sf_dir):
     """A running mean of 20 values, by user."""
-    rows = evaluation.running_mean(table(spark, sf_dir, "events"), "value", "event_id", 20, "user_id")
+    rows = running.running_mean(table(spark, sf_dir, "events"), "value", "event_id", 20, "user_id")
     return rows.select("user_id", "event_id", F.round("running", 6).alias("running"))
 
 
+@query("SELECT event_id, round(avg(value) OVER (ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6) AS running FROM events")
+def running_loss(spark, sf_dir):
+    """A running mean of 20 values over all events in one order."""
+    rows = running.running_mean(table(spark, sf_dir, "events").select("event_id", "value"), "value", "event_id", 20)
+    return rows.select("event_id", F.round("running", 6).alias("running"))
+
+
 @query("SELECT * FROM (VALUES ('summary', 17), ('example', 5), ('directed', 17)) AS t(shown, n)")
 def metric_visibility(spark, sf_dir):
     """How many metrics the summary shows, an example shows, and can be compared."""

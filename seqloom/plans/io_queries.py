@@ -10,7 +10,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from seqloom.functions import bleu, formatting, text
-from seqloom.operators import compare, corpus, feeding, overlap
+from seqloom.operators import compare, corpus, drawing, feeding, overlap
 from seqloom.plans.corpus_queries import PAIRS, S as CORPUS_S, SEED, VOCAB, WORDS, _vocab, conversation_pairs, heldout_split, table, words
 from seqloom.plans.evaluation_queries import S as EVALUATION_S, bleu_sql, score_sql
 from seqloom.sources import config, files, readers, sinks
@@ -230,13 +230,31 @@ def training_text(spark, sf_dir):
 
 
 TOKEN_COUNTS = f"tok AS (SELECT unnest({sql_words('text')}) AS word FROM documents), cnt AS (SELECT word, count(*) AS n FROM tok GROUP BY word)"
-BAG = f"{TOKEN_COUNTS}, bag AS (SELECT word, unnest(range(1, n + 1)) AS copy FROM cnt), drawn AS (SELECT word FROM bag ORDER BY md5(concat(word, ' ', copy, ':', {SEED})), word, copy LIMIT 1000)"
 
 
-@query(f"WITH {BAG} SELECT word, count(*) AS n FROM drawn GROUP BY word")
+def drawn_sql(good: str, bad: str, draws: str, u: str) -> str:
+    """The hypergeometric distribution inverted at ``u``."""
+    choose = lambda n, k: f"(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - ({k}) + 1))"
+    chance = f"exp({choose(good, 'q')} + {choose(bad, f'({draws} - q)')} - {choose(f'({good} + {bad})', draws)})"
+    low = f"greatest(0, {draws} - {bad})"
+    high = f"least({good}, {draws}, {low} + CAST({draws} * {good} / ({good} + {bad}) + 12 * sqrt({draws} * {good} / ({good} + {bad})) + 60 AS BIGINT))"
+    return f"({low} + len(list_filter(list_transform(range({low}, {high} + 1), lambda k: list_sum(list_transform(range({low}, k + 1), lambda q: {chance}))), lambda c: c <= {u})))"
+
+
+NUMBER = "CAST('0x' || md5(concat({0}, ':', " + str(SEED) + "))[1:13] AS BIGINT) / 4503599627370496.0"
+BAG = f"""{TOKEN_COUNTS}, bag AS (SELECT word, n, md5(concat('=', word, ':', {SEED})) AS dg FROM cnt), sums AS (SELECT dg[1:2] AS bucket, CAST(sum(n) AS BIGINT) AS n FROM bag GROUP BY ALL),
+  b AS (SELECT bucket, n, {NUMBER.format('bucket')} AS u, row_number() OVER (ORDER BY bucket) AS r FROM sums),
+  bd AS (SELECT 0 AS r, '' AS bucket, 0 AS got, CAST(sum(n) AS BIGINT) AS rest, CAST(least(1000, sum(n)) AS BIGINT) AS draws FROM b
+    UNION ALL SELECT r, bucket, got, rest - n, draws - got FROM (SELECT b.r, b.bucket, n, rest, draws, {drawn_sql('b.n', '(rest - b.n)', 'draws', 'b.u')} AS got FROM bd JOIN b ON b.r = bd.r + 1)),
+  w AS (SELECT dg[1:2] AS bucket, word, n, {NUMBER.format('dg')} AS u, row_number() OVER (PARTITION BY dg[1:2] ORDER BY dg) AS r FROM bag),
+  wd AS (SELECT bucket, 0 AS r, '' AS word, 0 AS got, sums.n AS rest, bd.got AS draws FROM bd JOIN sums USING (bucket)
+    UNION ALL SELECT bucket, r, word, got, rest - n, draws - got FROM (SELECT w.bucket, w.r, w.word, n, rest, draws, {drawn_sql('w.n', '(rest - w.n)', 'draws', 'w.u')} AS got FROM wd JOIN w ON w.bucket = wd.bucket AND w.r = wd.r + 1 WHERE draws > 0))"""
+
+
+@query(f"WITH RECURSIVE {BAG} SELECT word, CAST(got AS BIGINT) AS n FROM wd WHERE got > 0")
 def weighted_tokens(spark, sf_dir):
     """A thousand words drawn by their counts (the size of the sample is the feature)."""
-    drawn = corpus.weighted_reservoir(corpus.word_counts(table(spark, sf_dir, "documents"), words("text")), 1000, SEED)
+    drawn = drawing.draw(corpus.word_counts(table(spark, sf_dir, "documents"), words("text")), 1000, SEED)
     return drawn.groupBy("word").agg(F.count("*").alias("n"))
 
 
@@ -352,7 +370,14 @@ RUNNING = ", ".join(f"sum(m{n}) OVER o AS m{n}, sum(p{n}) OVER o AS p{n}" for n
 def running_bleu(spark, sf_dir):
     """The score so far after each pair, begun anew every ten conversations."""
     counted = conversation_pairs(spark, sf_dir).select("idx", F.expr("idx DIV 42949672960").alias("pass"), bleu.count_column(4)(words("tgt"), words("src")).alias("c"))
-    return bleu.running(counted, "c", 4, "pass", "idx").select("idx", F.round("bleu", 6).alias("bleu"))
+    return bleu.running(counted, "c", 4, "idx", "pass").select("idx", F.round("bleu", 6).alias("bleu"))
+
+
+@query(f"WITH {bleu_sql(4)}, run AS (SELECT idx, sum(h) OVER o AS h, sum(r) OVER o AS r, {RUNNING} FROM k WINDOW o AS (ORDER BY idx)) SELECT idx, round({score_sql(4, False)}, 6) AS bleu FROM run")
+def running_bleu_whole(spark, sf_dir):
+    """The score so far after each pair, over all pairs in one order."""
+    counted = conversation_pairs(spark, sf_dir).select("idx", bleu.count_column(4)(words("tgt"), words("src")).alias("c"))
+    return bleu.running(counted, "c", 4, "idx").select("idx", F.round("bleu", 6).alias("bleu"))
 
 
 @query("SELECT w.o AS ordinal, n.n_nationkey, n.n_name FROM (VALUES (0, 7), (1, 3), (2, 3), (3, 24)) AS w(o, k) JOIN nation n ON n.n_nationkey = w.k")

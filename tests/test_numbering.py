@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators import compare, corpus, overlap
+from seqloom.operators import compare, corpus, drawing, overlap
 from seqloom.sources.workspace import scratch, spare
 
 N = 1_000_000
@@ -57,7 +57,7 @@ def test_comparison_keeps_both_sides(spark, rows):
 
 def test_weighted_sample(spark, rows):
     counts = rows.select(F.col("payload").alias("word"), F.lit(2).cast("long").alias("count"), "h")
-    assert corpus.weighted_reservoir(counts, 400_000, 5).count() == 400_000
+    assert drawing.draw(counts, 400_000, 5).count() == 400_000
 
 
 def test_both_ways_to_neighbours_agree(spark, rows):

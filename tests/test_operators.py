@@ -93,10 +93,6 @@ def test_sampling(spark):
     got = [r.id for r in corpus.reservoir(df, 20, 1, "id").collect()]
     assert len(set(got)) == 20 and got == [r.id for r in corpus.reservoir(df.repartition(7), 20, 1, "id").collect()]
     assert corpus.reservoir(df, 1000, 1, "id").count() == 500
-    counts = spark.createDataFrame([("a", 900), ("b", 100)], "word string, count long")
-    drawn = [r.word for r in corpus.weighted_reservoir(counts, 400, 3).collect()]
-    assert len(drawn) == 400 and 20 <= drawn.count("b") <= 62
-    assert corpus.weighted_reservoir(counts, 5000, 3).count() == 1000
     assert sorted(r.id for r in corpus.shuffled(df, 5, "id").collect()) == list(range(500)) != [r.id for r in corpus.shuffled(df, 5, "id").collect()]
 
 
