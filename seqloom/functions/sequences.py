@@ -91,11 +91,37 @@ def lcs_plan(a: Tokens, b: Tokens, prioritize_beginning: bool = False) -> tuple[
     return keep_a, keep_b
 
 
+def unit_distance(a: Tokens, b: Tokens, swaps: bool) -> int:
+    """Edits of cost 1, with or without adjacent transpositions, a column of the table at a time: bit j says whether a cell is above
+    or below the one before it, and a few operations on long words make the next column's bits from the last one's."""
+    if not a or not b:
+        return max(len(a), len(b))
+    where = _places(a)
+    full = (1 << len(a)) - 1
+    top = 1 << (len(a) - 1)
+    up, down, diagonal, before, score = full, 0, 0, 0, len(a)
+    for t in b:
+        here = where.get(t, 0)
+        crossed = ((full & ~diagonal & here) << 1) & before if swaps else 0
+        diagonal = ((((here & up) + up) ^ up) | here | down | crossed) & full
+        right, left = down | (full & ~(diagonal | up)), diagonal & up
+        if right & top:
+            score += 1
+        elif left & top:
+            score -= 1
+        right, left = (right << 1 | 1) & full, (left << 1) & full
+        up, down = left | (full & ~(diagonal | right)), right & diagonal
+        before = here
+    return score
+
+
 def edit_distance(a: Tokens, b: Tokens, insert: float = 1, remove: float = 1, replace: float = 1, swap: float | None = None) -> float:
     """Distance with own costs and, if ``swap`` is given, of adjacent transpositions (each token in one edit at most).
 
     An empty prefix is at distance of the other's length, whatever the costs.
     """
+    if insert == remove == replace == 1 and swap in (None, 1):
+        return unit_distance(a, b, swap == 1)
     codes: dict[Hashable, int] = {}
     x = np.array([codes.setdefault(t, len(codes)) for t in a], np.int64)
     y = np.array([codes.setdefault(t, len(codes)) for t in b], np.int64)
@@ -116,35 +142,100 @@ def similarity(a: str, b: str) -> float:
     return 1.0 if a == b else 1.0 - edit_distance(a, b, swap=1) / max(len(a), len(b), 1)
 
 
-def edit_score_for_plan(tgt: Tokens, hyp: Tokens, copied: Sequence[bool], reward: float, penalty: float, normalize: bool = True) -> float:
-    """Alignment of a hypothesis that earns less for copied tokens and pays for wrong ones.
+#: Cells that one step of a batch of alignments works on: what numpy holds at once.
+STEP_CELLS = 1 << 16
 
-    First tokens must align: an empty hypothesis scores minus infinity (unless nothing can be earned).
-    """
-    codes: dict[Hashable, int] = {}
-    y = np.array([codes.setdefault(t, len(codes)) for t in hyp], np.int64)
-    row = np.full(len(y) + 1, -np.inf)
-    row[0] = 0.0
-    steps = np.arange(len(y))
-    for t, c in zip(tgt, copied, strict=True):
-        gain, pay = (reward, penalty) if c else (1.0, 0.0)
-        best = np.maximum(row[1:], row[:-1] + np.where(y == codes.get(t, -1), gain, pay))
-        row = np.concatenate(([-np.inf], np.maximum.accumulate(best - pay * steps) + pay * steps))
-    score = float(row[-1])
-    if not normalize:
-        return score
-    n_copied = sum(copied)
-    most, least = n_copied * reward + len(tgt) - n_copied, penalty * n_copied
-    return 1.0 if most == least else (score - least) / (most - least)
 
+def alignment_scores(targets: Sequence[Tokens], hyps: Sequence[Tokens], copied: Sequence[Sequence[bool]], settings: Sequence[tuple[float, float]], normalize: bool = True) -> np.ndarray:
+    """Scores of many hypotheses under many settings (rows by settings): alignments that earn less for copied tokens and pay for wrong ones.
 
-def edit_scores(src: str, tgt: str, hyp: str, settings: Sequence[tuple[float, float]], normalize: bool = True) -> list[float]:
-    """One score for each (reward, penalty), over one plan."""
+    First tokens must align: an empty hypothesis scores minus infinity (unless nothing can be earned). Pairs of like lengths are worked
+    on together. All pairs and settings of a batch are one array; target token i and hypothesis token j meet on anti-diagonal i + j,
+    which depends on the two before it only, so a step is a few operations on whole diagonals.
+    """
+    out = np.empty((len(targets), len(settings)))
+    if not len(targets) or not settings:
+        return out
+    n, m = np.array([len(t) for t in targets]), np.array([len(h) for h in hyps])
+    reward, penalty = (np.array([s[k] for s in settings], np.float64)[:, None] for k in (0, 1))
+    # Like lengths of targets, then of hypotheses: padding stays below a quarter or so of either side.
+    kind = np.round(np.log(n + 8.0) * 4)
+    order = np.lexsort((m, kind))
+    at = 0
+    while at < len(order):
+        stop, low, rows = at + 1, order[at], n[order[at]]
+        while stop < len(order) and kind[order[stop]] == kind[low] and m[order[stop]] <= m[low] * 1.25 + 8 and (stop - at) * len(settings) * rows < STEP_CELLS:
+            stop += 1
+        pick = order[at:stop]
+        out[pick] = _aligned([targets[k] for k in pick], [hyps[k] for k in pick], [copied[k] for k in pick], n[pick], m[pick], reward, penalty)
+        at = stop
+    if not normalize:
+        return out
+    n_copied = np.array([sum(c) for c in copied])[:, None]
+    most, least = n_copied * reward[:, 0] + (n[:, None] - n_copied), penalty[:, 0] * n_copied
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(most == least, 1.0, (out - least) / (most - least))
+
+
+def _narrowest(reward: np.ndarray, penalty: np.ndarray, steps: int) -> tuple[type, int, float]:
+    """The narrowest numbers that hold all sums exactly, what settings are multiplied by to be whole, and what stands for minus infinity:
+    integers where settings are multiples of a small power of two, which narrow ones do several of at a time."""
+    values = [float(v) for v in (*reward.ravel(), *penalty.ravel())]
+    scale = max(v.as_integer_ratio()[1] for v in (*values, 1.0))
+    if scale <= 1024:
+        most = steps * scale * max(1.0, *map(abs, values))
+        for kind, bits in ((np.int16, 15), (np.int32, 31)):
+            if 4 * most < 1 << bits:
+                return kind, scale, -(1 << (bits - 1))
+    return np.float64, 1, -np.inf
+
+
+def _aligned(targets: Sequence[Tokens], hyps: Sequence[Tokens], copied: Sequence[Sequence[bool]], n: np.ndarray, m: np.ndarray, reward: np.ndarray, penalty: np.ndarray) -> np.ndarray:
+    """The last cells of the tables of some pairs. Cell (i, j) is the best of the target without token i (nothing paid or earned), of
+    hypothesis token j too many (paid for as token i says), and of both tokens aligned."""
+    b, rows, columns = len(targets), int(n.max()), int(m.max())
+    x, y, c = np.full((b, rows + 1), -1, np.int32), np.full((b, columns + 1), -2, np.int32), np.zeros((b, rows + 1), bool)
+    for k, (t, h, known) in enumerate(zip(targets, hyps, copied, strict=True)):
+        codes: dict[Hashable, int] = {}
+        x[k, 1 : len(t) + 1] = [codes.setdefault(w, len(codes)) for w in t]
+        y[k, 1 : len(h) + 1] = [codes.get(w, -2) for w in h]
+        c[k, 1 : len(t) + 1] = known
+    # By place in the target: (settings, pairs, rows + 1). Diagonal d holds cell (i, d - i) at i; cells off its ends are minus infinity.
+    kind, scale, least = _narrowest(reward, penalty, rows + columns + 1)
+    pay = np.where(c[None], penalty[:, :, None] * scale, 0.0).astype(kind)
+    more = np.where(c[None], reward[:, :, None] * scale, 1.0 * scale).astype(kind) - pay
+    before, last, now = (np.full(pay.shape, least, kind) for _ in range(3))
+    last[:, :, 0] = 0  # cell (0, 0)
+    found = np.full((len(reward), b), -np.inf)
+    found[:, (n == 0) & (m == 0)] = 0.0
+    y = np.ascontiguousarray(y[:, ::-1])
+    for d in range(1, rows + columns + 1):
+        lo, hi = max(1, d - columns), min(rows, d - 1) + 1
+        cell = now[:, :, lo:hi]
+        if hi > lo:
+            np.multiply(x[:, lo:hi] == y[:, columns - d + lo : columns - d + hi], more[:, :, lo:hi], out=cell)
+            cell += before[:, :, lo - 1 : hi - 1]
+            np.maximum(cell, last[:, :, lo:hi], out=cell)
+            cell += pay[:, :, lo:hi]
+            np.maximum(cell, last[:, :, lo - 1 : hi - 1], out=cell)
+        now[:, :, lo - 1] = least
+        now[:, :, max(lo, hi) : max(lo, hi) + 1] = least
+        done = np.flatnonzero(n + m == d)
+        done = done[(n[done] >= lo) & (n[done] < hi)]
+        if len(done):
+            ends = now[:, done, n[done]]
+            found[:, done] = np.where(ends < least / 2, -np.inf, ends / scale)
+        before, last, now = last, now, before
+    return found.T
+
+
+def edit_scores(pairs: Sequence[tuple[str, str, str]], settings: Sequence[tuple[float, float]], normalize: bool = True) -> np.ndarray:
+    """Scores of (source, target, hypothesis) texts, one for each (reward, penalty), over one plan a pair."""
     if any(r < 0 for r, _ in settings) or any(p > 0 for _, p in settings):
         raise ValueError("rewards are not negative, penalties not positive")
-    s, t, h = src.split(), tgt.split(), hyp.split()
-    _, copied = lcs_plan(s, t, prioritize_beginning=True)
-    return [edit_score_for_plan(t, h, copied, r, p, normalize) for r, p in settings]
+    split = [[x.split() for x in p] for p in pairs]
+    copied = [lcs_plan(s, t, prioritize_beginning=True)[1] for s, t, _ in split]
+    return alignment_scores([t for _, t, _ in split], [h for _, _, h in split], copied, settings, normalize)
 
 
 def coloured(a: str, b: str) -> tuple[str, str]:
@@ -169,18 +260,24 @@ def string_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def edit_score_column(settings: Sequence[tuple[float, float]], normalize: bool = True):
-    """An Arrow function from source, target and hypothesis texts to an array of scores."""
+    """An Arrow function from source, target and hypothesis texts to an array of scores; null if one of them is."""
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def scores(src: pd.Series, tgt: pd.Series, hyp: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None or z is None else edit_scores(x, y, z, settings, normalize) for x, y, z in zip(src, tgt, hyp, strict=True)])
+        rows = list(zip(src, tgt, hyp, strict=True))
+        whole = [k for k, r in enumerate(rows) if None not in r]
+        out: list = [None] * len(rows)
+        for k, found in zip(whole, edit_scores([rows[k] for k in whole], settings, normalize).tolist(), strict=True):
+            out[k] = found
+        return pd.Series(out)
 
     return scores
 
 
 @F.pandas_udf(T.StructType([T.StructField("a", T.ArrayType(T.BooleanType())), T.StructField("b", T.ArrayType(T.BooleanType()))]))
 def lcs_plan_columns(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    plans = [lcs_plan(list(x), list(y)) for x, y in zip(a, b, strict=True)]
+    """Null where either side is null."""
+    plans = [(None, None) if x is None or y is None else lcs_plan(list(x), list(y)) for x, y in zip(a, b, strict=True)]
     return pd.DataFrame({"a": [p for p, _ in plans], "b": [q for _, q in plans]})
 
 

@@ -146,10 +146,11 @@ def edit_distance_costs(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", sequences.edit_distance_column(insert=2.0, remove=1.5, replace=2.5, swap=0.5)("p_name", "p_type").alias("distance"))
 
 
-COMMON = table_sql(
-    f"SELECT idx AS k, {WORDS.format('src')} AS a, {WORDS.format('tgt')} AS b FROM pairs", "list_transform(range(0, len(b) + 1), lambda j: 0.0::DOUBLE)",
+COMMON_CELLS = (
+    "list_transform(range(0, len(b) + 1), lambda j: 0.0::DOUBLE)",
     "list_concat([0.0::DOUBLE], list_transform(range(1, len(b) + 1), lambda j: greatest(row[j + 1], CASE WHEN a[i + 1] = b[j] THEN row[j] + 1 ELSE 0 END)))", "list_transform(range(0, len(b) + 1), lambda j: list_max(cell[1:j + 1]))",
 )
+COMMON = table_sql(f"SELECT idx AS k, {WORDS.format('src')} AS a, {WORDS.format('tgt')} AS b FROM pairs", *COMMON_CELLS)
 
 
 @query(f"WITH RECURSIVE {PAIRS}, {COMMON} SELECT k AS idx, CAST(row[len(b) + 1] AS INTEGER) AS kept_a, CAST(row[len(b) + 1] AS INTEGER) AS kept_b, CAST(row[len(b) + 1] AS INTEGER) AS common, true AS same_words FROM d WHERE i = len(a)")
@@ -161,7 +162,24 @@ def lcs_plan(spark, sf_dir):
     return plan.select("idx", F.size(kept("a", "s")).alias("kept_a"), F.size(kept("b", "t")).alias("kept_b"), "common", (kept("a", "s") == kept("b", "t")).alias("same_words"))
 
 
-@query()
+#: Common subsequences from the ends of reversed texts, traced back from their starts; then alignments, an anti-diagonal at a time.
+REVERSED = table_sql(f"SELECT idx AS k, list_reverse({WORDS.format('src')}) AS a, list_reverse({WORDS.format('tgt')}) AS b FROM pairs", *COMMON_CELLS)
+ALIGNED = f"""WITH RECURSIVE {PAIRS}, {REVERSED}, l AS MATERIALIZED (SELECT k, i, row FROM d),
+  back AS (SELECT k, a, b, len(a) AS i, len(b) AS j, CAST([] AS BIGINT[]) AS kept FROM s
+    UNION ALL SELECT k, a, b, CASE WHEN hit OR same THEN i - 1 ELSE i END, CASE WHEN hit OR NOT same THEN j - 1 ELSE j END, CASE WHEN hit THEN list_append(kept, len(b) + 1 - j) ELSE kept END
+    FROM (SELECT back.*, a[back.i] = b[j] AS hit, x.row[j + 1] = y.row[j + 1] AS same FROM back JOIN l x ON x.k = back.k AND x.i = back.i JOIN l y ON y.k = back.k AND y.i = back.i - 1 WHERE back.i > 0 AND j > 0)),
+  plan AS (SELECT k, list_reverse(b) AS t, b AS h, kept FROM back WHERE i = 0 OR j = 0),
+  w(w, reward, penalty) AS (VALUES (0, 0.0::DOUBLE, 0.0::DOUBLE), (1, 0.5::DOUBLE, 0.0::DOUBLE), (2, 0.0::DOUBLE, -0.5::DOUBLE)),
+  z AS (SELECT k, w, reward, penalty, t, h, len(kept) AS c, list_transform(range(1, len(t) + 1), lambda i: CASE WHEN list_contains(kept, i) THEN reward ELSE 1.0::DOUBLE END) AS gain, list_transform(range(1, len(t) + 1), lambda i: CASE WHEN list_contains(kept, i) THEN penalty ELSE 0.0::DOUBLE END) AS pay FROM plan, w),
+  e AS (SELECT k, w, t, h, gain, pay, 0 AS step, list_transform(range(0, len(t) + 1), lambda i: '-inf'::DOUBLE) AS before, list_transform(range(0, len(t) + 1), lambda i: CASE WHEN i = 0 THEN 0.0::DOUBLE ELSE '-inf'::DOUBLE END) AS cells FROM z
+    UNION ALL SELECT k, w, t, h, gain, pay, step + 1, cells, list_transform(range(0, len(t) + 1), lambda i: CASE WHEN i = 0 OR i > step OR step + 1 - i > len(h) THEN '-inf'::DOUBLE
+      ELSE greatest(cells[i], before[i] + CASE WHEN t[i] = h[step + 1 - i] THEN gain[i] ELSE pay[i] END, cells[i + 1] + pay[i]) END) FROM e WHERE step < len(t) + len(h)),
+  r AS (SELECT e.k, e.w, cells[len(e.t) + 1] AS score, c * reward + len(e.t) - c AS most, c * penalty AS least FROM e JOIN z ON z.k = e.k AND z.w = e.w WHERE step = len(e.t) + len(e.h)),
+  n AS (SELECT k, w, CASE WHEN most = least THEN 1.0 ELSE (score - least) / (most - least) END AS score FROM r)
+SELECT k AS idx, round(max(score) FILTER (WHERE w = 0), 6) AS score_0, round(max(score) FILTER (WHERE w = 1), 6) AS score_1, round(max(score) FILTER (WHERE w = 2), 6) AS score_2 FROM n GROUP BY k"""
+
+
+@query(ALIGNED)
 def edit_score(spark, sf_dir):
     """The user's text as source, the answer as target, and the answer in reverse order as hypothesis."""
     pairs = conversation_pairs(spark, sf_dir)

@@ -64,11 +64,11 @@ def test_fixed_values():
     assert q.similarity("int", "unsigned int") == pytest.approx(0.25)
     settings_ = [(0.0, 0.0), (0.5, 0.0), (0.0, -0.5)]
     for src, tgt, hyp, want in (("a b c", "a x c", "a x c", (1, 1, 1)), ("a b c", "a x c", "a b c", (0, 0.5, 0.5)), ("a b", "a b", "a b", (1, 1, 1)), ("a b", "a b", "z", (1, 0, 0.5))):
-        assert q.edit_scores(src, tgt, hyp, settings_) == pytest.approx(list(want))
-    assert q.edit_scores("a", "b", "", [(0.0, 0.0)])[0] == -np.inf
+        assert q.edit_scores([(src, tgt, hyp)], settings_)[0] == pytest.approx(list(want))
+    assert q.edit_scores([("a", "b", "")], [(0.0, 0.0)])[0, 0] == -np.inf
     for bad in ((-1.0, 0.0), (0.0, 1.0)):
         with pytest.raises(ValueError):
-            q.edit_scores("a", "a", "a", [bad])
+            q.edit_scores([("a", "a", "a")], [bad])
     assert q.coloured("a b", "a c") == ("\033[92ma\033[0m \033[91mb\033[0m", "\033[92ma\033[0m \033[91mc\033[0m")
 
 
@@ -95,10 +95,41 @@ def test_distances(a, b, costs):
 @settings(max_examples=200, deadline=None)
 @given(TOKENS, TOKENS, st.lists(st.booleans(), min_size=9, max_size=9), st.sampled_from([(0.0, 0.0), (0.5, 0.0), (0.0, -0.5), (0.3, -1.0)]))
 def test_edit_scores(tgt, hyp, copied, setting):
-    got, want = q.edit_score_for_plan(tgt, hyp, copied[: len(tgt)], *setting, normalize=False), recursive_score(tgt, hyp, copied, *setting)
+    got, want = q.alignment_scores([tgt], [hyp], [copied[: len(tgt)]], [setting], normalize=False)[0, 0], recursive_score(tgt, hyp, copied, *setting)
     assert got == want or got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("cells", [1, 1 << 16])
+def test_edit_scores_of_a_batch(monkeypatch, cells):
+    """Pairs of all lengths at once, under all settings, have the scores that each has alone."""
+    monkeypatch.setattr(q, "STEP_CELLS", cells)
+    rng = random.Random(8)
+    side = lambda: [rng.choice("abcd") for _ in range(rng.choice([0, 1, 3, 8, 20]))]
+    tgts, hyps = [side() for _ in range(200)], [side() for _ in range(200)]
+    copied = [[rng.random() < 0.5 for _ in t] for t in tgts]
+    settings_ = [(0.0, 0.0), (0.5, 0.0), (0.0, -0.5), (0.3, -1.0)]
+    got = q.alignment_scores(tgts, hyps, copied, settings_, normalize=False)
+    for k, (t, h, c) in enumerate(zip(tgts, hyps, copied)):
+        for s, setting in enumerate(settings_):
+            assert got[k, s] == pytest.approx(recursive_score(t, h, c, *setting))
+    assert q.alignment_scores([], [], [], settings_).shape == (0, 4)
+
+
+def test_unit_distances_of_long_texts():
+    """Words of many bits against the table."""
+    rng = random.Random(9)
+    for n in (0, 1, 63, 64, 65, 200):
+        for _ in range(20):
+            a = [rng.choice("ab" if n % 2 else "abcdefgh") for _ in range(n)]
+            b = [x for x in a if rng.random() < 0.9]
+            for _ in range(n // 20):
+                k = rng.randrange(max(1, len(b) - 1))
+                b[k : k + 2] = b[k : k + 2][::-1]
+            for swap in (None, 1):
+                # Nearly equal costs take the other way.
+                assert abs(q.edit_distance(a, b, swap=swap) - q.edit_distance(a, b, 1, 1.0000000001, 1, swap)) < 1e-6
+
+
 def test_assignment():
     rng = random.Random(0)
     for _ in range(150):
@@ -115,6 +146,10 @@ def test_assignment():
 def test_columns(spark):
     df = spark.createDataFrame([(A, B, "ca", "abc"), (None, B, None, "x"), ([], [], "", "")], "a array<string>, b array<string>, s string, t string")
     assert [r[0] for r in df.select(q.lcs_length("a", "b")).collect()] == [5, None, 0]
+    plans = [r[0] for r in df.select(q.lcs_plan_columns("a", "b")).collect()]
+    assert [plans[0].a, plans[0].b] == list(q.lcs_plan(A, B)) and plans[1] == (None, None) and plans[2] == ([], [])
+    texts = spark.createDataFrame([("a b c", "a x c", "a b c"), (None, "a", "a"), ("a", "b", "")], "s string, t string, h string")
+    assert [r[0] for r in texts.select(q.edit_score_column([(0.0, 0.0), (0.5, 0.0)])("s", "t", "h")).collect()] == [[0.0, 0.5], None, [-np.inf, -np.inf]]
     assert [r[0] for r in df.select(q.string_similarity("s", "t")).collect()] == [0.0, None, 1.0]
 
 
