@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from hashlib import md5
+from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +19,15 @@ SPECIALS = ("<pad>", "<unk>", "<s>", "</s>")
 
 
 def first_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each value of ``key`` by ``order``.
+    """The first row of each value of ``key`` by ``order``: one row a value, also where rows repeat as a whole.
 
-    The winners' order values come from an aggregate that combines before the shuffle, so a value that a third of all rows
-    share sends one row a task, and rows are then kept by a semi join on the unique order column.
+    Null keys are a value. Null orders come last; of rows equal in key and order the one of least hash is taken, so the result is the
+    same for any dealing. Rows are combined before the shuffle, so a value that a third of all rows share sends one row a task.
     """
-    first = df.groupBy(F.xxhash64(key), key).agg(F.min(order).alias(order)).select(order)
-    return df.join(first, order, "left_semi")
+    (kept,) = spare(df, "kept")
+    rest = F.struct(*(F.col(f"`{c}`") for c in df.columns if c != key)) if len(df.columns) > 1 else F.struct(F.lit(0).alias("none"))
+    first = df.groupBy(key).agg(F.min_by(rest, F.struct(F.col(order).isNull(), order, F.xxhash64(rest))).alias(kept))
+    return first.select(*(F.col(key) if c == key else F.col(f"{kept}.`{c}`").alias(c) for c in df.columns))
 
 
 def dedup_counts(df: DataFrame, key: str) -> DataFrame:
@@ -118,7 +121,7 @@ def sample_groups(sizes: list[tuple[str, int]], target: int, most: int = 50, see
     """
     for k in range(tries if sizes else 0):
         n = 1 + drawn_number(seed, k) % min(len(sizes), most)
-        chosen = sorted(sizes, key=lambda g: (drawn_number(g[0], seed, k), g[0]))[:n]
+        chosen = nsmallest(n, sizes, key=lambda g: (drawn_number(g[0], seed, k), g[0]))
         if tolerance[0] * target <= sum(n for _, n in chosen) <= tolerance[1] * target:
             return sorted(name for name, _ in chosen)
     raise ValueError(f"no draw of groups comes near {target} rows")
@@ -169,8 +172,9 @@ def canonical_join(texts: DataFrame, canon: DataFrame, key: str, order: str, can
 
 def canonical_unmatched(texts: DataFrame, canon: DataFrame, key: str, order: str) -> DataFrame:
     """Texts that find no canonical row, or one already used by an earlier text."""
-    first = texts.groupBy(key).agg(F.min(order).alias("_first"))
-    hit = first.join(canon.select(key).distinct(), key, "left_semi").select(F.col("_first").alias(order))
+    (least,) = spare(texts, "first")
+    first = texts.groupBy(key).agg(F.min(order).alias(least))
+    hit = first.join(canon.select(key).distinct(), key, "left_semi").select(F.col(least).alias(order))
     return texts.join(hit, order, "left_anti")
 
 
@@ -190,14 +194,15 @@ def _lists(column: pa.ListArray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), values)
 
 
-def _mapped(df: DataFrame, index: str, lists: Column, convert: Callable[[pa.Array], pa.Array], name: str, kind: str) -> DataFrame:
-    """``index`` and the lists with their elements converted, batch by batch; nothing is shuffled."""
+def _mapped(df: DataFrame, index: str, lists: Column, converter: Callable[[], Callable[[pa.Array], pa.Array]], name: str, kind: str) -> DataFrame:
+    """``index`` and the lists with their elements converted, batch by batch; nothing is shuffled. The converter is made once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        convert = converter()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), _lists(b.column(1), convert(b.column(1).flatten()))], names=[index, name])
 
-    return df.select(index, lists.alias("_lists")).mapInArrow(run, f"`{index}` {df.schema[index].dataType.simpleString()}, {name} array<{kind}>")
+    return df.select(index, lists.alias(f"{index}_lists")).mapInArrow(run, f"`{index}` {df.schema[index].dataType.simpleString()}, {name} array<{kind}>")
 
 
 #: Rows of a vocabulary that may be sent to every task; a larger one is an error rather than a broadcast without bound.
@@ -218,26 +223,41 @@ def token_ids(df: DataFrame, index: str, tokens: Column, vocab: DataFrame, unkno
     """
     shared = _shared_vocabulary(vocab)
 
-    def convert(flat: pa.Array) -> pa.Array:
+    def converter() -> Callable[[pa.Array], pa.Array]:
         known, ids = shared.value
-        at = pc.fill_null(pc.index_in(flat, value_set=pa.array(known, flat.type)), len(known))
-        return pa.array([*ids, unknown], pa.int32()).take(at)
+        place, out = {t: k for k, t in enumerate(known)}, pa.array([*ids, unknown], pa.int32())
 
-    return _mapped(df, index, tokens, convert, "ids", "int")
+        def convert(flat: pa.Array) -> pa.Array:
+            coded = flat.dictionary_encode()  # each distinct word of a batch is looked up once
+            at = np.fromiter((place.get(t, len(known)) for t in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+            codes = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False)
+            return out.take(pa.array(np.append(at, len(known))[codes]))
+
+        return convert
+
+    return _mapped(df, index, tokens, converter, "ids", "int")
 
 
 def tokens_of(ids: DataFrame, index: str, vocab: DataFrame) -> DataFrame:
     """``index, tokens``; an id that is not in the vocabulary is an error."""
     shared = _shared_vocabulary(vocab)
 
-    def convert(flat: pa.Array) -> pa.Array:
+    def converter() -> Callable[[pa.Array], pa.Array]:
         tokens, known = shared.value
-        at = pc.index_in(flat, value_set=pa.array(known, flat.type))
-        if at.null_count:
-            raise ValueError(f"no token has id {flat.filter(pc.is_null(at))[0]}")
-        return pa.array(tokens, pa.string()).take(at)
+        order = np.argsort(np.array(known, np.int64), kind="stable")
+        ranked, words = np.array(known, np.int64)[order], pa.array(tokens, pa.string()).take(pa.array(order))
+
+        def convert(flat: pa.Array) -> pa.Array:
+            wanted = pc.fill_null(flat.cast(pa.int64()), -1).to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(ranked, wanted), len(ranked) - 1) if len(ranked) else np.zeros(len(wanted), np.int64)
+            wrong = np.flatnonzero(ranked[at] != wanted) if len(ranked) else np.arange(len(wanted))
+            if len(wrong):
+                raise ValueError(f"no token has id {flat[int(wrong[0])]}")
+            return words.take(pa.array(at))
+
+        return convert
 
-    return _mapped(ids, index, F.col("ids"), convert, "tokens", "string")
+    return _mapped(ids, index, F.col("ids"), converter, "tokens", "string")
 
 
 def identifier_counts(lexed_rows: DataFrame, tokens: str, names: str | None = None) -> DataFrame:

@@ -186,24 +186,45 @@ def confusion_scores(df: DataFrame) -> DataFrame:
     )
 
 
+#: Distinct values with their counts that one task may sort (a few MB); more are dealt by range.
+RANKED_VALUES = 200_000
+
+
 def percentile_cuts(df: DataFrame, value: str, shares: tuple[float, ...] = (0.0, 0.2, 0.4, 0.6, 0.8)) -> DataFrame:
     """One row: exact, linearly interpolated cuts and, as upper edge, the largest value plus one; null cuts without values.
 
-    Equal values are counted before anything is sorted, the distinct ones dealt by range and their counts summed within and over
-    ranges; then each cut is looked up between two ranks. No task holds more than a range.
+    Equal values are counted before anything is sorted. A few distinct ones are ranked at once; many are dealt by range and their
+    counts summed within and over ranges. Then each cut is looked up between two ranks. No task holds more than a range.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    few = counted.limit(RANKED_VALUES + 1).collect()
+    if len(few) > RANKED_VALUES:
+        return _cut(df, *_ranked(counted), shares)
+    few.sort(key=lambda r: r.v)
+    stops = np.cumsum([r.n for r in few]) if few else np.zeros(1, np.int64)
+    return _cut(df, int(stops[-1]), few[-1].v if few else None, lambda ranks: {r: float(few[int(np.searchsorted(stops, r, "right"))].v) for r in ranks}, shares)
+
+
+def _ranked(counted: DataFrame) -> tuple:
+    """How many values there are, the largest one, and a function from ranks to values."""
     rows = ranged(counted, [F.col("v")], "part", "place")
     whole = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("v").alias("high")).first()
     here = Window.partitionBy("part").orderBy("place")
     sizes = rows.groupBy("part").agg(F.sum("n").alias("size"))
     shift = sizes.select("part", (F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy("part")) - F.col("size")).alias("before"))  # a row a range
     placed = rows.withColumn("stop", F.sum("n").over(here)).join(F.broadcast(shift), "part").select("v", (F.col("before") + F.col("stop") - F.col("n")).alias("first"), (F.col("before") + F.col("stop") - 1).alias("last"))
-    ranks = [share * max(whole.n - 1, 0) for share in shares]
-    wanted = sorted({r for x in ranks for r in (math.floor(x), math.ceil(x))})
-    at = placed.select("v", F.explode(F.filter(F.array(*[F.lit(r) for r in wanted]), lambda r: r.between(F.col("first"), F.col("last")))).alias("rank"))
-    found = {r.rank: float(r.v) for r in at.collect()}  # two rows a cut
-    cuts = [found[math.floor(x)] + (x - math.floor(x)) * (found[math.ceil(x)] - found[math.floor(x)]) for x in ranks] + [float(whole.high + 1)] if whole.n else [None] * (len(shares) + 1)
+
+    def of(ranks: list[int]) -> dict[int, float]:
+        at = placed.select("v", F.explode(F.filter(F.array(*[F.lit(r) for r in ranks]), lambda r: r.between(F.col("first"), F.col("last")))).alias("rank"))
+        return {r.rank: float(r.v) for r in at.collect()}  # two rows a cut
+
+    return whole.n, whole.high, of
+
+
+def _cut(df: DataFrame, n: int, high, value_at, shares: tuple[float, ...]) -> DataFrame:
+    ranks = [share * max(n - 1, 0) for share in shares]
+    found = value_at(sorted({r for x in ranks for r in (math.floor(x), math.ceil(x))})) if n else {}
+    cuts = [found[math.floor(x)] + (x - math.floor(x)) * (found[math.ceil(x)] - found[math.floor(x)]) for x in ranks] + [float(high + 1)] if n else [None] * (len(shares) + 1)
     return df.sparkSession.createDataFrame([(cuts,)], "cuts array<double>")
 
 

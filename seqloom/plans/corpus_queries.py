@@ -74,7 +74,7 @@ def literal_aware_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", flat.alias("f")).select("doc_id", F.size("f").cast("long").alias("n_tokens"), F.md5(F.array_join("f", " ")).alias("tokens_md5"))
 
 
-@query("SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text)")
+@query("SELECT doc_id, text FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id NULLS LAST) = 1")
 def dedup_first(spark, sf_dir):
     return corpus.first_of_each(table(spark, sf_dir, "documents"), "text", "doc_id").select("doc_id", "text")
 
@@ -172,20 +172,21 @@ def canonical_join(spark, sf_dir):
     return joined.select("item_id", "text", "text_order").orderBy(F.asc_nulls_last("text_order"), "item_id")
 
 
-CANONICAL = """b AS (SELECT doc_id, md5(array_to_string((%s)[1:3], ' ')) AS k FROM documents), c AS (SELECT DISTINCT md5(array_to_string((%s)[1:3], ' ')) AS k FROM conversations), f AS (SELECT k, min(doc_id) AS d FROM b GROUP BY k),
-  u AS (SELECT * FROM b WHERE doc_id NOT IN (SELECT f.d FROM f JOIN c ON f.k = c.k))""" % (WORDS.format("text"), WORDS.format("text"))
+#: Whole lines: those of the documents as texts, numbered by document and place, and those of the conversations as canonical side.
+LINES = """b AS (SELECT doc_id * 4294967296 + i - 1 AS place, t[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS t, unnest(range(1, len(t) + 1)) AS i FROM documents) WHERE t[i] <> ''),
+  c AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS line FROM conversations), f AS (SELECT line, min(place) AS place FROM b GROUP BY line), u AS (SELECT * FROM b WHERE place NOT IN (SELECT f.place FROM f JOIN c ON f.line = c.line))"""
 
 
-def _by_opening(spark, sf_dir, name):
-    """Rows of a table with the digest of their text's first three words."""
-    return table(spark, sf_dir, name).withColumn("k", F.md5(F.array_join(F.slice(words("text"), 1, 3), " ")))
+def _unmatched_lines(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).where("line <> ''")
+    canon = table(spark, sf_dir, "conversations").select(F.explode(F.split("text", "\n")).alias("line"))
+    return corpus.canonical_unmatched(lines.select((F.col("doc_id") * 4294967296 + F.col("i")).alias("place"), "line"), canon, "line", "place")
 
 
-@query(f"WITH {CANONICAL} SELECT doc_id FROM u")
+@query(f"WITH {LINES} SELECT place, line FROM u")
 def canonical_unmatched(spark, sf_dir):
-    """Documents without a canonical row left for them: the conversations' turns are the canonical side, texts' openings the key."""
-    docs = _by_opening(spark, sf_dir, "documents").select("doc_id", "k")
-    return corpus.canonical_unmatched(docs, _by_opening(spark, sf_dir, "conversations"), "k", "doc_id").select("doc_id")
+    """Lines without a canonical one left for them: of equal lines only the first finds its canonical line."""
+    return _unmatched_lines(spark, sf_dir)
 
 
 @query("SELECT count(*) AS leftover FROM (SELECT DISTINCT text FROM benchmark) WHERE text NOT IN (SELECT text FROM documents)")
@@ -193,11 +194,10 @@ def canonical_leftover(spark, sf_dir):
     return canonical_join(spark, sf_dir).where("text_order IS NULL").agg(F.count("*").alias("leftover"))
 
 
-@query(f"WITH {CANONICAL} SELECT count(*) AS not_found, count(DISTINCT k) AS distinct_keys FROM u")
+@query(f"WITH {LINES} SELECT count(*) AS not_found, count(DISTINCT line) AS distinct_keys FROM u")
 def canonical_counts(spark, sf_dir):
-    """How many texts found nothing, and how many different ones."""
-    docs = _by_opening(spark, sf_dir, "documents").select("doc_id", "k")
-    return corpus.canonical_unmatched(docs, _by_opening(spark, sf_dir, "conversations"), "k", "doc_id").agg(F.count("*").alias("not_found"), F.count_distinct("k").alias("distinct_keys"))
+    """How many lines found nothing, and how many different ones."""
+    return _unmatched_lines(spark, sf_dir).agg(F.count("*").alias("not_found"), F.count_distinct("line").alias("distinct_keys"))
 
 
 @query("SELECT word, CAST(sum(n) AS BIGINT) AS count FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word, 1 AS n FROM benchmark UNION ALL SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')), 1 FROM documents) WHERE word <> '' GROUP BY word")

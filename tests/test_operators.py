@@ -18,6 +18,13 @@ def test_first_of_each_and_counts(spark):
         first.setdefault(k, i)
     assert sorted(r.i for r in corpus.first_of_each(df, "k", "i").collect()) == sorted(first.values())
     assert corpus.dedup_counts(df, "k").first()[:] == (4, 48)
+    # Repeated rows, orders that are null, equal or shared between keys, and names that would clash.
+    rows = [("a", None, 1), ("b", 1, 1), ("b", 1, 1), ("c", None, 3), ("c", 1, 4), ("d", 1, 5), ("d", 1, 6), (None, 2, 7), (None, 9, 8)]
+    df = spark.createDataFrame(rows, "k string, i long, _kept int")
+    got = sorted(map(tuple, corpus.first_of_each(df, "k", "i").collect()), key=str)
+    assert [r for r in got if r[0] != "d"] == sorted([("a", None, 1), ("b", 1, 1), ("c", 1, 4), (None, 2, 7)], key=str) and len(got) == 5
+    assert got == sorted(map(tuple, corpus.first_of_each(df.repartition(3), "k", "i").collect()), key=str)
+    assert corpus.first_of_each(df.select("k"), "k", "k").count() == 5 and corpus.first_of_each(df.limit(0), "k", "i").count() == 0
 
 
 def test_dense_index(spark):

@@ -90,9 +90,13 @@ def test_bleu(spark):
     assert 0 < whole < 100
 
 
-def test_percentiles(spark):
+@pytest.mark.parametrize("ranked", [200_000, 100])
+def test_percentiles(spark, monkeypatch, ranked):
     from numpy import percentile
 
+    monkeypatch.setattr(evaluation, "RANKED_VALUES", ranked)
+    assert evaluation.percentile_cuts(spark.sql("SELECT CAST(NULL AS DOUBLE) AS n"), "n").first().cuts == [None] * 6
+
     rows = [float((i * 7919) % 5627 + 12) for i in range(935)]
     df = spark.createDataFrame([(x,) for x in rows], "n double")
     cuts = evaluation.percentile_cuts(df, "n").first().cuts
