@@ -3,13 +3,13 @@
 A text becomes the set of its lower-cased words and of longer words' first letters, hashed to ``2 ** bits`` columns. The score is
 ``sigmoid(w0 + sum w_i + 1/2 sum_f ((sum v_if)^2 - sum v_if^2))``: beside a weight for each term, the factors give a weight
 to each pair of terms, so an insult beside a group's name may count for more than both apart. The machine is fitted by
-AdaGrad on a bounded sample of labelled rows (``per_class`` rows of each class at most, chosen by a hash of the id); terms
-that fewer than ``min_docs`` sampled texts hold keep weight 0. Scoring reads every whole text, holds one batch at a time and
+AdaGrad on a bounded sample of labelled rows (``per_class`` ids of each class at most, chosen by a hash of the id, and one text of
+each); terms learn that tell toxic texts by themselves, or beside another term in what the former leave wrong. Scoring reads every whole text, holds one batch at a time and
 shuffles nothing.
 
 Defined results: null text counts as empty and is scored (by the bias alone); null labels and labels of unknown documents
-are ignored; a document with several labels counts as toxic if one of them says so; without rows of both classes every score
-is 0; repeated rows get equal scores; rows with a null id are scored but never learnt from.
+are ignored; a document with several labels counts as toxic if one of them says so; an id with several texts is learnt from by
+the one of least digest; without rows of both classes every score is 0; repeated rows get equal scores; rows with a null id are scored but never learnt from.
 """
 
 from __future__ import annotations
@@ -77,31 +77,91 @@ def raw_scores(machine: Machine, columns: np.ndarray, stops: np.ndarray) -> np.n
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
+    return np.where(x == -np.inf, 0.0, 1 / (1 + np.exp(-np.clip(x, -35, 35))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, *, bits: int, k: int = 4, epochs: int = 12, batch: int = 128, rate: float = 0.3, decay: float = 1e-4, min_docs: int = 3, least_z: float = 2.5, seed: int = 11) -> Machine:
-    """AdaGrad on the logistic loss; both classes weigh the same.
+def marginal_values(rows: list[np.ndarray], labels: np.ndarray, size: int, min_docs: int, least_z: float) -> np.ndarray:
+    """How far a term's share of toxic texts is from its share of the others, in standard errors: 0 up to ``least_z``, 1 from
+    ``least_z + 8`` on."""
+    positive = labels.sum()
+    seen = np.bincount(np.concatenate(rows), minlength=size)
+    toxic = np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y > 0]), minlength=size)
+    share, other = toxic / positive, (seen - toxic) / (len(labels) - positive)
+    spread = np.sqrt(np.maximum(seen / len(labels) * (1 - seen / len(labels)), 1e-12) * (1 / positive + 1 / (len(labels) - positive)))
+    return np.clip((np.abs(share - other) / spread - least_z) / 8, 0, 1) * (seen >= min_docs)
+
+
+#: Errors below this say nothing of what is still to be learnt.
+CLEAR, BLOCK = 0.05, 512
+
+
+def pair_values(rows: list[np.ndarray], error: np.ndarray, variance: np.ndarray, size: int, least_z: float) -> np.ndarray:
+    """Terms that mean something beside another one: of each term the pair whose rows' errors add up to most standard errors, 0 up
+    to ``least_z``, 1 from ``least_z + 8`` on. ``error`` and ``variance`` are those of a machine that doesn't know such terms.
 
-    A term's value is how far its share of toxic texts is from its share of the others, in standard errors (0 up to
-    ``least_z``, 1 from ``least_z + 8`` on). The values are multiplied into the weights and factors at the end, so that
-    scoring needs only which terms a text has.
+    A pair that fewer than ``least_z ** 2`` texts hold can't get there, so rarer terms are left out. Of all pairs of the others the
+    sums are products of blocks of the table of texts and terms.
     """
+    out = np.zeros(size)
+    unclear = np.flatnonzero(np.abs(error) >= CLEAR)
+    if not len(unclear):
+        return out
+    seen = np.bincount(np.concatenate([rows[k] for k in unclear]), minlength=size)
+    names = np.flatnonzero(seen >= least_z**2)
+    place = np.full(size, -1)
+    place[names] = np.arange(len(names))
+    table = np.zeros((len(unclear), len(names)), np.uint8)
+    for k, at in enumerate(unclear):
+        mine = place[rows[at]]
+        table[k, mine[mine >= 0]] = 1
+    e, v = error[unclear].astype(np.float32), variance[unclear].astype(np.float32)
+    best = np.zeros(len(names))
+    for i in range(0, len(names), BLOCK):
+        left = table[:, i : i + BLOCK].astype(np.float32)
+        for j in range(i, len(names), BLOCK):
+            right = table[:, j : j + BLOCK].astype(np.float32)
+            z = np.abs((left * e[:, None]).T @ right) / np.sqrt(np.maximum((left * v[:, None]).T @ right, 1.0))
+            if i == j:
+                np.fill_diagonal(z, 0)
+            best[i : i + BLOCK] = np.maximum(best[i : i + BLOCK], z.max(1))
+            best[j : j + BLOCK] = np.maximum(best[j : j + BLOCK], z.max(0))
+    out[names] = np.clip((best - least_z) / 8, 0, 1)
+    return out
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, *, bits: int, min_docs: int = 3, least_z: float = 2.5, least_pair_z: float = 7.0, **options) -> Machine:
+    """Two passes of ``descend``. The first learns from terms that mean something by themselves. What it gets wrong is then searched
+    for pairs of terms, whatever each of them means alone, and the second learns from both kinds. Most words mean nothing and would
+    be learnt by heart, so a term's value (0 to 1, by how surely it means something) is multiplied into its weight and factors."""
+    size = 1 << bits
+    if not 0 < labels.sum() < len(labels):
+        return Machine(bits, -np.inf, np.zeros(size, np.float32), np.zeros((size, options.get("k", 4)), np.float32))
+    value = marginal_values(rows, labels, size, min_docs, least_z)
+    first = descend(rows, labels, value, bits=bits, **options)
+    guess = sigmoid(raw_scores(first, np.concatenate(rows), np.cumsum([len(r) for r in rows])))
+    weight = balanced(labels)
+    paired = pair_values(rows, (labels - guess) * weight, guess * (1 - guess) * weight**2, size, least_pair_z)
+    if not (paired > value).any():
+        return first
+    return descend(rows, labels, np.maximum(value, paired), bits=bits, **options)
+
+
+def balanced(labels: np.ndarray) -> np.ndarray:
+    """Both classes weigh the same."""
+    positive = labels.sum()
+    return np.where(labels > 0, len(labels) / (2 * positive), len(labels) / (2 * (len(labels) - positive)))
+
+
+def descend(rows: list[np.ndarray], labels: np.ndarray, value: np.ndarray, *, bits: int, k: int = 4, epochs: int = 12, batch: int = 128, rate: float = 0.3, decay: float = 1e-4, seed: int = 11) -> Machine:
+    """AdaGrad on the logistic loss. Values are multiplied into the weights and factors at the end, so that scoring needs only which
+    terms a text has."""
     size = 1 << bits
     w, v = np.zeros(size, np.float32), np.zeros((size, k), np.float32)
-    positive = int(labels.sum())
-    if not 0 < positive < len(labels):
-        return Machine(bits, -35.0, w, v)
     rng = np.random.default_rng(seed)
-    seen = np.bincount(np.concatenate(rows), minlength=size)
-    toxic = np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y > 0]), minlength=size)
-    share, other = toxic / positive, (seen - toxic) / (len(labels) - positive)
-    spread = np.sqrt(np.maximum(seen / len(labels) * (1 - seen / len(labels)), 1e-12) * (1 / positive + 1 / (len(labels) - positive)))
-    value = np.clip((np.abs(share - other) / spread - least_z) / 8, 0, 1) * (seen >= min_docs)
     kept = value > 0
     rows = [r[kept[r]] for r in rows]
     v[kept] = rng.normal(0, 0.01, (int(kept.sum()), k))
-    weight = np.where(labels > 0, len(labels) / (2 * positive), len(labels) / (2 * (len(labels) - positive)))
+    weight = balanced(labels)
     gw, gv, bias, gb = np.full(size, 1e-6), np.full((size, k), 1e-6), 0.0, 1e-6
     for _ in range(epochs):
         order = rng.permutation(len(rows))
@@ -147,7 +207,10 @@ def train(docs: DataFrame, labels: DataFrame, *, bits: int = 18, per_class: int
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     # The sample is bounded by 2 * per_class short rows: a broadcast of proven size.
-    sample = picked.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, columns array<int>")
+    met = picked.join(F.broadcast(chosen), "doc_id")
+    # However often an id comes, one of its texts is learnt from: that of least digest.
+    one = met.groupBy("doc_id", "toxic").agg(F.min_by("text", F.md5(F.coalesce("text", F.lit("")))).alias("text"))
+    sample = one.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, columns array<int>")
     got = sample.toArrow().sort_by([("doc_id", "ascending")])
     y = got.column("toxic").to_numpy().astype(np.float64)
     return fit([np.asarray(x, np.int32) for x in got.column("columns").to_pylist()], y, bits=bits, **options)

@@ -50,6 +50,47 @@ def test_pairs_that_linear_weights_miss():
     assert ((score[held] > 0) == (y[held] == 1)).mean() > 0.95 > 0.8 > linear
 
 
+def test_a_pure_pair():
+    """Either word is toxic without the other and clean with it: neither means anything by itself."""
+    rng = np.random.default_rng(3)
+    rows, y = [], []
+    for _ in range(6000):
+        a, b = rng.integers(0, 2), rng.integers(0, 2)
+        rows.append(np.unique([1 + a, 3 + b, *rng.choice(range(10, 3000), 40)]).astype(np.int32))
+        y.append(float(a != b))
+    y, held = np.array(y), np.arange(6000) % 4 == 0
+    m = t.fit([r for r, h in zip(rows, held) if not h], y[~held], bits=12)
+    score = t.raw_scores(m, np.concatenate(rows), np.cumsum([len(r) for r in rows]))
+    assert ((score[held] > 0) == (y[held] == 1)).mean() > 0.95
+
+
+def test_pairs_by_definition():
+    rng = np.random.default_rng(6)
+    rows = [np.unique(rng.integers(0, 1100, 500)).astype(np.int32) for _ in range(150)]
+    error, variance = rng.normal(0, 1, 150), rng.random(150)
+    error[:20] = 0.01  # clear ones take no part
+    error[[k for k, r in enumerate(rows) if 5 in r and 900 in r]] += 3
+    z = np.zeros((1100, 1100))
+    x = np.zeros((150, 1100))
+    for k, r in enumerate(rows):
+        x[k, r] = abs(error[k]) >= t.CLEAR
+    z = np.abs((x * error[:, None]).T @ x) / np.sqrt(np.maximum((x * variance[:, None]).T @ x, 1))
+    np.fill_diagonal(z, 0)
+    z[x.sum(0) < 16], z[:, x.sum(0) < 16] = 0, 0
+    got = t.pair_values(rows, error, variance, 1100, 4.0)
+    assert got == pytest.approx(np.clip((z.max(1) - 4) / 8, 0, 1), abs=1e-4) and got[5] > 0
+
+
+def test_one_text_an_id(spark, monkeypatch):
+    """An id repeated any number of times is one row of the sample."""
+    learnt = []
+    monkeypatch.setattr(t, "fit", lambda rows, labels, **_: learnt.append((len(rows), int(labels.sum()))) or t.Machine(4, 0.0, np.zeros(16, np.float32), np.zeros((16, 1), np.float32)))
+    docs = spark.range(30_000).selectExpr("IF(id < 20000, 2L, id % 40) AS doc_id", "concat('text ', id) AS text")
+    labels = spark.range(40).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic")
+    t.train(docs, labels, bits=4, per_class=5)
+    assert learnt == [(10, 5)]
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
     scored = t.score(docs, t.train(docs, labels)).withColumn("held_out", t.held_out()).join(labels, "doc_id").where("held_out").collect()
@@ -63,5 +104,5 @@ def test_edge_rows(spark):
     labels = spark.createDataFrame([(1, None), (None, 1), (99, 1)], "doc_id long, toxic int")
     m = t.train(docs, labels)
     rows = t.score(docs, m).collect()
-    assert len(rows) == 6 and all(0 <= r.score <= 1 and r.predicted == 0 for r in rows)
+    assert len(rows) == 6 and all(r.score == 0 and r.predicted == 0 for r in rows)
     assert t.score(docs.limit(0), m).count() == 0
