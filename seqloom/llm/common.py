@@ -66,8 +66,8 @@ class KeyFilter:
     @staticmethod
     def of(keys: DataFrame, *key: str) -> KeyFilter:
         """From a written table of keys (it is counted first)."""
-        bits = LEAST_BITS
-        while bits < MOST_BITS and bits < keys.count() * BITS_A_KEY:
+        bits, wanted = LEAST_BITS, keys.count() * BITS_A_KEY
+        while bits < MOST_BITS and bits < wanted:
             bits *= 2
         at = F.pmod(F.xxhash64(F.lit(41), *key), F.lit(bits))
         placed = keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / PAGE_BITS).alias("page")).agg(F.bitmap_construct_agg(F.pmod("at", F.lit(PAGE_BITS))).alias("bitmap"))

@@ -3,7 +3,7 @@
 A source's documents fall into blocks by a hash of id and text: each block is a random part of its source, of about
 ``block_docs`` documents whatever the source's size, so a source with a third of all rows is just more blocks. A source's
 target in words becomes an exact quota of blocks: whole passes over all its blocks, then blocks in order until the target is
-met, the last document in part. A tree over the output shards splits the quotas: at each node the left half's share of each source is
+met. ``plan`` counts to the word, the last document in part; ``mix`` takes that document whole or not at all, whichever is nearer. A tree over the output shards splits the quotas: at each node the left half's share of each source is
 one multivariate-hypergeometric draw, so every shard is a simple random sample of the mix, and the leaves add up to the quotas.
 Each shard then takes the next blocks of each source's permuted list, disjoint from all others, and is shuffled by hash locally.
 
@@ -26,11 +26,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import dealt, pinned, shuffle_width
+from seqloom.llm.common import dealt, joined_to_groups, pinned, shuffle_width
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-WORD_AND_GAP = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
+
+
+#: Sources (a short row each) that are sent to all rows; beyond that only hot ones are.
+SENT_SOURCES = 50_000
 
 
 def size_of(text: Column) -> Column:
@@ -43,11 +46,6 @@ def shuffle_key(seed: int, doc_id: Column, text: Column) -> Column:
     return F.conv(F.substring(F.md5(given), 1, 15), 16, 10).cast("long")
 
 
-def first_words(text: Column, n: Column) -> Column:
-    """The text up to the end of its n-th word."""
-    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD_AND_GAP), F.lit(0)), F.lit(1), n.cast("int")), "")
-
-
 def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
     """Adds ``target`` to one row a source (``source_key, source, source_size``): water filling in closed form.
 
@@ -100,10 +98,17 @@ def plan(docs: DataFrame, carry: list[str] | None = None, *, weights: tuple[floa
     quota = F.round("target").cast("long")
     goal = goal.withColumn("passes", F.coalesce(F.floor(F.try_divide(quota, F.col("source_size"))), F.lit(0)).cast("int")).withColumn("rest", F.when(F.col("source_size") > 0, quota - F.col("passes") * F.col("source_size")).otherwise(F.lit(0)))
     goal = pinned(goal.withColumn("n_blocks", F.ceil(F.col("n_docs") / block_docs)), "targets")
+    n_sources, n_rows = goal.agg(F.count("*"), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
+
+    def of_source(rows: DataFrame, *columns: str) -> DataFrame:
+        """``rows`` with columns of their source, without a task that gets a large source whole."""
+        told = goal.select("source_key", "n_docs", *columns)
+        joined = rows.join(F.broadcast(told), "source_key") if n_sources <= SENT_SOURCES else joined_to_groups(rows, told, "source_key", "n_docs", n_rows)
+        return joined.drop("n_docs")
 
     # Blocks, where each starts in its source's permuted words, and how often each is drawn.
     block = F.pmod(F.col("u"), F.col("n_blocks")).alias("block")
-    sums = narrow.join(goal, "source_key").select("source_key", block, "size", "passes", "rest").groupBy("source_key", "block").agg(F.sum("size").alias("words"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
+    sums = of_source(narrow, "n_blocks", "passes", "rest").select("source_key", block, "size", "passes", "rest").groupBy("source_key", "block").agg(F.sum("size").alias("words"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
     before = Window.partitionBy("source_key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = sums.withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0)))
     drawn = blocks.withColumn("copies", F.col("passes") + F.when(F.col("start") < F.col("rest"), 1).otherwise(0)).where("copies > 0 AND words > 0")
@@ -119,10 +124,10 @@ def plan(docs: DataFrame, carry: list[str] | None = None, *, weights: tuple[floa
     runs = runs.withColumn("stop", F.sum("n").over(Window.partitionBy("k").orderBy("shard")))
     slots = runs.select(F.col("k").alias("source_key"), "shard", F.explode(F.sequence(F.col("stop") - F.col("n"), F.col("stop") - 1)).alias("at"))
     placed = permuted.join(slots, ["source_key", "at"]).groupBy("source_key", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("places"))  # at most ceil(most) copies a block
-    by_block = blocks.join(placed, ["source_key", "block"], "left").join(goal.select("source_key", "source_size", "target", "n_blocks"), "source_key")
+    by_block = blocks.join(placed, ["source_key", "block"], "left").join(goal.select("source_key", "source_size", "target"), "source_key")
     by_block = by_block.select("source_key", "block", "start", "places", "passes", "rest", "source_size", "target")
 
-    numbered = keyed.drop("source").join(goal.select("source_key", "n_blocks"), "source_key").withColumn("block", F.pmod("u", "n_blocks")).drop("n_blocks")
+    numbered = of_source(keyed.drop("source"), "n_blocks").withColumn("block", F.pmod("u", "n_blocks")).drop("n_blocks")
     inside = Window.partitionBy("source_key", "block").orderBy("u").rowsBetween(Window.unboundedPreceding, -1)
     found = numbered.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(by_block, ["source_key", "block"])
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start") - F.col("before")))
@@ -133,14 +138,12 @@ def plan(docs: DataFrame, carry: list[str] | None = None, *, weights: tuple[floa
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of ``docs`` once for each draw, by shard and in shuffled order within it.
+    """The mix itself: the rows of ``docs``, whole, once for each draw, by shard and in shuffled order within it.
 
-    A draw of part of a document has the text up to its last word taken, and ``n_chars`` of that where there is such a column.
+    The last document of a source, of which the plan takes a part, is taken if that is half of it or more: a source's words are
+    then off their target by half a document at most.
     """
-    drawn = plan(docs, **options).select("row", "size", "u", F.explode("draws").alias("d"))
-    whole = F.col("row.text")
-    drawn = drawn.withColumn("said", F.when(F.col("d.words") < F.col("size"), first_words(whole, F.col("d.words"))).otherwise(whole))
+    drawn = plan(docs, **options).select("row", "size", "u", F.explode("draws").alias("d")).where(2 * F.col("d.words") >= F.col("size"))
     width = options.get("shards") or shuffle_width(docs.sparkSession)
     local = dealt(drawn, width, F.col("d.shard")).sortWithinPartitions(F.col("d.shard"), F.xxhash64(F.col("d.shard"), F.col("u"), F.col("d.copy")))
-    changed = {"text": F.col("said"), "n_chars": F.length("said")}
-    return local.select(*((changed[c] if c in changed else F.col("row")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
+    return local.select(*(F.col("row")[c].alias(c) for c in docs.columns))

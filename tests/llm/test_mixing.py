@@ -60,10 +60,18 @@ def test_plan(spark):
     assert checked(df.where("text IS NULL")) and m.mix(df.where("text IS NULL")).count() == 0
 
 
+def test_many_sources(spark, monkeypatch):
+    """Beyond a bound only hot sources are sent to all rows; the plan is the same."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = sorted(map(str, m.plan(docs, ["doc_id"]).collect()))
+    monkeypatch.setattr(m, "SENT_SOURCES", 0)
+    assert sorted(map(str, m.plan(docs, ["doc_id"]).collect())) == want
+
+
 def test_real(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = checked(docs)
-    want = {r.row.doc_id: sorted(d.words for d in r.draws) for r in rows}
+    want = {r.row.doc_id: sorted(r.size for d in r.draws if 2 * d.words >= r.size) for r in rows}
     mixed = m.mix(docs, shards=5, block_docs=8)
     assert mixed.columns == docs.columns
     got = {}

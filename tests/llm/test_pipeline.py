@@ -49,8 +49,11 @@ def test_stages_one_by_one(spark):
         n = len(SIZE.findall(r.text))
         taken[r.source] += n
         each[r.doc_id] += n
-        assert after[r.doc_id].text.startswith(r.text) and r.n_chars == len(r.text)
-    assert all(abs(taken[s] - t) <= 0.5001 for s, t in brute_targets(dict(by_source)).items())
+        assert after[r.doc_id] == r  # whole
+    longest = Counter()
+    for r in rows["pii"]:
+        longest[r.source] = max(longest[r.source], size[r.doc_id])
+    assert all(abs(taken[s] - t) <= longest[s] / 2 + 1 for s, t in brute_targets(dict(by_source)).items())
     assert all(each[i] <= 2 * size[i] for i in each)
 
     # encoding: a row a row, ids of the texts
