@@ -2,85 +2,19 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
 from seqloom.functions.sequences import lcs_length
-from seqloom.operators.corpus import ranged
-
-
-#: Test sets up to these bounds, checked before use, are sent to the training rows; larger ones are sorted together with them.
-SENT_ROWS, SENT_BYTES = 50_000, 64_000_000
-
-
-def latest(value: Column | str, window: WindowSpec, to: int) -> Column:
-    """The last value that isn't null up to ``to`` rows from the current one. What follows a row is asked for in descending
-    order: Spark computes a frame that ends at the last row anew for each row, and one that starts at the first row once."""
-    return F.last(value, True).over(window.rowsBetween(Window.unboundedPreceding, to))
+from seqloom.operators.neighbours import Index
 
 
 def neighbours(train: DataFrame, test: DataFrame, key: str, ident: str) -> DataFrame:
     """``ident, text, left_text, right_text``: the training texts just before and after each test text (null where none is).
 
-    A training text equal to a test text comes before it.
-    """
-    size = test.where(F.col(key).isNotNull()).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(key)), F.lit(0)).alias("b")).first()
-    find = neighbours_by_slot if size.n <= SENT_ROWS and size.b <= SENT_BYTES else neighbours_by_range
-    return find(train, test, key, ident)
-
-
-def neighbours_by_slot(train: DataFrame, test: DataFrame, key: str, ident: str) -> DataFrame:
-    """For a small test set: training rows fall into the gaps between its sorted texts, and of each gap only the least and the
-    greatest text leave a task. Nothing of the training side is sorted or shuffled but those."""
-    spark = train.sparkSession
-    texts = sorted(r[0] for r in test.where(F.col(key).isNotNull()).select(key).distinct().collect())
-    shared = spark.sparkContext.broadcast(texts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, low, high = shared.value, {}, {}
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                slot = bisect_left(known, t)
-                if slot not in low:
-                    low[slot] = high[slot] = t
-                elif t < low[slot]:
-                    low[slot] = t
-                elif t > high[slot]:
-                    high[slot] = t
-        yield pa.RecordBatch.from_arrays([pa.array(low.keys(), pa.int32()), pa.array(low.values(), pa.string()), pa.array([high[k] for k in low], pa.string())], names=["slot", "low", "high"])
-
-    gaps = train.where(F.col(key).isNotNull()).select(key).mapInArrow(run, "slot int, low string, high string")
-    gaps = gaps.groupBy("slot").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    slots = spark.range(len(texts) + 1).select(F.col("id").cast("int").alias("slot")).join(gaps, "slot", "left")
-    one = Window.partitionBy(F.lit(0))  # a row a test text: within the bound above
-    around = slots.select("slot", latest("high", one.orderBy("slot"), 0).alias("left_text"), latest("low", one.orderBy(F.desc("slot")), -1).alias("right_text"))
-    placed = test.where(F.col(key).isNotNull()).select(F.col(ident).cast("long").alias(ident), F.col(key).alias("text"))
-    ranked = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "slot int, text string")
-    return placed.join(ranked, "text").join(around, "slot").select(ident, "text", "left_text", "right_text")
-
-
-def neighbours_by_range(train: DataFrame, test: DataFrame, key: str, ident: str) -> DataFrame:
-    """For test sets of any size. Rows are dealt by range of text. Inside a range the last training text before and the first one after a row come from a
-    window; where a range has none on that side, the nearest non-empty range's edge takes its place. No window spans all rows.
-    At equal texts training rows come first.
+    A training text equal to a test text comes before it. For several test tables make one ``Index`` and ask it for each.
     """
-    both = train.select(F.col(key).alias("text"), F.lit(None).cast("long").alias(ident)).unionByName(test.select(F.col(key).alias("text"), F.col(ident).cast("long").alias(ident)))
-    both = both.where(F.col("text").isNotNull())
-    order = [F.col("text"), F.asc_nulls_first(ident)]
-    rows = ranged(both, order, "_part", "_place")
-    mine = F.when(F.col(ident).isNull(), F.col("text"))
-    here = Window.partitionBy("_part")
-    inside = rows.withColumn("left_text", latest(mine, here.orderBy("_place"), -1)).withColumn("right_text", latest(mine, here.orderBy(F.desc("_place")), -1))
-    edges = rows.groupBy("_part").agg(F.min(mine).alias("low"), F.max(mine).alias("high"))  # a row a range
-    by_part = Window.partitionBy(F.lit(0))
-    outer = edges.select("_part", latest("high", by_part.orderBy("_part"), -1).alias("before"), latest("low", by_part.orderBy(F.desc("_part")), -1).alias("after"))
-    joined = inside.where(F.col(ident).isNotNull()).join(F.broadcast(outer), "_part")
-    return joined.select(ident, "text", F.coalesce("left_text", "before").alias("left_text"), F.coalesce("right_text", "after").alias("right_text"))
+    return Index.of(train, key).neighbours(test, key, ident)
 
 
 def overlap_ratio(a: Column, b: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import schedules, text
 from seqloom.operators import batching, corpus, feeding, overlap
+from seqloom.operators.neighbours import Index
 
 SEED, SPACE = 19260817, text.ASCII_SPACE
 RE = r"[ \t\n\r\f]+"
@@ -327,6 +328,21 @@ def overlap_neighbours(spark, sf_dir):
     return found.select("item_id", F.md5("left_text").alias("left_md5"), F.md5("right_text").alias("right_md5"))
 
 
+NEAR = """u AS (SELECT text, '' AS id, 0 AS side FROM documents UNION ALL SELECT text, concat('item ', item_id), 1 FROM benchmark UNION ALL SELECT text, concat('turn ', conv_id, ' ', turn), 1 FROM conversations),
+  n AS (SELECT id, side, last_value(CASE WHEN side = 0 THEN text END IGNORE NULLS) OVER (ORDER BY text, side ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l,
+    first_value(CASE WHEN side = 0 THEN text END IGNORE NULLS) OVER (ORDER BY text, side ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS r FROM u WHERE text IS NOT NULL)"""
+
+
+@query(f"WITH {NEAR} SELECT id, md5(l) AS left_md5, md5(r) AS right_md5 FROM n WHERE side = 1")
+def overlap_two_tables(spark, sf_dir):
+    """One index of the documents' texts, asked for two tables with ids that are strings."""
+    index = Index.of(table(spark, sf_dir, "documents"), "text")
+    items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item "), "item_id").alias("id"), "text")
+    turns = table(spark, sf_dir, "conversations").select(F.concat(F.lit("turn "), "conv_id", F.lit(" "), "turn").alias("id"), "text")
+    found = index.neighbours(items, "text", "id").unionByName(index.neighbours(turns, "text", "id"))
+    return found.select("id", F.md5("left_text").alias("left_md5"), F.md5("right_text").alias("right_md5"))
+
+
 #: Common subsequences of each item with both neighbours, one word of the item at a time.
 OVERLAP = f"""{NEIGHBOURS}, z AS (SELECT item_id, side, {WORDS.format('text')} AS a, {WORDS.format('other')} AS b FROM (SELECT item_id, text, 'l' AS side, l AS other FROM n WHERE item_id IS NOT NULL UNION ALL SELECT item_id, text, 'r', r FROM n WHERE item_id IS NOT NULL) WHERE other IS NOT NULL),
   e AS (SELECT item_id, side, a, b, 0 AS i, list_transform(range(0, len(b) + 1), lambda j: 0) AS row FROM z
