@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import schedules, text
-from seqloom.operators import batching, corpus, feeding, overlap
+from seqloom.operators import batching, corpus, feeding, overlap, subwords
 from seqloom.operators.neighbours import Index
 
 SEED, SPACE = 19260817, text.ASCII_SPACE
@@ -317,6 +317,29 @@ def token_budget_one_shard(spark, sf_dir):
     return batching.budget_batches(docs, "shard", "doc_id", "n", "n", 4096).drop("shard")
 
 
+#: Vocabulary from counts; then of each distinct word the best cut up to each character, from the best ones before it.
+PIECES = f"""tok AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS place FROM (SELECT doc_id, {WORDS.format('text')} AS ws FROM documents)),
+  cnt AS (SELECT word, '▁' || word AS w, count(*) AS n FROM tok GROUP BY ALL),
+  part AS (SELECT w, n, i, unnest(range(1, least(6, length(w) - i + 1) + 1)) AS k FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM cnt)),
+  summed AS (SELECT substr(w, i, k) AS piece, CAST(sum(n) AS BIGINT) AS n FROM part GROUP BY ALL),
+  chosen AS (SELECT * FROM (SELECT * FROM summed WHERE length(piece) > 1 ORDER BY n * length(piece) DESC, piece LIMIT 4000) UNION ALL SELECT * FROM summed WHERE length(piece) = 1),
+  vocab AS (SELECT piece, CAST(round(ln(n / (SELECT sum(n) FROM chosen)) * 1000000) AS BIGINT) AS score FROM chosen),
+  ways AS (SELECT w, list(c ORDER BY j) AS c FROM (SELECT w, i + k - 1 AS j, list(struct_pack(start := i - 1, score := score) ORDER BY i) AS c FROM part JOIN vocab ON piece = substr(w, i, k) GROUP BY ALL) GROUP BY w),
+  best AS (SELECT w, c, 0 AS j, [CAST(0 AS BIGINT)] AS b, CAST([] AS BIGINT[]) AS st FROM ways
+    UNION ALL SELECT w, c, j + 1, list_append(b, top), list_append(st, c[j + 1][list_position(sums, top)].start) FROM (SELECT *, list_max(sums) AS top FROM (SELECT *, list_transform(c[j + 1], lambda y: b[y.start + 1] + y.score) AS sums FROM best WHERE j < length(w)))),
+  back AS (SELECT w, st, j, CAST([] AS VARCHAR[]) AS cut FROM best WHERE j = length(w) UNION ALL SELECT w, st, st[j], list_prepend(substr(w, st[j] + 1, j - st[j]), cut) FROM back WHERE j > 0),
+  done AS (SELECT w, cut FROM back WHERE j = 0)"""
+
+
+@query(f"WITH RECURSIVE {PIECES} SELECT d.doc_id, CAST(coalesce(sum(len(cut)), 0) AS BIGINT) AS n_pieces, md5(coalesce(string_agg(array_to_string(cut, ' '), ' ' ORDER BY place), '')) AS pieces_md5 FROM documents d LEFT JOIN (tok JOIN done ON w = '▁' || word) USING (doc_id) GROUP BY d.doc_id")
+def subword_pieces(spark, sf_dir):
+    """Documents' words in the likeliest pieces of a vocabulary of 4000 pieces and all characters, taken from the documents' counts."""
+    docs = table(spark, sf_dir, "documents")
+    vocab = subwords.piece_vocabulary(corpus.word_counts(docs, words("text")), 4000)
+    cut = subwords.cut_words(docs.select("doc_id", "text"), "doc_id", words("text"), vocab)
+    return cut.select("doc_id", F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), F.md5(F.coalesce(F.array_join("pieces", " "), F.lit(""))).alias("pieces_md5"))
+
+
 NEIGHBOURS = """u AS (SELECT text, NULL::BIGINT AS item_id FROM documents UNION ALL SELECT text, item_id FROM benchmark),
   n AS (SELECT item_id, text, last_value(CASE WHEN item_id IS NULL THEN text END IGNORE NULLS) OVER (ORDER BY text, item_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l,
     first_value(CASE WHEN item_id IS NULL THEN text END IGNORE NULLS) OVER (ORDER BY text, item_id NULLS FIRST ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS r FROM u)"""
