@@ -414,13 +414,13 @@ def dense_order(spark, sf_dir):
 
 @query("SELECT event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY event_type")
 def stream_dedup_ingest(spark, sf_dir):
-    """Events through a stream that drops repeated (user, type) pairs, drained as a batch."""
+    """Events through a stream that keeps the first of each (user, type) pair, a file a batch, with its keys in files."""
     from seqloom.sources.workspace import scratch
     from seqloom.streaming import ingest
 
     path = scratch(spark, "stream")
     source = table(spark, sf_dir, "events").select("user_id", "event_type")
-    source.write.parquet(f"{path}/in")
-    stream = ingest.deduplicated(ingest.file_stream(spark, f"{path}/in", source.schema), ["user_id", "event_type"])
-    ingest.drain(stream, f"{path}/out", f"{path}/state").awaitTermination()
-    return spark.read.schema(source.schema).parquet(f"{path}/out").groupBy("event_type").agg(F.count("*").alias("n"))
+    source.repartition(10).write.parquet(f"{path}/in")
+    stream = ingest.file_stream(spark, f"{path}/in", source.schema, files_per_trigger=1)
+    ingest.ingest(stream, f"{path}/out", ["user_id", "event_type"]).awaitTermination()
+    return ingest.ingested(spark, f"{path}/out", source.schema).groupBy("event_type").agg(F.count("*").alias("n"))
