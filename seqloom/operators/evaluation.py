@@ -7,8 +7,8 @@ number of evaluation versions a row belongs to. All that follows is sums.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -155,15 +155,75 @@ def measure(rows: DataFrame, src: Column, tgt: Column, hyp: Column, baseline: Co
     return out.select(*rows.columns, "_m.*").withColumns(sentence)
 
 
-def summarise(measured_rows: DataFrame, by: list[str]) -> DataFrame:
-    """One row a group with all metrics; BLEU of the whole group, the overlap's mean, portions and confusions summed."""
+@dataclass(frozen=True)
+class Added:
+    """A metric of one's own: its value of a row, its sums over rows, and its final value from them.
+
+    ``value`` makes a column from the columns of measured rows; ``sums`` make aggregates of it, by name; ``final`` makes the metric from the
+    sums' columns. Types are those of the catalogue; a portion is a struct of ``correct`` and ``total``.
+    """
+
+    metric: Metric
+    value: Callable[[], Column]
+    sums: dict[str, Callable[[Column], Column]]
+    final: Callable[[dict[str, Column]], Column]
+
+
+def added_mean(metric: Metric, value: Callable[[], Column]) -> Added:
+    """The mean of a row's value."""
+    return Added(metric, value, {"mean": F.avg}, lambda sums: sums["mean"])
+
+
+def added_portion(metric: Metric, test: Callable[[], Column]) -> Added:
+    """How many rows pass a test (null: no row of it)."""
+    count = {"correct": lambda v: F.coalesce(F.sum(v.cast("long")), F.lit(0)), "total": F.count}
+    return Added(metric, test, count, lambda sums: F.struct(sums["correct"].alias("correct"), sums["total"].alias("total")))
+
+
+@dataclass(frozen=True)
+class Catalogue:
+    """The metrics and evaluation versions of a report: the library's, and what is added to them.
+
+    A version is a name and a test of measured rows; every row is in the version ``eval`` besides.
+    """
+
+    added: tuple[Added, ...] = ()
+    versions: tuple[tuple[str, Callable[[], Column]], ...] = ()
+
+    def with_metric(self, added: Added) -> Catalogue:
+        if added.metric.key in {m.key for m in self.metrics()}:
+            raise ValueError(f"there is a metric {added.metric.key!r}")
+        return replace(self, added=(*self.added, added))
+
+    def with_version(self, name: str, test: Callable[[], Column]) -> Catalogue:
+        if name in {"eval", *(n for n, _ in self.versions)}:
+            raise ValueError(f"there is a version {name!r}")
+        return replace(self, versions=(*self.versions, (name, test)))
+
+    def metrics(self) -> tuple[Metric, ...]:
+        return (*METRICS, *(a.metric for a in self.added))
+
+    def in_versions(self, measured_rows: DataFrame, name: str = "version") -> DataFrame:
+        """Each row once for every version it belongs to, so that one aggregation serves all."""
+        held = F.array_compact(F.array(F.lit("eval"), *(F.when(test(), F.lit(n)) for n, test in self.versions)))
+        return measured_rows.withColumn(name, F.explode(held))
+
+    def summarise(self, measured_rows: DataFrame, by: list[str]) -> DataFrame:
+        return summarise(measured_rows, by, self.added)
+
+
+def summarise(measured_rows: DataFrame, by: list[str], added: tuple[Added, ...] = ()) -> DataFrame:
+    """One row a group with all metrics; BLEU of the whole group, the overlap's mean, portions and confusions summed. Whatever is added is
+    part of the same aggregation."""
     sums = [*bleu.corpus_sums(F.col("counts"), 8, "b"), *bleu.corpus_sums(F.col("counts_no_var"), 4, "v"), F.avg("bleu4").alias("bleu4_sent"), F.avg("overlap_score").alias("overlap_score"), F.count("*").alias("n_examples")]
     sums += [F.struct(F.sum(f"{p}.correct").alias("correct"), F.sum(f"{p}.total").alias("total")).alias(p) for p in PORTIONS]
     sums += [F.sum(i).alias(i) for i in INTS]
     sums += [F.struct(*(F.sum(f"pointer_conversion.{c}").alias(c) for c in CONFUSION)).alias("pointer_conversion")]
+    sums += [F.struct(*(f(a.value()).alias(n) for n, f in a.sums.items())).alias(a.metric.key) for a in added]
     out = measured_rows.groupBy(*by).agg(*sums)
     scores = {"bleu4": bleu.corpus("b", 4), "bleu8": bleu.corpus("b", 8), "bleu4_no_var": bleu.corpus("v", 4)}
-    return out.withColumns(scores).select(*by, "n_examples", *(m.key for m in METRICS))
+    own = {a.metric.key: a.final({n: F.col(f"`{a.metric.key}`.`{n}`") for n in a.sums}) for a in added}
+    return out.withColumns(scores).select(*by, "n_examples", *(m.key for m in METRICS), *(c.alias(k) for k, c in own.items()))
 
 
 def ratio(portion: Column) -> Column:
@@ -240,11 +300,11 @@ def with_versions(df: DataFrame, index: str, bin_label: Column, small: int = 50)
     return df.withColumn("version", F.explode(versions))
 
 
-def long_metrics(summary: DataFrame, by: list[str], keys: list[str]) -> DataFrame:
+def long_metrics(summary: DataFrame, by: list[str], keys: list[str], metrics: tuple[Metric, ...] = METRICS) -> DataFrame:
     """``by, metric, value``: portions as ratios, confusions as F1."""
-    kinds = {m.key: m.type for m in METRICS}
-    tp, fp, fn = (F.col(f"pointer_conversion.{c}") for c in ("tp", "fp", "fn"))
-    value = {"portion": lambda k: ratio(F.col(k)), "confusion_mat": lambda k: 2 * tp / F.greatest(F.lit(1), 2 * tp + fp + fn)}
+    kinds = {m.key: m.type for m in metrics}
+    f1 = lambda k: 2 * F.col(f"{k}.tp") / F.greatest(F.lit(1), 2 * F.col(f"{k}.tp") + F.col(f"{k}.fp") + F.col(f"{k}.fn"))
+    value = {"portion": lambda k: ratio(F.col(k)), "confusion_mat": f1}
     cells = [F.struct(F.lit(k).alias("metric"), value.get(kinds.get(k, "float"), F.col)(k).cast("double").alias("value")) for k in keys]
     return summary.select(*by, F.inline(F.array(*cells)))
 

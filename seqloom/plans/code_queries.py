@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqloom.functions import clang, text
+from seqloom.functions import clang, table_functions, text
 from seqloom.operators import corpus, evaluation, report
 from seqloom.plans.corpus_queries import PAIRS, table
 from seqloom.plans.evaluation_queries import bleu_sql, score_sql
@@ -84,6 +84,33 @@ def c_tokens(spark, sf_dir):
     return rows.select("idx", F.posexplode(clang.lexed(noted)).alias("place", "t")).select("idx", F.col("place").cast("long").alias("place"), "t.type", "t.value")
 
 
+@query(f"WITH {ROWS}, {LEXED} SELECT p_partkey AS idx, place, type, value, CASE WHEN type = 'ID' THEN replace(value, 'count', '__unk__') ELSE value END AS masked FROM typed")
+def lateral_tokens(spark, sf_dir):
+    """Tokens of targets by a table function in SQL, beside those of the same code with a name unknown."""
+    table_functions.register(spark)
+    _rows(spark, sf_dir).where("system = 'same'").select("idx", "tgt").createOrReplaceTempView("seqloom_code")
+    return spark.sql(
+        """SELECT c.idx, t.place, t.type, t.value, u.value AS masked FROM seqloom_code c, LATERAL lex(c.tgt) t, LATERAL lex(replace(c.tgt, 'count', '<unk>')) u WHERE t.place = u.place"""
+    )
+
+
+@query(
+    f"""WITH {ROWS}, v AS (SELECT *, 'eval' AS version FROM code UNION ALL SELECT *, 'large' FROM code WHERE p_size > 25 UNION ALL SELECT *, 'pointers' FROM code WHERE contains(tgt, '*'))
+    SELECT version, system, CAST(sum(CAST(length(hyp) <= length(tgt) AS INTEGER)) AS BIGINT) AS correct, count(*) AS total, round(avg(length(hyp) / length(tgt)), 6) AS length_ratio, round(sum(CAST(system = 'same' OR (system = 'swapped' AND form = 0) AS INTEGER)) / count(*), 6) AS exact_match FROM v GROUP BY version, system"""
+)
+def added_metrics(spark, sf_dir):
+    """Two metrics and two versions added to the catalogue, in one aggregation with all of its own."""
+    catalogue = (
+        evaluation.Catalogue()
+        .with_metric(evaluation.added_portion(evaluation.Metric("not_longer", "Not longer", "portion"), lambda: F.length("hyp") <= F.length("tgt")))
+        .with_metric(evaluation.added_mean(evaluation.Metric("length_ratio", "Length ratio", "float", 3, None), lambda: F.length("hyp") / F.length("tgt")))
+        .with_version("large", lambda: F.col("p_size") > 25)
+        .with_version("pointers", lambda: F.contains("tgt", F.lit("*")))
+    )
+    summary = catalogue.summarise(catalogue.in_versions(_measured(spark, sf_dir)), ["version", "system"])
+    return summary.select("version", "system", "not_longer.correct", "not_longer.total", F.round("length_ratio", 6).alias("length_ratio"), F.round(evaluation.ratio(F.col("exact_match")), 6).alias("exact_match"))
+
+
 RETURNS = "['int', 'static char *', 'void', 'int'][form + 1]"
 ARGS = case(["", "const char *:bufZ/1|int:n/0", "int ( * ) ( int ):cbZ/1|unsigned long [ ]:v/0", "int:a/0|char *:bZ/1"])
 SWAPPED_ARGS = case(["", "int:n/0|const char *:bufZ/1", "unsigned long [ ]:v/0|int ( * ) ( int ):cbZ/1", "char *:bZ/1|int:a/0"])
@@ -177,10 +204,13 @@ def signature_summary(spark, sf_dir):
     CAST(CASE WHEN system = 'cut' THEN 0 ELSE {N_ARGS} END AS BIGINT) AS n_args, md5(tgt) AS sha FROM code"""
 )
 def report_json(spark, sf_dir):
-    """The report as one compressed JSON document, written and read back."""
+    """The report as gzip members of one JSON document, written and read back by example."""
     path, measured = scratch(spark, "report"), _measured(spark, sf_dir)
     systems = evaluation.summarise(measured, ["system"]).withColumnRenamed("system", "key")
-    sinks.write_report(report.document(report.example_rows(measured, "decompiled"), systems), path)
-    found = readers.report(spark, path).select(F.size("metrics").alias("n_metrics"), F.size("systems").alias("n_systems"), F.explode("examples").alias("e"))
-    each = F.inline(F.array(*[F.struct(F.lit(s).alias("system"), F.col(f"e.predictions.{s}.func_name").alias("name"), F.size(f"e.predictions.{s}.args").cast("long").alias("n_args")) for s in SYSTEMS]))
-    return found.select(F.col("e.index").alias("index"), "n_metrics", "n_systems", F.col("e.target.func_name").alias("target_name"), F.col("e.target.ret_type").alias("target_type"), F.col("e.meta_data.sha").alias("sha"), each)
+    examples = report.example_rows(measured, "decompiled")
+    sinks.write_report(report.document(examples, systems), path)
+    head = readers.report_head(spark, path).select(F.size("metrics").alias("m"), F.size("systems").alias("s")).first()
+    found = readers.report_examples(spark, path, examples.schema)
+    each = F.inline(F.array(*[F.struct(F.lit(s).alias("system"), F.col("predictions")[s]["func_name"].alias("name"), F.size(F.col("predictions")[s]["args"]).cast("long").alias("n_args")) for s in SYSTEMS]))
+    told = (F.lit(head.m).alias("n_metrics"), F.lit(head.s).alias("n_systems"))
+    return found.select("index", *told, F.col("target.func_name").alias("target_name"), F.col("target.ret_type").alias("target_type"), F.col("meta_data.sha").alias("sha"), each)

@@ -98,6 +98,22 @@ def report(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
 
+#: How the first and the last line of a report begin: what is between them is one example a line.
+OPENING, CLOSING = '{"metrics":', "]}"
+
+
+def report_head(spark: SparkSession, path: str) -> DataFrame:
+    """One row, ``metrics, systems``, of a report that ``write_report`` has written."""
+    first = spark.read.text(path).where(F.col("value").startswith(OPENING)).first().value + CLOSING
+    return spark.range(1).select(F.from_json(F.lit(first), F.schema_of_json(F.lit(first))).alias("d")).select("d.metrics", "d.systems")
+
+
+def report_examples(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The examples of a report, streamed by member: a task for each, a line at a time. A line that isn't an example of ``schema`` is an error."""
+    lines = spark.read.text(path).where(~F.col("value").startswith(OPENING) & (F.col("value") != CLOSING))
+    return lines.select(F.from_json(F.rtrim(F.col("value"), F.lit(",")), schema, {"mode": "FAILFAST"}).alias("e")).select("e.*")
+
+
 def zipped(left: DataFrame, *others: DataFrame, on: str = "idx") -> DataFrame:
     """Lists of equal length side by side by position; lists of other lengths are an error when the result is read."""
     out = left

@@ -57,9 +57,13 @@ def training_lines(df: DataFrame, src: Column, tgt: Column, names: Column) -> Da
     return df.select(F.explode(F.array(join(text.both_names(src, names)), join(tgt))).alias("value"))
 
 
-def write_report(document: DataFrame, path: str) -> None:
-    """A report's lines as one gzip file. The lines are ordered by range first, so only the writing is a single task's."""
-    document.repartitionByRange("ordinal").sortWithinPartitions("ordinal").select("ordinal", "line").coalesce(1).sortWithinPartitions("ordinal").select(F.col("line").alias("value")).write.option("compression", "gzip").text(path)
+def write_report(document: DataFrame, path: str, members: int | None = None) -> None:
+    """A report's lines (``ordinal, line``) as gzip members: each task writes those of its range, and names order the ranges, so the
+    members one after another are one valid gzip file of one JSON document. No task holds more than a range.
+    """
+    width = members or int(document.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = document.select("ordinal", "line").repartitionByRange(width, "ordinal").sortWithinPartitions("ordinal")
+    ordered.select(F.col("line").alias("value")).write.option("compression", "gzip").text(path)
 
 
 def write_reference_pairs(df: DataFrame, path: str, hyp: Column, ref: Column, order: str) -> None:

@@ -35,8 +35,11 @@ def signature_summary(spark, sf_dir):
     return evaluation.long_metrics(summary, ["system"], [m.key for m in evaluation.METRICS]).select("system", "metric", F.round("value", 6).alias("value"))
 
 
+def report_examples(spark):
+    return report.example_rows(_measured(spark), "decompiled")
+
+
 def report_json(spark, sf_dir):
-    measured = _measured(spark)
-    examples = report.example_rows(measured, "decompiled")
+    measured, examples = _measured(spark), report_examples(spark)
     systems = evaluation.summarise(measured, ["system"]).withColumnRenamed("system", "key")
     return report.document(examples, systems)

@@ -1,3 +1,4 @@
+import glob
 import gzip
 import json
 
@@ -75,8 +76,19 @@ def test_small_readers(spark, tmp_path):
 def test_report_sink(spark, tmp_path):
     from tests import code_examples
 
-    sinks.write_report(code_examples.report_json(spark, ""), f"{tmp_path}/out")
-    assert len(readers.report(spark, f"{tmp_path}/out").first().examples) == 3
+    sinks.write_report(code_examples.report_json(spark, ""), f"{tmp_path}/out", 3)
+    members = sorted(glob.glob(f"{tmp_path}/out/part-*.gz"))
+    assert len(members) == 3
+    whole = json.loads(gzip.decompress(b"".join(open(m, "rb").read() for m in members)))  # one valid gzip file of one document
+    assert [e["index"] for e in whole["examples"]] == sorted(e["index"] for e in whole["examples"]) and len(whole["examples"]) == 3
+    head = readers.report_head(spark, f"{tmp_path}/out").first()
+    assert (len(head.metrics), len(head.systems)) == (len(whole["metrics"]), len(whole["systems"]))
+    schema = code_examples.report_examples(spark).schema
+    found = {r["index"]: r for r in readers.report_examples(spark, f"{tmp_path}/out", schema).collect()}
+    assert {e["index"]: e["target"]["code"] for e in whole["examples"]} == {i: r.target.code for i, r in found.items()}
+    spark.createDataFrame([("not an example,",)], "value string").write.mode("append").text(f"{tmp_path}/out")
+    with pytest.raises(Exception):
+        readers.report_examples(spark, f"{tmp_path}/out", schema).collect()
 
 
 def test_config(tmp_path):
