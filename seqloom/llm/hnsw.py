@@ -1,14 +1,14 @@
 """Approximate nearest neighbours by inner product: one navigable small-world graph a shard.
 
-Vectors are dealt to shards by a hash of their id, so a shard's rows are bounded whatever the input. Equal vectors of a shard are
+Rows are dealt to shards by a hash of their number, so a shard's rows are bounded whatever the input. Equal vectors of a shard are
 one node with the list of its ids. A shard's index is flat arrays (vectors, neighbours of each layer, entry point) and is
 written to the shared folder as one row; it is built once, and queries stream past it. Largest inner product becomes nearest
 by angle through one more coordinate, ``sqrt(M^2 - |x|^2)`` with M the shard's longest vector. Each shard answers each query; the
 answers of all shards are merged, ordered by the exact inner product in double precision, ties to the smaller id.
 
 Defined results: vectors that are null, empty, all zero, or hold a null or non-finite component take no part, nor do rows with a
-null id; of rows with equal ids the least vector stays; vectors of another length are a world of their own (nothing is near across
-lengths); with fewer candidates than asked for, all are returned.
+null id; rows with equal ids are rows of their own, and candidates of each other; vectors of another length are a world of their
+own (nothing is near across lengths); with fewer candidates than asked for, all are returned.
 """
 
 from __future__ import annotations
@@ -169,45 +169,52 @@ def nearest(g: Graph, q: np.ndarray, ef: int, seen: np.ndarray, mark: int) -> tu
     return [n for _, n in search_layer(g, q, at, ef, 0, seen, mark)], mark + 1
 
 
-INDEX = pa.schema([("dim", pa.int32()), ("shard", pa.int32()), *[(c, pa.binary()) for c in ("vectors", "ids", "id_stops", "level", "base", "upper")], ("entry", pa.int32()), ("m", pa.int32()), ("longest", pa.float64())])
-INDEX_DDL = "dim int, shard int, vectors binary, ids binary, id_stops binary, level binary, base binary, upper binary, entry int, m int, longest double"
+INDEX = pa.schema([("dim", pa.int32()), ("shard", pa.int32()), *[(c, pa.binary()) for c in ("vectors", "ids", "rows", "id_stops", "level", "base", "upper")], ("entry", pa.int32()), ("m", pa.int32()), ("longest", pa.float64())])
+INDEX_DDL = "dim int, shard int, vectors binary, ids binary, rows binary, id_stops binary, level binary, base binary, upper binary, entry int, m int, longest double"
 
 
-def index_row(dim: int, shard: int, ids: np.ndarray, vectors: np.ndarray, m: int, ef: int) -> pa.RecordBatch:
-    """The flat arrays of one shard: distinct vectors in order, and for each the ascending ids that have it."""
-    order = np.lexsort((ids, *vectors.T[::-1]))
-    ids, vectors = ids[order], vectors[order]
+def index_row(dim: int, shard: int, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, m: int, ef: int) -> pa.RecordBatch:
+    """The flat arrays of one shard: distinct vectors in order, and for each the rows that have it, by ascending ids."""
+    order = np.lexsort((rows, ids, *vectors.T[::-1]))
+    ids, rows, vectors = ids[order], rows[order], vectors[order]
     new = np.concatenate(([True], (vectors[1:] != vectors[:-1]).any(1)))
     distinct = vectors[new]
     stops = np.append(np.flatnonzero(new)[1:], len(ids)).astype(np.int64)
     # A random order of insertion: sorted vectors would grow a lopsided graph.
     shuffled = np.random.default_rng(shard).permutation(len(distinct))
     starts = np.concatenate(([0], stops[:-1]))
-    ids = np.concatenate([ids[starts[k] : stops[k]] for k in shuffled])
+    ids, rows = (np.concatenate([x[starts[k] : stops[k]] for k in shuffled]) for x in (ids, rows))
     stops = np.cumsum((stops - starts)[shuffled])
     distinct = distinct[shuffled]
     longest = float(np.sqrt((distinct.astype(np.float64) ** 2).sum(1)).max())
     g = build(lifted(distinct.astype(np.float64), longest), m=m, ef=ef)
     upper = b"".join(g.upper[k].tobytes() for k in sorted(g.upper))
-    cells = [dim, shard, distinct.tobytes(), ids.tobytes(), stops.tobytes(), g.level.tobytes(), g.base.tobytes(), upper, g.entry, m, longest]
+    cells = [dim, shard, distinct.tobytes(), ids.tobytes(), rows.tobytes(), stops.tobytes(), g.level.tobytes(), g.base.tobytes(), upper, g.entry, m, longest]
     return pa.RecordBatch.from_arrays([pa.array([c], t.type) for c, t in zip(cells, INDEX, strict=True)], schema=INDEX)
 
 
-def opened(row: dict) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
-    """Graph, original vectors, ids, stops of ids."""
-    vectors = np.frombuffer(row["vectors"], np.float32).reshape(-1, row["dim"])
-    n, m = len(vectors), row["m"]
+def opened(row: dict) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Graph, original vectors, ids, rows, stops of ids."""
+    n, m = len(row["level"]), row["m"]
+    kind = np.float32 if len(row["vectors"]) == 4 * n * row["dim"] else np.float64
+    vectors = np.frombuffer(row["vectors"], kind).reshape(n, row["dim"])
     upper = np.frombuffer(row["upper"], np.int32).reshape(-1, n, m)
     g = Graph(lifted(vectors.astype(np.float64), row["longest"]), np.frombuffer(row["level"], np.int8), np.frombuffer(row["base"], np.int32).reshape(n, 2 * m), {k + 1: u for k, u in enumerate(upper)}, row["entry"])
-    return g, vectors, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["id_stops"], np.int64)
+    return g, vectors, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["rows"], np.int64), np.frombuffer(row["id_stops"], np.int64)
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``vec_id, v array<float>, dim``: the rows that take part, one an id."""
-    v = F.col(vector_col).cast("array<float>")
+    """``vec_id, v, dim``: the rows that take part, their vectors as they are (of float, or of double for any other numbers)."""
+    kind = vectors.schema[vector_col].dataType.elementType.simpleString()
+    v = F.col(vector_col) if kind in ("float", "double") else F.col(vector_col).cast("array<double>")
     picked = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return picked.where(finite & F.exists("v", lambda x: x != 0)).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    return picked.where(finite & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` written, with a number for each (``row``): a row's own, whatever its id."""
+    return pinned(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
 
 
 def build_index(rows: DataFrame, *, shard_rows: int = 8192, least_shards: int = 6, m: int = 24, ef: int = 96) -> DataFrame:
@@ -223,7 +230,7 @@ def build_index(rows: DataFrame, *, shard_rows: int = 8192, least_shards: int =
         def done() -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
             x = t.column("v").combine_chunks().flatten().to_numpy().reshape(-1, now[0])
-            return index_row(*now, t.column("vec_id").to_numpy(), x, m, ef)
+            return index_row(*now, t.column("vec_id").to_numpy(), t.column("row").to_numpy(), x, m, ef)
 
         for b in batches:
             keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
@@ -241,7 +248,7 @@ def build_index(rows: DataFrame, *, shard_rows: int = 8192, least_shards: int =
         if held:
             yield done()
 
-    keyed = rows.select("dim", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), "vec_id", "v")
+    keyed = rows.select("dim", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"), "vec_id", "row", "v")
     return pinned(dealt(keyed, shards, F.col("shard")).sortWithinPartitions("dim", "shard").mapInArrow(run, INDEX_DDL), "hnsw")
 
 
@@ -250,7 +257,7 @@ def inner(rows: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.cumsum(rows.astype(np.float64) * v.astype(np.float64), 1)[:, -1]
 
 
-FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+FOUND = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("row", pa.int64()), ("score", pa.float64())])
 
 
 class Shard:
@@ -258,25 +265,24 @@ class Shard:
 
     def __init__(self, row: dict):
         self.key = row["dim"], row["cell"]
-        self.graph, self.vectors, self.ids, self.stops = opened(row)
+        self.graph, self.vectors, self.ids, self.rows, self.stops = opened(row)
         self.starts = np.concatenate(([0], self.stops[:-1]))
         self.seen, self.mark = np.full(len(self.graph.points), -1, np.int64), 0
 
-    def ask(self, query: int, v: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the ``k`` nearest but ``query`` itself."""
-        nodes, self.mark = nearest(self.graph, np.append(v, np.float32(0)), max(ef, k + 1), self.seen, self.mark)
+    def ask(self, query: int, v: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, rows and scores of the ``k`` nearest but the row ``query`` itself."""
+        nodes, self.mark = nearest(self.graph, np.append(v, 0).astype(np.float32), max(ef, k + 1), self.seen, self.mark)
         # of equal vectors only the k + 1 smallest ids can be among the k nearest (one may be the query itself)
-        mine = [self.ids[self.starts[n] : min(self.stops[n], self.starts[n] + k + 1)] for n in nodes]
-        score = np.repeat(inner(self.vectors[nodes], v), [len(i) for i in mine])
-        each = np.concatenate(mine)
-        keep = each != query
+        mine = [np.arange(self.starts[n], min(self.stops[n], self.starts[n] + k + 1)) for n in nodes]
+        score, each = np.repeat(inner(self.vectors[nodes], v), [len(i) for i in mine]), np.concatenate(mine)
+        keep = self.rows[each] != query
         each, score = each[keep], score[keep]
-        best = np.lexsort((each, -score))[:k]
-        return each[best], score[best]
+        best = np.lexsort((self.rows[each], self.ids[each], -score))[:k]
+        return self.ids[each[best]], self.rows[each[best]], score[best]
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, *, ef: int = 100, block: int = 1 << 18) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` nearest of each query (``vec_id, v, dim``) but the query's own id.
+    """``query_id, rank, vec_id, score``: the ``k`` nearest of each query (``vec_id, row, v, dim``) but the query's own row.
 
     A cell is a shard and a block of queries. Its index comes first and its queries stream past it, so a task holds one graph
     and one batch however many queries there are. A block is far larger than an index: few indexes are sent twice.
@@ -285,7 +291,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, *, ef: int = 100, block
     blocks = max(1, math.ceil(queries.count() / block))
     everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     graphs = index.withColumn("block", everywhere(blocks)).withColumn("cell", F.col("shard") * blocks + F.col("block")).drop("block", "shard")
-    asked = queries.select("dim", "vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), everywhere(shards).alias("shard"))
+    asked = queries.select("dim", "vec_id", "row", "v", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), everywhere(shards).alias("shard"))
     asked = asked.withColumn("cell", F.col("shard") * blocks + F.col("block")).drop("block", "shard")
     cells = graphs.withColumn("kind", F.lit(0)).unionByName(asked.withColumn("kind", F.lit(1)), allowMissingColumns=True)
 
@@ -294,24 +300,25 @@ def search(index: DataFrame, queries: DataFrame, k: int, *, ef: int = 100, block
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                held: list[tuple[int, np.ndarray, np.ndarray]] = []
-                for i, (dim, cell, kind, query) in enumerate(zip(*(b.column(c).to_pylist() for c in ("dim", "cell", "kind", "vec_id")), strict=True)):
+                held: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
+                for i, (dim, cell, kind, ident, query) in enumerate(zip(*(b.column(c).to_pylist() for c in ("dim", "cell", "kind", "vec_id", "row")), strict=True)):
                     if kind == 0:
                         shard = None  # the one before may go first
                         shard = Shard(b.slice(i, 1).to_pylist()[0])
                     elif shard is not None and shard.key == (dim, cell):
-                        held.append((query, *shard.ask(query, b.column("v")[i].values.to_numpy(), k, ef)))
+                        held.append((query, ident, *shard.ask(query, b.column("v")[i].values.to_numpy(), k, ef)))
                 if held:
-                    arrays = (np.repeat([q for q, _, _ in held], [len(x) for _, x, _ in held]), np.concatenate([x for _, x, _ in held]), np.concatenate([y for _, _, y in held]))
+                    each = [len(h[2]) for h in held]
+                    arrays = (*(np.repeat(np.array([h[c] for h in held], np.int64), each) for c in (0, 1)), *(np.concatenate([h[c] for h in held]) for c in (2, 3, 4)))
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(arrays, FOUND, strict=True)], schema=FOUND)
 
     in_order = dealt(cells, shards * blocks, F.col("cell")).sortWithinPartitions("dim", "cell", "kind")
-    found = in_order.mapInArrow(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = in_order.mapInArrow(run, "query_row long, query_id long, vec_id long, row long, score double")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def self_search(vectors: DataFrame, asks: Column, k: int, **options) -> DataFrame:
     """Indexes all usable rows and asks for the ``k`` nearest of those for which ``asks`` holds."""
-    rows = pinned(usable(vectors), "vectors")
+    rows = numbered(usable(vectors))
     return search(build_index(rows, **options), rows.where(asks), k)

@@ -5,16 +5,14 @@ from pyspark.sql import functions as F
 from seqloom.llm import hnsw as h
 
 
-def brute(rows, k, asks):
-    ok = {}
-    for i, v in sorted((r for r in rows if r[0] is not None and r[1] is not None), key=lambda r: str(r)):
-        if len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v):
-            ok[i] = min(v, ok.get(i, v))
-    ok = {i: np.array(v, np.float32).astype(float) for i, v in ok.items()}
+def brute(rows, k, asks, kind=np.float32):
+    """Every row against every other one."""
+    ok = [(i, np.array(v, kind).astype(float)) for i, v in rows if i is not None and v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     out = {}
-    for q in filter(asks, ok):
-        near = sorted(((-float(v @ ok[q]), i) for i, v in ok.items() if i != q and len(v) == len(ok[q])))
-        out[q] = [(i, -s) for s, i in near[:k]]
+    for at, (q, x) in enumerate(ok):
+        if asks(q):
+            near = sorted((-float(v @ x), i) for n, (i, v) in enumerate(ok) if n != at and len(v) == len(x))
+            out[q] = [(i, -s) for s, i in near[:k]]
     return out
 
 
@@ -50,9 +48,22 @@ def test_unequal_lengths_of_vectors(spark):
 
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (40, [0.5, 0.5]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [None, 1.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (None, [1.0, 1.0]), (60, [1.0, 2.0, 3.0]), (7, [1.0, 0.0]), (7, [1.0, 0.0]), (8, [-1.0, 0.0])]
+    rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (40, [0.5, 0.5]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [None, 1.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (None, [1.0, 1.0]), (60, [1.0, 2.0, 3.0]), (7, [1.0, 0.0]), (7, [1.0, 0.0]), (8, [-1.0, 0.0]), (9, [0.9, 0.1]), (9, [0.1, 0.9])]
     rows += [(100 + i, [0.25, 0.75]) for i in range(90)]  # one vector many times: ties go to smaller ids
-    df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<float>, shard int")
+    df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<float>, row int")
     want, have = brute(rows, 20, lambda i: i % 20 == 0), got(df)
     assert {q: [i for i, _ in v] for q, v in want.items() if v} == {q: [i for i, _ in v] for q, v in have.items()}
     assert got(df.limit(0)) == {}
+
+
+def test_scores_of_doubles(spark):
+    """Vectors of double are searched, told apart and scored as they are."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(300)]
+    rows += [(300, [x + 1e-12 for x in rows[0][1]]), (301, rows[0][1])]  # as floats these would be equal
+    want, have = brute(rows, 20, lambda i: i % 20 == 0, float), got(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    for q, found in want.items():
+        assert [i for i, _ in have[q]] == [i for i, _ in found]
+        assert [s for _, s in have[q]] == pytest.approx([s for _, s in found], abs=1e-15)
+    whole = spark.createDataFrame([(i, [i % 7, 1 + i % 3]) for i in range(50)], "vec_id long, embedding array<int>")
+    assert len(got(whole)) == 3
