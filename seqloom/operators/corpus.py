@@ -55,12 +55,14 @@ def difficulty(df: DataFrame, index: str, tokens: Column, scores: DataFrame) ->
     The most frequent words, most of any text, meet their scores where they are and are summed there. Only the others are
     shuffled by word, so no word is so common that its task is large.
     """
-    each = df.select(index, F.explode(tokens).alias("word"))
-    hot = scores.orderBy(F.desc("count"), "word").limit(HOT_WORDS).select("word", F.col("surprisal").alias("_hot"))
-    met = each.join(F.broadcast(hot), "word", "left")
-    common = met.where("_hot IS NOT NULL").groupBy(index).agg(F.sum("_hot").alias("_s"))
-    rare = met.where("_hot IS NULL").select(index, "word").join(scores.select("word", "surprisal"), "word").groupBy(index).agg(F.sum("surprisal").alias("_s"))
-    summed = common.unionByName(rare).groupBy(index).agg(F.sum("_s").alias("score"))
+    word, hot, part = spare(df, "word", "hot", "part")
+    each = df.select(index, F.explode(tokens).alias(word))
+    frequent = scores.orderBy(F.desc("count"), "word").limit(HOT_WORDS).select(F.col("word").alias(word), F.col("surprisal").alias(hot))
+    met = each.join(F.broadcast(frequent), word, "left")
+    common = met.where(F.col(hot).isNotNull()).groupBy(index).agg(F.sum(hot).alias(part))
+    others = scores.select(F.col("word").alias(word), F.col("surprisal").alias(hot))
+    rare = met.where(F.col(hot).isNull()).select(index, word).join(others, word).groupBy(index).agg(F.sum(hot).alias(part))
+    summed = common.unionByName(rare).groupBy(index).agg(F.sum(part).alias("score"))
     return df.select(index).join(summed, index, "left").select(index, F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
@@ -205,23 +207,42 @@ def _mapped(df: DataFrame, index: str, lists: Column, converter: Callable[[], Ca
     return df.select(index, lists.alias(f"{index}_lists")).mapInArrow(run, f"`{index}` {df.schema[index].dataType.simpleString()}, {name} array<{kind}>")
 
 
-#: Rows of a vocabulary that may be sent to every task; a larger one is an error rather than a broadcast without bound.
+#: Rows of a vocabulary that may be sent to every task; a larger one meets the words in a join.
 VOCABULARY_ROWS = 5_000_000
 
 
 def _shared_vocabulary(vocab: DataFrame):
+    """The vocabulary on all executors, or None if it is too large for that."""
     rows = vocab.select("token", "id").limit(VOCABULARY_ROWS + 1).collect()
     if len(rows) > VOCABULARY_ROWS:
-        raise ValueError(f"a vocabulary of more than {VOCABULARY_ROWS} tokens")
+        return None
     return vocab.sparkSession.sparkContext.broadcast(([r.token for r in rows], [r.id for r in rows]))
 
 
+def _joined(df: DataFrame, index: str, lists: Column, table: DataFrame, key: str, value: str, missing: Column, name: str) -> DataFrame:
+    """``index`` and the lists with their elements looked up in ``table`` by a join: for tables of any size. An element's row is copied 64
+    times, once for each 64th of the rows, so a frequent word is not one task's; lists come together again by their row's number."""
+    row, place, element, found, place_of = spare(df, "row", "place", "element", "found", "salt")
+    numbered = pinned(df.select(index, lists.alias(element)).withColumn(row, F.monotonically_increasing_id()), "lists")
+    each = numbered.select(row, F.posexplode(element).alias(place, element))
+    salt = F.pmod(F.col(row), F.lit(64)).alias(place_of)
+    known = each.select(element).distinct().join(table.select(F.col(key).alias(element), F.col(value).alias(found)), element)
+    spread = known.select(element, found, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias(place_of))
+    met = each.select("*", salt).join(spread, [element, place_of], "left").withColumn(found, F.coalesce(F.col(found), missing))
+    laid = met.groupBy(row).agg(F.sort_array(F.collect_list(F.struct(place, found))).alias(element))  # a list's own length
+    out = numbered.select(index, row).join(laid, row, "left")
+    return out.select(index, F.coalesce(F.transform(element, lambda x: x[found]), F.array().cast(f"array<{table.schema[value].dataType.simpleString()}>")).alias(name))
+
+
 def token_ids(df: DataFrame, index: str, tokens: Column, vocab: DataFrame, unknown: int = 1) -> DataFrame:
     """``index, ids``: in token order, ``unknown`` for words that the vocabulary lacks.
 
-    A vocabulary is bounded by the size it was made with, and checked, so it goes to the rows; texts stay where they are.
+    A vocabulary is mostly bounded by the size it was made with: up to ``VOCABULARY_ROWS``, which is checked, it goes to the rows and texts
+    stay where they are; a larger one is joined.
     """
     shared = _shared_vocabulary(vocab)
+    if shared is None:
+        return _joined(df, index, tokens, vocab.select("token", F.col("id").cast("int").alias("id")), "token", "id", F.lit(unknown), "ids")
 
     def converter() -> Callable[[pa.Array], pa.Array]:
         known, ids = shared.value
@@ -241,6 +262,9 @@ def token_ids(df: DataFrame, index: str, tokens: Column, vocab: DataFrame, unkno
 def tokens_of(ids: DataFrame, index: str, vocab: DataFrame) -> DataFrame:
     """``index, tokens``; an id that is not in the vocabulary is an error."""
     shared = _shared_vocabulary(vocab)
+    if shared is None:
+        wrong = F.raise_error(F.lit("no token has such an id")).cast("string")
+        return _joined(ids, index, F.col("ids"), vocab, "id", "token", wrong, "tokens")
 
     def converter() -> Callable[[pa.Array], pa.Array]:
         tokens, known = shared.value

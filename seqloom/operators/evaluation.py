@@ -21,6 +21,7 @@ from seqloom.functions.assignment import assign
 from seqloom.functions.sequences import similarity
 from seqloom.functions.text import ALWAYS_DROPPED, CV_QUALIFIERS, STORAGE_QUALIFIERS
 from seqloom.operators.corpus import ranged
+from seqloom.sources.workspace import spare
 
 
 @dataclass(frozen=True)
@@ -150,9 +151,10 @@ def measure(rows: DataFrame, src: Column, tgt: Column, hyp: Column, baseline: Co
         for s, t, h, b in batches:
             yield pd.DataFrame([measure_row(w or "", x or "", y or "", bool(z)) for w, x, y, z in zip(s, t, h, b, strict=True)], columns=names)
 
-    out = rows.withColumn("_m", column(src, tgt, hyp, baseline))
+    (m,) = spare(rows, "measured")
+    out = rows.withColumn(m, column(src, tgt, hyp, baseline))
     sentence = {"bleu4": bleu.sentence(F.col("counts"), 4), "bleu8": bleu.sentence(F.col("counts"), 8), "bleu4_no_var": bleu.sentence(F.col("counts_no_var"), 4)}
-    return out.select(*rows.columns, "_m.*").withColumns(sentence)
+    return out.select(*rows.columns, f"{m}.*").withColumns(sentence)
 
 
 @dataclass(frozen=True)

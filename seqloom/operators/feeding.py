@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import text
 from seqloom.operators.corpus import dense_index
+from seqloom.sources.workspace import spare
 
 
 def length_mode(df: DataFrame, src: str, tgt: str, mode: str = "discard", max_src: int = 1024, max_tgt: int = 1024, ratio: tuple[float, float] = (0.5, 3.0)) -> DataFrame:
@@ -57,12 +58,13 @@ def process(pairs: DataFrame, *, vocab: dict[str, int], end_id: int, unknown: in
 
 def collate(batched: DataFrame, *, start_id: int, end_id: int, batch: str = "batch_id") -> DataFrame:
     """Rows padded (with the end id) to their batch's width, with the decoder's input one to the right."""
-    width = batched.groupBy(batch).agg(F.max(F.size("src_ids")).alias("_s"), F.max(F.size("tgt_ids")).alias("_t"))
+    source, target = spare(batched, "source_width", "target_width")
+    width = batched.groupBy(batch).agg(F.max(F.size("src_ids")).alias(source), F.max(F.size("tgt_ids")).alias(target))
     wide = batched.where("src_ids IS NOT NULL AND tgt_ids IS NOT NULL").join(width, batch)
-    out = text.padded(F.col("tgt_ids"), F.col("_t"), end_id)
+    out = text.padded(F.col("tgt_ids"), F.col(target), end_id)
     return (
-        wide.withColumn("source_length", F.size("src_ids")).withColumn("target_length", F.size("tgt_ids")).withColumn("source", text.padded(F.col("src_ids"), F.col("_s"), end_id))
-        .withColumn("target_output", out).withColumn("target_input", text.shifted(out, start_id)).drop("_s", "_t")
+        wide.withColumn("source_length", F.size("src_ids")).withColumn("target_length", F.size("tgt_ids")).withColumn("source", text.padded(F.col("src_ids"), F.col(source), end_id))
+        .withColumn("target_output", out).withColumn("target_input", text.shifted(out, start_id)).drop(source, target)
     )
 
 

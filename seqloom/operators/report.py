@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import clang, formatting
 from seqloom.operators.evaluation import METRICS
+from seqloom.sources.workspace import spare
 
 
 def signature_section(code: Column, sig: Column) -> Column:
@@ -24,14 +25,15 @@ def example_rows(measured: DataFrame, baseline: str) -> DataFrame:
     strict, lenient = clang.signature_column(True), clang.signature_column(False)
     is_base = F.col("system") == baseline
     sig = F.when(is_base, strict(F.col("hyp"))).otherwise(lenient(F.col("hyp")))
-    rows = measured.withColumn("_sig", sig).withColumn("_code", F.when(is_base, F.col("src")).otherwise(F.col("hyp"))).withColumn("_pretty", clang.pretty(F.col("_code")))
+    found, code, pretty = spare(measured, "signature", "code", "pretty")
+    rows = measured.withColumn(found, sig).withColumn(code, F.when(is_base, F.col("src")).otherwise(F.col("hyp"))).withColumn(pretty, clang.pretty(F.col(code)))
     args = F.transform(
-        F.arrays_zip("_sig.args", "match_idx", "arg_names", "arg_types"),
+        F.arrays_zip(F.col(found)["args"].alias("args"), "match_idx", "arg_names", "arg_types"),
         lambda x: F.struct(F.array_join(x["args"]["type"], " ").alias("type"), x["args"]["name"].alias("name"), x["match_idx"].alias("match_idx"), x["arg_names"].alias("name_score"), x["arg_types"].alias("type_score")),
     )
     metrics = F.struct(*[F.col(m.key) if m.key in measured.columns else F.lit(0.0).alias(m.key) for m in METRICS])
     prediction = F.struct(
-        F.col("_pretty").alias("code"), F.col("_sig.name").alias("func_name"), F.array_join("_sig.ret_type.type", " ").alias("ret_type"), args.alias("args"), "missing_args", "missing_strings", "redundant_strings", metrics.alias("metrics"),
+        F.col(pretty).alias("code"), F.col(found)["name"].alias("func_name"), F.array_join(F.col(found)["ret_type"]["type"], " ").alias("ret_type"), args.alias("args"), "missing_args", "missing_strings", "redundant_strings", metrics.alias("metrics"),
     )
     grouped = rows.select("idx", "tgt", "repo", "sha", "var_names", F.struct("system", prediction.alias("p")).alias("e")).groupBy("idx").agg(
         F.first("tgt").alias("tgt"), F.first("repo").alias("repo"), F.first("sha").alias("sha"), F.first("var_names").alias("var_map"), F.map_from_entries(F.sort_array(F.collect_list("e"))).alias("predictions")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import text
+from seqloom.sources.workspace import spare
 
 MATCHED = "decompiled_tokens array<string>, original_tokens array<string>, variable_names map<string,array<string>>, binary_hash string"
 
@@ -118,6 +119,7 @@ def zipped(left: DataFrame, *others: DataFrame, on: str = "idx") -> DataFrame:
     """Lists of equal length side by side by position; lists of other lengths are an error when the result is read."""
     out = left
     for other in others:
-        missing = F.when(F.col("_l").isNull() | F.col("_r").isNull(), F.raise_error(F.lit("lists of different lengths")).cast("boolean")).otherwise(True)
-        out = out.withColumn("_l", F.lit(1)).join(other.withColumn("_r", F.lit(1)), on, "full").where(missing).drop("_l", "_r")
+        (mine,), (its,) = spare(out.join(other, on), "left"), spare(out.join(other, on), "right")
+        missing = F.when(F.col(mine).isNull() | F.col(its).isNull(), F.raise_error(F.lit("lists of different lengths")).cast("boolean")).otherwise(True)
+        out = out.withColumn(mine, F.lit(1)).join(other.withColumn(its, F.lit(1)), on, "full").where(missing).drop(mine, its)
     return out

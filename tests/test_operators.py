@@ -95,6 +95,19 @@ def test_vocabulary(spark):
         corpus.vocabulary(counts, 6, ("<a>", "<a>"))
 
 
+def test_vocabularies_of_any_size(spark, monkeypatch):
+    """Beyond a bound the vocabulary is joined: the same ids."""
+    vocab = corpus.vocabulary(spark.createDataFrame([("b", 5), ("a", 5)], "word string, count long"), 6)
+    df = spark.createDataFrame([(0, ["b", "c", "a", "b"], 1), (1, [], 2), (2, None, 3), (0, ["a", None], 4)] + [(k, ["b"] * 50, 5) for k in range(10, 20)], "i long, w array<string>, _row int")
+    want = sorted(map(str, corpus.token_ids(df, "i", F.col("w"), vocab).collect()))
+    monkeypatch.setattr(corpus, "VOCABULARY_ROWS", 3)
+    ids = corpus.token_ids(df.where("i <> 0 OR _row = 1"), "i", F.col("w"), vocab)
+    assert {r.i: r.tokens for r in corpus.tokens_of(ids, "i", vocab).collect()} == {0: ["b", "<unk>", "a", "b"], 1: [], 2: [], **{k: ["b"] * 50 for k in range(10, 20)}}
+    with pytest.raises(Exception):
+        corpus.tokens_of(spark.sql("SELECT 0L AS i, array(77) AS ids"), "i", vocab).collect()
+    assert sorted(map(str, corpus.token_ids(df, "i", F.col("w"), vocab).collect())) == want
+
+
 def test_sampling(spark):
     df = spark.range(500)
     got = [r.id for r in corpus.reservoir(df, 20, 1, "id").collect()]
