@@ -246,12 +246,14 @@ BAG = f"""{TOKEN_COUNTS}, bag AS (SELECT word, n, md5(concat('=', word, ':', {SE
   b AS (SELECT bucket, n, {NUMBER.format('bucket')} AS u, row_number() OVER (ORDER BY bucket) AS r FROM sums),
   bd AS (SELECT 0 AS r, '' AS bucket, 0 AS got, CAST(sum(n) AS BIGINT) AS rest, CAST(least(1000, sum(n)) AS BIGINT) AS draws FROM b
     UNION ALL SELECT r, bucket, got, rest - n, draws - got FROM (SELECT b.r, b.bucket, n, rest, draws, {drawn_sql('b.n', '(rest - b.n)', 'draws', 'b.u')} AS got FROM bd JOIN b ON b.r = bd.r + 1)),
-  w AS (SELECT dg[1:2] AS bucket, word, n, {NUMBER.format('dg')} AS u, row_number() OVER (PARTITION BY dg[1:2] ORDER BY dg) AS r FROM bag),
-  wd AS (SELECT bucket, 0 AS r, '' AS word, 0 AS got, sums.n AS rest, bd.got AS draws FROM bd JOIN sums USING (bucket)
-    UNION ALL SELECT bucket, r, word, got, rest - n, draws - got FROM (SELECT w.bucket, w.r, w.word, n, rest, draws, {drawn_sql('w.n', '(rest - w.n)', 'draws', 'w.u')} AS got FROM wd JOIN w ON w.bucket = wd.bucket AND w.r = wd.r + 1 WHERE draws > 0))"""
+  w AS (SELECT dg[1:2] AS bucket, list(struct_pack(word := word, n := n, u := {NUMBER.format('dg')}) ORDER BY dg) AS l FROM bag GROUP BY ALL),
+  wd AS (SELECT bucket, l, 0 AS r, '' AS word, 0 AS got, sums.n AS rest, bd.got AS draws FROM bd JOIN sums USING (bucket) JOIN w USING (bucket)
+    UNION ALL SELECT bucket, l, r, word, got, rest - n, draws - got FROM (SELECT bucket, l, r, word, n, rest, draws, {drawn_sql('n', '(rest - n)', 'draws', 'u')} AS got
+      FROM (SELECT bucket, l, r + 1 AS r, l[r + 1].word AS word, l[r + 1].n AS n, l[r + 1].u AS u, rest, draws FROM wd WHERE draws > 0 AND r < len(l)))),
+  drawn AS (SELECT word, got FROM wd)"""
 
 
-@query(f"WITH RECURSIVE {BAG} SELECT word, CAST(got AS BIGINT) AS n FROM wd WHERE got > 0")
+@query(f"WITH RECURSIVE {BAG} SELECT word, CAST(got AS BIGINT) AS n FROM drawn WHERE got > 0")
 def weighted_tokens(spark, sf_dir):
     """A thousand words drawn by their counts (the size of the sample is the feature)."""
     drawn = drawing.draw(corpus.word_counts(table(spark, sf_dir, "documents"), words("text")), 1000, SEED)
