@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -247,23 +248,23 @@ def merged(runs: DataFrame, ranges: int) -> DataFrame:
 
     ``capture`` numbers the captures of a range; together with ``range`` it is the global order.
     """
-    schema = pa.schema([("range", pa.int32()), ("capture", pa.int64()), *[f for f in RUN if f.name != "seq"]])
+    wanted = [f.name for f in RUN if f.name != "seq"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        slices: dict[str, list[tuple]] = {}
-        for b in batches:  # rows come by run, each run's in its own order
-            for row in b.to_pylist():
-                slices.setdefault(row["run"], []).append((order_key(row), row))
-        here, out = TaskContext.get().partitionId(), []
-        for i, row in enumerate(LoserTree([iter(s) for s in slices.values()])):
-            out.append(row | {"range": here, "capture": i})
-            if len(out) >= 8192:
-                yield pa.RecordBatch.from_pylist(out, schema)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema)
+        table = pa.Table.from_batches(list(batches), RUN).select(wanted)  # RANGE_ROWS or so, by run, each run's in its own order
+        if not table.num_rows:
+            return
+        keys = [(u, t, p is not None, p or 0) for u, t, p in zip(*(table.column(c).to_pylist() for c in ("url_key", "captured_at", "page_id")), strict=True)]
+        of = table.column("run").combine_chunks().dictionary_encode().indices.to_numpy()
+        cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+        order = np.fromiter(LoserTree([iter(zip(keys[a:b], range(a, b), strict=True)) for a, b in zip(cuts, cuts[1:], strict=False)]), np.int64, len(of))
+        here = TaskContext.get().partitionId()
+        for at in range(0, len(order), 8192):
+            rows = table.take(pa.array(order[at : at + 8192])).combine_chunks()
+            number = np.arange(at, at + rows.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(number), here, np.int32)), pa.array(number), *(c.combine_chunks() for c in rows.columns)], names=["range", "capture", *wanted])
 
     dealt = runs.repartitionByRange(ranges, "url_key", "captured_at", "page_id").sortWithinPartitions("run", "seq")
     return dealt.mapInArrow(run, "range int, capture long, " + ", ".join(x for x in RUN_DDL.split(", ") if not x.startswith("seq ")))
