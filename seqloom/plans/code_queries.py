@@ -10,7 +10,7 @@ from seqloom.operators import corpus, evaluation, report
 from seqloom.plans.corpus_queries import PAIRS, table
 from seqloom.plans.evaluation_queries import bleu_sql, score_sql
 from seqloom.sources import readers, sinks
-from seqloom.sources.workspace import scratch
+from seqloom.sources.workspace import dealt, scratch
 
 Q: dict = {}
 S: dict[str, str] = {}
@@ -56,7 +56,7 @@ def query(sql: str):
 
 def _rows(spark, sf_dir):
     """``idx, system, src, tgt, hyp, var_names, repo, sha, overlap_score``."""
-    parts = table(spark, sf_dir, "part")
+    parts = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size"))
     code = lambda i: F.expr(case([form[i] for form in FORMS]))
     rows = parts.select(F.col("p_partkey").alias("idx"), "p_partkey", "p_size", code(1).alias("src"), code(0).alias("tgt"), code(2).alias("swapped"))
     cut = F.concat(F.lit("int f"), F.col("idx").cast("string"), F.lit(" ("))
@@ -89,9 +89,7 @@ def lateral_tokens(spark, sf_dir):
     """Tokens of targets by a table function in SQL, beside those of the same code with a name unknown."""
     table_functions.register(spark)
     _rows(spark, sf_dir).where("system = 'same'").select("idx", "tgt").createOrReplaceTempView("seqloom_code")
-    return spark.sql(
-        """SELECT c.idx, t.place, t.type, t.value, u.value AS masked FROM seqloom_code c, LATERAL lex(c.tgt) t, LATERAL lex(replace(c.tgt, 'count', '<unk>')) u WHERE t.place = u.place"""
-    )
+    return spark.sql("SELECT c.idx, t.place, t.type, t.value, t.other_value AS masked FROM seqloom_code c, LATERAL lex_both(c.tgt, replace(c.tgt, 'count', '<unk>')) t")
 
 
 @query(

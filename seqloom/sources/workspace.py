@@ -33,6 +33,12 @@ def pinned(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """``df`` dealt evenly over tasks of about so many rows, and over every core: for work that is dear by the row. Spark cuts files by their
+    bytes, so a million short rows would be one task's."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)))
+
+
 def spare(df: DataFrame, *names: str) -> tuple[str, ...]:
     """The names, with as many underscores in front as keep them apart from the columns of ``df``."""
     taken = {c.lower() for c in df.columns}
