@@ -15,16 +15,35 @@ COUNTS = T.StructType(
 )
 
 
-def counts(ref: Sequence[str], hyp: Sequence[str], order: int) -> tuple[list[int], list[int], int, int]:
+class Grams:
+    """A text's tokens; its n-grams are counted when they are first asked for, once for all texts that it is held against."""
+
+    def __init__(self, tokens: Sequence[str]):
+        self.tokens, self.counted = list(tokens), []
+
+    def of(self, n: int) -> Counter:
+        while len(self.counted) < n:
+            self.counted.append(Counter(zip(*(self.tokens[i:] for i in range(len(self.counted) + 1)), strict=False)))
+        return self.counted[n - 1]
+
+
+def counts_of(ref: Grams, hyp: Grams, order: int) -> tuple[list[int], list[int], int, int]:
     """Clipped matches and possible n-grams for n = 1 to ``order``, and both lengths."""
-    ref, hyp = tuple(ref), tuple(hyp)
-    matches, possible = [], []
+    size = len(hyp.tokens)
+    possible = [max(size - n + 1, 0) for n in range(1, order + 1)]
+    if ref.tokens == hyp.tokens:
+        return list(possible), possible, size, size
+    matches = [0] * order
     for n in range(1, order + 1):
-        left = Counter(ref[i : i + n] for i in range(len(ref) - n + 1))
-        right = Counter(hyp[i : i + n] for i in range(len(hyp) - n + 1))
-        matches.append(sum(min(c, left[g]) for g, c in right.items() if g in left))
-        possible.append(max(len(hyp) - n + 1, 0))
-    return matches, possible, len(hyp), len(ref)
+        left, right = ref.of(n), hyp.of(n)
+        matches[n - 1] = sum(min(left[g], right[g]) for g in left.keys() & right.keys())
+        if not matches[n - 1]:  # a longer match would hold a shorter one
+            break
+    return matches, possible, size, len(ref.tokens)
+
+
+def counts(ref: Sequence[str], hyp: Sequence[str], order: int) -> tuple[list[int], list[int], int, int]:
+    return counts_of(Grams(ref), Grams(hyp), order)
 
 
 def count_column(order: int):

@@ -12,9 +12,11 @@ from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from seqloom.functions import bleu, clang
 from seqloom.functions.assignment import assign
@@ -123,33 +125,57 @@ def measured(src: clang.Signature, tgt: clang.Signature, hyp: clang.Signature, t
     }
 
 
+@dataclass(frozen=True)
+class Code:
+    """What a text of code holds: its tokens, those with identifiers all alike, and its string literals; n-grams are counted once."""
+
+    tokens: bleu.Grams
+    nameless: bleu.Grams
+    strings: set[str]
+
+
+#: Texts that a task remembers: the rows of an example come side by side, with the same source and target.
+REMEMBERED = 8
+
+
+@lru_cache(maxsize=REMEMBERED)
+def _code(text: str) -> Code:
+    lexed = clang.lex(text)
+    return Code(bleu.Grams([v for _, v in lexed]), bleu.Grams(["_VAR_" if t == "ID" else v for t, v in lexed]), {v for t, v in lexed if t in ("STRING_LITERAL", "WSTRING_LITERAL")})
+
+
+@lru_cache(maxsize=REMEMBERED)
+def _signature(text: str, strict: bool) -> tuple[clang.Signature, bool]:
+    return clang.parsed(_code(text).tokens.tokens, strict)
+
+
+@lru_cache(maxsize=REMEMBERED)
+def _to_source(src: clang.Signature, tgt: clang.Signature) -> list[int | None]:
+    return matched(src, tgt)[1]
+
+
 def measure_row(src: str, tgt: str, hyp: str, baseline: bool) -> dict:
     """All metrics of one hypothesis. ``src`` has its variables replaced; the baseline's hypothesis is that source itself."""
-    src_sig, _ = clang.parsed(clang.values(src))
-    lexed_tgt, lexed_hyp = clang.lex(tgt), clang.lex(hyp)
-    tgt_tokens, hyp_tokens = [v for _, v in lexed_tgt], [v for _, v in lexed_hyp]
-    tgt_sig, _ = clang.parsed(tgt_tokens)
-    hyp_sig, ok = clang.parsed(hyp_tokens, strict=baseline)
-    _, tgt_to_src = matched(src_sig, tgt_sig)
-    strings = lambda x: {v for t, v in x if t in ("STRING_LITERAL", "WSTRING_LITERAL")}
-    nameless = lambda x: ["_VAR_" if t == "ID" else v for t, v in x]
-    want, have = strings(lexed_tgt), strings(lexed_hyp)
-    counts = lambda a, b, n: dict(zip(("matches", "possible", "hyp_len", "ref_len"), bleu.counts(a, b, n), strict=True))
-    return measured(src_sig, tgt_sig, hyp_sig, tgt_to_src) | {
-        "exact_match": portion(tgt_tokens == hyp_tokens, 1), "unparsable": portion(not ok, 1), "str_missing": portion(len(want - have), len(want)), "str_redundant": len(have - want),
-        "counts": counts(tgt_tokens, hyp_tokens, 8), "counts_no_var": counts(nameless(lexed_tgt), nameless(lexed_hyp), 4),
+    src_sig, tgt_sig, (hyp_sig, ok) = _signature(src, True)[0], _signature(tgt, True)[0], _signature(hyp, baseline)
+    of_tgt, of_hyp = _code(tgt), _code(hyp)
+    want, have = of_tgt.strings, of_hyp.strings
+    counts = lambda a, b, n: dict(zip(("matches", "possible", "hyp_len", "ref_len"), bleu.counts_of(a, b, n), strict=True))
+    return measured(src_sig, tgt_sig, hyp_sig, _to_source(src_sig, tgt_sig)) | {
+        "exact_match": portion(of_tgt.tokens.tokens == of_hyp.tokens.tokens, 1), "unparsable": portion(not ok, 1), "str_missing": portion(len(want - have), len(want)), "str_redundant": len(have - want),
+        "counts": counts(of_tgt.tokens, of_hyp.tokens, 8), "counts_no_var": counts(of_tgt.nameless, of_hyp.nameless, 4),
         "missing_strings": sorted(want - have), "redundant_strings": sorted(have - want),
     }
 
 
 def measure(rows: DataFrame, src: Column, tgt: Column, hyp: Column, baseline: Column) -> DataFrame:
     """``rows`` with the metric columns of each hypothesis (null texts count as empty)."""
-    names = [x.split(" ", 1)[0] for x in ROW_DDL.split(", ")]
+    kind = pa.struct(list(to_arrow_schema(T.StructType.fromDDL(ROW_DDL))))
 
-    @F.pandas_udf(f"struct<{', '.join(x.replace(' ', ':', 1) for x in ROW_DDL.split(', '))}>")
-    def column(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for s, t, h, b in batches:
-            yield pd.DataFrame([measure_row(w or "", x or "", y or "", bool(z)) for w, x, y, z in zip(s, t, h, b, strict=True)], columns=names)
+    @F.arrow_udf(f"struct<{', '.join(x.replace(' ', ':', 1) for x in ROW_DDL.split(', '))}>")
+    def column(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            s, t, h, b = (c.to_pylist() for c in batch)
+            yield pa.array([measure_row(w or "", x or "", y or "", bool(z)) for w, x, y, z in zip(s, t, h, b, strict=True)], kind)
 
     (m,) = spare(rows, "measured")
     out = rows.withColumn(m, column(src, tgt, hyp, baseline))

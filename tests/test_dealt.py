@@ -1,6 +1,10 @@
 """Work that is dear by the row is spread over tasks and done once."""
 
-from seqloom.functions import table_functions
+import random
+from collections import Counter
+
+from seqloom.functions import bleu, clang, table_functions
+from seqloom.operators import evaluation
 from seqloom.plans import code_queries
 from seqloom.sources import workspace
 
@@ -30,3 +34,26 @@ def test_lateral_tokens_reads_each_code_once(spark):
     assert sorted(tuple(r) for r in got) == [
         (1, 0, "ID", "a", "ID", "b"), (1, 0, "INT", "int", "INT", "int"), (1, 1, "ID", "f", "ID", "__unk__"), (1, 2, "SYMBOL", "(", "SYMBOL", "("), (1, 3, "ID", "x", "ID", "x"),
     ]
+
+
+def test_an_example_is_read_once_for_all_systems(monkeypatch):
+    read, counted = [], []
+    lex, counter = clang.lex, bleu.Counter
+    monkeypatch.setattr(clang, "lex", lambda code: read.append(code) or lex(code))
+    monkeypatch.setattr(bleu, "Counter", lambda x=(): counted.append(1) or counter(x))
+    src, tgt = "int once ( int v1 ) { return v1 ; }", "int once ( char * a ) { return a ; }"
+    for hyp in (tgt, "int once ( char * b ) { return b ; }", "int once ("):
+        evaluation.measure_row(src, tgt, hyp, False)
+    assert sorted(read) == sorted({src, tgt, "int once ( char * b ) { return b ; }", "int once ("})
+    assert len(counted) <= 8 + 8 + 4 + 4 + 4 + 4  # the target's n-grams once; equal tokens aren't counted
+
+
+def test_counts_of_ngrams_by_the_definition():
+    rng = random.Random(7)
+    for _ in range(300):
+        ref, hyp = ([rng.choice("abc") for _ in range(rng.randint(0, 8))] for _ in range(2))
+        want = []
+        for n in range(1, 6):
+            left, right = (Counter(tuple(x[i : i + n]) for i in range(len(x) - n + 1)) for x in (ref, hyp))
+            want.append((sum((left & right).values()), sum(right.values())))
+        assert bleu.counts(ref, hyp, 5) == ([m for m, _ in want], [p for _, p in want], len(hyp), len(ref))
