@@ -10,9 +10,9 @@ from seqloom.operators.evaluation import METRICS
 from seqloom.sources.workspace import spare
 
 
-def signature_section(code: Column, sig: Column) -> Column:
+def signature_section(pretty: Column, sig: Column) -> Column:
     return F.struct(
-        clang.pretty(code).alias("code"), sig["name"].alias("func_name"), F.array_join(sig["ret_type"]["type"], " ").alias("ret_type"),
+        pretty.alias("code"), sig["name"].alias("func_name"), F.array_join(sig["ret_type"]["type"], " ").alias("ret_type"),
         F.transform(sig["args"], lambda a: F.struct(F.array_join(a["type"], " ").alias("type"), a["name"].alias("name"))).alias("args"),
     )
 
@@ -22,11 +22,10 @@ def example_rows(measured: DataFrame, baseline: str) -> DataFrame:
 
     Expects ``idx, system, src, tgt, hyp, var_names, repo, sha`` beside the metric columns. The baseline shows its raw source.
     """
-    strict, lenient = clang.signature_column(True), clang.signature_column(False)
-    is_base = F.col("system") == baseline
-    sig = F.when(is_base, strict(F.col("hyp"))).otherwise(lenient(F.col("hyp")))
-    found, code, pretty = spare(measured, "signature", "code", "pretty")
-    rows = measured.withColumn(found, sig).withColumn(code, F.when(is_base, F.col("src")).otherwise(F.col("hyp"))).withColumn(pretty, clang.pretty(F.col(code)))
+    shown, is_base = clang.shown_column(), F.col("system") == baseline
+    found, pretty = spare(measured, "signature", "pretty")
+    told = shown(F.col("hyp"), F.when(is_base, F.col("src")).otherwise(F.col("hyp")), is_base)
+    rows = measured.withColumn(pretty, told).withColumn(found, F.col(pretty)["signature"]).withColumn(pretty, F.col(pretty)["code"])
     args = F.transform(
         F.arrays_zip(F.col(found)["args"].alias("args"), "match_idx", "arg_names", "arg_types"),
         lambda x: F.struct(F.array_join(x["args"]["type"], " ").alias("type"), x["args"]["name"].alias("name"), x["match_idx"].alias("match_idx"), x["arg_names"].alias("name_score"), x["arg_types"].alias("type_score")),
@@ -38,8 +37,8 @@ def example_rows(measured: DataFrame, baseline: str) -> DataFrame:
     grouped = rows.select("idx", "tgt", "repo", "sha", "var_names", F.struct("system", prediction.alias("p")).alias("e")).groupBy("idx").agg(
         F.first("tgt").alias("tgt"), F.first("repo").alias("repo"), F.first("sha").alias("sha"), F.first("var_names").alias("var_map"), F.map_from_entries(F.sort_array(F.collect_list("e"))).alias("predictions")
     )
-    target = grouped.withColumn("_sig", strict(F.col("tgt")))
-    return target.select(F.col("idx").alias("index"), F.struct("repo", "sha").alias("meta_data"), "var_map", signature_section(F.col("tgt"), F.col("_sig")).alias("target"), "predictions")
+    target = grouped.withColumn("_shown", shown(F.col("tgt"), F.col("tgt"), F.lit(True)))
+    return target.select(F.col("idx").alias("index"), F.struct("repo", "sha").alias("meta_data"), "var_map", signature_section(F.col("_shown.code"), F.col("_shown.signature")).alias("target"), "predictions")
 
 
 def document(examples: DataFrame, systems: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from seqloom.operators import corpus, evaluation, report
 from seqloom.plans.corpus_queries import PAIRS, table
 from seqloom.plans.evaluation_queries import bleu_sql, score_sql
 from seqloom.sources import readers, sinks
-from seqloom.sources.workspace import dealt, scratch
+from seqloom.sources.workspace import dealt, pinned, scratch
 
 Q: dict = {}
 S: dict[str, str] = {}
@@ -203,7 +203,7 @@ def signature_summary(spark, sf_dir):
 )
 def report_json(spark, sf_dir):
     """The report as gzip members of one JSON document, written and read back by example."""
-    path, measured = scratch(spark, "report"), _measured(spark, sf_dir)
+    path, measured = scratch(spark, "report"), pinned(_measured(spark, sf_dir), "measured")
     systems = evaluation.summarise(measured, ["system"]).withColumnRenamed("system", "key")
     examples = report.example_rows(measured, "decompiled")
     sinks.write_report(report.document(examples, systems), path)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import text
 from seqloom.functions.sequences import coloured
+from seqloom.sources.workspace import pinned
 
 
 def write_blocks(df: DataFrame, path: str, rows: int = 10_000) -> None:
@@ -59,10 +60,11 @@ def training_lines(df: DataFrame, src: Column, tgt: Column, names: Column) -> Da
 
 def write_report(document: DataFrame, path: str, members: int | None = None) -> None:
     """A report's lines (``ordinal, line``) as gzip members: each task writes those of its range, and names order the ranges, so the
-    members one after another are one valid gzip file of one JSON document. No task holds more than a range.
+    members one after another are one valid gzip file of one JSON document. No task holds more than a range. Lines are made once:
+    dealing by range reads its input twice.
     """
     width = members or int(document.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = document.select("ordinal", "line").repartitionByRange(width, "ordinal").sortWithinPartitions("ordinal")
+    ordered = pinned(document.select("ordinal", "line"), "lines").repartitionByRange(width, "ordinal").sortWithinPartitions("ordinal")
     ordered.select(F.col("line").alias("value")).write.option("compression", "gzip").text(path)
 
 

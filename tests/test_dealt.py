@@ -3,10 +3,13 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from seqloom.functions import bleu, clang, table_functions
 from seqloom.operators import evaluation
 from seqloom.plans import code_queries
-from seqloom.sources import workspace
+from seqloom.sources import sinks, workspace
+from tests.code_examples import report_examples
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +60,25 @@ def test_counts_of_ngrams_by_the_definition():
             left, right = (Counter(tuple(x[i : i + n]) for i in range(len(x) - n + 1)) for x in (ref, hyp))
             want.append((sum((left & right).values()), sum(right.values())))
         assert bleu.counts(ref, hyp, 5) == ([m for m, _ in want], [p for _, p in want], len(hyp), len(ref))
+
+
+def test_a_report_is_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def line(i):
+        made.add(1)
+        return str(i)
+
+    document = spark.range(500).select(F.col("id").alias("ordinal"), line("id").alias("line"))
+    sinks.write_report(document, f"{tmp_path}/r", 4)
+    assert made.value == 500 and spark.read.text(f"{tmp_path}/r").count() == 500
+
+
+def test_shown_code_is_lexed_once(spark):
+    assert plan(report_examples(spark)).count("pretty(") == 0
+    row = spark.sql("SELECT 'int f ( int a ) { return a ; }' AS c, 'int f (' AS cut, CAST(NULL AS string) AS none")
+    shown = clang.shown_column()
+    r = row.select(shown("c", "c", F.lit(True)).alias("a"), shown("cut", "none", F.lit(False)).alias("b"), shown("none", "c", F.lit(True)).alias("d")).first()
+    assert r.a.signature.name == "f" and r.a.signature.parsable and r.a.code == "int f(int a) {\n  return a;\n}"
+    assert not r.b.signature.parsable and r.b.code is None and not r.d.signature.parsable and r.d.code == r.a.code
