@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import bleu, sequences
 from seqloom.operators import compare, evaluation, running
 from seqloom.plans.corpus_queries import PAIRS, SPACE, WORDS, conversation_pairs, table, words
+from seqloom.sources.workspace import dealt
 
 Q: dict = {}
 S: dict[str, str] = {}
@@ -129,21 +130,25 @@ def distance_sql(insert: float, remove: float, replace: float, swap: float) -> s
     return table_sql(source, "list_transform(range(0, len(b) + 1), lambda j: CAST(j AS DOUBLE))", cells, carried)
 
 
+def _named_parts(spark, sf_dir):
+    return dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"))
+
+
 @query(f"WITH RECURSIVE {distance_sql(1, 1, 1, 1)} SELECT k AS p_partkey, round(CASE WHEN a = b THEN 1.0 ELSE 1 - row[len(b) + 1] / greatest(len(a), len(b), 1) END, 9) AS similarity FROM d WHERE i = len(a)")
 def osa_similarity(spark, sf_dir):
     """Parts' names against their types, adjacent transpositions counting once."""
-    parts = table(spark, sf_dir, "part")
+    parts = _named_parts(spark, sf_dir)
     return parts.select("p_partkey", F.round(sequences.string_similarity("p_name", "p_type"), 9).alias("similarity"))
 
 
 @query("SELECT p_partkey, CAST(levenshtein(p_name, p_type) AS DOUBLE) AS distance FROM part")
 def edit_distance(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", sequences.edit_distance_column()("p_name", "p_type").alias("distance"))
+    return _named_parts(spark, sf_dir).select("p_partkey", sequences.edit_distance_column()("p_name", "p_type").alias("distance"))
 
 
 @query(f"WITH RECURSIVE {distance_sql(2.0, 1.5, 2.5, 0.5)} SELECT k AS p_partkey, row[len(b) + 1] AS distance FROM d WHERE i = len(a)")
 def edit_distance_costs(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", sequences.edit_distance_column(insert=2.0, remove=1.5, replace=2.5, swap=0.5)("p_name", "p_type").alias("distance"))
+    return _named_parts(spark, sf_dir).select("p_partkey", sequences.edit_distance_column(insert=2.0, remove=1.5, replace=2.5, swap=0.5)("p_name", "p_type").alias("distance"))
 
 
 COMMON_CELLS = (

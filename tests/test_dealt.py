@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import bleu, clang, table_functions
 from seqloom.operators import evaluation
-from seqloom.plans import code_queries
+from seqloom.plans import code_queries, evaluation_queries
 from seqloom.sources import sinks, workspace
 from tests.code_examples import report_examples
 
@@ -82,3 +82,12 @@ def test_shown_code_is_lexed_once(spark):
     r = row.select(shown("c", "c", F.lit(True)).alias("a"), shown("cut", "none", F.lit(False)).alias("b"), shown("none", "c", F.lit(True)).alias("d")).first()
     assert r.a.signature.name == "f" and r.a.signature.parsable and r.a.code == "int f(int a) {\n  return a;\n}"
     assert not r.b.signature.parsable and r.b.code is None and not r.d.signature.parsable and r.d.code == r.a.code
+
+
+def test_parts_of_edit_distances_are_dealt(spark):
+    for name in ("edit_distance_costs", "edit_distance", "osa_similarity"):
+        assert evaluation_queries.Q[name](spark, SF).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_signatures_are_parsed_by_all_tasks(spark):
+    assert code_queries.func_signature(spark, SF).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
