@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from seqloom.functions.slices import row_by_row
 
 COUNTS = T.StructType(
     [T.StructField("matches", T.ArrayType(T.LongType())), T.StructField("possible", T.ArrayType(T.LongType())), T.StructField("hyp_len", T.LongType()), T.StructField("ref_len", T.LongType())]
@@ -49,10 +52,14 @@ def counts(ref: Sequence[str], hyp: Sequence[str], order: int) -> tuple[list[int
 def count_column(order: int):
     """An Arrow function from reference and hypothesis token arrays to additive counts (null arrays count as empty)."""
 
-    @F.pandas_udf(COUNTS)
-    def column(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-        rows = [counts([] if r is None else r, [] if h is None else h, order) for r, h in zip(ref, hyp, strict=True)]
-        return pd.DataFrame(rows, columns=["matches", "possible", "hyp_len", "ref_len"])
+    kind = pa.struct(list(to_arrow_schema(COUNTS)))
+
+    def row(ref: list[str] | None, hyp: list[str] | None) -> dict:
+        return dict(zip(COUNTS.names, counts(ref or [], hyp or [], order), strict=True))
+
+    @F.arrow_udf(COUNTS)
+    def column(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+        return row_by_row(row, kind, ref, hyp)
 
     return column
 

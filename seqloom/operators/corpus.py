@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.functions.slices import by_elements
 from seqloom.sources.workspace import pinned, spare
 
 SPECIALS = ("<pad>", "<unk>", "<s>", "</s>")
@@ -201,7 +202,7 @@ def _mapped(df: DataFrame, index: str, lists: Column, converter: Callable[[], Ca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         convert = converter()
-        for b in batches:
+        for b in (part for whole in batches for part in by_elements(whole)):
             yield pa.RecordBatch.from_arrays([b.column(0), _lists(b.column(1), convert(b.column(1).flatten()))], names=[index, name])
 
     return df.select(index, lists.alias(f"{index}_lists")).mapInArrow(run, f"`{index}` {df.schema[index].dataType.simpleString()}, {name} array<{kind}>")

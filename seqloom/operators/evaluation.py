@@ -21,6 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from seqloom.functions import bleu, clang
 from seqloom.functions.assignment import assign
 from seqloom.functions.sequences import similarity
+from seqloom.functions.slices import row_by_row
 from seqloom.functions.text import ALWAYS_DROPPED, CV_QUALIFIERS, STORAGE_QUALIFIERS
 from seqloom.operators.corpus import ranged
 from seqloom.sources.workspace import spare
@@ -174,8 +175,7 @@ def measure(rows: DataFrame, src: Column, tgt: Column, hyp: Column, baseline: Co
     @F.arrow_udf(f"struct<{', '.join(x.replace(' ', ':', 1) for x in ROW_DDL.split(', '))}>")
     def column(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for batch in batches:
-            s, t, h, b = (c.to_pylist() for c in batch)
-            yield pa.array([measure_row(w or "", x or "", y or "", bool(z)) for w, x, y, z in zip(s, t, h, b, strict=True)], kind)
+            yield row_by_row(lambda s, t, h, b: measure_row(s or "", t or "", h or "", bool(b)), kind, *batch)
 
     (m,) = spare(rows, "measured")
     out = rows.withColumn(m, column(src, tgt, hyp, baseline))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from sys import intern
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.functions.slices import by_elements
 from seqloom.operators.corpus import VOCABULARY_ROWS
 
 #: Before each word, so that pieces tell where words begin.
@@ -64,7 +66,7 @@ class Trie:
                 best[i + 1], start[i + 1] = here + self.unknown, i
         out, j = [], n
         while j:
-            out.append(word[start[j] : j])
+            out.append(intern(word[start[j] : j]))  # one object a piece, however many words are remembered
             j = start[j]
         return out[::-1]
 
@@ -94,7 +96,7 @@ def cut_words(df: DataFrame, index: str, tokens: Column, vocab: DataFrame) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, known = Trie(shared.value), {}
-        for b in batches:
+        for b in (part for whole in batches for part in by_elements(whole)):
             lists = b.column(1)
             coded = pc.fill_null(lists.flatten(), "").dictionary_encode()
             cut = []
