@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -212,8 +213,16 @@ def train(docs: DataFrame, labels: DataFrame, *, bits: int = 18, per_class: int
     one = met.groupBy("doc_id", "toxic").agg(F.min_by("text", F.md5(F.coalesce("text", F.lit("")))).alias("text"))
     sample = one.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, columns array<int>")
     got = sample.toArrow().sort_by([("doc_id", "ascending")])
-    y = got.column("toxic").to_numpy().astype(np.float64)
-    return fit([np.asarray(x, np.int32) for x in got.column("columns").to_pylist()], y, bits=bits, **options)
+    y, rows = got.column("toxic").to_numpy().astype(np.float64), arrays_of(got.column("columns"))
+    del got
+    pa.default_memory_pool().release_unused()
+    return fit(rows, y, bits=bits, **options)
+
+
+def arrays_of(lists: pa.ChunkedArray) -> list[np.ndarray]:
+    """Lists of numbers as parts of one array: the driver makes no object of each number, which would stay in its memory."""
+    stops = np.cumsum(pc.list_value_length(lists).to_numpy())
+    return np.split(pc.list_flatten(lists).to_numpy(), stops)[: len(stops)]
 
 
 def shared_machine(spark: SparkSession, machine: Machine):

@@ -106,3 +106,14 @@ def test_edge_rows(spark):
     rows = t.score(docs, m).collect()
     assert len(rows) == 6 and all(r.score == 0 and r.predicted == 0 for r in rows)
     assert t.score(docs.limit(0), m).count() == 0
+
+
+def test_lists_are_parts_of_one_array():
+    """The driver holds a sample's terms as numbers, not as an object each."""
+    import pyarrow as pa
+
+    kind = pa.list_(pa.int32())
+    lists = pa.chunked_array([pa.array([[3, 1], []], kind), pa.array([[], [7]], kind)])
+    got = t.arrays_of(lists)
+    assert [x.tolist() for x in got] == lists.to_pylist() and len({id(x.base) for x in got}) == 1 and got[0].dtype == np.int32
+    assert t.arrays_of(pa.chunked_array([pa.array([], kind)])) == []
