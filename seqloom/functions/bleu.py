@@ -39,7 +39,8 @@ def counts_of(ref: Grams, hyp: Grams, order: int) -> tuple[list[int], list[int],
     matches = [0] * order
     for n in range(1, order + 1):
         left, right = ref.of(n), hyp.of(n)
-        matches[n - 1] = sum(min(left[g], right[g]) for g in left.keys() & right.keys())
+        both = left.keys() & right.keys()
+        matches[n - 1] = sum(map(min, map(left.get, both), map(right.get, both)))
         if not matches[n - 1]:  # a longer match would hold a shorter one
             break
     return matches, possible, size, len(ref.tokens)

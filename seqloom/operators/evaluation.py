@@ -69,16 +69,22 @@ ROW_DDL = ", ".join(
 )
 
 
+DROPPED = {strict: frozenset((*ALWAYS_DROPPED, *STORAGE_QUALIFIERS, *(() if strict else CV_QUALIFIERS))) for strict in (True, False)}
+
+
 def compared_type(d: clang.Declared, strict: bool) -> str:
-    dropped = {*ALWAYS_DROPPED, *STORAGE_QUALIFIERS, *(() if strict else CV_QUALIFIERS)}
-    return " ".join(t for t in d.type if t not in dropped)
+    return " ".join([t for t in d.type if t not in DROPPED[strict]])
 
 
 @lru_cache(maxsize=100_000)
-def _alike(a: str, b: str) -> float:
+def _likeness(a: str, b: str) -> float:
     return similarity(a, b)
 
 
+def _alike(a: str, b: str) -> float:
+    return 1.0 if a == b else _likeness(a, b)
+
+
 def confidence(a: clang.Declared, i: int, b: clang.Declared, j: int) -> float:
     """How alike two arguments are: names more than types, less for a different place."""
     return 0.3 * _alike(" ".join(a.type), " ".join(b.type)) + 0.7 * _alike(a.name, b.name) - 0.05 * abs(i - j)
@@ -109,23 +115,35 @@ def likeness(want: clang.Declared | None, have: clang.Declared) -> dict[str, flo
     return {"name": _alike(want.name, have.name), "type": by_type(False), "strict": by_type(True)}
 
 
-def measured(src: clang.Signature, tgt: clang.Signature, hyp: clang.Signature, tgt_to_src: list[int | None]) -> dict:
-    """Signature metrics of one hypothesis, from its arguments beside the targets' that they were matched to."""
+def paired(src: clang.Signature, tgt: clang.Signature, hyp: clang.Signature, tgt_to_src: list[int | None]) -> dict:
+    """What follows from which target's argument each of a hypothesis stands for."""
     hyp_to_tgt, tgt_to_hyp = matched(hyp, tgt)
-    args = [likeness(None if t is None else tgt.args[t], h) for h, t in zip(hyp.args, hyp_to_tgt, strict=True)]
-    whole = likeness(tgt.returns, hyp.returns)
     in_all_three = {tgt.args[t].name: (src.args[tgt_to_src[t]], tgt.args[t], h) for h, t in zip(hyp.args, hyp_to_tgt, strict=True) if t is not None and tgt_to_src[t] is not None}
     missing = [j for j, i in enumerate(tgt_to_hyp) if i is None]
+    return {
+        "arg_missing": portion(len(missing), len(tgt.args)), "arg_redundant": hyp_to_tgt.count(None), "pointer_conversion": pointer_counts([(src.returns, tgt.returns, hyp.returns), *in_all_three.values()]),
+        "match_idx": hyp_to_tgt, "missing_args": missing,
+    }
+
+
+def agreeing(tgt: clang.Signature, hyp: clang.Signature, hyp_to_tgt: list[int | None]) -> dict:
+    """How far a hypothesis agrees with its target, argument by argument and in its name and return type."""
+    args = [likeness(None if t is None else tgt.args[t], h) for h, t in zip(hyp.args, hyp_to_tgt, strict=True)]
+    whole = likeness(tgt.returns, hyp.returns)
     each = lambda what: [a[what] for a in args]
     of_args = lambda correct: portion(correct, len(tgt.args))
     return {
         "func_name": portion(whole["name"], 1), "ret_type": portion(whole["type"], 1), "ret_type_strict": portion(whole["strict"], 1),
-        "arg_name": of_args(sum(each("name"))), "arg_type": of_args(sum(each("type"))), "arg_type_strict": of_args(sum(each("strict"))),
-        "arg_missing": of_args(len(missing)), "arg_redundant": hyp_to_tgt.count(None), "pointer_conversion": pointer_counts([(src.returns, tgt.returns, hyp.returns), *in_all_three.values()]),
-        "match_idx": hyp_to_tgt, "arg_names": each("name"), "arg_types": each("type"), "missing_args": missing,
+        "arg_name": of_args(sum(each("name"))), "arg_type": of_args(sum(each("type"))), "arg_type_strict": of_args(sum(each("strict"))), "arg_names": each("name"), "arg_types": each("type"),
     }
 
 
+def measured(src: clang.Signature, tgt: clang.Signature, hyp: clang.Signature, tgt_to_src: list[int | None]) -> dict:
+    """Signature metrics of one hypothesis, from its arguments beside the targets' that they were matched to."""
+    pairs = paired(src, tgt, hyp, tgt_to_src)
+    return pairs | agreeing(tgt, hyp, pairs["match_idx"])
+
+
 @dataclass(frozen=True)
 class Code:
     """What a text of code holds: its tokens, those with identifiers all alike, and its string literals; n-grams are counted once."""
@@ -139,15 +157,20 @@ class Code:
 REMEMBERED = 8
 
 
+@lru_cache(maxsize=REMEMBERED)
+def _lexed(text: str) -> list[tuple[str, str]]:
+    return clang.lex(text)
+
+
 @lru_cache(maxsize=REMEMBERED)
 def _code(text: str) -> Code:
-    lexed = clang.lex(text)
+    lexed = _lexed(text)
     return Code(bleu.Grams([v for _, v in lexed]), bleu.Grams(["_VAR_" if t == "ID" else v for t, v in lexed]), {v for t, v in lexed if t in ("STRING_LITERAL", "WSTRING_LITERAL")})
 
 
 @lru_cache(maxsize=REMEMBERED)
 def _signature(text: str, strict: bool) -> tuple[clang.Signature, bool]:
-    return clang.parsed(_code(text).tokens.tokens, strict)
+    return clang.parsed([v for _, v in _lexed(text)], strict)
 
 
 @lru_cache(maxsize=REMEMBERED)
@@ -155,32 +178,51 @@ def _to_source(src: clang.Signature, tgt: clang.Signature) -> list[int | None]:
     return matched(src, tgt)[1]
 
 
-def measure_row(src: str, tgt: str, hyp: str, baseline: bool) -> dict:
-    """All metrics of one hypothesis. ``src`` has its variables replaced; the baseline's hypothesis is that source itself."""
-    src_sig, tgt_sig, (hyp_sig, ok) = _signature(src, True)[0], _signature(tgt, True)[0], _signature(hyp, baseline)
-    of_tgt, of_hyp = _code(tgt), _code(hyp)
-    want, have = of_tgt.strings, of_hyp.strings
+def _of_texts(tgt: Code, hyp: Code) -> dict:
+    """What tokens and string literals tell."""
+    want, have = tgt.strings, hyp.strings
     counts = lambda a, b, n: dict(zip(("matches", "possible", "hyp_len", "ref_len"), bleu.counts_of(a, b, n), strict=True))
-    return measured(src_sig, tgt_sig, hyp_sig, _to_source(src_sig, tgt_sig)) | {
-        "exact_match": portion(of_tgt.tokens.tokens == of_hyp.tokens.tokens, 1), "unparsable": portion(not ok, 1), "str_missing": portion(len(want - have), len(want)), "str_redundant": len(have - want),
-        "counts": counts(of_tgt.tokens, of_hyp.tokens, 8), "counts_no_var": counts(of_tgt.nameless, of_hyp.nameless, 4),
-        "missing_strings": sorted(want - have), "redundant_strings": sorted(have - want),
+    return {
+        "exact_match": portion(tgt.tokens.tokens == hyp.tokens.tokens, 1), "str_missing": portion(len(want - have), len(want)), "str_redundant": len(have - want),
+        "counts": counts(tgt.tokens, hyp.tokens, 8), "counts_no_var": counts(tgt.nameless, hyp.nameless, 4), "missing_strings": sorted(want - have), "redundant_strings": sorted(have - want),
     }
 
 
-def measure(rows: DataFrame, src: Column, tgt: Column, hyp: Column, baseline: Column) -> DataFrame:
-    """``rows`` with the metric columns of each hypothesis (null texts count as empty)."""
-    kind = pa.struct(list(to_arrow_schema(T.StructType.fromDDL(ROW_DDL))))
+#: What ``summarise`` reads of the metric columns.
+SUMMARISED = (*PORTIONS, *INTS, "pointer_conversion", "counts", "counts_no_var")
+#: Metric columns by what they take beside the pairing of arguments.
+AGREEMENT = frozenset(("func_name", "ret_type", "ret_type_strict", "arg_name", "arg_type", "arg_type_strict", "arg_names", "arg_types"))
+OF_TEXTS = frozenset(("exact_match", "str_missing", "str_redundant", "counts", "counts_no_var", "missing_strings", "redundant_strings"))
+
 
-    @F.arrow_udf(f"struct<{', '.join(x.replace(' ', ':', 1) for x in ROW_DDL.split(', '))}>")
+def measure_row(src: str, tgt: str, hyp: str, baseline: bool, only: frozenset[str] = AGREEMENT | OF_TEXTS) -> dict:
+    """All metrics of one hypothesis, or those that ``only`` needs. ``src`` has its variables replaced; the baseline's hypothesis is that
+    source itself."""
+    src_sig, tgt_sig, (hyp_sig, ok) = _signature(src, True)[0], _signature(tgt, True)[0], _signature(hyp, baseline)
+    out = paired(src_sig, tgt_sig, hyp_sig, _to_source(src_sig, tgt_sig)) | {"unparsable": portion(not ok, 1)}
+    if not only.isdisjoint(AGREEMENT):
+        out |= agreeing(tgt_sig, hyp_sig, out["match_idx"])
+    return out if only.isdisjoint(OF_TEXTS) else out | _of_texts(_code(tgt), _code(hyp))
+
+
+def measure(rows: DataFrame, src: Column, tgt: Column, hyp: Column, baseline: Column, only: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with the metric columns of each hypothesis (null texts count as empty), or with those named by ``only``: what just the others
+    need is left out."""
+    fields = [x for x in ROW_DDL.split(", ") if not only or x.split(" ")[0] in only]
+    names = frozenset(x.split(" ")[0] for x in fields)
+    if unknown := set(only) - names:
+        raise ValueError(f"no such metric columns: {sorted(unknown)}")
+    kind = pa.struct(list(to_arrow_schema(T.StructType.fromDDL(", ".join(fields)))))
+
+    @F.arrow_udf(f"struct<{', '.join(x.replace(' ', ':', 1) for x in fields)}>")
     def column(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield row_by_row(lambda s, t, h, b: measure_row(s or "", t or "", h or "", bool(b)), kind, *batch)
+            yield row_by_row(lambda s, t, h, b: measure_row(s or "", t or "", h or "", bool(b), names), kind, *batch)
 
     (m,) = spare(rows, "measured")
-    out = rows.withColumn(m, column(src, tgt, hyp, baseline))
-    sentence = {"bleu4": bleu.sentence(F.col("counts"), 4), "bleu8": bleu.sentence(F.col("counts"), 8), "bleu4_no_var": bleu.sentence(F.col("counts_no_var"), 4)}
-    return out.select(*rows.columns, f"{m}.*").withColumns(sentence)
+    out = rows.withColumn(m, column(src, tgt, hyp, baseline)).select(*rows.columns, f"{m}.*")
+    sentence = {"bleu4": ("counts", 4), "bleu8": ("counts", 8), "bleu4_no_var": ("counts_no_var", 4)}
+    return out.withColumns({k: bleu.sentence(F.col(c), n) for k, (c, n) in sentence.items() if c in names})
 
 
 @dataclass(frozen=True)

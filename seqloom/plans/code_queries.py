@@ -65,9 +65,9 @@ def _rows(spark, sf_dir):
     return rows.select("idx", "p_size", "src", "tgt", said).withColumn("var_names", names).withColumn("repo", F.lit("r")).withColumn("sha", F.md5("tgt")).withColumn("overlap_score", F.col("p_size") / 100)
 
 
-def _measured(spark, sf_dir):
+def _measured(spark, sf_dir, *only):
     rows = _rows(spark, sf_dir)
-    return evaluation.measure(rows, text.replace_by_map(F.col("src"), F.col("var_names")), F.col("tgt"), F.col("hyp"), F.lit(False))
+    return evaluation.measure(rows, text.replace_by_map(F.col("src"), F.col("var_names")), F.col("tgt"), F.col("hyp"), F.lit(False), only)
 
 
 KEYWORD_LIST = ", ".join(f"'{k}'" for k in sorted(clang.KEYWORDS))
@@ -131,7 +131,7 @@ def func_signature(spark, sf_dir):
 def arg_matching(spark, sf_dir):
     """Which target parameter each one of a hypothesis stands for, whatever their order."""
     line = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
-    return _measured(spark, sf_dir).select("idx", "system", line("match_idx"), line("missing_args"))
+    return _measured(spark, sf_dir, "match_idx", "missing_args").select("idx", "system", line("match_idx"), line("missing_args"))
 
 
 #: Of declarations that are no pointers in the source: return types and, by form, one parameter that becomes a pointer and one that doesn't.
