@@ -141,7 +141,7 @@ POINTERS = """CASE WHEN system = 'cut' THEN 0 ELSE [0, 2, 1, 1][form + 1] END AS
 
 @query(f"WITH {ROWS} SELECT p_partkey AS idx, system, {POINTERS} FROM code")
 def pointer_conversion(spark, sf_dir):
-    return _measured(spark, sf_dir).select("idx", "system", *(F.col(f"pointer_conversion.{c}").cast("int").alias(c) for c in evaluation.CONFUSION))
+    return _measured(spark, sf_dir, "pointer_conversion").select("idx", "system", *(F.col(f"pointer_conversion.{c}").cast("int").alias(c) for c in evaluation.CONFUSION))
 
 
 PRETTY = (
