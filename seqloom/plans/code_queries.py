@@ -105,7 +105,7 @@ def added_metrics(spark, sf_dir):
         .with_version("large", lambda: F.col("p_size") > 25)
         .with_version("pointers", lambda: F.contains("tgt", F.lit("*")))
     )
-    summary = catalogue.summarise(catalogue.in_versions(_measured(spark, sf_dir)), ["version", "system"])
+    summary = catalogue.summarise(catalogue.in_versions(_measured(spark, sf_dir, *evaluation.SUMMARISED)), ["version", "system"])
     return summary.select("version", "system", "not_longer.correct", "not_longer.total", F.round("length_ratio", 6).alias("length_ratio"), F.round(evaluation.ratio(F.col("exact_match")), 6).alias("exact_match"))
 
 
@@ -193,7 +193,7 @@ SELECT system, metric, round(value, 6) AS value FROM (SELECT system, {', '.join(
 @query(f"SELECT * FROM ({PART_SUMS}) UNION ALL SELECT * FROM {MEAN} UNION ALL SELECT * FROM {corpus_score(4, 'bleu4', CODE_PAIRS)} UNION ALL SELECT * FROM {corpus_score(8, 'bleu8', CODE_PAIRS)} UNION ALL SELECT * FROM {corpus_score(4, 'bleu4_no_var', NO_VAR_PAIRS)}")
 def signature_summary(spark, sf_dir):
     """All eighteen metrics by system, in long form."""
-    summary = evaluation.summarise(_measured(spark, sf_dir), ["system"])
+    summary = evaluation.summarise(_measured(spark, sf_dir, *evaluation.SUMMARISED), ["system"])
     return evaluation.long_metrics(summary, ["system"], [m.key for m in evaluation.METRICS]).select("system", "metric", F.round("value", 6).alias("value"))
 
 
