@@ -54,7 +54,8 @@ def better_on_all(measured: DataFrame, index: str, a: str, b: str, keys: list[st
     both = side(a).join(side(b), index)
     both = both.withColumns({f"cmp_{k}": compare(k, F.col("left"), F.col("right")) for k in keys}) if keys else both
     if keys:
-        both = both.where(reduce(lambda x, y: x & y, [F.col(f"cmp_{k}") < 0 for k in keys]))
+        # coalesced, or each side is searched for nulls first, for which metrics that Python makes would be made twice
+        both = both.where(reduce(lambda x, y: x & y, [F.coalesce(F.col(f"cmp_{k}") < 0, F.lit(False)) for k in keys]))
     return dense_index(both, [*(F.col(f"cmp_{k}") for k in keys), F.col(index)], "ordinal")
 
 

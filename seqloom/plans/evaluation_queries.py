@@ -203,7 +203,7 @@ def _pseudo(spark, sf_dir):
     half = F.slice("t", F.lit(1), F.floor(F.size("t") / 2).cast("int"))
     each = F.array(*[F.struct(F.lit(n).alias("system"), h.alias("h")) for n, h in zip(PSEUDO, (F.col("t"), half, F.col("s")), strict=True)])
     rows = pairs.select("idx", "t", F.inline(each))
-    counted = rows.withColumn("c", bleu.count_column(2)("t", "h"))
+    counted = rows.withColumn("c", bleu.count_column(1)("t", "h"))
     return counted.select(
         "idx", "system", F.size("h").cast("long").alias("n_words"), (F.col("t") == F.col("h")).cast("long").alias("exact"), F.get("c.matches", F.lit(0)).alias("hits"),
         F.round(F.coalesce(F.try_divide(F.get("c.matches", F.lit(0)), F.get("c.possible", F.lit(0))), F.lit(0.0)), 9).alias("precision"), F.size("t").cast("long").alias("target_words"),
