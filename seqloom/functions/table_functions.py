@@ -31,7 +31,7 @@ class Arguments:
     """A row for each parameter of a C function: its place, name, type and pointer layers; none where the code can't be parsed."""
 
     def eval(self, code: str) -> Iterator[tuple[int, str, str, int]]:
-        found, _ = clang.parsed(clang.values(code or ""), strict=False)
+        found, _ = clang.parsed(clang.head(code or ""), strict=False)
         for place, a in enumerate(found.args):
             yield place, a.name, " ".join(a.type), a.pointer_layer
 
