@@ -3,7 +3,7 @@ their room."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import pairwise
 
 import numpy as np
@@ -14,11 +14,19 @@ import pyarrow.compute as pc
 ELEMENTS, ROWS = 200_000, 256
 
 
+def _parts(columns: Sequence[pa.Array], elements: int, rows: int | None = None) -> Iterator[tuple[int, int]]:
+    """Starts and stops of parts whose lists, of all columns, hold fewer than so many elements beside their first row, and of at most so many rows."""
+    n = len(columns[0])
+    lengths = sum((pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns if pa.types.is_list(c.type)), np.zeros(n, np.int64))
+    new = np.diff(np.cumsum(lengths) // elements) != 0
+    if rows:
+        new |= np.diff(np.arange(n) // rows) != 0
+    return pairwise([0, *(np.flatnonzero(new) + 1).tolist(), n])
+
+
 def by_elements(batch: pa.RecordBatch, column: int = 1, elements: int = ELEMENTS) -> Iterator[pa.RecordBatch]:
-    """``batch`` in parts whose lists hold fewer than so many elements before their last row."""
-    lengths = pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    cuts = np.flatnonzero(np.diff(np.cumsum(lengths, dtype=np.int64) // elements)) + 1
-    for start, stop in pairwise([0, *cuts.tolist(), batch.num_rows]):
+    """``batch`` in parts whose lists hold fewer than so many elements beside their first row."""
+    for start, stop in _parts([batch.column(column)], elements):
         yield batch.slice(start, stop - start)
 
 
@@ -31,6 +39,6 @@ def objects(column: pa.Array) -> list:
 
 
 def row_by_row(f: Callable[..., dict], kind: pa.DataType, *columns: pa.Array) -> pa.Array:
-    """``f`` of each row as an array of ``kind``; few rows at a time are Python objects."""
-    parts = [pa.array([f(*row) for row in zip(*(objects(c.slice(at, ROWS)) for c in columns), strict=True)], kind) for at in range(0, len(columns[0]), ROWS)]
-    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+    """``f`` of each row as an array of ``kind``; few rows, and few elements of long lists, are Python objects at a time."""
+    parts = (zip(*(objects(c.slice(start, stop - start)) for c in columns), strict=True) for start, stop in _parts(columns, ELEMENTS, ROWS))
+    return pa.concat_arrays([pa.array([f(*row) for row in part], kind) for part in parts])
